@@ -1,17 +1,796 @@
-"""Queries of the engine's own operators."""
+"""Queries of the engine's own operators over the given tables, and the SQL that must give the same rows."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import fixtures as fx
+from .functions import geom, text
+from .operators import curation as cu
+from .operators import experiments as ex
+from .operators import generate as ge
+from .operators import loops as lo
+from .operators import ordering as od
+from .operators import raster as ra
+from .operators import strokes as st
+from .plans import drawing
+from .sources import files
+from .streaming import commands as sc
+
+QUERIES: dict = {}
+ORACLE: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def put(f):
+        QUERIES[name] = f
+        if sql:
+            # DuckDB's count_if is a HUGEINT; a filtered count is a BIGINT
+            ORACLE[name] = " ".join(sql.split()).replace("count_if(", "count(*) FILTER (WHERE ")
+        return f
+
+    return put
+
+
+def view(name: str):
+    sql = getattr(fx, name)
+    return (lambda s, d: fx.spark_view(s, d, sql)), fx.duck(sql)
+
+
+polylines, POLY = view("POLYLINES")
+sessions, SESS = view("SESSIONS")
+grid, GRID = view("GRID")
+runs, RUNS = view("RUNS")
+observations, OBS = view("OBSERVATIONS")
+histories, HIST = view("HISTORIES")
+images, IMAGES = view("IMAGES")
+masks, MASKS = view("MASKS")
+
+
+def paths(s: SparkSession, d: str) -> DataFrame:
+    return fx.paths(polylines(s, d))
+
+
+def r(c, n=4):
+    return F.round(c, n).alias(c) if isinstance(c, str) else F.round(c, n)
+
+
+D = "sqrt((x - px) * (x - px) + (y - py) * (y - py))"
+LAGGED = f"(SELECT *, lag(x) OVER (PARTITION BY drawing_id, path_id ORDER BY seq) AS px, lag(y) OVER (PARTITION BY drawing_id, path_id ORDER BY seq) AS py FROM {POLY} p)"
+ENDS = f"(SELECT drawing_id, path_id, arg_min(x, seq) AS ax, arg_min(y, seq) AS ay, arg_max(x, seq) AS bx, arg_max(y, seq) AS b_y, count(*) AS n, sum(CASE WHEN px IS NULL THEN 0 ELSE {D} END) AS draw FROM {LAGGED} q GROUP BY ALL)"
+
+# ------------------------------------------------------------------ strokes
+
+
+@query("path_length", f"SELECT drawing_id, path_id, n AS n_points, round(draw, 4) AS length_mm FROM {ENDS} e")
+def path_length(s, d):
+    return st.path_length(paths(s, d)).select("drawing_id", "path_id", F.size("points").cast("bigint").alias("n_points"), r("length_mm"))
+
+
+@query(
+    "plan_metrics",
+    f"""WITH e AS (SELECT *, lag(bx) OVER (PARTITION BY drawing_id ORDER BY path_id) AS lx, lag(b_y) OVER (PARTITION BY drawing_id ORDER BY path_id) AS ly FROM {ENDS} z WHERE n >= 2)
+ SELECT drawing_id, count(*) AS num_paths, round(sum(sqrt((ax - coalesce(lx, 0)) * (ax - coalesce(lx, 0)) + (ay - coalesce(ly, 0)) * (ay - coalesce(ly, 0)))), 4) AS pen_up_mm, round(sum(draw), 4) AS draw_mm FROM e GROUP BY drawing_id""",
+)
+def plan_metrics(s, d):
+    return st.plan_metrics(paths(s, d)).select("drawing_id", "num_paths", r("pen_up_mm"), r("draw_mm"))
+
+
+COLLAPSE = f"""WITH RECURSIVE p AS (SELECT drawing_id, path_id, CAST(seq AS BIGINT) AS seq, x, y FROM {POLY} z),
+ k AS (SELECT drawing_id, path_id, seq, x, y, x AS kx, y AS ky, true AS kept FROM p WHERE seq = 1 UNION ALL
+ SELECT p.drawing_id, p.path_id, p.seq, p.x, p.y, CASE WHEN sqrt((p.x - k.kx) * (p.x - k.kx) + (p.y - k.ky) * (p.y - k.ky)) >= {{t}} THEN p.x ELSE k.kx END, CASE WHEN sqrt((p.x - k.kx) * (p.x - k.kx) + (p.y - k.ky) * (p.y - k.ky)) >= {{t}} THEN p.y ELSE k.ky END,
+ sqrt((p.x - k.kx) * (p.x - k.kx) + (p.y - k.ky) * (p.y - k.ky)) >= {{t}} FROM k JOIN p ON p.path_id = k.path_id AND p.drawing_id = k.drawing_id AND p.seq = k.seq + 1)
+ SELECT drawing_id, path_id, count(*) AS n_points, round(sum(x), 2) AS sum_x, round(sum(y), 2) AS sum_y FROM k WHERE kept GROUP BY drawing_id, path_id"""
+
+
+@query("collapse_short_segments", COLLAPSE.replace("{t}", "10"))
+def collapse_short_segments(s, d):
+    p = st.collapse_short_segments(paths(s, d), 10.0)
+    add = lambda c: F.round(F.aggregate("points", F.lit(0.0), lambda a, q: a + q[c]), 2)
+    return p.select("drawing_id", "path_id", F.size("points").cast("bigint").alias("n_points"), add("x").alias("sum_x"), add("y").alias("sum_y"))
+
+
+@query("simplify_collinear")
+def simplify_collinear(s, d):
+    p = st.simplify_collinear(paths(s, d), 2.0)
+    return p.select("drawing_id", "path_id", F.size("points").cast("bigint").alias("n_points"), F.round(st.length_of(F.col("points")), 4).alias("length_mm"))
+
+
+@query("clean_paths")
+def clean_paths(s, d):
+    before = paths(s, d)
+    return st.cleanup_stats(before, st.clean_paths(before))
+
+
+@query("stitch_paths")
+def stitch_paths(s, d):
+    p = st.stitch_paths(paths(s, d), 5.0)
+    return p.groupBy("drawing_id").agg(F.count("*").alias("strokes"), F.sum(F.size("points")).alias("n_points"))
+
+
+@query("order_nearest")
+def order_nearest(s, d):
+    p = od.order_paths(paths(s, d), "nearest_neighbor")
+    return p.select("drawing_id", "path_id", "pos", "flipped", "ordered")
+
+
+@query("order_two_opt")
+def order_two_opt(s, d):
+    p = od.order_paths(paths(s, d), "two_opt")
+    return p.select("drawing_id", "path_id", "pos", "flipped", "ordered")
+
+
+@query("emit_commands")
+def emit_commands(s, d):
+    return st.emit_commands(paths(s, d)).select("drawing_id", "seq", "cmd", r("x"), r("y"), "speed")
+
+
+STROKES = f"""WITH c AS (SELECT * FROM {SESS} z WHERE cmd IN ('PEN_UP', 'PEN_DOWN', 'MOVE')),
+ a AS (SELECT *, coalesce(last_value(CASE WHEN cmd <> 'MOVE' THEN cmd = 'PEN_DOWN' END IGNORE NULLS) OVER w, false) AS down FROM c WINDOW w AS (PARTITION BY session_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+ b AS (SELECT *, last_value(CASE WHEN cmd = 'MOVE' AND NOT down THEN {{{{'x': x, 'y': y}}}} END IGNORE NULLS) OVER w AS up_at, sum(CASE WHEN cmd = 'PEN_DOWN' AND NOT down THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY seq) AS stroke_id FROM a WINDOW w AS (PARTITION BY session_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+ strokes AS (SELECT session_id, CAST(stroke_id AS BIGINT) AS stroke_id, seq, CASE WHEN cmd = 'MOVE' THEN x ELSE coalesce(up_at.x, 0) END AS x, CASE WHEN cmd = 'MOVE' THEN y ELSE coalesce(up_at.y, 0) END AS y FROM b WHERE cmd = 'MOVE' AND down OR cmd = 'PEN_DOWN' AND NOT down)""".replace("{{", "{").replace("}}", "}")
+
+
+@query("extract_strokes", f"{STROKES} SELECT session_id, stroke_id, CAST(seq AS BIGINT) AS seq, round(x, 4) AS x, round(y, 4) AS y FROM strokes")
+def extract_strokes(s, d):
+    return st.extract_strokes(sessions(s, d)).select("session_id", F.col("stroke_id").cast("bigint"), F.col("seq").cast("bigint"), r("x"), r("y"))
+
+
+KINEMATICS = f"""{STROKES}, g AS (SELECT *, lag(x) OVER w AS px, lag(y) OVER w AS py FROM strokes WINDOW w AS (PARTITION BY session_id, stroke_id ORDER BY seq)),
+ h AS (SELECT *, {D} AS length, degrees(atan2(py - y, x - px)) AS heading, row_number() OVER (PARTITION BY session_id, stroke_id ORDER BY seq) AS no FROM g WHERE px IS NOT NULL),
+ m AS (SELECT *, lag(heading) OVER w AS ph, lag(x) OVER w AS ex, lag(y) OVER w AS ey, lag(no) OVER w AS pn FROM h WHERE length >= 0.5 WINDOW w AS (PARTITION BY session_id, stroke_id ORDER BY seq)),
+ n AS (SELECT *, CASE WHEN ph IS NULL THEN 0 ELSE 180 - (((180 - (heading - ph)) % 360) + 360) % 360 END AS turn FROM m)"""
+
+
+@query(
+    "segment_kinematics",
+    f"{KINEMATICS} SELECT session_id, stroke_id, CAST(seq AS BIGINT) AS seq, round(length, 4) AS length, round(heading, 4) AS heading, round(abs(turn), 3) AS abs_turn, coalesce(no - pn > 1 OR sqrt((ex - px) * (ex - px) + (ey - py) * (ey - py)) > 0.5 OR abs(turn) >= 30, false) AS requires_lift FROM n",
+)
+def segment_kinematics(s, d):
+    k = st.segment_kinematics(st.extract_strokes(sessions(s, d)))
+    return k.select("session_id", F.col("stroke_id").cast("bigint"), F.col("seq").cast("bigint"), r("length"), r("heading"), F.round(F.abs("turn"), 3).alias("abs_turn"), "requires_lift")
+
+
+@query("action_table", f"{KINEMATICS} SELECT session_id, count(*) AS straights, round(sum(round(length / 10, 2)), 2) AS units FROM n GROUP BY session_id")
+def action_table(s, d):
+    a = st.action_table(st.segment_kinematics(st.extract_strokes(sessions(s, d))))
+    return a.filter("op = 'ST'").groupBy("session_id").agg(F.count("*").alias("straights"), F.round(F.sum("value"), 2).alias("units"))
+
+
+@query("drawing_pipeline")
+def drawing_pipeline(s, d):
+    metrics, _ = drawing.run_drawing_pipeline(paths(s, d), 60.0, 120.0, "two_opt")
+    return metrics.select("drawing_id", "num_paths", r("pen_up_mm", 3), r("draw_mm", 3), r("total_mm", 3))
+
+
+@query("fit_to_page", f"SELECT drawing_id, path_id, round(min(10 + 2.5 + x * least(190.0 / 60, 277.0 / 90)), 4) AS min_x, round(max(10 + y * least(190.0 / 60, 277.0 / 90)), 4) AS max_y FROM (SELECT * FROM {POLY} z) q GROUP BY ALL".replace("10 + 2.5", "10 + (190 - 60 * least(190.0 / 60, 277.0 / 90)) / 2").replace("max(10 +", "max(10 + (277 - 90 * least(190.0 / 60, 277.0 / 90)) / 2 +"))
+def fit_to_page(s, d):
+    p = st.fit_to_page(paths(s, d), 60.0, 90.0)
+    return p.select("drawing_id", "path_id", F.round(F.array_min(F.transform("points", lambda q: q["x"])), 4).alias("min_x"), F.round(F.array_max(F.transform("points", lambda q: q["y"])), 4).alias("max_y"))
+
+
+@query(
+    "view_bounds",
+    f"""WITH b AS (SELECT drawing_id, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1 FROM {POLY} z GROUP BY drawing_id), p AS (SELECT *, greatest(8.0, least(x1 - x0, y1 - y0) * 0.04) AS pad FROM b)
+ SELECT drawing_id, round(greatest(0, x0 - pad), 4) AS "left", round(greatest(0, y0 - pad), 4) AS top, round(least(210, x1 + pad), 4) AS "right", round(least(297, y1 + pad), 4) AS bottom FROM p""",
+)
+def view_bounds(s, d):
+    return st.view_bounds(paths(s, d)).select("drawing_id", r("left"), r("top"), r("right"), r("bottom"))
+
+
+# ------------------------------------------------------------------ closed paths
+
+VERTICES = "(SELECT label AS drawing_id, vec_id AS path_id, k, CAST(embedding[2 * k + 1] AS DOUBLE) * 100 AS x, CAST(embedding[2 * k + 2] AS DOUBLE) * 100 AS y FROM (SELECT *, unnest(range(32)) AS k FROM embeddings))"
+SHAPES = f"(SELECT CAST(drawing_id AS BIGINT) AS drawing_id, path_id, abs(sum(x * ny - nx * y)) / 2 AS area, avg(x) AS cx, avg(y) AS cy, max(x) - min(x) AS w, max(y) - min(y) AS h FROM (SELECT *, coalesce(lead(x) OVER o, first_value(x) OVER o) AS nx, coalesce(lead(y) OVER o, first_value(y) OVER o) AS ny FROM {VERTICES} v WINDOW o AS (PARTITION BY path_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) q GROUP BY ALL)"
+
+
+@query("closed_path_shape", f"SELECT drawing_id, path_id, true AS closed, round(area, 3) AS area, round(cx, 3) AS cx, round(cy, 3) AS cy, round(w, 3) AS w, round(h, 3) AS h FROM {SHAPES} z")
+def closed_path_shape(s, d):
+    return lo.shape_of(fx.loops(s, d)).select("drawing_id", "path_id", "closed", *(r(c, 3) for c in ("area", "cx", "cy", "w", "h")))
+
+
+@query(
+    "near_duplicate_loops",
+    f"""WITH z AS (SELECT *, greatest(w, h, 1) AS span FROM {SHAPES} y WHERE area > 0) SELECT a.drawing_id, a.path_id AS a, b.path_id AS b FROM z a JOIN z b ON a.drawing_id = b.drawing_id AND (a.area > b.area OR a.area = b.area AND a.path_id < b.path_id)
+ WHERE b.area / a.area >= 0.72 AND sqrt((a.cx - b.cx) * (a.cx - b.cx) + (a.cy - b.cy) * (a.cy - b.cy)) <= 0.08 * greatest(a.span, b.span) AND abs(a.w - b.w) / greatest(a.w, b.w, 1) <= 0.22 AND abs(a.h - b.h) / greatest(a.h, b.h, 1) <= 0.22""",
+)
+def near_duplicate_loops(s, d):
+    return lo.near_duplicate_loops(lo.shape_of(fx.loops(s, d))).select("drawing_id", "a", "b")
+
+
+@query("merge_duplicate_loops")
+def merge_duplicate_loops(s, d):
+    m = lo.merge_duplicate_loops(fx.loops(s, d))
+    return m.select("drawing_id", "path_id", "merged_with", F.size("points").alias("n_points"))
+
+
+@query("resample_closed")
+def resample_closed(s, d):
+    p = lo.resample_closed(fx.loops(s, d), 16)
+    return p.groupBy("drawing_id", "path_id").agg(F.count("*").alias("n"), F.round(F.sum("x"), 3).alias("sum_x"), F.round(F.sum("y"), 3).alias("sum_y"))
+
+
+def ring_pairs(s, d):
+    """Each vector's ring with that of the next vector of its label."""
+    from pyspark.sql import Window
+
+    p = fx.loops(s, d).withColumn("ref", F.slice("points", 1, 32))
+    return p.withColumn("cand", F.lead("ref").over(Window.partitionBy("drawing_id").orderBy("path_id"))).filter("cand IS NOT NULL").select("drawing_id", "path_id", "ref", "cand")
+
+
+NEXT = f"(SELECT path_id, lead(path_id) OVER (PARTITION BY drawing_id ORDER BY path_id) AS other FROM (SELECT DISTINCT drawing_id, path_id FROM {VERTICES} v))"
+
+
+@query(
+    "align_closed",
+    f"""WITH v AS (SELECT * FROM {VERTICES} t), n AS (SELECT * FROM {NEXT} u WHERE other IS NOT NULL), s AS (SELECT unnest(range(32)) AS shift), e AS (SELECT unnest([0, 1]) AS dir),
+ c AS (SELECT n.path_id, e.dir, s.shift, sum((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS cost FROM n JOIN v a ON a.path_id = n.path_id CROSS JOIN s CROSS JOIN e JOIN v b ON b.path_id = n.other AND b.k = CASE WHEN e.dir = 0 THEN (a.k + s.shift) % 32 ELSE 31 - (a.k + s.shift) % 32 END GROUP BY ALL)
+ SELECT path_id, round(min(cost), 2) AS cost FROM c GROUP BY path_id""",
+)
+def align_closed(s, d):
+    return lo.align_closed(ring_pairs(s, d)).select("path_id", F.round("cost", 2).alias("cost"))
+
+
+@query("average_closed")
+def average_closed(s, d):
+    a = lo.align_closed(ring_pairs(s, d))
+    avg = lo.average_closed(F.col("ref"), F.col("aligned"))
+    return a.select("path_id", F.size(avg).alias("n"), F.aggregate(avg, F.lit(0.0), lambda t, p: t + p["x"]).alias("sum_x"))
+
+
+@query("dedupe_open_paths")
+def dedupe_open_paths(s, d):
+    return lo.dedupe_open_paths(paths(s, d), 4.0).select("drawing_id", "path_id")
+
+
+# ------------------------------------------------------------------ scalar functions
+
+
+@query(
+    "geometry_functions",
+    f"""SELECT session_id, CAST(seq AS BIGINT) AS seq, round(sqrt((x - 105) * (x - 105) + (y - 97) * (y - 97)), 4) AS dist, round(degrees(atan2(97 - y, x - 105)), 4) AS heading, round(180 - (((180 - x * 7) % 360) + 360) % 360, 3) AS angle, round(greatest(x / 10, 5), 4) AS clamped,
+ CASE WHEN abs(x - 2.0) <= 1e-9 AND abs(y - 0.75) <= 1e-9 THEN 'default' ELSE 'manual' END AS profile, round(sqrt((x - greatest(0, least(100, x))) * (x - greatest(0, least(100, x))) + y * y), 4) AS to_segment FROM {SESS} z WHERE cmd = 'MOVE'""",
+)
+def geometry_functions(s, d):
+    x, y, l = F.col("x"), F.col("y"), F.lit
+    return sessions(s, d).filter("cmd = 'MOVE'").select("session_id", F.col("seq").cast("bigint"), F.round(geom.dist(x, y, l(105.0), l(97.0)), 4).alias("dist"), F.round(geom.heading_deg(l(105.0), l(97.0), x, y), 4).alias("heading"), F.round(geom.normalize_angle(x * 7), 3).alias("angle"), F.round(geom.clamp_min_distance(x / 10, 0.5, 0.5, 10.0), 4).alias("clamped"), geom.settings_profile(x, y, l(0.5)).alias("profile"), F.round(geom.point_segment_distance(x, y, l(0.0), l(0.0), l(100.0), l(0.0)), 4).alias("to_segment"))
+
+
+@query(
+    "tool_offset",
+    f"SELECT session_id, CAST(seq AS BIGINT) AS seq, round(x - (12 * cos(radians(y)) + 3 * sin(radians(y))), 4) AS cx, round(y - (3 * cos(radians(y)) - 12 * sin(radians(y))), 4) AS cy, round(x + 5 * cos(radians(y)), 4) AS ax, round(y - 5 * sin(radians(y)), 4) AS ay FROM {SESS} z WHERE cmd = 'MOVE'",
+)
+def tool_offset(s, d):
+    x, y = F.col("x"), F.col("y")
+    cx, cy = geom.center_for_tip(x, y, y, F.lit(12.0), F.lit(3.0))
+    ax, ay = geom.advance(x, y, y, F.lit(5.0))
+    return sessions(s, d).filter("cmd = 'MOVE'").select("session_id", F.col("seq").cast("bigint"), *(F.round(c, 4).alias(n) for c, n in ((cx, "cx"), (cy, "cy"), (ax, "ax"), (ay, "ay"))))
+
+
+@query(
+    "name_functions",
+    r"""SELECT p_partkey, regexp_replace(regexp_replace(n, '[^A-Za-z0-9._-]+', '_', 'g'), '^[._]+|[._]+$', '', 'g') AS clean, lower(regexp_replace(regexp_extract(n, '([^/]*)/*$', 1), '\.[^./]+$', '')) AS stem, CASE WHEN contains(p_name, ' ') THEN lower(regexp_extract(replace(p_name, ' ', '_'), '^(.*)_[^_]*$', 1)) END AS trimmed, len(list_filter(regexp_split_to_array(p_name, '[\s,;]+'), lambda t: t <> '')) AS tokens
+ FROM (SELECT p_partkey, p_name, concat('a b/', p_name, '.PNG') AS n FROM part) z""",
+)
+def name_functions(s, d):
+    n = F.col("n")
+    p = fx.read(s, d, "part").withColumn("n", F.concat(F.lit("a b/"), "p_name", F.lit(".PNG")))
+    return p.select("p_partkey", text.sanitize_stem(n).alias("clean"), text.normalize_stem(n).alias("stem"), text.trimmed_suffix_stem(F.replace("p_name", F.lit(" "), F.lit("_"))).alias("trimmed"), F.size(text.tokenize_ids(F.col("p_name"))).cast("bigint").alias("tokens"))
+
+
+@query("split_names", "SELECT r_regionkey, n, CASE lower(trim(n)) WHEN 'train' THEN 'train' WHEN 'training' THEN 'train' WHEN 'valid' THEN 'val' WHEN 'dev' THEN 'val' WHEN 'test' THEN 'test' END AS split FROM (SELECT r_regionkey, unnest([' Train', 'training', 'VALID', 'dev', 'test ', r_name]) AS n FROM region) z")
+def split_names(s, d):
+    n = F.explode(F.array(*map(F.lit, (" Train", "training", "VALID", "dev", "test ")), F.col("r_name"))).alias("n")
+    return fx.read(s, d, "region").select("r_regionkey", n).withColumn("split", text.normalize_split_name(F.col("n")))
+
+
+@query("fit_canvas", "SELECT p_partkey, greatest(1, CAST(round_even(w * sc, 0) AS INT)) AS nw, greatest(1, CAST(round_even(h * sc, 0) AS INT)) AS nh FROM (SELECT *, least(210.0::DOUBLE / w, 297.0::DOUBLE / h) AS sc FROM (SELECT p_partkey, p_size + 10 AS w, p_partkey % 37 + 5 AS h FROM part) a) z")
+def fit_canvas(s, d):
+    p = fx.read(s, d, "part").select("p_partkey", (F.col("p_size") + 10).alias("w"), (F.col("p_partkey") % 37 + 5).alias("h"))
+    w, h, _, _ = geom.fit_canvas(F.col("w"), F.col("h"), 210, 297)
+    return p.select("p_partkey", w.alias("nw"), h.alias("nh"))
+
+
+@query("progress", "SELECT run_id, n, round(n / 80.0::DOUBLE * 100, 2) AS pct, CASE WHEN n * 61 >= 3600 THEN concat(n * 61 // 3600, 'h ', (n * 61 % 3600) // 60, 'm ', n * 61 % 60, 's') ELSE concat(n * 61 // 60, 'm ', n * 61 % 60, 's') END AS took FROM (SELECT user_id AS run_id, count(*) AS n FROM events GROUP BY user_id) z")
+def progress(s, d):
+    n = fx.read(s, d, "events").groupBy(F.col("user_id").alias("run_id")).agg(F.count("*").alias("n"))
+    return n.select("run_id", "n", text.progress_pct(F.col("n"), F.lit(80)).alias("pct"), text.duration_text(F.col("n") * 61).alias("took"))
+
+
+@query("color_region_predicate", "SELECT p_partkey, CASE WHEN hi = 0 THEN false ELSE round_even((hi - lo) * 255.0::DOUBLE / hi, 0) >= 18 END AND sqrt((255 - b) * (255 - b) + (255 - g) * (255 - g) + (255 - r) * (255 - r)) >= 20 AS colored, CAST(least(255, greatest(0, b * 0.25::DOUBLE + 255 * 0.75::DOUBLE)) AS DOUBLE) AS blended FROM (SELECT *, greatest(b, g, r) AS hi, least(b, g, r) AS lo FROM (SELECT p_partkey, p_partkey * 7 % 256 AS b, p_partkey * 13 % 256 AS g, p_size * 5 % 256 AS r FROM part) a) z".replace("CAST(least(255, greatest(0, b * 0.25::DOUBLE + 255 * 0.75::DOUBLE)) AS DOUBLE)", "CAST(floor(b * 0.25::DOUBLE + 255 * 0.75::DOUBLE) AS INT)"))
+def color_region_predicate(s, d):
+    k = F.col("p_partkey")
+    p = fx.read(s, d, "part").select("p_partkey", (k * 7 % 256).alias("b"), (k * 13 % 256).alias("g"), (F.col("p_size") * 5 % 256).alias("r"))
+    b = F.col("b")
+    return p.select("p_partkey", geom.color_region_predicate(b, F.col("g"), F.col("r")).alias("colored"), geom.alpha_composite(b, F.lit(255), F.lit(0.25)).alias("blended"))
+
+
+# ------------------------------------------------------------------ curation
+
+
+@query(
+    "match_pairs",
+    f"SELECT coalesce(a.stem, b.stem) AS stem, a.path AS image, b.path AS mask, CASE WHEN b.stem IS NULL THEN 'image_only' WHEN a.stem IS NULL THEN 'mask_only' ELSE 'pair' END AS side FROM (SELECT stem, max(path) AS path FROM {IMAGES} i GROUP BY stem) a FULL JOIN (SELECT stem, max(path) AS path FROM {MASKS} m GROUP BY stem) b ON a.stem = b.stem",
+)
+def match_pairs(s, d):
+    return cu.match_pairs(images(s, d), masks(s, d))
+
+
+PARTS_I = "(SELECT DISTINCT p_name AS stem, concat('images/', p_name, '.png') AS path FROM part)"
+PARTS_M = "(SELECT DISTINCT concat(p_name, '_', p_brand) AS stem, concat('masks/', p_name, '_', p_brand, '.png') AS path FROM part WHERE p_partkey % 25 = 0)"
+
+
+def part_names(s, d):
+    p = fx.read(s, d, "part")
+    i = p.select(F.col("p_name").alias("stem"), F.concat(F.lit("images/"), "p_name", F.lit(".png")).alias("path")).distinct()
+    stem = F.concat("p_name", F.lit("_"), "p_brand")
+    return i, p.filter("p_partkey % 25 = 0").select(stem.alias("stem"), F.concat(F.lit("masks/"), stem, F.lit(".png")).alias("path")).distinct()
+
+
+@query(
+    "match_tiered",
+    f"""WITH m AS (SELECT lower(regexp_extract(stem, '^(.*)_[^_]*$', 1)) AS k, count(*) AS c, min(path) AS mask FROM {PARTS_M} z GROUP BY 1 HAVING count(*) = 1)
+ SELECT i.stem, i.path, m.mask, CASE WHEN m.mask IS NOT NULL THEN 4 END AS tier FROM {PARTS_I} i LEFT JOIN m ON lower(i.stem) = m.k""",
+)
+def match_tiered(s, d):
+    return cu.match_tiered(*part_names(s, d))
+
+
+@query("import_plan", f"WITH m AS (SELECT lower(regexp_extract(stem, '^(.*)_[^_]*$', 1)) AS k, min(path) AS mask FROM {PARTS_M} z GROUP BY 1 HAVING count(*) = 1) SELECT CASE WHEN m.mask IS NULL THEN 'failed' ELSE 'copied' END AS action, count(*) AS n FROM {PARTS_I} i LEFT JOIN m ON lower(i.stem) = m.k GROUP BY 1")
+def import_plan(s, d):
+    i, m = part_names(s, d)
+    nothing = i.filter("false").select(F.col("path").alias("dest"))
+    return cu.import_plan(i, m, nothing).groupBy("action").agg(F.count("*").alias("n"))
+
+
+@query("match_longest_prefix", "SELECT concat(source, '_', doc_id) AS stem, source AS key FROM documents")
+def match_longest_prefix(s, d):
+    docs = fx.read(s, d, "documents")
+    return cu.match_longest_prefix(docs.select(F.concat_ws("_", "source", "doc_id").alias("stem")), docs.select(F.col("source").alias("key")).distinct())
+
+
+@query("missing_counterparts", f"SELECT stem, path, concat('masks/', stem, '.png') AS expected FROM {IMAGES} i WHERE stem NOT IN (SELECT stem FROM {MASKS} m)")
+def missing_counterparts(s, d):
+    return cu.missing_counterparts(images(s, d), masks(s, d), "masks")
+
+
+@query("plan_actions", f"SELECT i.stem AS dest, CASE WHEN i.stem LIKE '%9' THEN 'failed' WHEN i.stem IN (SELECT stem FROM {MASKS} m) THEN 'skipped_existing' ELSE 'copied' END AS action FROM {IMAGES} i")
+def plan_actions(s, d):
+    wanted = images(s, d).select(F.col("stem").alias("dest"), (~F.col("stem").endswith("9")).alias("ok"))
+    return cu.plan_actions(wanted, masks(s, d).select(F.col("stem").alias("dest"))).select("dest", "action")
+
+
+def split_lines(s, d):
+    """Lines of four forms, made from documents; an id's last line wins."""
+    i = F.col("doc_id").cast("string")
+    docs = fx.read(s, d, "documents")
+    forms = F.array(F.concat(F.lit("train: "), i), F.concat(i, F.lit(" val")), F.concat(F.lit("test,"), i), F.concat(F.lit("# "), i), F.lit(""))
+    lines = docs.select("doc_id", F.posexplode(F.slice(forms, 1, (F.col("doc_id") % 3 + 1).cast("int"))).alias("line_ord", "value"))
+    return lines.select(F.lit("lists.txt").alias("file"), F.lit(1).alias("file_ord"), "line_ord", "value")
+
+
+@query("split_assignments", "SELECT CAST(doc_id AS VARCHAR) AS id, CASE doc_id % 3 WHEN 0 THEN 'train' WHEN 1 THEN 'val' ELSE 'test' END AS split FROM documents")
+def split_assignments(s, d):
+    return cu.parse_split_assignments(split_lines(s, d))
+
+
+@query("assign_split", "SELECT CAST(doc_id AS VARCHAR) AS id, CASE doc_id % 6 WHEN 1 THEN 'val' WHEN 2 THEN 'test' ELSE 'train' END AS split FROM documents")
+def assign_split(s, d):
+    items = fx.read(s, d, "documents").select("doc_id", F.col("doc_id").cast("string").alias("id"))
+    some = cu.parse_split_assignments(split_lines(s, d)).filter(F.col("id").cast("bigint") % 6 < 3)
+    return cu.assign_split(items, some).select("id", "split")
+
+
+@query("exact_ratio_split", "WITH o AS (SELECT doc_id, row_number() OVER (ORDER BY md5(concat('42:', doc_id)), doc_id) - 1 AS k, count(*) OVER () AS n FROM documents) SELECT doc_id, CASE WHEN k >= n - CAST(floor(n * 0.1::DOUBLE) AS BIGINT) THEN 'test' WHEN k >= n - CAST(floor(n * 0.1::DOUBLE) AS BIGINT) - CAST(floor(n * 0.2::DOUBLE) AS BIGINT) THEN 'val' ELSE 'train' END AS split FROM o")
+def exact_ratio_split(s, d):
+    return cu.exact_ratio_split(fx.read(s, d, "documents").select("doc_id"), "doc_id", 0.2, 0.1)
+
+
+@query("group_split", "WITH o AS (SELECT source, row_number() OVER (ORDER BY md5(concat('42:', source)), source) - 1 AS k, count(*) OVER () AS n FROM (SELECT DISTINCT source FROM documents) g) SELECT d.doc_id, d.source, CASE WHEN k >= n - CAST(floor(n * 0.1::DOUBLE) AS BIGINT) THEN 'test' WHEN k >= n - CAST(floor(n * 0.1::DOUBLE) AS BIGINT) - CAST(floor(n * 0.2::DOUBLE) AS BIGINT) THEN 'val' ELSE 'train' END AS split FROM o JOIN documents d ON d.source = o.source")
+def group_split(s, d):
+    return cu.group_split(fx.read(s, d, "documents").select("doc_id", "source"), "source", 0.2, 0.1).select("doc_id", "source", "split")
+
+
+@query("limit_per_group", "SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents WHERE n_chars >= 200) z WHERE k <= 3")
+def limit_per_group(s, d):
+    docs = fx.read(s, d, "documents").select("doc_id", "source", "n_chars")
+    return cu.limit_per_group(docs, "source", "doc_id", 3, F.col("n_chars") >= 200).select("doc_id", "source")
+
+
+QUALITY = f"(SELECT image_id, count_if(gray > 127) AS white, count_if(gray > 5 AND gray < 250) AS grey, count(*) AS n, count(DISTINCT gray) AS kinds, bool_and(gray IN (0, 255)) AS exact FROM {GRID} g GROUP BY image_id)"
+
+
+@query("pair_quality", f"SELECT image_id, exact AS exact_binary, round(1 - grey / n, 4) AS binary_like_ratio, round(white / n, 4) AS white_ratio, kinds AS unique_value_count, round(1 - grey / n, 4) >= 0.99 AS binary_like FROM {QUALITY} q")
+def pair_quality(s, d):
+    q = cu.pair_quality(grid(s, d).select("image_id", F.col("gray").alias("v")))
+    return q.drop("unique_values_preview").withColumn("unique_value_count", F.col("unique_value_count").cast("bigint"))
+
+
+AUDIT = f"""(SELECT (SELECT count(*) FROM (SELECT DISTINCT stem FROM {IMAGES} i) a JOIN (SELECT DISTINCT stem FROM {MASKS} m) b ON a.stem = b.stem) AS pairs, (SELECT count(DISTINCT stem) FROM {IMAGES} i WHERE stem NOT IN (SELECT stem FROM {MASKS} m)) AS image_only, (SELECT count(DISTINCT stem) FROM {MASKS} m WHERE stem NOT IN (SELECT stem FROM {IMAGES} i)) AS mask_only,
+ (SELECT count(*) FROM {QUALITY} q) AS inspected, (SELECT count_if(exact) FROM {QUALITY} q) AS exact_binary, (SELECT count_if(round(1 - grey / n, 4) >= 0.99) FROM {QUALITY} q) AS binary_like, (SELECT count_if(round(1 - grey / n, 4) < 0.99 OR round(white / n, 4) <= 0.001 OR round(white / n, 4) >= 0.999) FROM {QUALITY} q) AS suspicious)"""
+
+
+def audit(s, d):
+    return cu.audit_dataset(cu.match_pairs(images(s, d), masks(s, d)), cu.pair_quality(grid(s, d).select("image_id", F.col("gray").alias("v"))))
+
+
+@query("audit_dataset", f"SELECT * FROM {AUDIT} z")
+def audit_dataset(s, d):
+    return audit(s, d)
+
+
+@query("readiness", f"SELECT pairs > 0 AS training_ready, pairs > 0 AND binary_like >= inspected AS quality_ready, CASE WHEN pairs = 0 THEN 'add pairs' WHEN mask_only + image_only > 0 THEN 'complete pairs' WHEN binary_like < inspected THEN 'clean masks' ELSE 'train' END AS next_step FROM {AUDIT} z")
+def readiness(s, d):
+    return cu.readiness(audit(s, d))
+
+
+@query("prepare_dataset", "SELECT concat(source, '_', doc_id) AS stem, source AS key, 'train' AS split FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY concat(source, '_', doc_id)) AS k FROM documents) z WHERE k <= 5")
+def prepare_dataset(s, d):
+    docs = fx.read(s, d, "documents")
+    nothing = cu.parse_split_assignments(split_lines(s, d)).filter("false")
+    return cu.prepare_dataset(docs.select(F.concat_ws("_", "source", "doc_id").alias("stem")), docs.select(F.col("source").alias("key")).distinct(), nothing, 5).select("stem", "key", "split")
+
+
+@query("curation_pipeline", f"SELECT *, pairs - CAST(floor(pairs * 0.1::DOUBLE) AS BIGINT) * 2 AS train, CAST(floor(pairs * 0.1::DOUBLE) AS BIGINT) AS val, CAST(floor(pairs * 0.1::DOUBLE) AS BIGINT) AS test FROM {AUDIT} z")
+def curation_pipeline(s, d):
+    return cu.curation_pipeline(images(s, d), masks(s, d), cu.pair_quality(grid(s, d).select("image_id", F.col("gray").alias("v"))))
+
+
+# ------------------------------------------------------------------ raster masks
+
+
+def on(s, d):
+    return grid(s, d).filter("is_on")
+
+
+TRUTH = "(SELECT label, min(vec_id) AS t FROM embeddings GROUP BY label)"
+
+
+def truth(s, d):
+    e = fx.read(s, d, "embeddings")
+    first = e.groupBy("label").agg(F.min("vec_id").alias("t"))
+    set_ = on(s, d).join(first, (F.col("image_id") == F.col("t"))).select(first["label"].alias("l"), "y", "x")
+    return e.select(F.col("vec_id").alias("image_id"), "label").join(set_, F.col("label") == F.col("l")).select("image_id", "y", "x")
+
+
+OVERLAP = f"(SELECT p.image_id, count_if(p.is_on AND q.is_on) AS tp, count_if(p.is_on AND NOT q.is_on) AS fp, count_if(NOT p.is_on AND q.is_on) AS fn FROM {GRID} p JOIN {TRUTH} t ON p.label = t.label JOIN {GRID} q ON q.image_id = t.t AND q.y = p.y AND q.x = p.x GROUP BY p.image_id)"
+
+
+@query("mask_overlap", f"SELECT image_id, tp, fp, fn, round(CASE WHEN tp + fp = 0 THEN 0 ELSE tp / (tp + fp) END, 4) AS precision, round(CASE WHEN tp + fn = 0 THEN 0 ELSE tp / (tp + fn) END, 4) AS recall, round(CASE WHEN tp + fp + fn = 0 THEN 0 ELSE 2 * tp / (2 * tp + fp + fn) END, 4) AS dice, round(CASE WHEN tp + fp + fn = 0 THEN 0 ELSE tp / (tp + fp + fn) END, 4) AS iou FROM {OVERLAP} o WHERE tp + fp + fn > 0")
+def mask_overlap(s, d):
+    return ra.mask_overlap(on(s, d), truth(s, d)).select("image_id", "tp", "fp", "fn", *(r(c) for c in ("precision", "recall", "dice", "iou")))
+
+
+def labelled(s, d):
+    return ra.connected_components(on(s, d))
+
+
+@query("connected_components")
+def connected_components(s, d):
+    return ra.component_stats(labelled(s, d))
+
+
+@query("drop_specks")
+def drop_specks(s, d):
+    l = labelled(s, d)
+    return ra.drop_specks(l, ra.component_stats(l), 3).groupBy("image_id").agg(F.count("*").alias("pixels"))
+
+
+@query("suppress_border_components")
+def suppress_border_components(s, d):
+    l = labelled(s, d)
+    return ra.suppress_border_components(l, ra.component_stats(l), 8, 8).groupBy("image_id").agg(F.count("*").alias("pixels"))
+
+
+@query("keep_structural_components")
+def keep_structural_components(s, d):
+    l = labelled(s, d)
+    return ra.keep_structural_components(l, ra.component_stats(l), 6, 3).groupBy("image_id").agg(F.count("*").alias("pixels"))
+
+
+def flags(s, d):
+    return ra.image_flags(ra.component_stats(labelled(s, d)), 8, 8)
+
+
+@query("image_flags")
+def image_flags(s, d):
+    return flags(s, d)
+
+
+@query("choose_strategy")
+def choose_strategy(s, d):
+    share = grid(s, d).groupBy("image_id").agg((F.count_if(F.col("gray") > 160) / F.count("*")).alias("color_ratio"))
+    axis = ra.axis_coverage(grid(s, d), 8, 6, 3)
+    return ra.choose_strategy(flags(s, d).join(share, "image_id").join(axis, "image_id")).select("image_id", "strategy")
+
+
+def measured(s, d):
+    l = labelled(s, d)
+    n = l.groupBy("image_id").agg(F.countDistinct("label").alias("num_paths"), (F.count("*") / 64).alias("pixel_ratio"))
+    return flags(s, d).join(n, "image_id")
+
+
+@query("fallback_reason")
+def fallback_reason(s, d):
+    return ra.fallback_reason(measured(s, d)).select("image_id", "num_paths", "fallback_reason")
+
+
+@query(
+    "otsu_threshold",
+    f"""WITH h AS (SELECT image_id, gray, count(*) AS n FROM {GRID} g GROUP BY image_id, gray), c AS (SELECT *, sum(n) OVER w AS w0, sum(n * gray) OVER w AS s0, sum(n) OVER p AS total, sum(n * gray) OVER p AS su FROM h WINDOW w AS (PARTITION BY image_id ORDER BY gray), p AS (PARTITION BY image_id)),
+ b AS (SELECT image_id, gray, CAST(s0 * total - su * w0 AS DOUBLE) * CAST(s0 * total - su * w0 AS DOUBLE) / (CAST(w0 AS DOUBLE) * CAST(total - w0 AS DOUBLE)) AS v FROM c WHERE w0 < total) SELECT image_id, gray AS threshold FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY v DESC, gray) AS k FROM b) z WHERE k = 1""",
+)
+def otsu_threshold(s, d):
+    return ra.otsu_threshold(grid(s, d))
+
+
+@query("binarize", f"SELECT image_id, count_if(CASE WHEN m >= 127.5 THEN gray < 130 ELSE gray > 130 END) AS line_pixels FROM (SELECT *, avg(gray) OVER (PARTITION BY image_id) AS m FROM {GRID} g) z GROUP BY image_id")
+def binarize(s, d):
+    return ra.binarize(grid(s, d), 130).groupBy("image_id").agg(F.count_if("is_line").alias("line_pixels"))
+
+
+def morph_sql(first: str, second: str) -> str:
+    return f"""WITH g AS (SELECT image_id, y, x, gray FROM {GRID} z), a AS (SELECT p.image_id, p.y, p.x, {first}(q.gray) AS v FROM g p JOIN g q ON p.image_id = q.image_id AND abs(p.y - q.y) <= 1 AND abs(p.x - q.x) <= 1 GROUP BY ALL),
+ b AS (SELECT p.image_id, p.y, p.x, {second}(q.v) AS v FROM a p JOIN a q ON p.image_id = q.image_id AND abs(p.y - q.y) <= 1 AND abs(p.x - q.x) <= 1 GROUP BY ALL) SELECT image_id, CAST(sum(v) AS BIGINT) AS total, CAST(max(v) AS INT) AS top FROM b GROUP BY image_id"""
+
+
+@query("morphology_open", morph_sql("min", "max"))
+def morphology_open(s, d):
+    return ra.morphology(grid(s, d), "open").groupBy("image_id").agg(F.sum("open").alias("total"), F.max("open").alias("top"))
+
+
+@query("morphology_close", morph_sql("max", "min"))
+def morphology_close(s, d):
+    return ra.morphology(grid(s, d), "close").groupBy("image_id").agg(F.sum("close").alias("total"), F.max("close").alias("top"))
+
+
+@query("axis_coverage")
+def axis_coverage(s, d):
+    return ra.axis_coverage(grid(s, d), 8, 6, 3)
+
+
+@query("elongated_centerlines")
+def elongated_centerlines(s, d):
+    return ra.elongated_centerlines(labelled(s, d), 4, 4, 2.0, 0.3).select("image_id", "label", *(r(c, 3) for c in ("x0", "y0", "x1", "y1")))
+
+
+@query("pixel_graph", f"WITH o AS (SELECT image_id, y, x FROM {GRID} g WHERE is_on) SELECT p.image_id, CAST(p.y AS BIGINT) AS y, CAST(p.x AS BIGINT) AS x, count(q.x) AS degree, count(q.x) NOT IN (0, 2) AS is_node FROM o p LEFT JOIN o q ON p.image_id = q.image_id AND abs(p.y - q.y) <= 1 AND abs(p.x - q.x) <= 1 AND (p.y <> q.y OR p.x <> q.x) GROUP BY p.image_id, p.y, p.x")
+def pixel_graph(s, d):
+    return ra.pixel_graph(on(s, d))
+
+
+@query("trace_graph_paths")
+def trace_graph_paths(s, d):
+    return ra.trace_graph_paths(on(s, d)).groupBy("image_id").agg(F.countDistinct("path_id").alias("num_paths"), F.count("*").alias("points"))
+
+
+@query("skeletonize")
+def skeletonize(s, d):
+    return ra.skeletonize(on(s, d)).groupBy("image_id").agg(F.count("*").alias("pixels"))
+
+
+@query("active_crop", f'SELECT image_id, greatest(0, min(x) - 8) AS "left", greatest(0, min(y) - 8) AS top, least(8, max(x) + 9) AS "right", least(8, max(y) + 9) AS bottom FROM {GRID} g WHERE is_on GROUP BY image_id')
+def active_crop(s, d):
+    return ra.active_crop(on(s, d), 8, 8)
+
+
+LOSS = f"(SELECT p.image_id, p.value AS l, CASE WHEN q.is_on THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS t, 1 / (1 + exp(-p.value)) AS p FROM {GRID} p JOIN {TRUTH} t ON p.label = t.label JOIN {GRID} q ON q.image_id = t.t AND q.y = p.y AND q.x = p.x)"
+
+
+@query("segmentation_loss", f"WITH g AS (SELECT image_id, 1 - (2 * sum(p * t) + 1e-6) / (sum(p) + sum(t) + 1e-6) AS dice, sum(greatest(l, 0) - l * t + ln(1 + exp(-abs(l)))) AS bce, count(*) AS n FROM {LOSS} z GROUP BY image_id) SELECT round(avg(dice), 6) AS dice_loss, round(sum(bce) / sum(n), 6) AS bce_loss FROM g")
+def segmentation_loss(s, d):
+    g = grid(s, d)
+    t = truth(s, d).withColumn("target", F.lit(1.0))
+    px = g.select("image_id", "y", "x", F.col("value").alias("logit")).join(t, ["image_id", "y", "x"], "left").withColumn("target", F.coalesce("target", F.lit(0.0)))
+    return ra.segmentation_loss(px).select(r("dice_loss", 6), r("bce_loss", 6))
+
+
+@query("probability_mask", f"SELECT image_id, count_if(1 / (1 + exp(-value)) >= 0.55) AS pixels FROM {GRID} g GROUP BY image_id")
+def probability_mask(s, d):
+    return grid(s, d).groupBy("image_id").agg(F.count_if(geom.probability_mask(F.col("value"), 0.55)).alias("pixels"))
+
+
+@query("mask_report")
+def mask_report(s, d):
+    return ra.mask_report(on(s, d), truth(s, d), measured(s, d))
+
+
+# ------------------------------------------------------------------ experiments
+
+
+@query("run_matrix", f"SELECT stem, m AS vision_mode, o AS path_ordering FROM (SELECT stem FROM {IMAGES} i) a CROSS JOIN (SELECT unnest(['classical', 'ml']) AS m) b CROSS JOIN (SELECT unnest(['nearest_neighbor', 'two_opt']) AS o) c")
+def run_matrix(s, d):
+    return ex.run_matrix(images(s, d).select("stem"), checkpoint=True)
+
+
+@query("attach_truth", f"SELECT i.stem, i.path, m.path AS mask_path FROM {IMAGES} i LEFT JOIN (SELECT stem, min(path) AS path FROM {MASKS} z GROUP BY stem) m ON i.stem = m.stem")
+def attach_truth(s, d):
+    return ex.attach_truth(images(s, d).select("stem", "path"), masks(s, d))
+
+
+@query("run_metrics")
+def run_metrics(s, d):
+    """A row for each drawing and ordering: commands, paths, ways, from one cleaned set of paths."""
+    clean = st.clean_paths(paths(s, d))
+    out = None
+    for method in ("nearest_neighbor", "two_opt"):
+        o = od.order_paths(clean, method).select("drawing_id", F.col("pos").alias("path_id"), "points")
+        m = st.plan_metrics(o).select("drawing_id", F.lit(method).alias("path_ordering"), "num_paths", r("pen_up_mm", 2), r("draw_mm", 2))
+        out = m if out is None else out.union(m)
+    return out
+
+
+@query("variant_aggregates", f"SELECT vision_mode, path_ordering, count(*) AS runs, round(avg(num_paths), 2) AS avg_paths, round(avg(num_commands), 2) AS avg_commands, round(avg(pen_up_distance_mm), 2) AS avg_pen_up_mm, round(avg(draw_distance_mm), 2) AS avg_draw_mm, round(avg(mask_dice), 4) AS avg_dice FROM {RUNS} r GROUP BY vision_mode, path_ordering")
+def variant_aggregates(s, d):
+    return ex.variant_aggregates(runs(s, d))
+
+
+PLANNING = f"(SELECT image, vision_mode, max(CASE WHEN path_ordering = 'nearest_neighbor' THEN pen_up_distance_mm END) AS base_mm, max(CASE WHEN path_ordering = 'two_opt' THEN pen_up_distance_mm END) AS improved_mm FROM {RUNS} r GROUP BY image, vision_mode HAVING count(DISTINCT path_ordering) = 2)"
+SAVED = "round(base_mm - improved_mm, 2) AS saved_mm, CASE WHEN base_mm = 0 THEN 0 ELSE round((base_mm - improved_mm) / base_mm * 100, 2) END AS saved_pct"
+
+
+@query("planning_comparison", f"SELECT image, vision_mode, base_mm, improved_mm, {SAVED} FROM {PLANNING} p")
+def planning_comparison(s, d):
+    return ex.planning_comparison(runs(s, d))
+
+
+VISION = f"(SELECT a.image, a.path_ordering, round(b.mask_dice - a.mask_dice, 4) AS dice_delta, b.num_commands - a.num_commands AS commands_delta, round(b.pen_up_distance_mm - a.pen_up_distance_mm, 2) AS pen_up_delta_mm FROM {RUNS} a JOIN {RUNS} b ON a.image = b.image AND a.path_ordering = b.path_ordering AND a.vision_mode = 'classical' AND b.vision_mode = 'ml')"
+
+
+@query("vision_comparison", f"SELECT * FROM {VISION} v")
+def vision_comparison(s, d):
+    return ex.vision_comparison(runs(s, d))
+
+
+@query("experiment_totals", f"SELECT count(*) AS run_count, count(DISTINCT image) AS image_count FROM {RUNS} r")
+def experiment_totals(s, d):
+    return ex.experiment_totals(runs(s, d))
+
+
+@query("planning_table", f"SELECT r.image, r.vision_mode, r.path_ordering, num_paths, num_commands, pen_up_distance_mm, saved_pct, CASE WHEN saved_pct IS NULL THEN 'no comparison' WHEN saved_pct > 0 THEN 'improved' WHEN saved_pct = 0 THEN 'same' ELSE 'worse' END AS observation FROM {RUNS} r LEFT JOIN (SELECT image, vision_mode, {SAVED} FROM {PLANNING} p) q ON r.image = q.image AND r.vision_mode = q.vision_mode")
+def planning_table(s, d):
+    return ex.planning_table(runs(s, d), ex.planning_comparison(runs(s, d)))
+
+
+@query("perception_table", f"SELECT r.image, r.path_ordering, r.vision_mode, num_commands, mask_dice, dice_delta, CASE WHEN mask_dice IS NULL THEN 'no truth' WHEN dice_delta IS NULL THEN 'single mode' WHEN dice_delta > 0 THEN 'ml better' ELSE 'classical better or equal' END AS observation FROM {RUNS} r LEFT JOIN {VISION} v ON r.image = v.image AND r.path_ordering = v.path_ordering WHERE r.path_ordering = 'two_opt'")
+def perception_table(s, d):
+    return ex.perception_table(runs(s, d), ex.vision_comparison(runs(s, d)))
+
+
+@query(
+    "highlights",
+    f"""SELECT (SELECT concat_ws('/', image, vision_mode, path_ordering) FROM {RUNS} r ORDER BY pen_up_distance_mm, image, vision_mode, path_ordering LIMIT 1) AS least_pen_up, (SELECT concat_ws('/', image, vision_mode, path_ordering) FROM {RUNS} r WHERE mask_dice IS NOT NULL ORDER BY mask_dice DESC, image, vision_mode, path_ordering LIMIT 1) AS best_dice,
+ (SELECT image FROM {VISION} v WHERE dice_delta IS NOT NULL ORDER BY dice_delta DESC, image, path_ordering LIMIT 1) AS best_dice_delta, (SELECT image FROM {PLANNING} p ORDER BY image, vision_mode LIMIT 1) AS first_planning, (SELECT image FROM {PLANNING} p ORDER BY round(base_mm - improved_mm, 2) DESC, image, vision_mode LIMIT 1) AS best_planning""",
+)
+def highlights(s, d):
+    x = runs(s, d)
+    return ex.highlights(x, ex.vision_comparison(x), ex.planning_comparison(x))
+
+
+@query("variant_delta", f"SELECT image, raw, cleaned, raw - cleaned AS saved, CASE WHEN raw = 0 THEN 0 ELSE round((raw - cleaned) / raw * 100, 2) END AS saved_pct FROM (SELECT image, CAST(sum(CASE WHEN vision_mode = 'classical' THEN num_commands END) AS BIGINT) AS raw, CAST(sum(CASE WHEN vision_mode = 'ml' THEN num_commands END) AS BIGINT) AS cleaned FROM {RUNS} r GROUP BY image) z WHERE raw IS NOT NULL AND cleaned IS NOT NULL")
+def variant_delta(s, d):
+    return ex.variant_delta(runs(s, d), "vision_mode", "classical", "ml")
+
+
+@query("calibration", f"SELECT device, count(*) AS n, round(10 * sum(measured) / sum(commanded), 6) AS mm_per_unit, round(sum(commanded) / sum(measured), 6) AS turn_scale FROM {OBS} o WHERE commanded > 0 AND measured > 0 GROUP BY device")
+def calibration(s, d):
+    return ex.calibration(observations(s, d)).select("device", "n", r("mm_per_unit", 6), r("turn_scale", 6))
+
+
+HISTORY = f"(SELECT *, coalesce(val_loss < min(val_loss) OVER (PARTITION BY run_id ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS is_best FROM {HIST} h)"
+
+
+@query("training_history", f"SELECT run_id, epoch, round(val_loss, 6) AS val_loss, is_best FROM {HISTORY} h")
+def training_history(s, d):
+    return ex.training_history(histories(s, d)).select("run_id", "epoch", r("val_loss", 6), "is_best")
+
+
+@query("run_summary", f"SELECT run_id, count(*) AS epochs, round(arg_max(train_loss, epoch), 6) AS last_train_loss, round(arg_max(val_loss, epoch), 6) AS last_val_loss, max(CASE WHEN is_best THEN epoch END) AS best_epoch, round(min(val_loss), 6) AS best_val_loss, round(count(*) / 60.0::DOUBLE * 100, 2) AS progress_pct, CASE WHEN count(*) >= 60 THEN 'completed' ELSE 'running' END AS status FROM {HISTORY} h GROUP BY run_id")
+def run_summary(s, d):
+    return ex.run_summary(histories(s, d), 60)
+
+
+@query("latest_run", "SELECT o_custkey AS device, max_by(o_orderkey, (o_orderdate, o_orderkey)) AS latest FROM orders GROUP BY o_custkey".replace("max_by(o_orderkey, (o_orderdate, o_orderkey))", "arg_max(o_orderkey, {'a': o_orderdate, 'b': o_orderkey})"))
+def latest_run(s, d):
+    o = fx.read(s, d, "orders").withColumnRenamed("o_custkey", "device")
+    return ex.latest_run(o, "device", "o_orderkey", "o_orderdate")
+
+
+@query("recommended_artifact", "SELECT min(p_name) AS name FROM part WHERE p_name = (SELECT max(p_name) FROM part)")
+def recommended_artifact(s, d):
+    p = fx.read(s, d, "part").select(F.col("p_name").alias("name"), F.col("p_name").alias("modified"))
+    return ex.recommended_artifact(p, ["line_net_best.pt"])
+
+
+HISTOGRAM = f"(SELECT session_id, cmd, count(*) AS n, list_position(['START', 'PEN_UP', 'PEN_DOWN', 'MOVE', 'END', 'PING'], cmd) AS k FROM {SESS} z GROUP BY session_id, cmd)"
+
+
+@query("command_histogram", f"SELECT session_id, string_agg(concat(cmd, '=', n), ', ' ORDER BY k) AS summary FROM {HISTOGRAM} h GROUP BY session_id")
+def command_histogram(s, d):
+    return ex.command_histogram(sessions(s, d))
+
+
+# ------------------------------------------------------------------ command streams, files, generators
+
+
+@query("session_wrap", f"SELECT session_id, CAST(seq AS BIGINT) AS seq, cmd FROM {SESS} z UNION ALL SELECT session_id, -2, 'PING' FROM (SELECT DISTINCT session_id FROM {SESS} z) a UNION ALL SELECT session_id, -1, 'START' FROM (SELECT DISTINCT session_id FROM {SESS} z) a UNION ALL SELECT session_id, max(seq) + 1, 'END' FROM {SESS} z GROUP BY session_id")
+def session_wrap(s, d):
+    return sc.session_wrap(sessions(s, d)).select("session_id", "seq", "cmd")
+
+
+@query("pose_tracker")
+def pose_tracker(s, d):
+    p = sc.pose_batch(sc.session_wrap(sessions(s, d)))
+    return p.select("session_id", "seq", "cmd", r("px", 3), r("py", 3), r("heading", 3), "pen_down", r("turn", 3), "lift", r("straight", 2))
+
+
+@query("quarantine", "SELECT k AS error_kind, count(*) AS n FROM (SELECT CASE event_id % 6 WHEN 0 THEN 'bad json' WHEN 1 THEN 'not an object' WHEN 2 THEN 'missing cmd' WHEN 3 THEN 'unknown cmd' WHEN 4 THEN 'too long' END AS k FROM events) z GROUP BY k")
+def quarantine(s, d):
+    bad = F.array(F.lit("{"), F.lit("[]"), F.lit('{"x":1}'), F.lit('{"cmd":"SPIN"}'), F.concat(F.lit('{"cmd":"'), F.repeat(F.lit("M"), 9000), F.lit('"}')), F.lit('{"cmd":"MOVE","x":1,"y":2}'))
+    lines = fx.read(s, d, "events").select(F.get(bad, (F.col("event_id") % 6).cast("int")).alias("value"))
+    return sc.quarantine(lines).groupBy("error_kind").agg(F.count("*").alias("n"))
+
+
+@query("command_lines", f"SELECT session_id, CAST(seq AS BIGINT) AS seq, CASE WHEN cmd = 'MOVE' THEN printf('MOVE %.2f %.2f 35.00', floor(x), y) ELSE cmd END AS line FROM {SESS} z")
+def command_lines(s, d):
+    rows = sessions(s, d).withColumn("x", F.floor("x").cast("double"))
+    return files.command_lines(rows).select("session_id", F.col("seq").cast("bigint").alias("seq"), "line")
+
+
+@query("parse_command_lines", f"SELECT session_id, CAST(seq AS BIGINT) AS seq, cmd, CASE WHEN cmd = 'MOVE' THEN floor(x) END AS x, y, CASE WHEN cmd = 'MOVE' AND seq % 10 = 0 THEN 'bad MOVE' END AS error FROM {SESS} z".replace("CASE WHEN cmd = 'MOVE' THEN floor(x) END AS x, y", "CASE WHEN cmd = 'MOVE' AND seq % 10 <> 0 THEN floor(x) END AS x, CASE WHEN seq % 10 <> 0 THEN y END AS y"))
+def parse_command_lines(s, d):
+    rows = files.command_lines(sessions(s, d).withColumn("x", F.floor("x").cast("double")))
+    lines = rows.select("session_id", F.col("seq").cast("bigint").alias("seq"), F.when((F.col("cmd") == "MOVE") & (F.col("seq") % 10 == 0), F.concat("line", F.lit(" 1"))).otherwise(F.col("line")).alias("value"))
+    return files.parse_command_lines(lines).select("session_id", "seq", "cmd", "x", "y", "error")
+
+
+@query("scorecard", f"SELECT image, vision_mode, path_ordering, num_paths, num_commands, pen_up_distance_mm, draw_distance_mm, '' AS line_quality, '' AS shape_match, '' AS travel, '' AS notes FROM {RUNS} r")
+def scorecard(s, d):
+    return files.scorecard(runs(s, d))
+
+
+@query("run_summary_documents")
+def run_summary_documents(s, d):
+    p = paths(s, d)
+    return files.run_summary_json(p, st.plan_metrics(p))
+
+
+@query("manifest_documents", "SELECT source AS split, count(*) AS pair_count FROM documents GROUP BY source")
+def manifest_documents(s, d):
+    p = fx.read(s, d, "documents").select(F.col("source").alias("split"), F.col("doc_id").cast("string").alias("stem"), F.lit("i").alias("image"), F.lit("m").alias("mask"))
+    doc = files.manifest_documents(p)
+    return doc.select("split", F.get_json_object("document", "$.pair_count").cast("bigint").alias("pair_count"))
+
+
+@query("calibration_patterns", "SELECT s_suppkey AS device, p AS pattern, n FROM supplier CROSS JOIN (SELECT unnest(['line', 'square', 'pen_gaps', 'ruler']) AS p, unnest([5, 8, 25, 15]) AS n) z")
+def calibration_patterns(s, d):
+    dev = fx.read(s, d, "supplier").select(F.col("s_suppkey").alias("device"), F.lit(20.0).alias("x"), F.lit(20.0).alias("y"), F.lit(100.0).alias("size"))
+    return ge.calibration_patterns(dev).groupBy("device", "pattern").agg(F.count("*").cast("int").alias("n"))
+
+
+@query("regular_polygon", "SELECT p_partkey, i, CAST(round_even(100 + 50 * cos(i * 2 * pi() / n), 0) AS INT) AS x, CAST(round_even(100 + 50 * sin(i * 2 * pi() / n), 0) AS INT) AS y FROM (SELECT p_partkey, p_size % 5 + 3 AS n, unnest(range(p_size % 5 + 3)) AS i FROM part) z")
+def regular_polygon(s, d):
+    p = fx.read(s, d, "part").select("p_partkey", (F.col("p_size") % 5 + 3).cast("int").alias("n"))
+    poly = ge.regular_polygon(F.lit(100.0), F.lit(100.0), F.lit(50.0), F.col("n"), F.lit(0.0))
+    return p.select("p_partkey", F.posexplode(poly).alias("i", "v")).select("p_partkey", F.col("i").cast("bigint").alias("i"), "v.x", "v.y")
+
+
+@query("sample_plan", "SELECT count(*) AS n, count(DISTINCT k) AS kinds FROM (SELECT doc_id AS k FROM documents WHERE doc_id % 3 = 0) z")
+def sample_plan(s, d):
+    docs = fx.read(s, d, "documents")
+    n = docs.count()
+    have = docs.filter("doc_id % 3 <> 0").select(F.format_string("s_%05d", "doc_id").alias("stem"))
+    return ge.sample_plan(s, n, "s", have).agg(F.count("*").alias("n"), F.countDistinct("stem").alias("kinds"))
 
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return dict(ORACLE)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    return QUERIES["drawing_pipeline"](spark, sf_dir)
