@@ -14,9 +14,12 @@ HEADS = ("PEN_UP", "PEN_DOWN", "START", "END", "PING")
 def scan_images(spark: SparkSession, folder: str, recursive: bool = False) -> DataFrame:
     """(path, length, stem) of the image files; contents aren't read; a missing folder is empty."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path):
         return spark.createDataFrame([], "path string, length bigint, stem string")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(folder if recursive else f"{folder}/*")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    if not recursive:
+        files = files.filter(F.regexp_extract("path", r"^(.*)/[^/]*$", 1) == fs.makeQualified(path).toString())
     kept = files.filter(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(*SUFFIXES))
     return kept.select("path", "length", F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1).alias("stem"))
 
