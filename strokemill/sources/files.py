@@ -19,7 +19,8 @@ def scan_images(spark: SparkSession, folder: str, recursive: bool = False) -> Da
         return spark.createDataFrame([], "path string, length bigint, stem string")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     if not recursive:
-        files = files.filter(F.regexp_extract("path", r"^(.*)/[^/]*$", 1) == fs.makeQualified(path).toString())
+        one_slash = lambda c: F.regexp_replace(c, r"^(\w+):/+", "$1:/")
+        files = files.filter(one_slash(F.regexp_extract("path", r"^(.*)/[^/]*$", 1)) == one_slash(F.lit(fs.makeQualified(path).toString())))
     kept = files.filter(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(*SUFFIXES))
     return kept.select("path", "length", F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1).alias("stem"))
 
