@@ -12,7 +12,7 @@ HEADS = ("PEN_UP", "PEN_DOWN", "START", "END", "PING")
 
 
 def scan_images(spark: SparkSession, folder: str, recursive: bool = False) -> DataFrame:
-    """(path, length, stem) of the image files; contents aren't read; a missing folder is empty."""
+    """(path, length, stem) of the image files; contents aren't read; a missing folder is empty, and Spark passes over files of no bytes."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
     if not fs.exists(path):

@@ -122,6 +122,6 @@ def test_files_round_trip(spark, tmp_path):
     files.write_manifest(pairs, str(tmp_path / "m"))
     assert sorted(map(tuple, files.read_manifest(spark, str(tmp_path / "m")).select("split", "stem", "image", "mask").collect())) == sorted(map(tuple, pairs.collect()))
     for n in ("x.PNG", "y.jpeg", "z.txt"):
-        (tmp_path / n).write_text("")
+        (tmp_path / n).write_text("some bytes")
     assert sorted(r.stem for r in files.scan_images(spark, str(tmp_path)).collect()) == ["x", "y"]
     assert files.scan_images(spark, str(tmp_path / "none")).count() == 0
