@@ -39,8 +39,9 @@ def with_signatures(df: DataFrame, text: str, out: str, anchors: tuple = ANCHORS
     df = df.withColumn("_a", F.filter(F.transform("_w", lambda w, i: F.when(anchor(w), i)), lambda i: i.isNotNull()))
     df = df.withColumn("_c", F.filter("_w", lambda w: ~anchor(w)))
     # before the j-th anchor, at place p, stand p - j content words
-    spots = F.filter(F.transform("_a", lambda p, j: F.struct(F.get("_w", p).alias("a"), F.slice("_c", p - j + 1, chain).alias("c"))), lambda s: F.size(s["c"]) > 0)
-    df = df.withColumn("_s", F.array_sort(F.array_distinct(F.transform(spots, lambda s: F.xxhash64(s["a"], s["c"])))))
+    after = lambda p, j: [F.get("_c", p - j + i) for i in range(chain)]
+    hashed = F.transform("_a", lambda p, j: F.when(F.get("_c", p - j).isNotNull(), F.xxhash64(F.get("_w", p), *after(p, j))))
+    df = df.withColumn("_s", F.sort_array(F.array_distinct(F.array_compact(hashed))))
     whole = F.when(F.size("_w") > 0, F.array(F.xxhash64("_w"))).otherwise(F.array().cast("array<bigint>"))
     return df.withColumn(out, F.when(F.size("_s") > 0, F.col("_s")).otherwise(whole)).drop("_w", "_a", "_c", "_s")
 
