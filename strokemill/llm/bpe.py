@@ -36,9 +36,9 @@ from .common import per_text, read
 from .langid import Table
 
 #: Distinct pieces that a task remembers before it starts its memory anew.
-REMEMBERED = 400_000
+REMEMBERED = 120_000
 #: Bytes of text whose pieces are gathered before merges are replayed.
-GATHERED = 32 << 20
+GATHERED = 8 << 20
 
 
 def load_ranks(path: str) -> list[bytes]:
@@ -135,9 +135,9 @@ class Bpe:
         self.byte = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
         get = self.ranks.get
         #: every pair of tokens that makes a token, and the id of that token
-        self.merged = {a << 32 | b: i for t, i in self.ranks.items() for k in range(1, len(t)) if (a := get(t[:k])) is not None and (b := get(t[k:])) is not None}
-        pairs = np.fromiter(self.merged, np.uint64, len(self.merged))
-        self.table = PairTable(pairs, np.fromiter(self.merged.values(), np.int64, len(pairs)))
+        merged = ((a << 32 | b, i) for t, i in self.ranks.items() for k in range(1, len(t)) if (a := get(t[:k])) is not None and (b := get(t[k:])) is not None)
+        pairs = np.fromiter(itertools.chain.from_iterable(merged), np.uint64).reshape(-1, 2)
+        self.table = PairTable(pairs[:, 0].copy(), pairs[:, 1].astype(np.int64))
         self.forget()
 
         sizes = np.fromiter(map(len, self.tokens), np.int64, len(self.tokens))
@@ -149,7 +149,7 @@ class Bpe:
         self.flat_at, self.flat_len = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def merge_of(self, pair: int) -> int:
-        return self.merged.get(pair, -1)
+        return self.ranks.get(self.tokens[pair >> 32] + self.tokens[pair & 0xFFFFFFFF], -1)
 
     def one_by_one(self, piece: bytes) -> list[int]:
         """Lowest rank first, leftmost first, one merge at a time."""
@@ -173,7 +173,7 @@ class Bpe:
     def _mergeable(self, pairs: np.ndarray) -> np.ndarray:
         """Ids that the pairs merge to, -1 if none."""
         if len(pairs) < 40:
-            return np.array([self.merged.get(p, -1) for p in pairs.tolist()], np.int64)
+            return np.array([self.merge_of(p) for p in pairs.tolist()], np.int64)
         return self.table.find(pairs.view(np.uint64))
 
     def replay(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:

@@ -7,6 +7,8 @@ re-read, never a recomputation of the whole lineage.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -17,6 +19,8 @@ from pyspark.sql import functions as F
 
 #: A side of a join is broadcast only if its measured size stays below this.
 BROADCAST_BYTES = 32 << 20
+#: Rows of an Arrow batch, at most.
+BATCH_ROWS = 2000
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -72,7 +76,15 @@ def pick_sample(df: DataFrame, by: str, rows: int, seed: int = 17) -> list:
     return own.groupBy("doc_id").agg(F.min(F.struct("text", by)).alias("_")).select("doc_id", "_.*").orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").collect()
 
 
-def pieces(batches: Iterator[pa.RecordBatch], chars: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+def give_back() -> None:
+    """Return freed memory of this worker to the system: workers live longer than tasks."""
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def pieces(batches: Iterator[pa.RecordBatch], chars: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     """Cut batches so that a piece holds about ``chars`` bytes at most (or one row)."""
     for batch in batches:
         n = batch.num_rows
@@ -81,12 +93,21 @@ def pieces(batches: Iterator[pa.RecordBatch], chars: int = 4_000_000) -> Iterato
             yield batch.slice(at, step)
 
 
-def per_text(df: DataFrame, schema: str, make: Callable, *args, chars: int = 4_000_000) -> DataFrame:
-    """Run ``make(*args)`` once in each task; what it returns maps piece after piece."""
+def per_text(df: DataFrame, schema: str, make: Callable, *args, chars: int = 1_000_000) -> DataFrame:
+    """Run ``make(*args)`` once in each task; what it returns maps piece after piece.
+
+    Arrow batches are kept to ``BATCH_ROWS`` rows, so that a worker holds few texts at a
+    time, and what a task has freed goes back to the system when it ends.
+    """
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
     def run(batches):
+        pa.set_memory_pool(pa.system_memory_pool())
         work = make(*args)
         for piece in pieces(batches, chars):
             yield work(piece)
+        give_back()
 
     return df.mapInArrow(run, schema)
