@@ -38,7 +38,7 @@ from .langid import Table
 #: Distinct pieces that a task remembers before it starts its memory anew.
 REMEMBERED = 120_000
 #: Bytes of text whose pieces are gathered before merges are replayed.
-GATHERED = 8 << 20
+GATHERED = 2 << 20
 
 
 def load_ranks(path: str) -> list[bytes]:
