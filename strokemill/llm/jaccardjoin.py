@@ -144,15 +144,16 @@ def unfolder(n: int):
     return work
 
 
-def components(pairs: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, component): the smallest node of each component of the links (a, b).
+def components(pairs: DataFrame) -> DataFrame:
+    """(node, component): the smallest node of each component of the links (a, b), which are written tables.
 
     In each round every node takes the smallest label of its neighbours, then the label
-    of its label; each round is written, so lost executors cost one round at most.
+    of its label, until no label moves; each round is written, so lost executors cost one
+    round at most.
     """
-    both = materialize(pairs.select("a", "b").union(pairs.select(F.col("b"), F.col("a"))).distinct(), "links")
+    both = pairs.select("a", "b").union(pairs.select(F.col("b"), F.col("a")))
     labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
-    for _ in range(rounds):
+    while True:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         step = labels.join(near, "node").select("node", F.least("label", "near").alias("mid"), "label")
         jump = labels.select(F.col("node").alias("mid"), F.col("label").alias("far"))
@@ -206,7 +207,7 @@ def join_groups(docs: DataFrame, n: int = N, num: int = NUM, den: int = DEN) ->
         most = F.least(F.col(f"{a}.most"), F.col(f"{b}.most"))
         return (den + num) * most >= num * (F.col(f"{a}.n") + F.col(f"{b}.n"))
 
-    links, tried = None, None
+    links, tried, groups = None, None, None
     placed = members.withColumn("component", F.col("class"))
     for turn in range(ROUNDS):
         # the leader of a key: the set with the fewest n-grams of its own, another one in each turn
@@ -233,7 +234,9 @@ def join_groups(docs: DataFrame, n: int = N, num: int = NUM, den: int = DEN) ->
     near = (den + num) * apart <= (den - num) * (F.col("x.n") + F.col("y.n"))
     rest = open_.join(other, "key").filter((F.col("x.class") < F.col("y.class")) & (F.col("x.component") != F.col("y.component")) & possible("x", "y") & near).select(F.col("x.class").alias("a"), F.col("y.class").alias("b")).distinct()
     rest = materialize(rest.join(tried, ["a", "b"], "left_anti"), "other-pairs")
-    groups = components(links.union(linked(rest, parts, num, den)))
+    new = materialize(linked(rest, parts, num, den), "other-links")
+    if groups is None or new.limit(1).count():
+        groups = components(links.union(new))
     # classes to documents
     named = full.select("doc_id", "class").join(groups.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     smallest = materialize(named.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("c")).filter("c > 1").select("component", "component_id"), "components")
