@@ -14,13 +14,15 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side of a join is broadcast only if its measured size stays below this.
 BROADCAST_BYTES = 32 << 20
 #: Rows of an Arrow batch, at most.
 BATCH_ROWS = 2000
+#: Ranges of hashes by which a sample is cut to its bound.
+SHARES = 4096
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -59,18 +61,38 @@ def fold(doc_id: Column, of: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % of
 
 
+def pick_ids(df: DataFrame, by: str, rows: int, seed: int = 17) -> DataFrame:
+    """(doc_id, ``by``): at most ``rows`` ids for each value of ``by``, chosen by a hash of the id.
+
+    Nothing is ranked: a value with n rows keeps the ids whose hash lies in the lowest
+    part 2 * rows / n of all hashes, these fall into ``SHARES`` equal ranges, and whole
+    ranges are taken from below while their ids sum to ``rows`` at most. So no task
+    gathers a value, and the choice depends on ids alone. Only counts by value and range
+    go to the driver. Rows with a null take no part; an id that occurs more than once
+    counts once.
+    """
+    known = materialize(df.filter(f"doc_id IS NOT NULL AND `{by}` IS NOT NULL").select("doc_id", by), "sample-known")
+    sizes = materialize(known.groupBy(by).agg(F.count("*").alias("_n")), "sample-sizes")
+    place = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    share = F.floor(place * F.greatest(F.lit(1.0), F.col("_n") / (2.0 * rows)) * SHARES)
+    near = materialize(join_checked(known, sizes, by, "inner", 64).withColumn("_share", share).filter(F.col("_share") < SHARES).select("doc_id", by, "_share").distinct(), "sample-ids")
+    taken: dict = {}
+    for value, at, n in sorted(near.groupBy(by, "_share").count().collect(), key=lambda r: r["_share"]):
+        total, cut, full = taken.get(value, (0, -1, False))
+        full = full or total + n > rows
+        taken[value] = (total, cut, full) if full else (total + n, at, full)
+    cuts = df.sparkSession.createDataFrame([(v, int(cut)) for v, (_, cut, _) in taken.items()], near.select(by, F.col("_share").alias("_cut")).schema)
+    return join_checked(near, cuts, by, "inner", 64, len(taken)).filter("_share <= _cut").select("doc_id", by)
+
+
 def pick_sample(df: DataFrame, by: str, rows: int, seed: int = 17) -> list:
-    """At most ``rows`` rows (doc_id, text, ``by``) for each value of ``by``, chosen by a hash of the id.
+    """At most ``rows`` rows (doc_id, text, ``by``) for each value of ``by``, see ``pick_ids``.
 
-    The choice depends on ids alone, so it is stable. Ids are ranked first, without
-    their texts, and ranks are limited before the shuffle, so no value of ``by`` is ever
-    gathered whole; then the texts of the chosen ids are fetched. An id that occurs
-    more than once counts once. The result is bounded by ``rows`` times the number of
-    values of ``by`` and goes to the driver.
+    The texts of the chosen ids are fetched afterwards; the result is bounded by ``rows``
+    times the number of values of ``by`` and goes to the driver.
     """
     df = df.filter(f"doc_id IS NOT NULL AND text IS NOT NULL AND `{by}` IS NOT NULL")
-    rank = F.row_number().over(Window.partitionBy(by).orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id"))
-    ids = df.select("doc_id", by).withColumn("_rank", rank).filter(F.col("_rank") <= rows).select("doc_id").distinct()
+    ids = pick_ids(df, by, rows, seed).select("doc_id").distinct()
     chosen = df.sparkSession.createDataFrame(ids.collect(), ids.schema)
     own = df.select("doc_id", "text", by).join(F.broadcast(chosen), "doc_id", "left_semi")
     return own.groupBy("doc_id").agg(F.min(F.struct("text", by)).alias("_")).select("doc_id", "_.*").orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").collect()

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, join_checked, per_text, pick_sample, read
+from .common import fold, join_checked, per_text, pick_ids, pick_sample, read
 
 BITS = 20
 SKIPS = (1, 2)
@@ -154,12 +154,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
     held = fold(F.col("doc_id"), 5) == 0
     known = labels.filter(~held).filter("toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rank_by = known.withColumn("_h", F.xxhash64("doc_id", F.lit(17)))
     # ids first: a bounded choice of labelled rows, then their texts
-    from pyspark.sql import Window
-
-    rank = F.row_number().over(Window.partitionBy("toxic").orderBy("_h", "doc_id"))
-    some = rank_by.withColumn("_r", rank).filter(F.col("_r") <= SAMPLE_PER_LABEL).select("doc_id", "toxic")
+    some = pick_ids(known, "toxic", SAMPLE_PER_LABEL)
     model = train(join_checked(docs.select("doc_id", "text"), some, "doc_id", "inner", 40))
     out = toxicity(docs.select("doc_id", "text"), model)
     score = F.col("toxicity")

@@ -311,3 +311,18 @@ def test_pipeline(spark):
     out = corpus_pipeline.run(spark, DATA).collect()
     docs = {r.doc_id for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
     assert {r.doc_id for r in out} <= docs and len({r.doc_id for r in out}) > 0.8 * len(docs)
+
+
+def test_sample_of_ids_is_bounded_and_whole_where_small(spark):
+    from strokemill.llm.common import pick_ids
+
+    rows = [(i, "big") for i in range(5000)] + [(i, "small") for i in range(5000, 5040)] + [(7, "big"), (None, "big"), (9, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, v string")
+    got = [(r.doc_id, r.v) for r in pick_ids(df, "v", 300).collect()]
+    assert len(got) == len(set(got))
+    big = [i for i, v in got if v == "big"]
+    assert 280 <= len(big) <= 300
+    assert sorted(i for i, v in got if v == "small") == list(range(5000, 5040))
+    again = pick_ids(df.repartition(7), "v", 300).collect()
+    assert sorted(got) == sorted((r.doc_id, r.v) for r in again)
+    assert pick_ids(df.limit(0), "v", 300).count() == 0
