@@ -149,17 +149,24 @@ def span_features(text: str, a: int, b: int) -> list[str] | None:
     return out
 
 
+def tokens(text: str, a: int, b: int) -> tuple[list[int], list[int]]:
+    """Where the tokens of a zone begin and end, and for each token the next one (or itself) that is a cue."""
+    cuts = [a, *(a + m.end() for m in TOKEN.finditer(text[a:b]))]
+    n = len(cuts) - 1
+    ahead = [n] * (n + 1)
+    for i in range(n - 1, -1, -1):
+        token = text[cuts[i] : cuts[i + 1]]
+        ahead[i] = i if token == "at" or CUE.search(token) else ahead[i + 1]
+    return cuts, ahead
+
+
 class Lattice:
     """Candidate segments of a zone: (first token, last token + 1, features)."""
 
     def __init__(self, text: str, a: int, b: int):
-        self.cuts = [a, *(a + m.end() for m in TOKEN.finditer(text[a:b]))]
+        self.cuts, ahead = tokens(text, a, b)
         self.n = len(self.cuts) - 1
-        cue = [bool(CUE.search(text[self.cuts[i] : self.cuts[i + 1]])) or text[self.cuts[i] : self.cuts[i + 1]] == "at" for i in range(self.n)]
         self.segments = []
-        ahead = [self.n] * (self.n + 1)
-        for i in range(self.n - 1, -1, -1):
-            ahead[i] = i if cue[i] else ahead[i + 1]
         for i in range(self.n):
             for j in range(ahead[i] + 1, min(self.n, i + MAX_TOKENS) + 1):
                 f = span_features(text, self.cuts[i], self.cuts[j])
@@ -175,29 +182,6 @@ class Lattice:
                 out[k] = w[rows].sum(axis=0)
         return out
 
-    def best(self, scores: np.ndarray) -> tuple[float, list[tuple[int, int, int]]]:
-        """Highest-scoring segmentation; tokens outside score 0."""
-        value, back = [0.0] * (self.n + 1), [None] * (self.n + 1)
-        ends: list[list[int]] = [[] for _ in range(self.n + 1)]
-        for k, (_, j, _) in enumerate(self.segments):
-            ends[j].append(k)
-        for j in range(1, self.n + 1):
-            value[j] = value[j - 1]
-            for k in ends[j]:
-                kind = int(scores[k].argmax())
-                if (v := value[self.segments[k][0]] + scores[k, kind]) > value[j]:
-                    value[j], back[j] = v, (k, kind)
-        found, j = [], self.n
-        while j > 0:
-            if back[j] is None:
-                j -= 1
-            else:
-                k, kind = back[j]
-                i = self.segments[k][0]
-                found.append((self.cuts[i], self.cuts[j], kind))
-                j = i
-        return value[self.n], found[::-1]
-
     def marginals(self, scores: np.ndarray) -> np.ndarray:
         """Probability of each segment and kind (forward and backward)."""
         fore, rear = [0.0] + [-math.inf] * self.n, [-math.inf] * self.n + [0.0]
@@ -215,6 +199,38 @@ class Lattice:
         return np.exp(np.minimum(0, scores + around[:, None]))
 
 
+def decode(text: str, a: int, b: int, index: dict[str, int], w: np.ndarray) -> tuple[float, list[tuple[int, int, int]]]:
+    """Highest-scoring segmentation of a zone; tokens outside score 0.
+
+    Segments are scored as the programme comes to their first token and are then
+    forgotten, so memory grows with the tokens of a zone, not with its segments.
+    """
+    cuts, ahead = tokens(text, a, b)
+    n = len(cuts) - 1
+    value, back = [-math.inf] * (n + 1), [None] * (n + 1)
+    value[0] = 0.0
+    for i in range(n + 1):
+        if i and value[i - 1] >= value[i]:
+            value[i], back[i] = value[i - 1], None
+        for j in range(ahead[i] + 1, min(n, i + MAX_TOKENS) + 1):
+            f = span_features(text, cuts[i], cuts[j])
+            if f is None:
+                continue
+            scores = w[[index[x] for x in f if x in index]].sum(axis=0)
+            kind = int(scores.argmax())
+            if (v := value[i] + scores[kind]) > value[j]:
+                value[j], back[j] = v, (i, kind)
+    found, j = [], n
+    while j > 0:
+        if back[j] is None:
+            j -= 1
+        else:
+            i, kind = back[j]
+            found.append((cuts[i], cuts[j], kind))
+            j = i
+    return value[n], found[::-1]
+
+
 def rewritten(text: str, spans: list[tuple[int, int, int]], rng: random.Random) -> tuple[str, list[tuple[int, int, int]]]:
     """The text with its spans written in other ways, and where they are then."""
     out, at, found, size = [], 0, [], 0
@@ -282,11 +298,9 @@ def find(text: str | None, model) -> tuple[list[tuple[int, int, int]], list[tupl
     index, w = model
     added = []
     for a, b in zones(text, base) if index else ():
-        lattice = Lattice(text, a, b)
-        if lattice.segments:
-            value, spans = lattice.best(lattice.weigh(index, w))
-            if value >= MARGIN:
-                added += spans
+        value, spans = decode(text, a, b, index, w)
+        if value >= MARGIN:
+            added += spans
     if added:
         taken = sorted(base)
         begins, reach = [s[0] for s in taken], list(itertools.accumulate((s[1] for s in taken), max))
