@@ -11,8 +11,8 @@ scored exactly, in double precision, on the original vectors.
 The codebook is learned from a bounded sample (``SAMPLE`` vectors); every vector is
 indexed. Equal vectors are one class, of which only the smallest ``k + 1`` ids can be
 among the k nearest, so hot vectors stay small. Queries and index go through the search
-in blocks: a task holds one block of queries and streams the blocks of the index, and
-keeps k + 1 results for each query.
+in blocks: a task holds one block of queries and streams a group of index blocks (about
+``GROUP`` vectors), and keeps k + 1 results for each query; the best of all groups stay.
 
 Defined cases: vectors that are null, zero, hold null or non-finite components, or are of
 another length than most vectors (ties: the longer) take no part; the query's own id is
@@ -38,6 +38,8 @@ SWEEPS = 6
 #: Vectors of a block that are scored exactly for each query.
 RERANK = 100
 QUERY_BLOCK, INDEX_BLOCK = 512, 8192
+#: Vectors of the index that one task scans for one block of queries, about.
+GROUP = 16 * INDEX_BLOCK
 
 
 def parts(x: np.ndarray) -> np.ndarray:
@@ -176,9 +178,11 @@ def nearest(vectors: DataFrame, is_query, k: int = 20) -> DataFrame:
     asked = queries.select("class", "embedding").dropDuplicates(["class"])
     blocks = materialize(asked.coalesce(1 + asked.count() // 20_000).mapInArrow(query_packer, "query_ids binary, query_vectors binary").withColumn("block", F.xxhash64("query_ids")), "query-blocks")
     index = materialize(classes.select("class", "embedding").mapInArrow(indexer(book), "ids binary, vectors binary, codes binary"), "index")
-    # every block of the index goes to every block of queries; a task streams them
-    copies = index.crossJoin(blocks.select("block"))
-    met = copies.repartition("block").join(blocks, "block").select("query_ids", "query_vectors", "ids", "vectors", "codes")
+    # every block of the index goes to every block of queries; a task streams one group of index blocks past one block of queries
+    groups = 1 + classes.count() // GROUP
+    copies = index.withColumn("group", F.pmod(F.xxhash64("ids"), F.lit(groups))).crossJoin(blocks.select("block"))
+    asking = blocks.withColumn("group", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(groups - 1).cast("bigint"))))
+    met = copies.repartition("block", "group").join(asking, ["block", "group"]).select("query_ids", "query_vectors", "ids", "vectors", "codes")
     found = materialize(met.mapInArrow(scanner(book, k), "query_class bigint, class bigint, score double"), "found")
     # a block of queries may have been met by more than one task
     top = found.withColumn("_r", F.row_number().over(Window.partitionBy("query_class").orderBy(F.desc("score"), "class"))).filter(F.col("_r") <= k + 1).drop("_r")
