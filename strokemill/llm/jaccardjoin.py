@@ -8,8 +8,9 @@ each fragment.
    ``(1-t)/(1+t) * (|x|+|y|)`` n-grams. If the order is cut into more fragments than
    that, at least one fragment has the same part in both sets, so each part becomes one
    key (its digest). Fragment counts depend on the size class of a set; a set that may be
-   linked to a smaller class also gets the keys of that class. Empty parts are no keys,
-   unless so many parts of a set are empty that the guarantee would need them.
+   linked to a smaller class also gets the keys of that class. Empty parts are no keys:
+   a set with so many of them that the guarantee would need them also gets the keys of
+   another order, so two such sets meet there.
 2. *Suspects.* Only sets that share a key with a different set go on, with all their
    n-grams. N-grams that occur in one suspect only can't overlap with anything: a set
    with too many of them can't reach t, and in a pair they bound the overlap. This is an
@@ -42,10 +43,14 @@ from pyspark.sql import functions as F
 from .common import join_checked, materialize, per_text, read
 
 N, NUM, DEN = 3, 90, 100
+#: The pipeline's rule for near copies: words in an n-gram, and likeness.
+STAGE_N, STAGE_NUM, STAGE_DEN = 5, 80, 100
 #: Upper end of a size class is this times its lower end.
 STEP = 1.5
-#: Fragments beyond what the bound asks for: how many parts may be empty.
+#: Fragments beyond what the bound asks for, at least: how many parts may be empty.
 SLACK = 2
+#: Orders that are tried until a set has few empty parts.
+ORDERS = 8
 #: Parts into which the order is cut to count overlaps.
 COUNTED = 8
 #: 64-bit words of the bitmap that bounds how far two sets differ.
@@ -73,8 +78,18 @@ def shingles(text: str | None, n: int = N) -> np.ndarray:
     return np.unique(total)
 
 
-def classes(num: int, den: int, most: int = 1 << 31) -> tuple[np.ndarray, np.ndarray]:
-    """Lower ends of the size classes, and the fragments of each."""
+def slack(low: int, k: int) -> int:
+    """Parts that may be empty in sets of ``low`` n-grams or more: few sets have more empty ones."""
+    if not k:
+        return 0
+    tried = SLACK + np.unique(np.linspace(0, k // 6, 200).astype(int))
+    empty = (k + 1 + tried) * np.exp(-low / (k + 1 + tried))
+    enough = empty + 2 * np.sqrt(empty) <= tried
+    return int(tried[enough.argmax()] if enough.any() else tried[-1])
+
+
+def classes(num: int, den: int, most: int = 1 << 31) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lower ends of the size classes, the n-grams in which linked sets of each may differ, and the slack of each."""
     lows, low = [], 1
     while low < most:
         lows.append(low)
@@ -82,36 +97,44 @@ def classes(num: int, den: int, most: int = 1 << 31) -> tuple[np.ndarray, np.nda
     highs = [*[x - 1 for x in lows[1:]], most]
     # |x| <= high, |y| <= |x|/t: differing n-grams at most (1-t)/(1+t)*(|x|+|y|)
     bound = [((den - num) * (h + h * den // num)) // (den + num) for h in highs]
-    return np.array(lows), np.array(bound)
+    return np.array(lows), np.array(bound), np.array([slack(*x) for x in zip(lows, bound, strict=True)])
 
 
-def keys_of(s: np.ndarray, lows: np.ndarray, bound: np.ndarray, num: int, den: int) -> np.ndarray:
+def keys_of(s: np.ndarray, lows: np.ndarray, bound: np.ndarray, slacks: np.ndarray, num: int, den: int) -> np.ndarray:
     """Keys of a set: digests of its parts, for its class and the classes below that it may be linked to."""
     n = len(s)
     own = int(np.searchsorted(lows, n, "right")) - 1
     levels = [own]
     while levels[-1] and (lows[levels[-1]] - 1) * den >= num * n:
         levels.append(levels[-1] - 1)
-    out, body = [], mixed(s)
+    out, orders = [], [(s, mixed(s))]
     for c in levels:
         k = int(bound[c])
-        parts = k + 1 + (SLACK if k else 0)
-        at = ((s >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-        begins = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-        own_parts = at[begins]
-        digest = np.add.reduceat(body, begins)
-        sizes = np.diff(np.append(begins, n)).astype(np.uint64)
-        if parts - len(begins) >= parts - k:
-            # too many empty parts to do without them
-            empty = np.setdiff1d(np.arange(parts, dtype=np.uint64), own_parts)
-            own_parts = np.concatenate((own_parts, empty))
-            digest, sizes = (np.concatenate((x, np.zeros(len(empty), np.uint64))) for x in (digest, sizes))
-        out.append(mixed(digest + sizes * B + (own_parts + np.uint64(c << 40)) * C))
+        parts = k + 1 + int(slacks[c])
+        for turn in range(ORDERS):
+            if turn == len(orders):
+                again = np.sort(mixed(s + np.uint64(turn << 32)))
+                orders.append((again, mixed(again)))
+            placed, body = orders[turn]
+            at = ((placed >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+            begins = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+            own_parts = at[begins]
+            digest = np.add.reduceat(body, begins)
+            sizes = np.diff(np.append(begins, n)).astype(np.uint64)
+            few = parts - len(begins) < parts - k
+            if not few and turn == ORDERS - 1:
+                # too many empty parts in every order to do without them
+                empty = np.setdiff1d(np.arange(parts, dtype=np.uint64), own_parts)
+                own_parts = np.concatenate((own_parts, empty))
+                digest, sizes = (np.concatenate((x, np.zeros(len(empty), np.uint64))) for x in (digest, sizes))
+            out.append(mixed(digest + sizes * B + (own_parts + np.uint64((c << 40) + (turn << 36))) * C))
+            if few:
+                break
     return np.concatenate(out)
 
 
 def sketcher(n: int, num: int, den: int):
-    lows, bound = classes(num, den)
+    lows, bound, slacks = classes(num, den)
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         sizes, digests, keys = [], [], []
@@ -119,7 +142,7 @@ def sketcher(n: int, num: int, den: int):
             s = shingles(t, n)
             sizes.append(len(s))
             digests.append(int(np.add.reduce(mixed(s ^ A)).view(np.int64)) if len(s) else None)
-            keys.append(keys_of(s, lows, bound, num, den) if len(s) else np.zeros(0, np.uint64))
+            keys.append(keys_of(s, lows, bound, slacks, num, den) if len(s) else np.zeros(0, np.uint64))
         offsets = np.concatenate(([0], np.cumsum([len(k) for k in keys]))).astype(np.int32)
         flat = pa.array(np.concatenate([*keys, np.zeros(0, np.uint64)]).view(np.int64))
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), flat)], names=["doc_id", "n_shingles", "class", "keys"])
@@ -251,6 +274,6 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline: of each group of near copies the document with the smallest id stays."""
-    groups = materialize(join_groups(docs), "groups")
+    groups = materialize(join_groups(docs, STAGE_N, STAGE_NUM, STAGE_DEN), "groups")
     gone = materialize(groups.filter("doc_id <> component_id").select("doc_id").distinct(), "gone")
     return join_checked(docs, gone, "doc_id", "left_anti", 40)

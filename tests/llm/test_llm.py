@@ -194,6 +194,58 @@ def test_join_is_brute_force(spark):
     assert got == {i: (len(sets[i]), find(i)) for i in sets}
 
 
+def test_stage_is_brute_force_at_five_words_and_four_fifths(spark):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(3000)]
+    rows = []
+    for _ in range(40):
+        base = rng.choices(words, k=rng.choice([3, 6, 30, 120, 400]))
+        rows.append(" ".join(base))
+        for share in (0.01, 0.02, 0.04, 0.08, 0.1, 0.13):
+            copy, n, at = list(base), max(1, int(share * len(base))), rng.randrange(len(base))
+            if rng.random() < 0.5:
+                copy[at : at + n] = rng.choices(words, k=n)
+            else:
+                for _ in range(n // 4):
+                    copy[rng.randrange(len(copy))] = rng.choice(words)
+            rows.append(" ".join(copy))
+    rows = list(enumerate(rows))
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} or {tuple(w)} for i, w in ((i, t.split()) for i, t in rows)}
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a in sets:
+        for b in sets:
+            if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    got = jaccardjoin.stage(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), DATA)
+    assert {r.doc_id for r in got.collect()} == {i for i in sets if find(i) == i}
+
+
+def test_linked_sets_share_a_key_that_is_not_of_empty_parts():
+    rng = np.random.default_rng(4)
+    for num in (80, 90):
+        args = jaccardjoin.classes(num, 100)
+        strange, pairs = [], 0
+        for n in (4, 8, 11, 30, 60, 95, 150, 700, 2000):
+            for _ in range(60):
+                x = np.unique(rng.integers(0, 1 << 64, n, np.uint64))
+                d = (100 - num) * 2 * n // (100 + num)
+                y = np.unique(np.concatenate((x[: n - d // 2], rng.integers(0, 1 << 64, d // 2, np.uint64))))
+                z = np.unique(rng.integers(0, 1 << 64, n, np.uint64))
+                a, b, c = (jaccardjoin.keys_of(s, *args, num, 100) for s in (x, y, z))
+                if 100 * len(np.intersect1d(x, y)) >= num * len(np.union1d(x, y)):
+                    pairs += 1
+                    assert len(np.intersect1d(a, b))
+                strange.append(len(np.intersect1d(a, c)))
+        assert pairs > 300 and not any(strange)
+
+
 def test_join_awkward(spark, awkward):
     got = jaccardjoin.join_groups(awkward).collect()
     assert len(got) == len(AWKWARD) and {r.component_id for r in got if r.doc_id == 4} == {4}
