@@ -12,8 +12,11 @@ content. Pages that are copies of the wrapper page don't vote.
 
 From a page its template nodes are cut, and so are regions that name themselves as no
 content (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles,
-reader comments). If the page marks its article (``article``, ``main``, ``role=main``,
-``itemprop=articleBody``), only that remains.
+reader comments) by their tag, by a whole class token or by their whole id or role; the
+last three say nothing of ``html``, ``body`` and what lies inside a marked article. If
+the page marks its article (``article``, ``main``, ``role=main``,
+``itemprop=articleBody``), only that remains. If the only marked articles lie in such
+regions, these regions stay, with any text outside of them.
 
 Defined cases: null or empty html gives the empty text; pages without a host share the
 host ""; a host with fewer than ``MIN_VOTES`` voting pages has no template; unclosed and
@@ -45,7 +48,6 @@ TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)(?:([^>"']*(?:(?:"
 #: Attributes that say what a node is.
 TELLING = re.compile(r"class|id\s*=|role|itemprop|hidden", re.I)
 ATTR = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
-WORDS = re.compile(r"[a-z0-9]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe xmp".split())
 BLOCK = frozenset("address article aside blockquote body br center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul".split())
@@ -56,25 +58,27 @@ STOPS = frozenset("table ul ol dl article section div body html select main nav
 NO_CONTENT = frozenset("script style noscript template iframe textarea title head header nav footer aside form button select svg canvas object dialog menu".split())
 NO_CONTENT_WORDS = frozenset("ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments contentinfo cookie cookies consent copyright disclaimer disqus footer header menu modal nav navbar navigation newsletter notice notices pagination popup promo promotion related search share sharing sidebar skip social sponsor sponsored subscribe toolbar widget".split())
 MAIN = frozenset(("article", "main"))
+ROOTS = frozenset(("html", "body"))
 
 
 @lru_cache(10_000)
-def nature(tag: str, attrs: str) -> tuple[str, bool, bool]:
-    """Kind (tag and class), whether it marks the article, whether it is no content."""
+def nature(tag: str, attrs: str) -> tuple[str, bool, bool, bool]:
+    """Kind (tag and class), whether it marks the article, whether it is no content, whether only its names say so."""
     given = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTR.finditer(attrs)}
-    words = set(WORDS.findall(f"{given.get('class', '')} {given.get('id', '')} {given.get('role', '')}".lower()))
+    names = {*given.get("class", "").lower().split(), given.get("id", "").strip().lower(), *given.get("role", "").lower().split()}
     main = tag in MAIN or given.get("role", "").lower() in MAIN or given.get("itemprop", "").lower() == "articlebody"
-    out = not main and (tag in NO_CONTENT or bool(words & NO_CONTENT_WORDS) or bool(re.search(r"(?i)(?:^|\s)hidden(?:\s|=|$)", attrs)) or given.get("aria-hidden") == "true")
-    return f"{tag}.{'.'.join(sorted(given['class'].split()))}" if given.get("class") else tag, main, out
+    sure = not main and tag not in ROOTS and (tag in NO_CONTENT or bool(re.search(r"(?i)(?:^|\s)hidden(?:\s|=|$)", attrs)) or given.get("aria-hidden") == "true")
+    named = not main and tag not in ROOTS and not sure and bool(names & NO_CONTENT_WORDS)
+    return f"{tag}.{'.'.join(sorted(given['class'].split()))}" if given.get("class") else tag, main, sure or named, named
 
 
 class Node:
-    __slots__ = ("children", "kids", "main", "out", "tag")
+    __slots__ = ("children", "kids", "main", "named", "out", "tag")
 
     def __init__(self, tag: str, attrs: str = ""):
         self.tag = tag
         self.children: list[Node | str | None] = []  # None: a break between blocks
-        self.kids, self.main, self.out = nature(tag, attrs if attrs and TELLING.search(attrs) else "")
+        self.kids, self.main, self.out, self.named = nature(tag, attrs if attrs and TELLING.search(attrs) else "")
 
 
 def parse(page: str) -> Node:
@@ -208,32 +212,60 @@ def match(page: Merged, wrapper: list, pairs: list) -> int:
     return total
 
 
+def cut(x: Node, inside: bool) -> bool:
+    """Whether a node is no content; ``inside`` a marked article its names don't tell."""
+    return x.out and not (inside and (x.named or x.tag == "header"))
+
+
+def holders(root: Node) -> set[int]:
+    """ids of the nodes that would be cut but hold a marked article, if every marked article lies in one of these."""
+    found, only = set(), True
+    # (node, nodes above that would be cut)
+    stack: list = [(root, ())]
+    while stack:
+        x, above = stack.pop()
+        if x.main:
+            only = only and bool(above)
+            found.update(above)
+            continue
+        above = (*above, id(x)) if x.out else above
+        stack.extend((c, above) for c in x.children if isinstance(c, Node))
+    return found if only else set()
+
+
 def extract(page: str | None, template: frozenset) -> str:
     """The text of a page without template nodes and regions that are no content."""
     if not page:
         return ""
     root = parse(page)
-    marked, everything = [], []
-    # depth first, in page order: (node, path, inside a marked article)
-    stack: list = [(root, "", False)]
+    held = holders(root)
+    marked, everything, outside = [], [], []
+    # depth first, in page order: (node, path, inside a marked article, inside a region that stays for its article)
+    stack: list = [(root, "", False, False)]
     while stack:
-        x, path, inside = stack.pop()
+        x, path, inside, region = stack.pop()
         if not isinstance(x, Node):
             everything.append(x)
             if inside:
                 marked.append(x)
+            elif not region:
+                outside.append(x)
             continue
-        if x.out and not (x.tag == "header" and inside):
+        if id(x) in held:
+            region = True
+        elif cut(x, inside):
             continue
         inside = inside or x.main
         own = path in template
         for c in reversed(x.children):
             if isinstance(c, Node):
-                stack.append((c, f"{path}/{c.kids}", inside))
+                stack.append((c, f"{path}/{c.kids}", inside, region))
             elif not own or c is None:
-                stack.append((c, path, inside))
+                stack.append((c, path, inside, region))
         if x.main:
-            stack.append((None, path, True))
+            stack.append((None, path, True, region))
+    if held and text_of(outside):
+        return text_of(everything)
     return text_of(marked) or text_of(everything)
 
 

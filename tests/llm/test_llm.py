@@ -348,6 +348,22 @@ def test_main_text(spark):
     assert got[3].startswith("Title 3 First & bold 3 word Second3 line")
 
 
+def test_names_that_only_contain_a_word_cut_nothing():
+    none = frozenset()
+    for page_ in (
+        "<body class='has-sidebar'><div id=page class=no-sidebar><p>Text</p></div></body>",
+        "<body class='menu'><p>Text</body>",
+        "<form class=search><main><p>Text</main></form>",
+        "<article>Text</article><aside><article>other</article></aside>",
+        "<p>Text<div class='box sidebar'>no</div><div role=search>no</div><div id=comments>no</div>",
+        "<nav>no</nav><div class='ad box'>no</div><article>Text<script>no</script><form>no</form></article>",
+    ):
+        assert htmlmain.extract(page_, none) == "Text", page_
+    for name in ("article-header", "entry-header", "header"):
+        assert htmlmain.extract(f"<article><div class='{name}'><h1>Title</h1></div><p>Text</article>", none) == "Title Text"
+    assert htmlmain.extract("<p>Body text<aside><article>teaser</article></aside>", none) == "Body text teaser"
+
+
 def test_constant_nodes_are_template(spark):
     rows = [(i, "http://a.example/x", f"<div class=top>Same everywhere</div><div class=body>Text number {i} of many {i * i}</div>") for i in range(8)]
     got = {r.page_id: r.text for r in htmlmain.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
