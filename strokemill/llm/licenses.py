@@ -7,7 +7,10 @@ out) and, for the class ``unknown``, from a bounded sample of paragraphs of the
 (``SAMPLE`` at most) that no template covers. Of both, every fifth is held out, and the
 probability that a family needs is calibrated on these: above what any held-out unknown
 paragraph gets. A prediction counts only if the paragraph is then covered by a template
-of that family: at least ``COVER`` of its word pairs are the template's.
+of that family: at least ``COVER`` of its word pairs are the template's. A line that says
+more than its license is looked at in windows of the templates' lengths: where at least
+``COVER`` of a template's pairs are in the line, the window that has most of them is
+classified like a paragraph. Of windows that overlap the best one counts.
 
 Only paragraphs with one of the templates' cue words are looked at: a paragraph without
 any can't be covered by a template.
@@ -83,6 +86,25 @@ def covers(spark: SparkSession) -> DataFrame:
     return featured(template_rows(spark)).select("family", F.col("pairs").alias("known"))
 
 
+def windows(lines: DataFrame) -> DataFrame:
+    """Columns of ``lines`` and, as paragraph, the windows in which a template is found; ``line`` is the whole line."""
+    known = featured(template_rows(lines.sparkSession)).select(F.col("pairs").alias("known"), F.size("w").alias("length"))
+    own = lines.withColumn("w", words(F.col("paragraph"))).withColumn("all", grams(F.col("w"), 2))
+    least = COVER * F.size("known")
+    met = own.join(F.broadcast(known), (F.size("w") > F.col("length")) & (F.size(F.array_intersect("all", "known")) >= least))
+    starts = F.filter(F.sequence(F.lit(0), F.size("all") - 1), lambda i: F.array_contains("known", F.get("all", i)))
+    share = lambda i: F.size(F.array_intersect(F.slice("all", i + 1, F.col("length") - 1), "known")) / F.size("known")
+    best = F.array_max(F.transform(starts, lambda i: F.struct(share(i).alias("share"), F.col("length").alias("length"), (-i).alias("back"))))
+    found = met.withColumn("best", best).filter(F.col("best.share") >= COVER)
+    # of windows that overlap the best one, at most one for each template
+    sorted_ = F.sort_array(F.collect_set("best"), asc=False)
+    clear = lambda kept, x: F.forall(kept, lambda y: (-x.back >= -y.back + y.length) | (-y.back >= -x.back + x.length))
+    kept = F.aggregate("found", F.slice("found", 1, 1), lambda a, x: F.when(clear(a, x), F.concat(a, F.array(x))).otherwise(a))
+    each = found.groupBy(*lines.columns).agg(sorted_.alias("found"), F.first("w").alias("w")).withColumn("one", F.explode(kept))
+    piece = F.array_join(F.slice("w", 1 - F.col("one.back"), F.col("one.length")), " ")
+    return each.select(*[c for c in lines.columns if c != "paragraph"], F.col("paragraph").alias("line"), piece.alias("paragraph"))
+
+
 def train(docs: DataFrame):
     """(model, labels, needed probability)."""
     spark = docs.sparkSession
@@ -127,8 +149,16 @@ def scan(docs: DataFrame, trained=None) -> DataFrame:
     """(doc_id, n_licenses, families, best_probability) of each doc_id."""
     trained = trained or train(docs)
     lines = paragraphs(docs.select("doc_id", "text")).groupBy("doc_id", "paragraph").agg(F.count("*").alias("times"))
-    found = classify(lines, trained).groupBy("doc_id", "paragraph", "times").agg(F.max_by("family", F.struct("cover", "family")).alias("family"), F.max("probability").alias("probability"))
-    by_doc = found.groupBy("doc_id").agg(F.sum("times").alias("n"), F.array_join(F.array_sort(F.collect_set("family")), ",").alias("families"), F.max("probability").alias("best"))
+    lines = materialize(lines, "license-lines").withColumn("line", F.col("paragraph"))
+    whole = classify(lines, trained).select("doc_id", "line", "times", F.lit(1).alias("whole"), "family", "cover", "probability")
+    part = classify(windows(lines.drop("line")), trained).select("doc_id", "line", "times", F.lit(0).alias("whole"), "family", "cover", "probability", "paragraph")
+    # a template's family for each window; a line that is a license as a whole has one family
+    part = part.groupBy("doc_id", "line", "times", "whole", "paragraph").agg(F.max_by("family", F.struct("cover", "family")).alias("family"), F.max("probability").alias("probability")).drop("paragraph")
+    whole = whole.groupBy("doc_id", "line", "times", "whole").agg(F.max_by("family", F.struct("cover", "family")).alias("family"), F.max("probability").alias("probability"))
+    said = whole.unionByName(part).groupBy("doc_id", "line", "times").agg(F.max("whole").alias("w"), F.collect_list(F.struct("whole", "family", "probability")).alias("s"))
+    found = said.withColumn("s", F.filter("s", lambda x: x.whole == F.col("w")))
+    families = F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list("s.family")))), ",")
+    by_doc = found.groupBy("doc_id").agg(F.sum("times").alias("n"), families.alias("families"), F.max(F.array_max("s.probability")).alias("best"))
     ids = docs.select("doc_id").distinct()
     return ids.join(by_doc, ids.doc_id.eqNullSafe(by_doc.doc_id), "left").select(ids.doc_id, F.coalesce("n", F.lit(0)).cast("bigint").alias("n_licenses"), F.coalesce("families", F.lit("")).alias("families"), F.coalesce("best", F.lit(0.0)).alias("best_probability"))
 

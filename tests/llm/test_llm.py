@@ -328,6 +328,23 @@ def test_licenses(spark):
         assert got[r.doc_id][1] == ",".join(own), (r.doc_id, own, got[r.doc_id])
 
 
+def test_licenses_in_longer_lines(spark):
+    grant = 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:'
+    filler = " ".join(f"the river {i} of the valley goes under the bridge in version {i}" for i in range(60))
+    rows = [
+        (1, "Copyright 2020 Foo Inc. Licensed under the MIT License. See LICENSE for details.", "mit"),
+        (2, grant, "mit"),
+        (3, f"{filler}. Licensed under the Apache License, Version 2.0. {filler}", "apache"),
+        (4, f"{filler} Licensed under CC BY-NC 4.0. {filler} This work is licensed under the GNU General Public License, version 3. {filler}", "cc-by-nc,gpl"),
+        (5, f"{filler} a license to the software is not what we sell, and the copyright of the text is ours {filler}", ""),
+        (6, "Released under the MIT License.", "mit"),
+    ]
+    given = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
+    trained = licenses.train(given)
+    got = {r.doc_id: (r.n_licenses, r.families) for r in licenses.scan(spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string"), trained).collect()}
+    assert got == {i: (int(bool(f)), f) for i, _, f in rows}
+
+
 def test_templates_have_cues():
     cue = re.compile(licenses.CUES)
     assert all(cue.search(t) for own in licenses.TEMPLATES.values() for t in own if "apache.org" not in t and "SOFTWARE IS PROVIDED" not in t)
