@@ -1,7 +1,7 @@
 """Order of a drawing's paths: greedy nearest neighbour, and two-opt on top of it.
 
-A drawing is one task's work; drawings with more than ``limit`` paths would make a task too
-long, so they keep their given order and say so in ``ordered``.
+A drawing is one task's work, however many paths it has (``ordered`` is always true). Large
+drawings find their next path over a grid; a pass of two-opt looks at all pairs of paths.
 """
 
 from __future__ import annotations
@@ -13,8 +13,16 @@ from pyspark.sql import DataFrame
 SCHEMA = "drawing_id bigint, path_id bigint, pos bigint, flipped boolean, ordered boolean, points array<struct<x:double,y:double>>"
 
 
-def nearest(heads: np.ndarray, tails: np.ndarray, start: np.ndarray) -> tuple[list[int], list[bool]]:
+#: From so many paths on the next one is found over a grid; the result is the same.
+GRID = 500
+#: Rings of cells that are looked at before all paths that are left.
+RINGS = 6
+
+
+def nearest(heads: np.ndarray, tails: np.ndarray, start: np.ndarray, grid: int = GRID) -> tuple[list[int], list[bool]]:
     """Nearer end of the unused paths; the earliest path and the forward direction win ties."""
+    if len(heads) >= grid and np.isfinite(heads).all() and np.isfinite(tails).all() and np.isfinite(start).all():
+        return nearest_by_grid(heads, tails, start)
     here, left, order, flips = start, np.ones(len(heads), bool), [], []
     for _ in range(len(heads)):
         both = np.stack([np.hypot(*(heads - here).T), np.hypot(*(tails - here).T)], 1)
@@ -27,6 +35,53 @@ def nearest(heads: np.ndarray, tails: np.ndarray, start: np.ndarray) -> tuple[li
     return order, flips
 
 
+def nearest_by_grid(heads: np.ndarray, tails: np.ndarray, start: np.ndarray) -> tuple[list[int], list[bool]]:
+    """The same order: rings of cells around the place, until no end outside of them can be as near."""
+    ends = np.stack([heads, tails], 1).reshape(-1, 2)
+    left, here, order, flips = np.ones(len(heads), bool), start, [], []
+    planned = 0
+    for done in range(len(heads)):
+        if len(heads) - done <= planned // 2 or not done:
+            # a new grid, as cells grow empty
+            planned = len(heads) - done
+            alive = np.flatnonzero(np.repeat(left, 2))
+            low = ends[alive].min(0)
+            side = float((ends[alive].max(0) - low).max()) / np.sqrt(len(alive))
+            if side < 1e-9:
+                side = 1.0
+            cells: dict[tuple[int, int], list[int]] = {}
+            for e, (x, y) in zip(alive.tolist(), np.floor((ends[alive] - low) / side).astype(int).tolist(), strict=True):
+                cells.setdefault((x, y), []).append(e)
+        x, y = (int(v) for v in np.floor((here - low) / side))
+        best, found = np.inf, -1
+        for r in range(RINGS + 1):
+            if r == RINGS:
+                alive = alive[left[alive // 2]]
+                near = alive
+            else:
+                ring = [(x + i, y + j) for i in range(-r, r + 1) for j in (range(-r, r + 1) if abs(i) == r else (-r, r))]
+                near = []
+                for c in ring:
+                    if (own := cells.get(c)) is not None:
+                        own[:] = [e for e in own if left[e // 2]]
+                        near.extend(own)
+                near = np.array(sorted(near), int)
+            if len(near):
+                d = np.hypot(*(ends[near] - here).T)
+                k = int(d.argmin())
+                if (d[k], near[k]) < (best, found):
+                    best, found = float(d[k]), int(near[k])
+            # a little less than r cells, for rounding
+            if found >= 0 and best < (r - 0.001) * side:
+                break
+        i, flip = divmod(found, 2)
+        order.append(i)
+        flips.append(bool(flip))
+        left[i] = False
+        here = heads[i] if flip else tails[i]
+    return order, flips
+
+
 def two_opt(a: np.ndarray, b: np.ndarray, start: np.ndarray, passes: int, gain: float) -> tuple[np.ndarray, np.ndarray]:
     """Order and flips that lower the pen-up way by reversing stretches; the end stays open.
 
@@ -41,9 +96,11 @@ def two_opt(a: np.ndarray, b: np.ndarray, start: np.ndarray, passes: int, gain:
             j = np.arange(i + 1, n)
             old = np.hypot(*(a[i] - ends[i])) + np.r_[np.hypot(*(a[j[:-1] + 1] - b[j[:-1]]).T), 0.0]
             new = np.hypot(*(b[j] - ends[i]).T) + np.r_[np.hypot(*(a[j[:-1] + 1] - a[i]).T), 0.0]
-            for k in np.flatnonzero(old - new > best + gain):
-                if old[k] - new[k] > best + gain:
-                    best, at = old[k] - new[k], (i, int(j[k]))
+            less = old - new
+            more = np.flatnonzero(less > best + gain)
+            while len(more):
+                best, at = less[more[0]], (i, int(j[more[0]]))
+                more = more[1:][less[more[1:]] > best + gain]
         if at is None:
             break
         s = slice(at[0], at[1] + 1)
@@ -52,16 +109,15 @@ def two_opt(a: np.ndarray, b: np.ndarray, start: np.ndarray, passes: int, gain:
     return order, flip
 
 
-def order_paths(paths: DataFrame, method: str = "nearest_neighbor", start: tuple[float, float] = (0.0, 0.0), passes: int = 8, gain: float = 0.01, limit: int = 2000) -> DataFrame:
+def order_paths(paths: DataFrame, method: str = "nearest_neighbor", start: tuple[float, float] = (0.0, 0.0), passes: int = 8, gain: float = 0.01) -> DataFrame:
     """(drawing_id, path_id, pos, flipped, ordered, points) by ``nearest_neighbor`` or ``two_opt``; empty paths go."""
     if method not in ("nearest_neighbor", "two_opt"):
         raise ValueError(f"unknown ordering: {method}")
 
     def run(df: pd.DataFrame) -> pd.DataFrame:
         df = df[[p is not None and len(p) > 0 for p in df["points"]]].sort_values("path_id").reset_index(drop=True)
-        fine = len(df) <= limit
         order, flips = list(range(len(df))), [False] * len(df)
-        if fine and len(df):
+        if len(df):
             heads = np.array([(p[0]["x"], p[0]["y"]) for p in df["points"]])
             tails = np.array([(p[-1]["x"], p[-1]["y"]) for p in df["points"]])
             order, flips = nearest(heads, tails, np.array(start))
@@ -70,7 +126,7 @@ def order_paths(paths: DataFrame, method: str = "nearest_neighbor", start: tuple
                 more, turn = two_opt(np.where(f, tails[order], heads[order]), np.where(f, heads[order], tails[order]), np.array(start), passes, gain)
                 order, flips = [order[i] for i in more], [bool(flips[i] ^ t) for i, t in zip(more, turn, strict=True)]
         out = df.iloc[order].copy()
-        out["pos"], out["flipped"], out["ordered"] = range(len(out)), flips, fine
+        out["pos"], out["flipped"], out["ordered"] = range(len(out)), flips, True
         out["points"] = [list(p)[::-1] if f else list(p) for p, f in zip(out["points"], flips, strict=True)]
         return out[["drawing_id", "path_id", "pos", "flipped", "ordered", "points"]]
 

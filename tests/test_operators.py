@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from strokemill.operators import loops, ordering, raster, strokes
@@ -38,6 +39,23 @@ def test_nearest_is_greedy(spark):
         assert [(r.path_id, r.flipped) for r in got if r.drawing_id == d] == greedy([(p, pts) for e, p, pts in rows if e == d])
 
 
+def test_large_drawings_are_ordered(spark):
+    rng = random.Random(9)
+    rows = [(1, p, [(rng.randint(0, 60), rng.randint(0, 60)), (rng.randint(0, 60), rng.randint(0, 60))]) for p in range(2100)]
+    ends = np.array([pts for _, _, pts in rows], float)
+    plain = ordering.nearest(ends[:, 0], ends[:, 1], np.array([0.0, 0.0]), grid=10_000)
+    assert ordering.nearest(ends[:, 0], ends[:, 1], np.array([0.0, 0.0])) == plain
+    way = {}
+    for m in ("nearest_neighbor", "two_opt"):
+        o = ordering.order_paths(made(spark, rows), m).orderBy("pos").collect()
+        assert all(r.ordered for r in o)
+        if m == "nearest_neighbor":
+            assert [(r.path_id, r.flipped) for r in o] == list(zip(*plain, strict=True))
+        way[m] = sum(math.dist(a.points[-1], b.points[0]) for a, b in zip(o, o[1:]))
+    given = sum(math.dist(a[2][-1], b[2][0]) for a, b in zip(rows, rows[1:]))
+    assert way["two_opt"] <= way["nearest_neighbor"] < given / 10
+
+
 def test_two_opt_never_longer(spark):
     p = made(spark, [r for r in some_paths(seed=4) if len(r[2]) > 1])
     way = {}
