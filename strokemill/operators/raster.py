@@ -95,14 +95,14 @@ def image_flags(stats: DataFrame, width: int, height: int) -> DataFrame:
     w, h = F.col("width") / width, F.col("height") / height
     any_ = F.bool_or
     large = F.col("area") >= 60
-    out = stats.groupBy("image_id").agg(any_((share >= 0.08) & (extent >= 0.75)).alias("dense"), any_((share >= 0.01) & (F.greatest(w, h) >= 0.6) & (aspect >= 6)).alias("elongated"), any_((w >= 0.65) & (h >= 0.65)).alias("large_bbox"), ((F.count_if(large) >= 6) & (F.coalesce(F.sum(F.when(large, share)), F.lit(0.0)) >= 0.08)).alias("artwork"), any_((share >= 0.018) & (extent >= 0.24)).alias("filled"))
+    out = stats.groupBy("image_id").agg(any_((share >= 0.08) & (extent >= 0.75)).alias("dense"), any_((share >= 0.01) & (extent >= 0.65)).alias("dense_region"), any_((share >= 0.01) & (F.greatest(w, h) >= 0.6) & (aspect >= 6)).alias("elongated"), any_((w >= 0.65) & (h >= 0.65)).alias("large_bbox"), ((F.count_if(large) >= 6) & (F.coalesce(F.sum(F.when(large, share)), F.lit(0.0)) >= 0.08)).alias("artwork"), any_((share >= 0.018) & (extent >= 0.24)).alias("filled"))
     return out.withColumn("filled_mask", F.col("filled") & ~F.col("elongated")).drop("filled")
 
 
 def choose_strategy(images: DataFrame) -> DataFrame:
-    """``images`` (color_ratio, artwork, axis_coverage, elongated, dense) with the first rule that holds."""
+    """``images`` (color_ratio, artwork, axis_coverage, elongated, dense_region) with the first rule that holds."""
     color = (F.col("color_ratio") > 0) & ((F.col("color_ratio") >= 0.025) | F.col("artwork"))
-    return images.withColumn("strategy", F.when(color, "color").when(F.col("axis_coverage") >= 0.72, "axis").when(F.col("elongated"), "elongated").when(F.col("dense"), "dense").otherwise("outline"))
+    return images.withColumn("strategy", F.when(color, "color").when(F.col("axis_coverage") >= 0.72, "axis").when(F.col("elongated"), "elongated").when(F.col("dense_region"), "dense").otherwise("outline"))
 
 
 def fallback_reason(images: DataFrame) -> DataFrame:

@@ -109,6 +109,15 @@ def test_components_match_flood_fill(spark):
     assert all((label[a] == label[b]) == (seen[a] == seen[b]) for a in px for b in px if a[0] == b[0])
 
 
+def test_strategy_is_dense_from_a_hundredth_and_065(spark):
+    # (width, height, area) of the only component in 100 x 100 pixels
+    boxes = {1: (10, 10, 100), 2: (10, 10, 99), 3: (20, 10, 130), 4: (20, 10, 129), 5: (40, 40, 1600), 6: (50, 50, 1700)}
+    stats = spark.createDataFrame([(i, 1, 5, 5, *b) for i, b in boxes.items()], "image_id bigint, label bigint, min_x bigint, min_y bigint, width bigint, height bigint, area bigint")
+    flags = raster.image_flags(stats, 100, 100)
+    got = {r.image_id: (r.dense, r.strategy) for r in raster.choose_strategy(flags.withColumn("color_ratio", F.lit(0.0)).withColumn("axis_coverage", F.lit(0.0))).collect()}
+    assert got == {i: (a / 10_000 >= 0.08 and a / (w * h) >= 0.75, "dense" if a / 10_000 >= 0.01 and a / (w * h) >= 0.65 else "outline") for i, (w, h, a) in boxes.items()}
+
+
 def test_open_duplicates_keep_first(spark):
     p = made(spark, [(1, 0, [(0, 0), (10, 0)]), (1, 1, [(10, 1), (0, 1)]), (1, 2, [(3.9, 1.5), (13, 1)]), (1, 3, [(40, 40), (50, 50)])])
     assert sorted(r.path_id for r in loops.dedupe_open_paths(p, 4.0).collect()) == [0, 2, 3]
