@@ -357,36 +357,138 @@ def page(title, body, k, tail="</article>"):
     return f"<html><head><title>t{k}</title><script>var a='<p>'</script></head><body><nav><ul><li>Home</ul></nav><div class='ad box'>Buy {k}</div><article><h1>{title}</h1>{body}{tail}<div id=comments><p>Nice</p></div><footer>f</footer></body></html>"
 
 
+def texts(spark, rows):
+    return {r.page_id: r.text for r in htmlmain.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+
+
 def test_main_text(spark):
     rows = [(i, "http://a.example/x", page(f"Title {i}", f"<p>First &amp; <b>bold {i}</b>\n word<p>Second{i}<br>line<p>Share this page", i)) for i in range(8)]
     rows += [(8, None, None), (9, "http://b.example/", ""), (10, "http://b.example/", "<p>plain &lt;x&gt;<!-- c --><div class=sidebar>no</div>")]
-    got = {r.page_id: r.text for r in htmlmain.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    got = texts(spark, rows)
     assert got[8] == got[9] == "" and got[10] == "plain <x>"
-    assert got[3].startswith("Title 3 First & bold 3 word Second3 line")
+    for i in range(8):
+        assert got[i] == f"Title {i} First & bold {i} word Second{i} line"
 
 
 def test_names_that_only_contain_a_word_cut_nothing():
-    none = frozenset()
     for page_ in (
         "<body class='has-sidebar'><div id=page class=no-sidebar><p>Text</p></div></body>",
         "<body class='menu'><p>Text</body>",
         "<form class=search><main><p>Text</main></form>",
+        "<form id=whole><p>Text</p></form>",
         "<article>Text</article><aside><article>other</article></aside>",
         "<p>Text<div class='box sidebar'>no</div><div role=search>no</div><div id=comments>no</div>",
         "<nav>no</nav><div class='ad box'>no</div><article>Text<script>no</script><form>no</form></article>",
     ):
-        assert htmlmain.extract(page_, none) == "Text", page_
-    for name in ("article-header", "entry-header", "header"):
-        assert htmlmain.extract(f"<article><div class='{name}'><h1>Title</h1></div><p>Text</article>", none) == "Title Text"
-    assert htmlmain.extract("<p>Body text<aside><article>teaser</article></aside>", none) == "Body text teaser"
+        assert htmlmain.extract(page_) == "Text", page_
+    for name in ("article-header", "entry-header", "header", "search-results notice related-work"):
+        assert htmlmain.extract(f"<article><div class='{name}'><h1>Title</h1></div><p>Text</article>") == "Title Text"
+    assert htmlmain.extract("<p>Body text<aside><article>teaser</article></aside>") == "Body text teaser"
 
 
 def test_constant_nodes_are_template(spark):
     rows = [(i, "http://a.example/x", f"<div class=top>Same everywhere</div><div class=body>Text number {i} of many {i * i}</div>") for i in range(8)]
-    got = {r.page_id: r.text for r in htmlmain.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    got = texts(spark, rows)
     assert got[5] == "Text number 5 of many 25"
 
 
+def test_wrapper_finds_the_slot_without_any_name(spark):
+    rng = random.Random(4)
+    words = lambda n: " ".join("".join(rng.choices("abcdefgh", k=rng.randint(2, 8))) for _ in range(n))
+    rows, want = [], {}
+    for i in range(12):
+        title, own = words(4), [words(rng.choice((1, 3, 40, 80))) for _ in range(rng.randint(1, 6))]
+        menu = "".join(f"<li><a href=/x>{words(1)}</a>" for _ in range(5))
+        ad = f"<div>{words(8)}</div>" if i % 3 else ""
+        rows.append((i, "https://Site.example:80/a", f"<div><ul>{menu}</ul></div>{ad}<div><h1>{title}</h1>{''.join(f'<p>{x}' for x in own)}<p>Tell a friend</div><div>{words(9)}</div>"))
+        want[i] = " ".join([title, *own])
+    # the article of the last page is shorter than its advert, so the page by itself would not tell
+    rows.append((99, "https://site.example/b", f"<div><ul><li><a>x</a></ul></div><div>{words(9)}</div><div><h1>Hi</h1><p>Yo</div><div>{words(9)}</div>"))
+    want[99] = "Hi Yo"
+    got = texts(spark, rows)
+    assert got == want
+    assert htmlmain.extract(rows[-1][2]) != "Hi Yo"
+    # every chosen page of the wrapper is odd or empty but a few: the host's pages still vote
+    odd = [(200 + i, "https://site.example/c", "<center>Error") for i in range(3)] + [(300, "https://site.example/d", "")]
+    again = texts(spark, rows + odd)
+    assert {k: again[k] for k in want} == want and again[200] == "Error" and again[300] == ""
+
+
+def test_copies_of_an_article_are_no_template(spark):
+    rows = [(i, "http://a.example/x", f"<article><h1>Same title</h1><p>The same long text on many pages of the host.</article><div>{i} other</div>") for i in range(6)]
+    rows += [(10 + i, "http://a.example/x", f"<article><h1>Title {i}</h1><p>Own text {i * 7} of the page.</article><div>{i} other</div>") for i in range(6)]
+    got = texts(spark, rows)
+    assert got[2] == "Same title The same long text on many pages of the host." and got[12] == "Title 2 Own text 14 of the page."
+
+
+TREE = some.recursive(some.sampled_from("ab").map(lambda t: (t, ())), lambda kids: some.tuples(some.sampled_from("ab"), some.lists(kids, max_size=3).map(tuple)), max_leaves=7)
+
+
+def flat(tree):
+    kind, kids, stack = [], [], [(tree, None)]
+    while stack:
+        (tag, below), parent = stack.pop()
+        if parent is not None:
+            kids[parent].append(len(kind))
+        kind.append(tag)
+        kids.append([])
+        stack.extend((x, len(kind) - 1) for x in reversed(below))
+    return kind, kids
+
+
+@settings(max_examples=100, deadline=None)
+@given(a=TREE, b=TREE)
+def test_matching_is_the_heaviest(a, b):
+    def heaviest(x, y):
+        if x[0] != y[0]:
+            return 0
+
+        def rows(p, q):
+            if not p or not q:
+                return 0
+            with_both = heaviest(p[0], q[0])
+            return max(rows(p[1:], q), rows(p, q[1:]), with_both + rows(p[1:], q[1:]) if with_both else 0)
+
+        return 1 + rows(x[1], y[1])
+
+    a, b = ("r", (a,)), ("r", (b,))
+    (ka, ca), (kb, cb) = flat(a), flat(b)
+    to = htmlmain.match(ka, ca, kb, cb)
+    assert len(to) == heaviest(a, b) and len(set(to.values())) == len(to)
+    for i, below in enumerate(ca):
+        hit = [(to[i], to[c]) for c in below if c in to]
+        assert all(y in cb[x] for x, y in hit) and hit == sorted(hit)
+
+
+def test_pages_awkward(spark):
+    deep = "<div>" * 5000 + "deep text" + "</div>" * 3000
+    mixed = "".join(f"<div>level {i}" for i in range(3000))
+    wide = "".join(f"<h2>a{i}</h2><p>b{i}</p>" for i in range(3000))
+    rows = [(1, "http://a.example/", deep), (1, "http://a.example/", deep), (2, "http://a.example/", deep), (3, "http://a.example/", mixed), (None, "http://a.example/", wide), (4, "http://a.example/", wide), (5, None, "</p></div><p>x"), (6, "http://a.example/", "<"), (7, "http://a.example/", "no markup " * 50_000)]
+    df = spark.createDataFrame([(*r, "h", "t", "old", 1) for r in rows], "page_id bigint, url string, html string, host string, template string, text string, `pages` int")
+    got = htmlmain.main_text(df)
+    assert got.columns == ["page_id", "url", "host", "template", "pages", "text"]
+    found = got.collect()
+    assert len(found) == len(rows) and all(r.host == "h" and r.template == "t" for r in found)
+    by_id = {r.page_id: r.text for r in found}
+    assert by_id[1] == by_id[2] == "deep text" and by_id[5] == "x" and len(by_id[7].split()) == 100_000
+    assert by_id[3].endswith("level 2999") and by_id[4] == by_id[None] and by_id[4].endswith("a2999 b2999")
+    assert htmlmain.main_text(df.filter("false")).count() == 0
+
+
+@pytest.mark.parametrize("blind", [False, True])
+def test_given_pages(spark, blind):
+    """The text is the article's, with its mark, and with every mark and class taken away."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url", "html")
+    want = {r.page_id: htmlmain.extract("<article>" + re.search(r"<article>(.*?)(</article>|<footer>|$)", r.html, re.S)[1]) for r in pages.collect()}
+    if blind:
+        marks = F.regexp_replace("html", r"<(/?)(article|nav|footer)\b", "<$1div")
+        pages = pages.withColumn("html", F.regexp_replace(marks, r' class="[^"]*"', ""))
+    got = {r.page_id: r.text for r in htmlmain.main_text(pages).collect()}
+    same = np.mean([got[k] == want[k] for k in want])
+    assert same == 1.0 if not blind else same > 0.98
+
+
 # -- the pipeline
 
 
