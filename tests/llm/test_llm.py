@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import textwrap
 
 import numpy as np
 import pytest
@@ -345,9 +346,78 @@ def test_licenses_in_longer_lines(spark):
     assert got == {i: (int(bool(f)), f) for i, _, f in rows}
 
 
-def test_templates_have_cues():
-    cue = re.compile(licenses.CUES)
-    assert all(cue.search(t) for own in licenses.TEMPLATES.values() for t in own if "apache.org" not in t and "SOFTWARE IS PROVIDED" not in t)
+@pytest.fixture(scope="module")
+def trained_licenses(spark):
+    return licenses.train(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+
+
+def test_every_notice_is_found(spark, trained_licenses):
+    """Whole, by clauses, wrapped, in comments, inside other words; other paragraphs have none."""
+    rows = []
+    for family, own in licenses.TEMPLATES.items():
+        for notice in own:
+            comment = "\n".join("# " + x for x in textwrap.wrap(f"Some words before it. {notice} And some after it.", 50))
+            for text in (notice, notice.upper(), textwrap.fill(notice, 40), comment, f"No license here.\n\n{notice}\r\n \r\nNor here.", *licenses.clauses(notice)):
+                rows.append((len(rows), text, family))
+    df = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string")
+    got = {r.doc_id: (r.n_licenses, r.families) for r in licenses.scan(df, trained_licenses).collect()}
+    assert [(got[i], t) for i, t, f in rows if got[i] != (1, f)] == []
+
+
+def test_license_probability_is_calibrated(spark, trained_licenses):
+    """Held-out paragraphs of the class unknown stay below what a family needs."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    held = licenses.training_rows(docs, licenses.clause_rows(spark)).filter("held")
+    assert held.count() > 100 and licenses.classify(held.drop("family"), trained_licenses).count() == 0
+
+
+def license_windows(text):
+    """Brute force: (clause, first word, share) of the windows of a paragraph."""
+    w, out = re.findall(r"[^\W_]+", text.lower()), []
+    own = list(zip(w, w[1:], strict=False))
+    for number, c in enumerate(c for family in licenses.TEMPLATES.values() for notice in family for c in licenses.clauses(notice)):
+        cw = re.findall(r"[^\W_]+", c.lower())
+        known = set(zip(cw, cw[1:], strict=False))
+        need, span = -int(-licenses.COVER * len(known) // 1), len(cw) + len(cw) // 4
+        starts = []
+        for i, pair in enumerate(own):
+            first = {p: j for j, p in reversed(list(enumerate(own[i : i + span - 1]))) if p in known}
+            if pair in known and len(first) >= need:
+                starts.append((-len(first), max(first.values()), i))
+        kept = [x for x in starts if not any(abs(x[2] - y[2]) < len(cw) and y < x for y in starts)]
+        out += [(number, i, round(-kinds / len(known), 9)) for kinds, _, i in kept]
+    return sorted(out)
+
+
+def test_license_windows_are_brute_force(spark):
+    rng = random.Random(5)
+    notices = [n for own in licenses.TEMPLATES.values() for n in own]
+    rows = []
+    for i in range(60):
+        parts = []
+        for _ in range(rng.randint(1, 6)):
+            w = rng.choice(notices).split()
+            parts += [x for x in w if rng.random() > 0.12] if rng.random() < 0.7 else rng.choices(w, k=8)
+            parts += rng.choices(["river", "the", "of", "license"], k=rng.randint(0, 9))
+        rows.append((i, " ".join(parts)))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    known = licenses.clause_rows(spark)
+    got = {}
+    for r in licenses.windows(licenses.candidates(df, known), known).collect():
+        got.setdefault(r.doc_id, []).append((r.clause, r["at"], round(r.share, 9)))
+    for i, text in rows:
+        assert sorted(got.get(i, [])) == license_windows(text), i
+
+
+def test_licenses_awkward(spark, awkward, trained_licenses):
+    mit = "Released under the MIT License."
+    rows = [(1, mit, None), (1, mit, "x"), (1, "Licensed under CC BY 4.0.", "y"), (None, mit, ""), (None, None, ""), (2, " ".join([mit] * 20_000), None), (3, f"{mit} {mit}", None)]
+    df = awkward.select("doc_id", "text", F.lit("a").alias("family")).union(spark.createDataFrame([(r[0] and r[0] + 100, *r[1:]) for r in rows], "doc_id bigint, text string, family string"))
+    got = {r.doc_id: (r.n_licenses, r.families, r.n_passages) for r in licenses.scan(df.withColumn("w", F.lit(1)).withColumn("paragraph", F.lit("p")), trained_licenses).collect()}
+    assert got[101] == (2, "cc-by,mit", 2) and got[None] == (1, "mit", 1) and got[102] == (1, "mit", 20_000) and got[103] == (1, "mit", 2)
+    assert all(got[i] == (0, "", 0) for i in (1, 2, 3, 4, 6))
+    assert licenses.scan(awkward.filter("false"), trained_licenses).count() == 0
+    assert licenses.scan(awkward.filter("false")).count() == 0
 
 
 # -- 1: pages
