@@ -176,14 +176,18 @@ def segment_kinematics(points: DataFrame, min_move: float = 0.5, corner: float =
     return drawn.select("session_id", "stroke_id", "seq", "length", "heading", F.coalesce(turn, F.lit(0.0)).alias("turn"), "cx", "cy", "ex", "ey", F.coalesce(skipped | (gap > max(0.25, min_move)) | (F.abs(turn) >= corner), F.lit(False)).alias("requires_lift"))
 
 
-def action_table(segments: DataFrame, min_turn: float = 1.0, mm_per_unit: float = 10.0, min_move: float = 0.5, min_units: float = 0.0) -> DataFrame:
-    """(session_id, stroke_id, seq, k, op, value): lift, turn, lower, straight for each segment, at ideal positions."""
+def action_table(segments: DataFrame, min_turn: float = 1.0, mm_per_unit: float = 10.0, min_move: float = 0.5, min_units: float = 0.0, places: int | None = 2) -> DataFrame:
+    """(session_id, stroke_id, seq, k, op, value): lift, turn, lower, straight for each segment, at ideal positions.
+
+    Values are rounded to ``places`` (null: not at all).
+    """
     w = Window.partitionBy("session_id", "stroke_id").orderBy("seq")
     first = F.row_number().over(w) == 1
-    units = F.round(F.greatest(F.col("length"), F.lit(max(min_move, min_units * mm_per_unit))) / mm_per_unit, 2)
+    rounded = lambda c: c if places is None else F.round(c, places)
+    units = rounded(F.greatest(F.col("length"), F.lit(max(min_move, min_units * mm_per_unit))) / mm_per_unit)
     row = lambda ok, op, v: F.when(ok, F.struct(F.lit(op).alias("op"), v.cast("double").alias("value")))
     none = F.lit(None)
-    rows = F.array_compact(F.array(row(F.col("requires_lift"), "PU", none), row(F.abs("turn") >= min_turn, "TR", F.round("turn", 2)), row(F.col("first") | F.col("requires_lift"), "PD", none), row(F.lit(True), "ST", units)))
+    rows = F.array_compact(F.array(row(F.col("requires_lift"), "PU", none), row(F.abs("turn") >= min_turn, "TR", rounded(F.col("turn"))), row(F.col("first") | F.col("requires_lift"), "PD", none), row(F.lit(True), "ST", units)))
     return segments.withColumn("first", first).select("session_id", "stroke_id", "seq", F.posexplode(rows).alias("k", "a")).select("session_id", "stroke_id", "seq", "k", "a.op", "a.value")
 
 

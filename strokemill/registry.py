@@ -103,10 +103,21 @@ def clean_paths(s, d):
     return st.cleanup_stats(before, st.clean_paths(before))
 
 
-@query("stitch_paths")
+GAP = "sqrt((o.{x} - k.ex) * (o.{x} - k.ex) + (o.{y} - k.ey) * (o.{y} - k.ey))"
+HEAD, TAIL = GAP.format(x="ax", y="ay"), GAP.format(x="bx", y="b_y")
+
+
+@query(
+    "stitch_paths",
+    f"""WITH RECURSIVE o AS (SELECT *, row_number() OVER (PARTITION BY drawing_id ORDER BY path_id) AS i FROM {ENDS} e WHERE n >= 2),
+ k AS (SELECT drawing_id, i, CAST(0 AS BIGINT) AS stroke, n AS added, bx AS ex, b_y AS ey FROM o WHERE i = 1 UNION ALL
+ SELECT o.drawing_id, o.i, CASE WHEN least({HEAD}, {TAIL}) <= 5 THEN k.stroke ELSE k.stroke + 1 END, CASE WHEN {HEAD} <= 5 THEN CASE WHEN {HEAD} > 0 THEN o.n ELSE o.n - 1 END WHEN {TAIL} <= 5 THEN CASE WHEN {TAIL} > 0 THEN o.n ELSE o.n - 1 END ELSE o.n END,
+ CASE WHEN {HEAD} > 5 AND {TAIL} <= 5 THEN o.ax ELSE o.bx END, CASE WHEN {HEAD} > 5 AND {TAIL} <= 5 THEN o.ay ELSE o.b_y END FROM k JOIN o ON o.drawing_id = k.drawing_id AND o.i = k.i + 1)
+ SELECT drawing_id, stroke AS path_id, CAST(sum(added) AS BIGINT) AS n_points, arg_max(ex, i) AS end_x, arg_max(ey, i) AS end_y FROM k GROUP BY drawing_id, stroke""",
+)
 def stitch_paths(s, d):
-    p = st.stitch_paths(paths(s, d), 5.0)
-    return p.groupBy("drawing_id").agg(F.count("*").alias("strokes"), F.sum(F.size("points")).alias("n_points"))
+    end = F.element_at("points", -1)
+    return st.stitch_paths(paths(s, d), 5.0).select("drawing_id", "path_id", F.size("points").cast("bigint").alias("n_points"), end["x"].alias("end_x"), end["y"].alias("end_y"))
 
 
 @query("order_nearest")
@@ -121,9 +132,20 @@ def order_two_opt(s, d):
     return p.select("drawing_id", "path_id", "pos", "flipped", "ordered")
 
 
-@query("emit_commands")
+FAR = "sqrt((p.x - k.cx) * (p.x - k.cx) + (p.y - k.cy) * (p.y - k.cy)) >= 0.5"
+
+
+@query(
+    "emit_commands",
+    f"""WITH RECURSIVE p AS (SELECT *, row_number() OVER (PARTITION BY drawing_id ORDER BY path_id, seq) AS i FROM (SELECT *, count(*) OVER (PARTITION BY drawing_id, path_id) AS n FROM {POLY} z) q WHERE n >= 2),
+ k AS (SELECT drawing_id, CAST(0 AS BIGINT) AS i, CAST(0 AS DOUBLE) AS cx, CAST(0 AS DOUBLE) AS cy, false AS moved, false AS first, CAST(0 AS DOUBLE) AS x, CAST(0 AS DOUBLE) AS y, false AS last FROM (SELECT DISTINCT drawing_id FROM {POLY} z) d UNION ALL
+ SELECT p.drawing_id, p.i, CASE WHEN {FAR} THEN p.x ELSE k.cx END, CASE WHEN {FAR} THEN p.y ELSE k.cy END, {FAR}, p.seq = 1, p.x, p.y, p.seq = p.n FROM k JOIN p ON p.drawing_id = k.drawing_id AND p.i = k.i + 1),
+ c AS (SELECT drawing_id, i, 0 AS j, 'PEN_UP' AS cmd, NULL AS x, NULL AS y, NULL AS speed FROM k WHERE i = 0 UNION ALL SELECT drawing_id, i, 1, 'MOVE', x, y, CASE WHEN first THEN 60 ELSE 35 END FROM k WHERE moved
+ UNION ALL SELECT drawing_id, i, 2, 'PEN_DOWN', NULL, NULL, NULL FROM k WHERE first UNION ALL SELECT drawing_id, i, 3, 'PEN_UP', NULL, NULL, NULL FROM k WHERE last)
+ SELECT drawing_id, row_number() OVER (PARTITION BY drawing_id ORDER BY i, j) - 1 AS seq, cmd, x, y, CAST(speed AS DOUBLE) AS speed FROM c""",
+)
 def emit_commands(s, d):
-    return st.emit_commands(paths(s, d)).select("drawing_id", "seq", "cmd", r("x"), r("y"), "speed")
+    return st.emit_commands(paths(s, d)).select("drawing_id", "seq", "cmd", "x", "y", "speed")
 
 
 STROKES = f"""WITH c AS (SELECT * FROM {SESS} z WHERE cmd IN ('PEN_UP', 'PEN_DOWN', 'MOVE')),
@@ -152,10 +174,20 @@ def segment_kinematics(s, d):
     return k.select("session_id", F.col("stroke_id").cast("bigint"), F.col("seq").cast("bigint"), r("length"), r("heading"), F.round(F.abs("turn"), 3).alias("abs_turn"), "requires_lift")
 
 
-@query("action_table", f"{KINEMATICS} SELECT session_id, count(*) AS straights, round(sum(round(length / 10, 2)), 2) AS units FROM n GROUP BY session_id")
+LIFT = "coalesce(no - pn > 1 OR sqrt((ex - px) * (ex - px) + (ey - py) * (ey - py)) > 0.5 OR abs(turn) >= 30, false)"
+
+
+@query(
+    "action_table",
+    f"""{KINEMATICS}, f AS (SELECT *, {LIFT} AS lift, row_number() OVER (PARTITION BY session_id, stroke_id ORDER BY seq) = 1 AS first FROM n),
+ u AS (SELECT session_id, stroke_id, seq, unnest([o FOR o IN [CASE WHEN lift THEN 'PU' END, CASE WHEN abs(turn) >= 1 THEN 'TR' END, CASE WHEN first OR lift THEN 'PD' END, 'ST'] IF o IS NOT NULL]) AS op, abs(turn) AS turn, length / 10 AS units FROM f)
+ SELECT session_id, stroke_id, CAST(seq AS BIGINT) AS seq, op, CASE op WHEN 'TR' THEN floor(turn * 100 + 0.25) WHEN 'ST' THEN floor(units * 100 + 0.25) END AS hundredths FROM u""",
+)
 def action_table(s, d):
-    a = st.action_table(st.segment_kinematics(st.extract_strokes(sessions(s, d))))
-    return a.filter("op = 'ST'").groupBy("session_id").agg(F.count("*").alias("straights"), F.round(F.sum("value"), 2).alias("units"))
+    """All actions; values by the floor of hundredths, which two engines' last bits can't part at a half."""
+    a = st.action_table(st.segment_kinematics(st.extract_strokes(sessions(s, d))), places=None)
+    hundredths = F.when(F.col("op") == "TR", F.floor(F.abs("value") * 100 + 0.25)).when(F.col("op") == "ST", F.floor(F.col("value") * 100 + 0.25)).cast("double")
+    return a.select("session_id", F.col("stroke_id").cast("bigint"), F.col("seq").cast("bigint"), "op", hundredths.alias("hundredths"))
 
 
 @query("drawing_pipeline")
@@ -173,10 +205,12 @@ def fit_to_page(s, d):
 @query(
     "view_bounds",
     f"""WITH b AS (SELECT drawing_id, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1 FROM {POLY} z GROUP BY drawing_id), p AS (SELECT *, greatest(8.0, least(x1 - x0, y1 - y0) * 0.04) AS pad FROM b)
- SELECT drawing_id, round(greatest(0, x0 - pad), 4) AS "left", round(greatest(0, y0 - pad), 4) AS top, round(least(210, x1 + pad), 4) AS "right", round(least(297, y1 + pad), 4) AS bottom FROM p""",
+ SELECT drawing_id, floor(greatest(0, x0 - pad) * 1e4 + 0.25) AS "left", floor(greatest(0, y0 - pad) * 1e4 + 0.25) AS top, floor(least(210, x1 + pad) * 1e4 + 0.25) AS "right", floor(least(297, y1 + pad) * 1e4 + 0.25) AS bottom FROM p""",
 )
 def view_bounds(s, d):
-    return st.view_bounds(paths(s, d)).select("drawing_id", r("left"), r("top"), r("right"), r("bottom"))
+    """Ten thousandths, cut at a quarter: the values have up to five decimals, so a half would be decided by the last bit."""
+    cut = lambda c: F.floor(F.col(c) * 1e4 + 0.25).cast("double").alias(c)
+    return st.view_bounds(paths(s, d)).select("drawing_id", cut("left"), cut("top"), cut("right"), cut("bottom"))
 
 
 # ------------------------------------------------------------------ closed paths
@@ -205,10 +239,15 @@ def merge_duplicate_loops(s, d):
     return m.select("drawing_id", "path_id", "merged_with", F.size("points").alias("n_points"))
 
 
-@query("resample_closed")
+@query(
+    "resample_closed",
+    f"""WITH v AS (SELECT *, coalesce(lead(x) OVER o, first_value(x) OVER o) AS nx, coalesce(lead(y) OVER o, first_value(y) OVER o) AS ny FROM {VERTICES} t WINDOW o AS (PARTITION BY path_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+ l AS (SELECT *, sqrt((nx - x) * (nx - x) + (ny - y) * (ny - y)) AS d FROM v), c AS (SELECT *, sum(d) OVER (PARTITION BY path_id ORDER BY k) AS up_to, sum(d) OVER (PARTITION BY path_id) AS total FROM l),
+ g AS (SELECT *, unnest(range(16)) AS j FROM c WHERE total > 0), h AS (SELECT *, j * total / 16 AS target, row_number() OVER (PARTITION BY path_id, j ORDER BY k) AS no FROM g WHERE up_to >= j * total / 16)
+ SELECT CAST(drawing_id AS BIGINT) AS drawing_id, path_id, CAST(j AS INT) AS k, round(x + (nx - x) * CASE WHEN d = 0 THEN 0 ELSE (target - up_to + d) / d END, 3) AS x, round(y + (ny - y) * CASE WHEN d = 0 THEN 0 ELSE (target - up_to + d) / d END, 3) AS y FROM h WHERE no = 1""",
+)
 def resample_closed(s, d):
-    p = lo.resample_closed(fx.loops(s, d), 16)
-    return p.groupBy("drawing_id", "path_id").agg(F.count("*").alias("n"), F.round(F.sum("x"), 3).alias("sum_x"), F.round(F.sum("y"), 3).alias("sum_y"))
+    return lo.resample_closed(fx.loops(s, d), 16).select("drawing_id", "path_id", "k", r("x", 3), r("y", 3))
 
 
 def ring_pairs(s, d):
@@ -222,21 +261,25 @@ def ring_pairs(s, d):
 NEXT = f"(SELECT path_id, lead(path_id) OVER (PARTITION BY drawing_id ORDER BY path_id) AS other FROM (SELECT DISTINCT drawing_id, path_id FROM {VERTICES} v))"
 
 
-@query(
-    "align_closed",
-    f"""WITH v AS (SELECT * FROM {VERTICES} t), n AS (SELECT * FROM {NEXT} u WHERE other IS NOT NULL), s AS (SELECT unnest(range(32)) AS shift), e AS (SELECT unnest([0, 1]) AS dir),
- c AS (SELECT n.path_id, e.dir, s.shift, sum((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS cost FROM n JOIN v a ON a.path_id = n.path_id CROSS JOIN s CROSS JOIN e JOIN v b ON b.path_id = n.other AND b.k = CASE WHEN e.dir = 0 THEN (a.k + s.shift) % 32 ELSE 31 - (a.k + s.shift) % 32 END GROUP BY ALL)
- SELECT path_id, round(min(cost), 2) AS cost FROM c GROUP BY path_id""",
-)
+ALIGNED = f"""v AS (SELECT * FROM {VERTICES} t), n AS (SELECT * FROM {NEXT} u WHERE other IS NOT NULL), s AS (SELECT unnest(range(32)) AS shift), e AS (SELECT unnest([0, 1]) AS dir),
+ c AS (SELECT n.path_id, n.other, e.dir, s.shift, sum((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS cost FROM n JOIN v a ON a.path_id = n.path_id CROSS JOIN s CROSS JOIN e JOIN v b ON b.path_id = n.other AND b.k = CASE WHEN e.dir = 0 THEN (a.k + s.shift) % 32 ELSE 31 - (a.k + s.shift) % 32 END GROUP BY ALL),
+ best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY path_id ORDER BY cost, dir, shift) AS no FROM c) q WHERE no = 1)"""
+
+
+@query("align_closed", f"WITH {ALIGNED} SELECT path_id, round(cost, 2) AS cost, dir, CAST(shift AS INT) AS shift FROM best")
 def align_closed(s, d):
-    return lo.align_closed(ring_pairs(s, d)).select("path_id", F.round("cost", 2).alias("cost"))
+    return lo.align_closed(ring_pairs(s, d)).select("path_id", F.round("cost", 2).alias("cost"), "dir", "shift")
 
 
-@query("average_closed")
+@query(
+    "average_closed",
+    f"WITH {ALIGNED} SELECT n.path_id, CAST(a.k AS INT) AS k, round_even((a.x + b.x) / 2, 0) AS x, round_even((a.y + b.y) / 2, 0) AS y FROM best n JOIN v a ON a.path_id = n.path_id JOIN v b ON b.path_id = n.other AND b.k = CASE WHEN n.dir = 0 THEN (a.k + n.shift) % 32 ELSE 31 - (a.k + n.shift) % 32 END",
+)
 def average_closed(s, d):
+    """The points of the averages; the last one, which closes the ring, is left out."""
     a = lo.align_closed(ring_pairs(s, d))
     avg = lo.average_closed(F.col("ref"), F.col("aligned"))
-    return a.select("path_id", F.size(avg).alias("n"), F.aggregate(avg, F.lit(0.0), lambda t, p: t + p["x"]).alias("sum_x"))
+    return a.select("path_id", F.posexplode(avg).alias("k", "p")).filter("k < 32").select("path_id", "k", (F.col("p.x") + 0.0).alias("x"), (F.col("p.y") + 0.0).alias("y"))
 
 
 @query("dedupe_open_paths")
@@ -466,43 +509,84 @@ def labelled(s, d):
     return ra.connected_components(on(s, d))
 
 
-@query("connected_components")
+def components_sql(pixels: str) -> str:
+    """CTEs l (image_id, y, x, label) and t (a row for each component) of the set pixels of a query."""
+    return f"""o AS (SELECT image_id, CAST(y AS BIGINT) AS y, CAST(x AS BIGINT) AS x, CAST(y * 8 + x AS BIGINT) AS p FROM ({pixels}) z),
+ e AS (SELECT a.image_id, a.p, b.p AS q FROM o a JOIN o b ON a.image_id = b.image_id AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 AND a.p <> b.p),
+ reach AS (SELECT image_id, p, p AS q FROM o UNION SELECT r.image_id, r.p, e.q FROM reach r JOIN e ON r.image_id = e.image_id AND r.q = e.p),
+ l AS (SELECT o.image_id, o.y, o.x, dense_rank() OVER (PARTITION BY o.image_id ORDER BY m.root) AS label FROM o JOIN (SELECT image_id, p, min(q) AS root FROM reach GROUP BY image_id, p) m ON m.image_id = o.image_id AND m.p = o.p),
+ t AS (SELECT image_id, label, min(x) AS min_x, min(y) AS min_y, max(x) - min(x) + 1 AS width, max(y) - min(y) + 1 AS height, count(*) AS area FROM l GROUP BY image_id, label)"""
+
+
+COMPONENTS = "WITH RECURSIVE " + components_sql(f"SELECT image_id, y, x FROM {GRID} g WHERE is_on")
+KEPT = COMPONENTS + " SELECT l.image_id, l.y, l.x, l.label FROM l JOIN t ON l.image_id = t.image_id AND l.label = t.label WHERE "
+
+
+@query("connected_components", f"{COMPONENTS} SELECT * FROM l")
 def connected_components(s, d):
+    return labelled(s, d)
+
+
+@query("component_stats", f"{COMPONENTS} SELECT * FROM t")
+def component_stats(s, d):
     return ra.component_stats(labelled(s, d))
 
 
-@query("drop_specks")
+@query("drop_specks", KEPT + "area >= 3")
 def drop_specks(s, d):
     l = labelled(s, d)
-    return ra.drop_specks(l, ra.component_stats(l), 3).groupBy("image_id").agg(F.count("*").alias("pixels"))
+    return ra.drop_specks(l, ra.component_stats(l), 3)
 
 
-@query("suppress_border_components")
+@query("suppress_border_components", KEPT + "NOT ((min_x = 0 OR min_y = 0 OR min_x + width >= 8 OR min_y + height >= 8) AND (area / 64 >= 0.02 OR greatest(width, height) / 8 >= 0.35))")
 def suppress_border_components(s, d):
     l = labelled(s, d)
-    return ra.suppress_border_components(l, ra.component_stats(l), 8, 8).groupBy("image_id").agg(F.count("*").alias("pixels"))
+    return ra.suppress_border_components(l, ra.component_stats(l), 8, 8)
 
 
-@query("keep_structural_components")
+@query("keep_structural_components", KEPT + "area >= 6 AND (least(width, height) >= 3 OR greatest(width, height) >= 40 AND greatest(width, height) / least(width, height) >= 8)")
 def keep_structural_components(s, d):
     l = labelled(s, d)
-    return ra.keep_structural_components(l, ra.component_stats(l), 6, 3).groupBy("image_id").agg(F.count("*").alias("pixels"))
+    return ra.keep_structural_components(l, ra.component_stats(l), 6, 3)
 
 
 def flags(s, d):
     return ra.image_flags(ra.component_stats(labelled(s, d)), 8, 8)
 
 
-@query("image_flags")
+FLAGS = """f AS (SELECT image_id, bool_or(share >= 0.08 AND extent >= 0.75) AS dense, bool_or(share >= 0.01 AND extent >= 0.65) AS dense_region, bool_or(share >= 0.01 AND greatest(width, height) / 8 >= 0.6 AND greatest(width, height) / least(width, height) >= 6) AS elongated, bool_or(width / 8 >= 0.65 AND height / 8 >= 0.65) AS large_bbox,
+ count_if(area >= 60) >= 6) AND coalesce(sum(CASE WHEN area >= 60 THEN share END), 0) >= 0.08 AS artwork, bool_or(share >= 0.018 AND extent >= 0.24) AS filled, count(*) AS num_paths, sum(area) / 64 AS pixel_ratio FROM (SELECT *, area / 64 AS share, area / (width * height) AS extent FROM t) z GROUP BY image_id)""".replace("count_if(area >= 60) >= 6)", "count_if(area >= 60) >= 6")
+
+
+@query("image_flags", f"{COMPONENTS}, {FLAGS} SELECT image_id, dense, dense_region, elongated, large_bbox, artwork, filled AND NOT elongated AS filled_mask FROM f")
 def image_flags(s, d):
     return flags(s, d)
 
 
-@query("choose_strategy")
+# opening by a 3 x 3 square; outside of the image nothing counts
+OPENED = f"""SELECT image_id, y, x FROM (SELECT a.image_id, a.y, a.x, max(b.v) AS v FROM {GRID} a JOIN (SELECT p.image_id, p.y, p.x, min(CAST(q.is_on AS INT)) AS v FROM {GRID} p JOIN {GRID} q ON p.image_id = q.image_id AND abs(p.y - q.y) <= 1 AND abs(p.x - q.x) <= 1 GROUP BY p.image_id, p.y, p.x) b
+ ON a.image_id = b.image_id AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 GROUP BY a.image_id, a.y, a.x) m WHERE v = 1"""
+AXIS = f"""(WITH RECURSIVE {components_sql(OPENED)} SELECT g.image_id, CASE WHEN g.n = 0 THEN 0 ELSE coalesce(h.n, 0) / g.n END AS axis_coverage FROM (SELECT image_id, count_if(is_on) AS n FROM {GRID} y GROUP BY image_id) g
+ LEFT JOIN (SELECT image_id, sum(area) AS n FROM t WHERE area >= 5 AND greatest(width, height) >= 5 AND greatest(width, height) / least(width, height) >= 5 AND area / (width * height) >= 0.55 GROUP BY image_id) h ON g.image_id = h.image_id)"""
+
+
+def axes(s, d):
+    return ra.axis_coverage(grid(s, d), 5, 5, 3)
+
+
+@query("axis_coverage", f"SELECT * FROM {AXIS} a")
+def axis_coverage(s, d):
+    return axes(s, d)
+
+
+@query(
+    "choose_strategy",
+    f"""{COMPONENTS}, {FLAGS}, c AS (SELECT image_id, count_if(gray > 200) / count(*) AS color_ratio FROM {GRID} g GROUP BY image_id)
+ SELECT f.image_id, CASE WHEN color_ratio > 0 AND (color_ratio >= 0.025 OR artwork) THEN 'color' WHEN axis_coverage >= 0.72 THEN 'axis' WHEN elongated THEN 'elongated' WHEN dense_region THEN 'dense' ELSE 'outline' END AS strategy FROM f JOIN c ON f.image_id = c.image_id JOIN {AXIS} a ON a.image_id = f.image_id""",
+)
 def choose_strategy(s, d):
-    share = grid(s, d).groupBy("image_id").agg((F.count_if(F.col("gray") > 160) / F.count("*")).alias("color_ratio"))
-    axis = ra.axis_coverage(grid(s, d), 8, 6, 3)
-    return ra.choose_strategy(flags(s, d).join(share, "image_id").join(axis, "image_id")).select("image_id", "strategy")
+    share = grid(s, d).groupBy("image_id").agg((F.count_if(F.col("gray") > 200) / F.count("*")).alias("color_ratio"))
+    return ra.choose_strategy(flags(s, d).join(share, "image_id").join(axes(s, d), "image_id")).select("image_id", "strategy")
 
 
 def measured(s, d):
@@ -511,7 +595,10 @@ def measured(s, d):
     return flags(s, d).join(n, "image_id")
 
 
-@query("fallback_reason")
+REASON = "CASE WHEN num_paths = 0 THEN 'empty' WHEN artwork THEN 'artwork' WHEN num_paths <= 4 AND pixel_ratio < 0.002 THEN 'too few pixels' WHEN num_paths <= 4 AND large_bbox THEN 'blob' END"
+
+
+@query("fallback_reason", f"{COMPONENTS}, {FLAGS} SELECT image_id, num_paths, {REASON} AS fallback_reason FROM f")
 def fallback_reason(s, d):
     return ra.fallback_reason(measured(s, d)).select("image_id", "num_paths", "fallback_reason")
 
@@ -545,14 +632,32 @@ def morphology_close(s, d):
     return ra.morphology(grid(s, d), "close").groupBy("image_id").agg(F.sum("close").alias("total"), F.max("close").alias("top"))
 
 
-@query("axis_coverage")
-def axis_coverage(s, d):
-    return ra.axis_coverage(grid(s, d), 8, 6, 3)
+def cross_sql(first: str, second: str) -> str:
+    """Opening or closing by a cross of three."""
+    near = "p.image_id = q.image_id AND abs(p.y - q.y) + abs(p.x - q.x) <= 1"
+    return f"WITH a AS (SELECT p.image_id, p.y, p.x, {first}(q.gray) AS v FROM {GRID} p JOIN {GRID} q ON {near} GROUP BY ALL) SELECT p.image_id, CAST(p.y AS BIGINT) AS y, CAST(p.x AS BIGINT) AS x, CAST({second}(q.v) AS INT) AS v FROM a p JOIN a q ON {near} GROUP BY p.image_id, p.y, p.x"
+
 
+@query("morphology_cross", cross_sql("max", "min"))
+def morphology_cross(s, d):
+    m = ra.morphology(grid(s, d), "close", shape="cross")
+    return m.select("image_id", F.col("y").cast("bigint").alias("y"), F.col("x").cast("bigint").alias("x"), F.col("close").cast("int").alias("v"))
 
-@query("elongated_centerlines")
+
+@query(
+    "elongated_centerlines",
+    f"""{COMPONENTS}, k AS (SELECT l.* FROM l JOIN t ON l.image_id = t.image_id AND l.label = t.label WHERE area >= 4 AND greatest(width, height) >= 4 AND greatest(width, height) / least(width, height) >= 2 AND area / (width * height) >= 0.3),
+ m AS (SELECT image_id, label, avg(x) AS mx, avg(y) AS my, atan2(2 * covar_pop(x, y), var_pop(x) - var_pop(y)) / 2 AS a FROM k GROUP BY image_id, label),
+ w AS (SELECT k.image_id, k.label, any_value(mx) AS mx, any_value(my) AS my, any_value(a) AS a, min((x - mx) * cos(a) + (y - my) * sin(a)) AS lo, max((x - mx) * cos(a) + (y - my) * sin(a)) AS hi FROM k JOIN m ON k.image_id = m.image_id AND k.label = m.label GROUP BY k.image_id, k.label),
+ r AS (SELECT image_id, label, round(mx + lo * cos(a), 3) + 0 AS x0, round(my + lo * sin(a), 3) + 0 AS y0, round(mx + hi * cos(a), 3) + 0 AS x1, round(my + hi * sin(a), 3) + 0 AS y1 FROM w), u AS (SELECT *, x0 < x1 OR x0 = x1 AND y0 <= y1 AS up FROM r)
+ SELECT image_id, label, CASE WHEN up THEN x0 ELSE x1 END AS x0, CASE WHEN up THEN y0 ELSE y1 END AS y0, CASE WHEN up THEN x1 ELSE x0 END AS x1, CASE WHEN up THEN y1 ELSE y0 END AS y1 FROM u""",
+)
 def elongated_centerlines(s, d):
-    return ra.elongated_centerlines(labelled(s, d), 4, 4, 2.0, 0.3).select("image_id", "label", *(r(c, 3) for c in ("x0", "y0", "x1", "y1")))
+    """The ends in the order of (x, y): which way an axis points is not told."""
+    c = ra.elongated_centerlines(labelled(s, d), 4, 4, 2.0, 0.3)
+    end = lambda k: F.struct((F.round(f"x{k}", 3) + 0.0).alias("x"), (F.round(f"y{k}", 3) + 0.0).alias("y"))
+    c = c.withColumn("a", F.least(end(0), end(1))).withColumn("b", F.greatest(end(0), end(1)))
+    return c.select("image_id", "label", F.col("a.x").alias("x0"), F.col("a.y").alias("y0"), F.col("b.x").alias("x1"), F.col("b.y").alias("y1"))
 
 
 @query("pixel_graph", f"WITH o AS (SELECT image_id, y, x FROM {GRID} g WHERE is_on) SELECT p.image_id, CAST(p.y AS BIGINT) AS y, CAST(p.x AS BIGINT) AS x, count(q.x) AS degree, count(q.x) NOT IN (0, 2) AS is_node FROM o p LEFT JOIN o q ON p.image_id = q.image_id AND abs(p.y - q.y) <= 1 AND abs(p.x - q.x) <= 1 AND (p.y <> q.y OR p.x <> q.x) GROUP BY p.image_id, p.y, p.x")
@@ -565,9 +670,18 @@ def trace_graph_paths(s, d):
     return ra.trace_graph_paths(on(s, d)).groupBy("image_id").agg(F.countDistinct("path_id").alias("num_paths"), F.count("*").alias("points"))
 
 
-@query("skeletonize")
+def skeleton_sql() -> str:
+    """Rounds of erosion by a cross; an image of 8 x 8 is gone after four."""
+    near = "a.image_id = b.image_id AND abs(a.y - b.y) + abs(a.x - b.x) <= 1"
+    steps = [f"e0 AS (SELECT image_id, CAST(y AS BIGINT) AS y, CAST(x AS BIGINT) AS x FROM {GRID} g WHERE is_on)"]
+    steps += [f"e{k} AS (SELECT a.image_id, a.y, a.x FROM e{k - 1} a JOIN e{k - 1} b ON {near} GROUP BY ALL HAVING count(*) = 5)" for k in range(1, 6)]
+    left = [f"(SELECT * FROM e{k} EXCEPT SELECT a.image_id, a.y, a.x FROM e{k} a JOIN e{k + 1} b ON {near})" for k in range(5)]
+    return f"WITH {', '.join(steps)} {' UNION '.join(left)}"
+
+
+@query("skeletonize", skeleton_sql())
 def skeletonize(s, d):
-    return ra.skeletonize(on(s, d)).groupBy("image_id").agg(F.count("*").alias("pixels"))
+    return ra.skeletonize(on(s, d))
 
 
 @query("active_crop", f'SELECT image_id, greatest(0, min(x) - 8) AS "left", greatest(0, min(y) - 8) AS top, least(8, max(x) + 9) AS "right", least(8, max(y) + 9) AS bottom FROM {GRID} g WHERE is_on GROUP BY image_id')
@@ -591,7 +705,12 @@ def probability_mask(s, d):
     return grid(s, d).groupBy("image_id").agg(F.count_if(geom.probability_mask(F.col("value"), 0.55)).alias("pixels"))
 
 
-@query("mask_report")
+@query(
+    "mask_report",
+    f"""{COMPONENTS}, {FLAGS}, w AS (SELECT p.image_id, count_if(p.is_on AND q.is_on) AS tp, count_if(p.is_on AND NOT q.is_on) AS fp, count_if(NOT p.is_on AND q.is_on) AS fn FROM {GRID} p JOIN {TRUTH} u ON p.label = u.label JOIN {GRID} q ON q.image_id = u.t AND q.y = p.y AND q.x = p.x GROUP BY p.image_id)
+ SELECT w.image_id, tp + fp AS clean_pixels, round(CASE WHEN tp + fp = 0 THEN 0 ELSE tp / (tp + fp) END, 4) AS precision, round(CASE WHEN tp + fn = 0 THEN 0 ELSE tp / (tp + fn) END, 4) AS recall, round(CASE WHEN tp + fp + fn = 0 THEN 0 ELSE 2 * tp / (2 * tp + fp + fn) END, 4) AS dice, round(CASE WHEN tp + fp + fn = 0 THEN 0 ELSE tp / (tp + fp + fn) END, 4) AS iou,
+ {REASON} AS fallback_reason, CASE WHEN {REASON} IS NULL THEN 'ml' ELSE 'classical' END AS effective_mode FROM w JOIN f ON w.image_id = f.image_id""",
+)
 def mask_report(s, d):
     return ra.mask_report(on(s, d), truth(s, d), measured(s, d))
 
@@ -750,10 +869,21 @@ def scorecard(s, d):
     return files.scorecard(runs(s, d))
 
 
-@query("run_summary_documents")
+@query(
+    "run_summary_documents",
+    f"""WITH e AS (SELECT *, lag(bx) OVER (PARTITION BY drawing_id ORDER BY path_id) AS lx, lag(b_y) OVER (PARTITION BY drawing_id ORDER BY path_id) AS ly FROM {ENDS} z WHERE n >= 2),
+ m AS (SELECT drawing_id, count(*) AS num_paths, sum(sqrt((ax - coalesce(lx, 0)) * (ax - coalesce(lx, 0)) + (ay - coalesce(ly, 0)) * (ay - coalesce(ly, 0)))) + sum(draw) AS total FROM e GROUP BY drawing_id),
+ p AS (SELECT drawing_id, path_id, n, ax, row_number() OVER (PARTITION BY drawing_id ORDER BY path_id) AS k FROM {ENDS} z)
+ SELECT m.drawing_id, num_paths, floor((total + 0.05) / 10) AS total_cm, count(*) AS shown, CAST(sum(least(n, 5)) AS BIGINT) AS points, arg_min(path_id, k) AS first_path, arg_min(ax, k) AS first_x FROM m JOIN p ON m.drawing_id = p.drawing_id WHERE k <= 3 GROUP BY m.drawing_id, num_paths, total""",
+)
 def run_summary_documents(s, d):
+    """The documents, read again."""
     p = paths(s, d)
-    return files.run_summary_json(p, st.plan_metrics(p))
+    shape = "num_paths bigint, total_mm double, preview array<struct<path_id:bigint,points:array<struct<x:double,y:double>>>>"
+    doc = files.run_summary_json(p, st.plan_metrics(p)).select("drawing_id", F.from_json("summary", shape).alias("s"))
+    points = F.aggregate("s.preview", F.lit(0), lambda a, x: a + F.size(x["points"]))
+    first = F.get("s.preview", F.lit(0))
+    return doc.select("drawing_id", "s.num_paths", F.floor((F.col("s.total_mm") + 0.05) / 10).cast("double").alias("total_cm"), F.size("s.preview").cast("bigint").alias("shown"), points.cast("bigint").alias("points"), first["path_id"].alias("first_path"), F.get(first["points"], F.lit(0))["x"].alias("first_x"))
 
 
 @query("manifest_documents", "SELECT source AS split, count(*) AS pair_count FROM documents GROUP BY source")
