@@ -20,7 +20,9 @@ GRID = """SELECT vec_id AS image_id, label, CAST(i // 8 AS INT) AS y, CAST(i % 8
 
 RUNS = """SELECT CAST(l_suppkey AS VARCHAR(20)) AS image, CASE l_returnflag WHEN 'A' THEN 'classical' ELSE 'ml' END AS vision_mode, CASE l_linestatus WHEN 'F' THEN 'nearest_neighbor' ELSE 'two_opt' END AS path_ordering,
  count(*) AS num_commands, count(DISTINCT l_orderkey) AS num_paths, round(sum(CAST(l_quantity AS DOUBLE)), 2) AS pen_up_distance_mm, round(sum(CAST(l_extendedprice AS DOUBLE)), 2) AS draw_distance_mm,
- CASE WHEN l_suppkey % 5 = 0 THEN NULL ELSE round(avg(CAST(l_discount AS DOUBLE)) * 10, 4) END AS mask_dice
+ CASE WHEN l_suppkey % 5 = 0 THEN NULL ELSE round(avg(CAST(l_discount AS DOUBLE)) * 10, 4) END AS mask_dice, CASE WHEN l_suppkey % 5 = 0 THEN NULL ELSE round(avg(CAST(l_tax AS DOUBLE)) * 10, 4) END AS mask_iou,
+ CASE WHEN l_returnflag = 'R' AND avg(CAST(l_quantity AS DOUBLE)) < 26 THEN 'classical' WHEN l_returnflag = 'A' THEN 'classical' ELSE 'ml' END AS effective_vision_mode,
+ CASE WHEN l_returnflag = 'R' AND avg(CAST(l_quantity AS DOUBLE)) < 25 THEN CASE WHEN count(*) % 2 = 0 THEN 'blob' ELSE 'artwork' END WHEN l_returnflag = 'R' AND avg(CAST(l_quantity AS DOUBLE)) < 26 THEN ' ' END AS fallback_reason
  FROM {lineitem} WHERE l_returnflag IN ('A', 'R') GROUP BY l_suppkey, l_returnflag, l_linestatus"""
 
 OBSERVATIONS = "SELECT l_suppkey AS device, CAST(l_quantity AS DOUBLE) AS commanded, CAST(l_extendedprice AS DOUBLE) / 1000 AS measured FROM {lineitem}"
@@ -28,7 +30,7 @@ OBSERVATIONS = "SELECT l_suppkey AS device, CAST(l_quantity AS DOUBLE) AS comman
 HISTORIES = """SELECT user_id AS run_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts) AS INT) AS epoch, CAST(value AS DOUBLE) AS train_loss, CAST(value AS DOUBLE) AS val_loss FROM {events}"""
 
 IMAGES = "SELECT CAST(doc_id AS VARCHAR(20)) AS stem, concat('images/', CAST(doc_id AS VARCHAR(20)), '.png') AS path, source FROM {documents}"
-MASKS = """SELECT CAST(doc_id AS VARCHAR(20)) AS stem, concat('masks/', CAST(doc_id AS VARCHAR(20)), '.png') AS path FROM {labels} WHERE doc_id % 7 <> 0
+MASKS = """SELECT CAST(doc_id AS VARCHAR(20)) AS stem, concat('masks/', CAST(doc_id AS VARCHAR(20)), '.png') AS path FROM {labels}
  UNION ALL SELECT concat('orphan', CAST(region AS VARCHAR(20))), concat('masks/orphan', CAST(region AS VARCHAR(20)), '.png') FROM (SELECT r_regionkey AS region FROM {region}) o"""
 
 

@@ -35,7 +35,7 @@ def relative_stem(s: Column) -> Column:
 
 
 def dest_stem(prefix: str, relative: Column) -> Column:
-    parts = F.transform(F.split(drop_suffix(relative), "/"), sanitize_stem)
+    parts = F.transform(F.split(drop_suffix(relative), "/"), lambda part: sanitize_stem(part))
     joined = F.array_join(parts, "_")
     return F.concat(F.lit(prefix + "_"), joined) if prefix else joined
 
@@ -60,9 +60,40 @@ def infer_split_from_filename(name: Column) -> Column:
 
 
 def parse_observation(s: Column) -> tuple[Column, Column]:
-    """Both sides of a=b, null unless both are numbers above zero."""
-    a, b = (F.expr(f"try_cast(trim(split_part({{0}}, '=', {i})) AS double)".replace("{0}", "_s")) for i in (1, 2))
-    return a, b
+    """Both sides of ``a=b``; both null unless both are numbers above zero."""
+    parts = F.split(s, "=", 2)
+    a, b = (F.get(parts, F.lit(i)).try_cast("double") for i in (0, 1))
+    good = (a > 0) & (b > 0)
+    return F.when(good, a), F.when(good, b)
+
+
+#: Keys of an object that hold its id, the first that is there counts.
+ID_KEYS = ("id", "image", "image_id", "stem", "name", "file", "filename")
+
+
+def flatten_ids(value: Column, depth: int = 4) -> Column:
+    """Id strings in JSON text, in order: of objects the first of ``ID_KEYS`` or all values, lists and objects nested to ``depth``.
+
+    Nothing is taken from what lies deeper, and nothing from null; text that isn't JSON counts as itself.
+    """
+    raw = F.filter(F.array(F.trim(value)), lambda x: x.isNotNull() & (x != "null") & (x != ""))
+    for _ in range(depth):
+        raw = F.flatten(F.transform(raw, _inside))
+    scalar = lambda x: ~F.substring(x, 1, 1).isin("[", "{")
+    unquoted = lambda x: F.when(x.startswith('"'), F.get_json_object(F.concat(F.lit("["), x, F.lit("]")), "$[0]")).otherwise(x)
+    return F.transform(F.filter(raw, scalar), unquoted)
+
+
+def _inside(x: Column) -> Column:
+    """The JSON texts one level below; a scalar stays itself."""
+    some = lambda xs: F.coalesce(F.filter(xs, lambda y: y.isNotNull() & (y != "null")), F.array().cast("array<string>"))
+    # as variants, values keep their kind: to_json gives back their text
+    items = F.from_json(x, "array<variant>")
+    fields = F.from_json(x, "map<string,variant>")
+    texts = lambda vs: F.transform(vs, lambda v: F.to_json(v))
+    known = F.filter(F.array(*map(F.lit, ID_KEYS)), lambda k: F.map_contains_key(fields, k))
+    own = F.when(F.size(known) > 0, F.array(F.to_json(F.element_at(fields, F.get(known, F.lit(0)))))).otherwise(texts(F.map_values(fields)))
+    return F.when(x.startswith("["), some(texts(items))).when(x.startswith("{"), some(own)).otherwise(F.array(x))
 
 
 def progress_pct(done: Column, wanted: Column) -> Column:
@@ -83,6 +114,11 @@ def run_started_at(run_id: Column) -> Column:
     return F.try_to_timestamp(F.regexp_extract(run_id, r"(\d{8}_\d{6})", 1), F.lit("yyyyMMdd_HHmmss"))
 
 
+def session_id(at: Column) -> Column:
+    """Name of a session from its time."""
+    return F.date_format(at, "yyyyMMdd_HHmmss")
+
+
 def run_label(stem: Column, mode: Column, ordering: Column) -> Column:
     return F.concat_ws("__", stem, mode, ordering)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import SPLITS, dest_stem, infer_split_from_filename, normalize_split_name, relative_stem, tokenize_ids, trimmed_suffix_stem
+from ..functions.text import SPLITS, dest_stem, flatten_ids, infer_split_from_filename, normalize_split_name, relative_stem, tokenize_ids, trimmed_suffix_stem
 
 
 def last_by_path(files: DataFrame) -> DataFrame:
@@ -65,9 +65,15 @@ def import_plan(images: DataFrame, masks: DataFrame, existing: DataFrame, prefix
     return plan_actions(named, existing)
 
 
-def parse_split_assignments(lines: DataFrame) -> DataFrame:
-    """``lines`` (file, file_ord, line_ord, value) to (id, split), the last assignment of an id; see ``split_line_errors``."""
-    return _split_rows(lines).filter("split IS NOT NULL").groupBy("id").agg(F.max(F.struct("file_ord", "line_ord", "split")).getField("split").alias("split"))
+def parse_split_assignments(lines: DataFrame, records: DataFrame | None = None) -> DataFrame:
+    """``lines`` (file, file_ord, line_ord, value) to (id, split), the last assignment of an id; see ``split_line_errors``.
+
+    ``records`` are assignments of JSON lists (file_ord, line_ord, id, split), as ``split_json_rows`` makes them.
+    """
+    rows = _split_rows(lines).filter("split IS NOT NULL").select("file_ord", "line_ord", "id", "split")
+    if records is not None:
+        rows = rows.unionByName(records.filter("split IS NOT NULL").select("file_ord", "line_ord", "id", "split"))
+    return rows.groupBy("id").agg(F.max(F.struct("file_ord", "line_ord", "split")).getField("split").alias("split"))
 
 
 def _split_rows(lines: DataFrame) -> DataFrame:
@@ -81,6 +87,17 @@ def _split_rows(lines: DataFrame) -> DataFrame:
     return rows.select("file", "file_ord", "line_ord", "value", split.alias("split"), F.explode(ids).alias("id"))
 
 
+def split_json_rows(documents: DataFrame) -> DataFrame:
+    """``documents`` (file_ord, value: JSON text) to (file_ord, line_ord, id, split): a dict of split to ids, or a list of records with split."""
+    fields, items = F.from_json("value", "map<string,variant>"), F.from_json("value", "array<variant>")
+    rest = lambda v: F.to_json(F.map_filter(F.from_json(F.to_json(v), "map<string,variant>"), lambda k, _: k != "split"))
+    record = lambda v: F.struct(F.get_json_object(F.to_json(v), "$.split").alias("s"), rest(v).alias("v"))
+    entry = lambda e: F.struct(e["key"].alias("s"), F.to_json(e["value"]).alias("v"))
+    both = F.when(F.trim("value").startswith("["), F.transform(items, record)).otherwise(F.transform(F.map_entries(fields), entry))
+    each = documents.select("file_ord", F.posexplode(both).alias("line_ord", "r"))
+    return each.select("file_ord", "line_ord", F.explode(flatten_ids(F.col("r.v"))).alias("id"), normalize_split_name(F.col("r.s")).alias("split"))
+
+
 def split_line_errors(lines: DataFrame) -> DataFrame:
     """Lines for which no split can be told."""
     return _split_rows(lines).filter("split IS NULL").select("file", "line_ord", "value").distinct()
@@ -92,7 +109,7 @@ def assign_split(items: DataFrame, assignments: DataFrame, default: str = "train
     return out.withColumn("reason", F.when(~F.col("split").isin(*sorted(set(SPLITS.values()))), F.concat(F.lit("unknown split: "), "split")))
 
 
-def exact_ratio_split(rows: DataFrame, key: str, val: float, test: float, seed: int = 42, buckets: int = 256) -> DataFrame:
+def exact_ratio_split(rows: DataFrame, key: str, val: float, test: float, seed: int = 42) -> DataFrame:
     """Rows with split: exactly int(n * test) and int(n * val) keys, the rest train, in the order of md5(seed:key).
 
     The global rank comes from counts by the first two digits of the digest (one small
@@ -134,18 +151,66 @@ def pair_quality(pixels: DataFrame) -> DataFrame:
     return out.withColumn("binary_like", F.col("binary_like_ratio") >= 0.99)
 
 
-def audit_dataset(pairs: DataFrame, quality: DataFrame) -> DataFrame:
-    """One row of counts over pairs (side, mask id) and their quality."""
-    bad = ~F.col("binary_like") | (F.col("white_ratio") <= 0.001) | (F.col("white_ratio") >= 0.999)
-    q = quality.agg(F.count("*").alias("inspected"), F.count_if("exact_binary").alias("exact_binary"), F.count_if("binary_like").alias("binary_like"), F.count_if(bad).alias("suspicious"))
-    p = pairs.agg(F.count_if(F.col("side") == "pair").alias("pairs"), F.count_if(F.col("side") == "image_only").alias("image_only"), F.count_if(F.col("side") == "mask_only").alias("mask_only"))
-    return p.crossJoin(q)  # one row each
+def pair_shapes(images: DataFrame, masks: DataFrame) -> DataFrame:
+    """(image_id, image_shape, mask_shape, same_size) of two dense pixel tables (image_id, y, x); shapes are (height, width)."""
+    shape = lambda df, name: df.groupBy("image_id").agg(F.array((F.max("y") + 1).cast("int"), (F.max("x") + 1).cast("int")).alias(name))
+    return shape(images, "image_shape").join(shape(masks, "mask_shape"), "image_id").withColumn("same_size", F.col("image_shape") == F.col("mask_shape"))
+
+
+SUSPICIOUS = "NOT binary_like OR white_ratio <= 0.001 OR white_ratio >= 0.999"
 
 
-def readiness(audit: DataFrame) -> DataFrame:
-    ready, good = F.col("pairs") > 0, (F.col("pairs") > 0) & (F.col("binary_like") >= F.col("inspected"))
-    step = F.when(~ready, "add pairs").when(F.col("mask_only") + F.col("image_only") > 0, "complete pairs").when(~good, "clean masks").otherwise("train")
-    return audit.select(ready.alias("training_ready"), good.alias("quality_ready"), step.alias("next_step"))
+def audited(images: DataFrame, masks: DataFrame, quality: DataFrame) -> DataFrame:
+    """Pairs and single files (stem, image, mask, side) with the quality of their pair; a pair without one is unreadable.
+
+    ``quality`` has stem, exact_binary, binary_like, white_ratio, same_size.
+    """
+    pairs = match_pairs(images, masks)
+    own = quality.select("stem", "exact_binary", "binary_like", "white_ratio", "same_size", F.lit(True).alias("read"))
+    return pairs.join(own, "stem", "left").withColumn("unreadable", (F.col("side") == "pair") & F.col("read").isNull()).drop("read")
+
+
+def audit_dataset(images: DataFrame, masks: DataFrame, quality: DataFrame) -> DataFrame:
+    """One row of eleven counts over a paired collection."""
+    pair = F.col("side") == "pair"
+    of = lambda c: F.count_if(pair & ~F.col("unreadable") & c)
+    counts = audited(images, masks, quality).agg(
+        F.count_if(pair).alias("pairs"),
+        F.count_if(F.col("side") == "image_only").alias("image_only"),
+        F.count_if(F.col("side") == "mask_only").alias("mask_only"),
+        of(F.lit(True)).alias("inspected"),
+        F.count_if("unreadable").alias("unreadable"),
+        of(F.col("exact_binary")).alias("exact_binary"),
+        of(F.col("binary_like")).alias("binary_like"),
+        of(F.col("same_size")).alias("same_size"),
+        of(F.expr(SUSPICIOUS)).alias("suspicious"),
+    )
+    files = images.agg(F.count("*").alias("image_files")).crossJoin(masks.agg(F.count("*").alias("mask_files")))
+    return files.crossJoin(counts)  # one row each
+
+
+def audit_examples(images: DataFrame, masks: DataFrame, quality: DataFrame, k: int = 10) -> DataFrame:
+    """(kind, stem): the first k stems of what an audit counts as single, suspicious or unreadable."""
+    own = audited(images, masks, quality)
+    rules = {"image_only": "side = 'image_only'", "mask_only": "side = 'mask_only'", "suspicious": f"side = 'pair' AND NOT unreadable AND ({SUSPICIOUS})", "unreadable": "unreadable"}
+    out = None
+    for kind, rule in rules.items():
+        first = own.filter(rule).select(F.lit(kind).alias("kind"), "stem").orderBy("stem").limit(k)
+        out = first if out is None else out.union(first)
+    return out
+
+
+def unreadable_pairs(images: DataFrame, masks: DataFrame, quality: DataFrame) -> DataFrame:
+    """Quarantine: pairs of which no quality could be told."""
+    return audited(images, masks, quality).filter("unreadable").select("stem", "image", "mask")
+
+
+def readiness(audit: DataFrame, checkpoint: bool = False) -> DataFrame:
+    """What a collection is ready for, and the next step: pairs, then clean masks, then a checkpoint."""
+    ready = F.col("pairs") > 0
+    clean = F.col("binary_like") == F.col("pairs")
+    step = F.when(~ready, "add pairs").when(F.col("binary_like") < F.col("pairs"), "clean masks").when(F.lit(not checkpoint), "train").otherwise("infer")
+    return audit.select(ready.alias("training_ready"), (ready & clean & (F.col("unreadable") == 0)).alias("quality_ready"), F.lit(checkpoint).alias("inference_ready"), step.alias("next_step"))
 
 
 def prepare_dataset(sketches: DataFrame, keys: DataFrame, assignments: DataFrame, k: int) -> DataFrame:
@@ -155,9 +220,20 @@ def prepare_dataset(sketches: DataFrame, keys: DataFrame, assignments: DataFrame
     return assign_split(few.withColumn("id", F.col("stem")), assignments).drop("id")
 
 
-def curation_pipeline(images: DataFrame, masks: DataFrame, quality: DataFrame, val: float = 0.1, test: float = 0.1) -> DataFrame:
-    """Pairs, audit and split counts in one summary row."""
-    pairs = match_pairs(images, masks)
-    split = exact_ratio_split(pairs.filter("side = 'pair'").select("stem"), "stem", val, test)
+def curation_pipeline(images: DataFrame, masks: DataFrame, new_images: DataFrame, new_masks: DataFrame, quality: DataFrame, fill: bool = False, val: float = 0.1, test: float = 0.1, prefix: str = "logo") -> DataFrame:
+    """Import, mask fill, audit and split in one summary row.
+
+    New files are matched by tiers and join the collection under their new names; with
+    ``fill`` every image that has no mask gets a draft one, which counts as not read yet.
+    """
+    plan = import_plan(new_images, new_masks, images.select(F.col("path").alias("dest")), prefix)
+    done = plan.agg(*(F.count_if(F.col("action") == a).alias(f"import_{a}") for a in ("copied", "skipped_existing", "failed")))
+    copied = plan.filter("action = 'copied'").select(F.regexp_extract("dest", r"([^/]+)\.[^./]+$", 1).alias("stem"), "dest", F.col("mask"))
+    images = images.select("stem", "path").union(copied.select("stem", "dest"))
+    masks = masks.select("stem", "path").union(copied.select("stem", F.concat(F.lit("masks/"), "stem", F.lit(".png"))))
+    draft = missing_counterparts(images, masks, "masks").select("stem", F.col("expected").alias("path"))
+    filled = draft.filter(F.lit(fill))
+    masks = masks.union(filled)
+    split = exact_ratio_split(match_pairs(images, masks).filter("side = 'pair'").select("stem"), "stem", val, test)
     counts = split.agg(*(F.count_if(F.col("split") == s).alias(s) for s in ("train", "val", "test")))
-    return audit_dataset(pairs, quality).crossJoin(counts)  # one row each
+    return done.crossJoin(filled.agg(F.count("*").alias("filled"))).crossJoin(audit_dataset(images, masks, quality)).crossJoin(counts)  # one row each

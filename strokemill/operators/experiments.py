@@ -23,7 +23,7 @@ def attach_truth(images: DataFrame, masks: DataFrame, suffixes: tuple[str, ...]
 
 def variant_aggregates(runs: DataFrame) -> DataFrame:
     mean = lambda c, n: F.round(F.avg(c), n)
-    return runs.groupBy("vision_mode", "path_ordering").agg(F.count("*").alias("runs"), mean("num_paths", 2).alias("avg_paths"), mean("num_commands", 2).alias("avg_commands"), mean("pen_up_distance_mm", 2).alias("avg_pen_up_mm"), mean("draw_distance_mm", 2).alias("avg_draw_mm"), mean("mask_dice", 4).alias("avg_dice"))
+    return runs.groupBy("vision_mode", "path_ordering").agg(F.count("*").alias("runs"), mean("num_paths", 2).alias("avg_paths"), mean("num_commands", 2).alias("avg_commands"), mean("pen_up_distance_mm", 2).alias("avg_pen_up_mm"), mean("draw_distance_mm", 2).alias("avg_draw_mm"), mean("mask_dice", 4).alias("avg_dice"), mean("mask_iou", 4).alias("avg_iou"))
 
 
 def percent(saved: Column, base: Column) -> Column:
@@ -38,22 +38,44 @@ def last_of(runs: DataFrame, keys: list[str], order: str | None) -> DataFrame:
     return runs.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
 
 
+def effective(runs: DataFrame) -> DataFrame:
+    """``runs`` with effective_vision_mode (where unknown: the mode itself) and fallback_reason (trimmed, empty: null)."""
+    have = runs.columns
+    mode = F.coalesce("effective_vision_mode", "vision_mode") if "effective_vision_mode" in have else F.col("vision_mode")
+    reason = F.trim("fallback_reason") if "fallback_reason" in have else F.lit(None).cast("string")
+    return runs.withColumn("effective_vision_mode", mode).withColumn("fallback_reason", F.when(reason != "", reason))
+
+
 def planning_comparison(runs: DataFrame, base: str = "nearest_neighbor", improved: str = "two_opt", order: str | None = None) -> DataFrame:
-    """(image, vision_mode): pen-up way saved by the better ordering, where both were run."""
-    runs = last_of(runs, ["image", "vision_mode", "path_ordering"], order)
+    """(image, vision_mode): pen-up way saved by the better ordering, where both were run; the mode in effect and a note on fallbacks."""
+    runs = effective(last_of(runs, ["image", "vision_mode", "path_ordering"], order))
     side = lambda v, c: F.max(F.when(F.col("path_ordering") == v, F.col(c)))
-    both = runs.groupBy("image", "vision_mode").agg(side(base, "pen_up_distance_mm").alias("base_mm"), side(improved, "pen_up_distance_mm").alias("improved_mm")).filter("base_mm IS NOT NULL AND improved_mm IS NOT NULL")
+    compared = F.col("path_ordering").isin(base, improved)
+    both = runs.groupBy("image", "vision_mode").agg(
+        side(base, "pen_up_distance_mm").alias("base_mm"),
+        side(improved, "pen_up_distance_mm").alias("improved_mm"),
+        side(base, "effective_vision_mode").alias("base_mode"),
+        side(improved, "effective_vision_mode").alias("improved_mode"),
+        F.array_join(F.sort_array(F.collect_set(F.when(compared, F.col("fallback_reason")))), ", ").alias("reasons"),
+    )
+    both = both.filter("base_mm IS NOT NULL AND improved_mm IS NOT NULL")
     saved = F.col("base_mm") - F.col("improved_mm")
-    return both.withColumn("saved_mm", F.round(saved, 2)).withColumn("saved_pct", percent(saved, F.col("base_mm")))
+    mode = F.when(F.col("base_mode") == F.col("improved_mode"), F.col("base_mode")).otherwise("mixed")
+    fell = (F.col("vision_mode") == "ml") & ((F.col("base_mode") != "ml") | (F.col("improved_mode") != "ml"))
+    note = F.when(fell, F.concat(F.lit("ran as "), "base_mode", F.lit(" and "), "improved_mode", F.when(F.col("reasons") != "", F.concat(F.lit(": "), "reasons")).otherwise("")))
+    return both.select("image", "vision_mode", "base_mm", "improved_mm", F.round(saved, 2).alias("saved_mm"), percent(saved, F.col("base_mm")).alias("saved_pct"), mode.alias("effective_mode"), note.alias("note"))
 
 
 def vision_comparison(runs: DataFrame, base: str = "classical", other: str = "ml", order: str | None = None) -> DataFrame:
-    """(image, path_ordering): other minus base; a dice delta is null if either is."""
-    runs = last_of(runs, ["image", "vision_mode", "path_ordering"], order)
-    cols = ["num_commands", "pen_up_distance_mm", "mask_dice"]
+    """(image, path_ordering): other minus base; a dice delta is null if either is; a note where a run was not of its mode."""
+    runs = effective(last_of(runs, ["image", "vision_mode", "path_ordering"], order))
+    cols = ["num_commands", "pen_up_distance_mm", "mask_dice", "effective_vision_mode", "fallback_reason"]
     a, b = (runs.filter(F.col("vision_mode") == m).select("image", "path_ordering", *(F.col(c).alias(f"{p}_{c}") for c in cols)) for m, p in ((base, "a"), (other, "b")))
     delta = lambda c, n: F.round(F.col(f"b_{c}") - F.col(f"a_{c}"), n)
-    return a.join(b, ["image", "path_ordering"]).select("image", "path_ordering", delta("mask_dice", 4).alias("dice_delta"), (F.col("b_num_commands") - F.col("a_num_commands")).alias("commands_delta"), delta("pen_up_distance_mm", 2).alias("pen_up_delta_mm"))
+    said = lambda p, m, why: F.when(F.col(f"{p}_effective_vision_mode") != m, F.concat(F.lit(f"{m} ran as "), f"{p}_effective_vision_mode", why))
+    why = F.coalesce(F.concat(F.lit(": "), "b_fallback_reason"), F.lit(""))
+    note = F.concat_ws("; ", said("a", base, F.lit("")), said("b", other, why))
+    return a.join(b, ["image", "path_ordering"]).select("image", "path_ordering", delta("mask_dice", 4).alias("dice_delta"), (F.col("b_num_commands") - F.col("a_num_commands")).alias("commands_delta"), delta("pen_up_distance_mm", 2).alias("pen_up_delta_mm"), F.when(note != "", note).alias("note"))
 
 
 def experiment_totals(runs: DataFrame) -> DataFrame:

@@ -28,6 +28,23 @@ def calibration_patterns(devices: DataFrame) -> DataFrame:
     return each.select("device", "pattern", "seq", "c.cmd", "c.x", "c.y", "c.speed")
 
 
+def square_actions(devices: DataFrame, mm_per_unit: float = 10.0) -> DataFrame:
+    """(device, seq, op, value) for ``devices`` (device, size): a square by movements alone, pen down, four sides and the turns between."""
+    side = F.col("size") / mm_per_unit
+    row = lambda op, v=None: F.struct(F.lit(op).alias("op"), (F.lit(None) if v is None else v).cast("double").alias("value"))
+    steps = [row("PU"), row("PD"), row("ST", side)] + [x for _ in range(3) for x in (row("TR", F.lit(90.0)), row("ST", side))] + [row("PU")]
+    return devices.select("device", F.posexplode(F.array(*steps)).alias("seq", "a")).select("device", "seq", "a.op", "a.value")
+
+
+def square_from_pose(devices: DataFrame) -> DataFrame:
+    """(device, corner, x, y) for ``devices`` (device, x, y, heading, size): corners of a square that begins at a pose and turns left; y points down."""
+    a = F.radians("heading")
+    fx, fy, lx, ly = F.cos(a), -F.sin(a), -F.sin(a), -F.cos(a)
+    at = lambda i, j: F.struct((F.col("x") + F.col("size") * (i * fx + j * lx)).alias("x"), (F.col("y") + F.col("size") * (i * fy + j * ly)).alias("y"))
+    corners = F.array(at(0, 0), at(1, 0), at(1, 1), at(0, 1), at(0, 0))
+    return devices.select("device", F.posexplode(corners).alias("corner", "p")).select("device", "corner", "p.x", "p.y")
+
+
 def regular_polygon(cx: Column, cy: Column, radius: Column, sides: Column, rotation: Column) -> Column:
     at = lambda i: F.radians(rotation) + i * (2 * math.pi) / sides
     return F.transform(F.sequence(F.lit(0), sides - 1), lambda i: F.struct(F.bround(cx + radius * F.cos(at(i)), 0).cast("int").alias("x"), F.bround(cy + radius * F.sin(at(i)), 0).cast("int").alias("y")))

@@ -349,6 +349,39 @@ def color_region_predicate(s, d):
     return p.select("p_partkey", geom.color_region_predicate(b, F.col("g"), F.col("r")).alias("colored"), geom.alpha_composite(b, F.lit(255), F.lit(0.25)).alias("blended"))
 
 
+@query(
+    "label_functions",
+    """SELECT o_orderkey, concat_ws('__', o_orderstatus, o_orderpriority, 'two_opt') AS label, CASE WHEN o_orderpriority IN ('1-URGENT') THEN 'verified' WHEN contains(lower(o_orderpriority), 'high') OR contains(lower(o_orderpriority), 'low') THEN 'experimental' ELSE 'other' END AS tier, strftime(o_orderdate, '%Y%m%d_%H%M%S') AS session,
+ o_orderdate::TIMESTAMP AS started, CASE WHEN o_orderkey % 10 > 0 AND o_orderstatus = 'O' THEN round(60.0::DOUBLE / (o_orderkey % 10) * (10 - o_orderkey % 10), 3) END AS eta FROM orders""",
+)
+def label_functions(s, d):
+    k = F.col("o_orderkey")
+    o = fx.read(s, d, "orders").withColumn("session", text.session_id(F.col("o_orderdate")))
+    started = text.run_started_at(F.concat(F.lit("run_"), "session", F.lit("_x"))).cast("timestamp_ntz")
+    eta = text.eta_seconds(F.lit(60.0), k % 10, F.lit(10), F.col("o_orderstatus") == "O")
+    return o.select("o_orderkey", text.run_label(F.col("o_orderstatus"), F.col("o_orderpriority"), F.lit("two_opt")).alias("label"), text.artifact_tier(F.col("o_orderpriority"), ["1-URGENT"], ["high", "low"]).alias("tier"), "session", started.alias("started"), F.round(eta, 3).alias("eta"))
+
+
+@query("parse_observation", "SELECT event_id, CASE WHEN value > 0 AND event_id % 4 <> 0 THEN value END AS commanded, CASE WHEN value > 0 AND event_id % 4 <> 0 THEN CAST(event_id % 4 AS DOUBLE) END AS measured FROM events")
+def parse_observation(s, d):
+    e = fx.read(s, d, "events")
+    a, b = text.parse_observation(F.concat(F.col("value").cast("string"), F.lit("="), (F.col("event_id") % 4).cast("string")))
+    return e.select("event_id", a.alias("commanded"), b.alias("measured"))
+
+
+@query("start_pose", "SELECT p_partkey, coalesce(CASE WHEN p_size > 25 THEN p_size::DOUBLE END, p_partkey / 2) AS x, coalesce(CASE WHEN p_size > 40 THEN 1.0::DOUBLE END, greatest(0, p_partkey - 200)::DOUBLE) AS y, 90.0::DOUBLE AS heading FROM part")
+def start_pose(s, d):
+    k = F.col("p_partkey").cast("double")
+    x, y, h = geom.start_pose(F.when(F.col("p_size") > 25, F.col("p_size").cast("double")), F.when(F.col("p_size") > 40, F.lit(1.0)), F.lit(None).cast("double"), k, k)
+    return fx.read(s, d, "part").select("p_partkey", x.alias("x"), y.alias("y"), h.alias("heading"))
+
+
+@query("infer_split", "SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'train' WHEN 1 THEN 'val' WHEN 2 THEN 'test' END AS split FROM part")
+def infer_split(s, d):
+    name = F.get(F.array(*map(F.lit, ("a/photo_TRAIN_list.txt", "valid-ids.csv", "x.testing.tsv", "trainer.txt"))), (F.col("p_size") % 4).cast("int"))
+    return fx.read(s, d, "part").select("p_partkey", text.infer_split_from_filename(name).alias("split"))
+
+
 # ------------------------------------------------------------------ curation
 
 
@@ -361,30 +394,41 @@ def match_pairs(s, d):
 
 
 PARTS_I = "(SELECT DISTINCT p_name AS stem, concat('images/', p_name, '.png') AS path FROM part)"
-PARTS_M = "(SELECT DISTINCT concat(p_name, '_', p_brand) AS stem, concat('masks/', p_name, '_', p_brand, '.png') AS path FROM part WHERE p_partkey % 25 = 0)"
+KIND = "CAST(p_size AS INT) % 5"
+PARTS_M = f"(SELECT DISTINCT CASE {KIND} WHEN 0 THEN p_name WHEN 1 THEN concat('x', p_name) WHEN 2 THEN upper(p_name) WHEN 3 THEN concat(p_name, '_', p_brand) ELSE concat('other ', p_name) END AS stem, CASE {KIND} WHEN 1 THEN concat('images/', upper(p_name), '.tif') ELSE concat('masks/', p_name, p_brand, '.png') END AS path FROM part)"
+TIERED = f"""m AS (SELECT * FROM {PARTS_M} z), m1 AS (SELECT stem, max(path) AS m FROM m GROUP BY stem), m2 AS (SELECT lower(regexp_replace(path, '\\.[^./]+$', '')) AS rel, max(path) AS m FROM m GROUP BY 1),
+ m3 AS (SELECT lower(stem) AS k, min(path) AS m FROM m GROUP BY 1 HAVING count(*) = 1), m4 AS (SELECT lower(regexp_extract(stem, '^(.*)_[^_]*$', 1)) AS k, min(path) AS m FROM m WHERE contains(stem, '_') GROUP BY 1 HAVING count(*) = 1),
+ tiered AS (SELECT i.stem, i.path, coalesce(m1.m, m2.m, m3.m, m4.m) AS mask, CASE WHEN m1.m IS NOT NULL THEN 1 WHEN m2.m IS NOT NULL THEN 2 WHEN m3.m IS NOT NULL THEN 3 WHEN m4.m IS NOT NULL THEN 4 END AS tier FROM {PARTS_I} i LEFT JOIN m1 ON i.stem = m1.stem LEFT JOIN m2 ON lower(concat('images/', i.stem)) = m2.rel LEFT JOIN m3 ON lower(i.stem) = m3.k LEFT JOIN m4 ON lower(i.stem) = m4.k)"""
 
 
 def part_names(s, d):
+    """Images by part name, and masks that hit each tier, or none."""
     p = fx.read(s, d, "part")
-    i = p.select(F.col("p_name").alias("stem"), F.concat(F.lit("images/"), "p_name", F.lit(".png")).alias("path")).distinct()
-    stem = F.concat("p_name", F.lit("_"), "p_brand")
-    return i, p.filter("p_partkey % 25 = 0").select(stem.alias("stem"), F.concat(F.lit("masks/"), stem, F.lit(".png")).alias("path")).distinct()
+    p.createOrReplaceTempView("part_names_of")
+    both = [s.sql(sql.replace("FROM part)", "FROM part_names_of)").strip("()")) for sql in (PARTS_I, PARTS_M)]
+    return both[0], both[1]
 
 
-@query(
-    "match_tiered",
-    f"""WITH m AS (SELECT lower(regexp_extract(stem, '^(.*)_[^_]*$', 1)) AS k, count(*) AS c, min(path) AS mask FROM {PARTS_M} z GROUP BY 1 HAVING count(*) = 1)
- SELECT i.stem, i.path, m.mask, CASE WHEN m.mask IS NOT NULL THEN 4 END AS tier FROM {PARTS_I} i LEFT JOIN m ON lower(i.stem) = m.k""",
-)
+@query("match_tiered", f"WITH {TIERED} SELECT * FROM tiered")
 def match_tiered(s, d):
     return cu.match_tiered(*part_names(s, d))
 
 
-@query("import_plan", f"WITH m AS (SELECT lower(regexp_extract(stem, '^(.*)_[^_]*$', 1)) AS k, min(path) AS mask FROM {PARTS_M} z GROUP BY 1 HAVING count(*) = 1) SELECT CASE WHEN m.mask IS NULL THEN 'failed' ELSE 'copied' END AS action, count(*) AS n FROM {PARTS_I} i LEFT JOIN m ON lower(i.stem) = m.k GROUP BY 1")
+NEW_STEM = "regexp_replace(regexp_replace(regexp_replace(stem, '[^A-Za-z0-9._-]+', '_', 'g'), '^[._]+|[._]+$', '', 'g'), '^$', 'sample')"
+
+
+@query("import_plan", f"WITH {TIERED} SELECT stem, mask, concat('images/logo_', {NEW_STEM}, '.png') AS dest, CASE WHEN mask IS NULL THEN 'failed' WHEN starts_with(stem, 'a') THEN 'skipped_existing' ELSE 'copied' END AS action FROM tiered")
 def import_plan(s, d):
     i, m = part_names(s, d)
-    nothing = i.filter("false").select(F.col("path").alias("dest"))
-    return cu.import_plan(i, m, nothing).groupBy("action").agg(F.count("*").alias("n"))
+    there = i.filter(F.col("stem").startswith("a")).select(F.concat(F.lit("images/logo_"), text.sanitize_stem(F.col("stem")), F.lit(".png")).alias("dest"))
+    return cu.import_plan(i, m, there).select("stem", "mask", "dest", "action")
+
+
+@query("plan_actions_dry", f"SELECT i.stem AS dest, CASE WHEN i.stem LIKE '%9' THEN 'failed' ELSE 'dry_run_generated' END AS action FROM {IMAGES} i")
+def plan_actions_dry(s, d):
+    """Overwriting, as a trial."""
+    wanted = images(s, d).select(F.col("stem").alias("dest"), (~F.col("stem").endswith("9")).alias("ok"))
+    return cu.plan_actions(wanted, masks(s, d).select(F.col("stem").alias("dest")), overwrite=True, dry_run=True).select("dest", "action")
 
 
 @query("match_longest_prefix", "SELECT concat(source, '_', doc_id) AS stem, source AS key FROM documents")
@@ -418,11 +462,30 @@ def split_assignments(s, d):
     return cu.parse_split_assignments(split_lines(s, d))
 
 
-@query("assign_split", "SELECT CAST(doc_id AS VARCHAR) AS id, CASE doc_id % 6 WHEN 1 THEN 'val' WHEN 2 THEN 'test' ELSE 'train' END AS split FROM documents")
+@query("split_json", """SELECT CAST(doc_id AS VARCHAR) AS id, CASE WHEN source < 'src2' THEN 'test' ELSE CASE lang WHEN 'en' THEN 'train' WHEN 'fr' THEN 'val' ELSE 'test' END END AS split FROM documents""")
+def split_json(s, d):
+    """A dict of split to ids for each document, then lists of records, which win for the first sources."""
+    docs = fx.read(s, d, "documents").select(F.col("doc_id").cast("string").alias("i"), "lang", "source")
+    name = F.when(F.col("lang") == "en", "training").when(F.col("lang") == "fr", "dev").otherwise("TEST")
+    dicts = docs.select(F.lit("a.json").alias("file_ord"), F.concat(F.lit('{"'), name, F.lit('": [["'), "i", F.lit('"]], "note": 1}')).alias("value"))
+    lists = docs.filter("source < 'src2'").select(F.lit("b.json").alias("file_ord"), F.concat(F.lit('[{"split": "te", "id": '), "i", F.lit(', "file": "no"}]')).alias("value"))
+    none = s.createDataFrame([], "file string, file_ord string, line_ord int, value string")
+    return cu.parse_split_assignments(none, cu.split_json_rows(dicts.union(lists)))
+
+
+@query("flatten_ids", "SELECT doc_id, n, CASE WHEN n = 2 THEN source ELSE CAST(doc_id AS VARCHAR) END AS id FROM documents CROSS JOIN (SELECT unnest([0, 1, 2]) AS n) z")
+def flatten_ids(s, d):
+    docs = fx.read(s, d, "documents").select("doc_id", F.to_json(F.array(F.struct(F.col("doc_id").alias("stem"), F.lit("x").alias("other")).cast("struct<stem:string,other:string>"))).alias("a"), "source")
+    nested = docs.select("doc_id", F.concat(F.lit('[{"p":'), "a", F.lit(',"q":'), F.col("doc_id").cast("string"), F.lit('},null,"'), "source", F.lit('"]')).alias("v"))
+    return nested.select("doc_id", F.posexplode(text.flatten_ids(F.col("v"))).alias("n", "id"))
+
+
+@query("assign_split", "SELECT CAST(doc_id AS VARCHAR) AS id, CASE WHEN lang = 'en' THEN 'val' WHEN lang = 'fr' THEN 'holdout' ELSE 'train' END AS split, CASE WHEN lang = 'fr' THEN 'unknown split: holdout' END AS reason FROM documents")
 def assign_split(s, d):
-    items = fx.read(s, d, "documents").select("doc_id", F.col("doc_id").cast("string").alias("id"))
-    some = cu.parse_split_assignments(split_lines(s, d)).filter(F.col("id").cast("bigint") % 6 < 3)
-    return cu.assign_split(items, some).select("id", "split")
+    docs = fx.read(s, d, "documents")
+    items = docs.select("doc_id", F.col("doc_id").cast("string").alias("id"))
+    some = docs.filter("lang IN ('en', 'fr')").select(F.col("doc_id").cast("string").alias("id"), F.when(F.col("lang") == "en", "val").otherwise("holdout").alias("split"))
+    return cu.assign_split(items, some).select("id", "split", "reason")
 
 
 @query("exact_ratio_split", "WITH o AS (SELECT doc_id, row_number() OVER (ORDER BY md5(concat('42:', doc_id)), doc_id) - 1 AS k, count(*) OVER () AS n FROM documents) SELECT doc_id, CASE WHEN k >= n - CAST(floor(n * 0.1::DOUBLE) AS BIGINT) THEN 'test' WHEN k >= n - CAST(floor(n * 0.1::DOUBLE) AS BIGINT) - CAST(floor(n * 0.2::DOUBLE) AS BIGINT) THEN 'val' ELSE 'train' END AS split FROM o")
@@ -450,34 +513,77 @@ def pair_quality(s, d):
     return q.drop("unique_values_preview").withColumn("unique_value_count", F.col("unique_value_count").cast("bigint"))
 
 
-AUDIT = f"""(SELECT (SELECT count(*) FROM (SELECT DISTINCT stem FROM {IMAGES} i) a JOIN (SELECT DISTINCT stem FROM {MASKS} m) b ON a.stem = b.stem) AS pairs, (SELECT count(DISTINCT stem) FROM {IMAGES} i WHERE stem NOT IN (SELECT stem FROM {MASKS} m)) AS image_only, (SELECT count(DISTINCT stem) FROM {MASKS} m WHERE stem NOT IN (SELECT stem FROM {IMAGES} i)) AS mask_only,
- (SELECT count(*) FROM {QUALITY} q) AS inspected, (SELECT count_if(exact) FROM {QUALITY} q) AS exact_binary, (SELECT count_if(round(1 - grey / n, 4) >= 0.99) FROM {QUALITY} q) AS binary_like, (SELECT count_if(round(1 - grey / n, 4) < 0.99 OR round(white / n, 4) <= 0.001 OR round(white / n, 4) >= 0.999) FROM {QUALITY} q) AS suspicious)"""
+@query("pair_shapes", f"SELECT image_id, [8, 8] AS image_shape, [CAST(h AS INT), 8] AS mask_shape, h = 8 AS same_size FROM (SELECT image_id, max(y) + 1 AS h FROM {GRID} g WHERE label > 2 OR y < 6 GROUP BY image_id) z")
+def pair_shapes(s, d):
+    g = grid(s, d)
+    return cu.pair_shapes(g, g.filter("label > 2 OR y < 6"))
+
+
+#: The masks of documents are the images of like number; documents without one are unreadable pairs.
+SHAPED = f"(SELECT CAST(q.image_id AS VARCHAR) AS stem, exact, white > 20 AS binary_like, round(white / n, 4) AS white_ratio, label > 2 AS same_size FROM {QUALITY} q JOIN embeddings e ON e.vec_id = q.image_id WHERE white > 8)"
+SUSPECT = "(NOT binary_like OR white_ratio <= 0.001 OR white_ratio >= 0.999)"
+
+
+def audit_sql(i: str, m: str) -> str:
+    return f"""(SELECT *, (SELECT count(*) FROM {i} x) AS image_files, (SELECT count(*) FROM {m} x) AS mask_files FROM (SELECT count_if(side = 'pair') AS pairs, count_if(side = 'image_only') AS image_only, count_if(side = 'mask_only') AS mask_only, count_if(side = 'pair' AND exact IS NOT NULL) AS inspected, count_if(side = 'pair' AND exact IS NULL) AS unreadable,
+ count_if(side = 'pair' AND exact) AS exact_binary, count_if(side = 'pair' AND binary_like) AS binary_like, count_if(side = 'pair' AND same_size) AS same_size, count_if(side = 'pair' AND {SUSPECT}) AS suspicious FROM {sides_sql(i, m)} z))"""
 
 
-def audit(s, d):
-    return cu.audit_dataset(cu.match_pairs(images(s, d), masks(s, d)), cu.pair_quality(grid(s, d).select("image_id", F.col("gray").alias("v"))))
+def sides_sql(i: str, m: str) -> str:
+    return f"(SELECT coalesce(a.stem, b.stem) AS stem, CASE WHEN b.stem IS NULL THEN 'image_only' WHEN a.stem IS NULL THEN 'mask_only' ELSE 'pair' END AS side, q.* EXCLUDE (stem) FROM (SELECT DISTINCT stem FROM {i} x) a FULL JOIN (SELECT DISTINCT stem FROM {m} x) b ON a.stem = b.stem LEFT JOIN {SHAPED} q ON q.stem = coalesce(a.stem, b.stem))"
+
+
+AUDIT, SIDES = audit_sql(IMAGES, MASKS), sides_sql(IMAGES, MASKS)
+
+
+def quality(s, d):
+    """Quality by stem; an image with more than 20 white pixels counts as like a mask, one with 8 or less as unreadable."""
+    q = cu.pair_quality(grid(s, d).select("image_id", F.col("gray").alias("v")))
+    labels = fx.read(s, d, "embeddings").select(F.col("vec_id").alias("image_id"), (F.col("label") > 2).alias("same_size"))
+    white = F.round(F.col("white_ratio") * 64)
+    return q.join(labels, "image_id").filter(white > 8).select(F.col("image_id").cast("string").alias("stem"), "exact_binary", (white > 20).alias("binary_like"), "white_ratio", "same_size")
 
 
 @query("audit_dataset", f"SELECT * FROM {AUDIT} z")
 def audit_dataset(s, d):
-    return audit(s, d)
+    return cu.audit_dataset(images(s, d), masks(s, d), quality(s, d))
+
+
+@query("audit_examples", " UNION ALL ".join(f"(SELECT '{kind}' AS kind, stem FROM {SIDES} z WHERE {rule} ORDER BY stem LIMIT 10)" for kind, rule in (("image_only", "side = 'image_only'"), ("mask_only", "side = 'mask_only'"), ("suspicious", f"side = 'pair' AND {SUSPECT}"), ("unreadable", "side = 'pair' AND exact IS NULL"))))
+def audit_examples(s, d):
+    return cu.audit_examples(images(s, d), masks(s, d), quality(s, d))
 
 
-@query("readiness", f"SELECT pairs > 0 AS training_ready, pairs > 0 AND binary_like >= inspected AS quality_ready, CASE WHEN pairs = 0 THEN 'add pairs' WHEN mask_only + image_only > 0 THEN 'complete pairs' WHEN binary_like < inspected THEN 'clean masks' ELSE 'train' END AS next_step FROM {AUDIT} z")
+@query("unreadable_pairs", f"SELECT stem, concat('images/', stem, '.png') AS image, concat('masks/', stem, '.png') AS mask FROM {SIDES} z WHERE side = 'pair' AND exact IS NULL")
+def unreadable_pairs(s, d):
+    return cu.unreadable_pairs(images(s, d), masks(s, d), quality(s, d))
+
+
+@query("readiness", f"SELECT pairs > 0 AS training_ready, pairs > 0 AND binary_like = pairs AND unreadable = 0 AS quality_ready, true AS inference_ready, CASE WHEN pairs = 0 THEN 'add pairs' WHEN binary_like < pairs THEN 'clean masks' ELSE 'infer' END AS next_step FROM {AUDIT} z")
 def readiness(s, d):
-    return cu.readiness(audit(s, d))
+    return cu.readiness(audit_dataset(s, d), checkpoint=True)
 
 
-@query("prepare_dataset", "SELECT concat(source, '_', doc_id) AS stem, source AS key, 'train' AS split FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY concat(source, '_', doc_id)) AS k FROM documents) z WHERE k <= 5")
+@query("prepare_dataset", "SELECT concat(source, '_', doc_id) AS stem, source AS key, CASE WHEN lang = 'en' THEN 'val' WHEN lang = 'fr' THEN 'holdout' ELSE 'train' END AS split, CASE WHEN lang = 'fr' THEN 'unknown split: holdout' END AS reason FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY concat(source, '_', doc_id)) AS k FROM documents) z WHERE k <= 5")
 def prepare_dataset(s, d):
-    docs = fx.read(s, d, "documents")
-    nothing = cu.parse_split_assignments(split_lines(s, d)).filter("false")
-    return cu.prepare_dataset(docs.select(F.concat_ws("_", "source", "doc_id").alias("stem")), docs.select(F.col("source").alias("key")).distinct(), nothing, 5).select("stem", "key", "split")
+    docs = fx.read(s, d, "documents").withColumn("stem", F.concat_ws("_", "source", "doc_id"))
+    some = docs.filter("lang IN ('en', 'fr')").select(F.col("stem").alias("id"), F.when(F.col("lang") == "en", "val").otherwise("holdout").alias("split"))
+    return cu.prepare_dataset(docs.select("stem"), docs.select(F.col("source").alias("key")).distinct(), some, 5).select("stem", "key", "split", "reason")
+
 
+COPIED = f"(SELECT concat('logo_', {NEW_STEM}) AS stem FROM (WITH {TIERED} SELECT stem FROM tiered WHERE mask IS NOT NULL) y)"
+ALL_I = f"(SELECT stem FROM {IMAGES} i UNION ALL SELECT stem FROM {COPIED} c)"
+ALL_M = f"(SELECT stem FROM {MASKS} i UNION ALL SELECT stem FROM {COPIED} c)"
+FILLED = f"(SELECT stem FROM {ALL_M} k UNION ALL SELECT stem FROM {ALL_I} k WHERE stem NOT IN (SELECT stem FROM {ALL_M} h))"
 
-@query("curation_pipeline", f"SELECT *, pairs - CAST(floor(pairs * 0.1::DOUBLE) AS BIGINT) * 2 AS train, CAST(floor(pairs * 0.1::DOUBLE) AS BIGINT) AS val, CAST(floor(pairs * 0.1::DOUBLE) AS BIGINT) AS test FROM {AUDIT} z")
+
+@query(
+    "curation_pipeline",
+    f"""SELECT z.*, (SELECT count(*) FROM {COPIED} c) AS import_copied, CAST(0 AS BIGINT) AS import_skipped_existing, (WITH {TIERED} SELECT count(*) FROM tiered WHERE mask IS NULL) AS import_failed, (SELECT count(*) FROM {FILLED} f) - (SELECT count(*) FROM {ALL_M} f) AS filled,
+ pairs - CAST(floor(pairs * 0.1::DOUBLE) AS BIGINT) * 2 AS train, CAST(floor(pairs * 0.1::DOUBLE) AS BIGINT) AS val, CAST(floor(pairs * 0.1::DOUBLE) AS BIGINT) AS test FROM {audit_sql(ALL_I, FILLED)} z""",
+)
 def curation_pipeline(s, d):
-    return cu.curation_pipeline(images(s, d), masks(s, d), cu.pair_quality(grid(s, d).select("image_id", F.col("gray").alias("v"))))
+    return cu.curation_pipeline(images(s, d), masks(s, d), *part_names(s, d), quality(s, d), fill=True)
 
 
 # ------------------------------------------------------------------ raster masks
@@ -740,7 +846,7 @@ def run_metrics(s, d):
     return out
 
 
-@query("variant_aggregates", f"SELECT vision_mode, path_ordering, count(*) AS runs, round(avg(num_paths), 2) AS avg_paths, round(avg(num_commands), 2) AS avg_commands, round(avg(pen_up_distance_mm), 2) AS avg_pen_up_mm, round(avg(draw_distance_mm), 2) AS avg_draw_mm, round(avg(mask_dice), 4) AS avg_dice FROM {RUNS} r GROUP BY vision_mode, path_ordering")
+@query("variant_aggregates", f"SELECT vision_mode, path_ordering, count(*) AS runs, round(avg(num_paths), 2) AS avg_paths, round(avg(num_commands), 2) AS avg_commands, round(avg(pen_up_distance_mm), 2) AS avg_pen_up_mm, round(avg(draw_distance_mm), 2) AS avg_draw_mm, round(avg(mask_dice), 4) AS avg_dice, round(avg(mask_iou), 4) AS avg_iou FROM {RUNS} r GROUP BY vision_mode, path_ordering")
 def variant_aggregates(s, d):
     return ex.variant_aggregates(runs(s, d))
 
@@ -749,12 +855,15 @@ PLANNING = f"(SELECT image, vision_mode, max(CASE WHEN path_ordering = 'nearest_
 SAVED = "round(base_mm - improved_mm, 2) AS saved_mm, CASE WHEN base_mm = 0 THEN 0 ELSE round((base_mm - improved_mm) / base_mm * 100, 2) END AS saved_pct"
 
 
-@query("planning_comparison", f"SELECT image, vision_mode, base_mm, improved_mm, {SAVED} FROM {PLANNING} p")
+MODES = f"(SELECT image, vision_mode, max(CASE WHEN path_ordering = 'nearest_neighbor' THEN effective_vision_mode END) AS bm, max(CASE WHEN path_ordering = 'two_opt' THEN effective_vision_mode END) AS im, string_agg(DISTINCT trim(fallback_reason), ', ' ORDER BY trim(fallback_reason)) FILTER (WHERE trim(fallback_reason) <> '') AS why FROM {RUNS} r GROUP BY image, vision_mode)"
+
+
+@query("planning_comparison", f"SELECT p.image, p.vision_mode, base_mm, improved_mm, {SAVED}, CASE WHEN bm = im THEN bm ELSE 'mixed' END AS effective_mode, CASE WHEN p.vision_mode = 'ml' AND (bm <> 'ml' OR im <> 'ml') THEN concat('ran as ', bm, ' and ', im, CASE WHEN why IS NULL THEN '' ELSE concat(': ', why) END) END AS note FROM {PLANNING} p JOIN {MODES} m ON p.image = m.image AND p.vision_mode = m.vision_mode")
 def planning_comparison(s, d):
     return ex.planning_comparison(runs(s, d))
 
 
-VISION = f"(SELECT a.image, a.path_ordering, round(b.mask_dice - a.mask_dice, 4) AS dice_delta, b.num_commands - a.num_commands AS commands_delta, round(b.pen_up_distance_mm - a.pen_up_distance_mm, 2) AS pen_up_delta_mm FROM {RUNS} a JOIN {RUNS} b ON a.image = b.image AND a.path_ordering = b.path_ordering AND a.vision_mode = 'classical' AND b.vision_mode = 'ml')"
+VISION = f"(SELECT a.image, a.path_ordering, round(b.mask_dice - a.mask_dice, 4) AS dice_delta, b.num_commands - a.num_commands AS commands_delta, round(b.pen_up_distance_mm - a.pen_up_distance_mm, 2) AS pen_up_delta_mm, CASE WHEN b.effective_vision_mode <> 'ml' THEN concat('ml ran as ', b.effective_vision_mode, CASE WHEN trim(b.fallback_reason) <> '' THEN concat(': ', trim(b.fallback_reason)) ELSE '' END) END AS note FROM {RUNS} a JOIN {RUNS} b ON a.image = b.image AND a.path_ordering = b.path_ordering AND a.vision_mode = 'classical' AND b.vision_mode = 'ml')"
 
 
 @query("vision_comparison", f"SELECT * FROM {VISION} v")
@@ -844,11 +953,11 @@ def pose_tracker(s, d):
     return p.select("session_id", "seq", "cmd", r("px", 3), r("py", 3), r("heading", 3), "pen_down", r("turn", 3), "lift", r("straight", 2))
 
 
-@query("quarantine", "SELECT k AS error_kind, count(*) AS n FROM (SELECT CASE event_id % 6 WHEN 0 THEN 'bad json' WHEN 1 THEN 'not an object' WHEN 2 THEN 'missing cmd' WHEN 3 THEN 'unknown cmd' WHEN 4 THEN 'too long' END AS k FROM events) z GROUP BY k")
+@query("quarantine", "SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'bad json' WHEN 1 THEN 'not an object' WHEN 2 THEN 'missing cmd' WHEN 3 THEN 'unknown cmd' WHEN 4 THEN 'too long' END AS error_kind FROM events")
 def quarantine(s, d):
     bad = F.array(F.lit("{"), F.lit("[]"), F.lit('{"x":1}'), F.lit('{"cmd":"SPIN"}'), F.concat(F.lit('{"cmd":"'), F.repeat(F.lit("M"), 9000), F.lit('"}')), F.lit('{"cmd":"MOVE","x":1,"y":2}'))
-    lines = fx.read(s, d, "events").select(F.get(bad, (F.col("event_id") % 6).cast("int")).alias("value"))
-    return sc.quarantine(lines).groupBy("error_kind").agg(F.count("*").alias("n"))
+    lines = fx.read(s, d, "events").select("event_id", F.get(bad, (F.col("event_id") % 6).cast("int")).alias("value"))
+    return sc.quarantine(lines).select("event_id", "error_kind")
 
 
 @query("command_lines", f"SELECT session_id, CAST(seq AS BIGINT) AS seq, CASE WHEN cmd = 'MOVE' THEN printf('MOVE %.2f %.2f 35.00', floor(x), y) ELSE cmd END AS line FROM {SESS} z")
@@ -874,7 +983,7 @@ def scorecard(s, d):
     f"""WITH e AS (SELECT *, lag(bx) OVER (PARTITION BY drawing_id ORDER BY path_id) AS lx, lag(b_y) OVER (PARTITION BY drawing_id ORDER BY path_id) AS ly FROM {ENDS} z WHERE n >= 2),
  m AS (SELECT drawing_id, count(*) AS num_paths, sum(sqrt((ax - coalesce(lx, 0)) * (ax - coalesce(lx, 0)) + (ay - coalesce(ly, 0)) * (ay - coalesce(ly, 0)))) + sum(draw) AS total FROM e GROUP BY drawing_id),
  p AS (SELECT drawing_id, path_id, n, ax, row_number() OVER (PARTITION BY drawing_id ORDER BY path_id) AS k FROM {ENDS} z)
- SELECT m.drawing_id, num_paths, floor((total + 0.05) / 10) AS total_cm, count(*) AS shown, CAST(sum(least(n, 5)) AS BIGINT) AS points, arg_min(path_id, k) AS first_path, arg_min(ax, k) AS first_x FROM m JOIN p ON m.drawing_id = p.drawing_id WHERE k <= 3 GROUP BY m.drawing_id, num_paths, total""",
+ SELECT m.drawing_id, num_paths, floor((total + 0.005) / 10) AS total_cm, count(*) AS shown, CAST(sum(least(n, 5)) AS BIGINT) AS points, arg_min(path_id, k) AS first_path, arg_min(ax, k) AS first_x FROM m JOIN p ON m.drawing_id = p.drawing_id WHERE k <= 3 GROUP BY m.drawing_id, num_paths, total""",
 )
 def run_summary_documents(s, d):
     """The documents, read again."""
@@ -883,20 +992,54 @@ def run_summary_documents(s, d):
     doc = files.run_summary_json(p, st.plan_metrics(p)).select("drawing_id", F.from_json("summary", shape).alias("s"))
     points = F.aggregate("s.preview", F.lit(0), lambda a, x: a + F.size(x["points"]))
     first = F.get("s.preview", F.lit(0))
-    return doc.select("drawing_id", "s.num_paths", F.floor((F.col("s.total_mm") + 0.05) / 10).cast("double").alias("total_cm"), F.size("s.preview").cast("bigint").alias("shown"), points.cast("bigint").alias("points"), first["path_id"].alias("first_path"), F.get(first["points"], F.lit(0))["x"].alias("first_x"))
+    return doc.select("drawing_id", "s.num_paths", F.floor((F.col("s.total_mm") + 0.005) / 10).cast("double").alias("total_cm"), F.size("s.preview").cast("bigint").alias("shown"), points.cast("bigint").alias("points"), first["path_id"].alias("first_path"), F.get(first["points"], F.lit(0))["x"].alias("first_x"))
 
 
-@query("manifest_documents", "SELECT source AS split, count(*) AS pair_count FROM documents GROUP BY source")
+@query("manifest_documents", "SELECT source AS split, count(*) OVER (PARTITION BY source) AS pair_count, CAST(doc_id AS VARCHAR) AS stem, concat('m/', doc_id) AS mask FROM documents")
 def manifest_documents(s, d):
-    p = fx.read(s, d, "documents").select(F.col("source").alias("split"), F.col("doc_id").cast("string").alias("stem"), F.lit("i").alias("image"), F.lit("m").alias("mask"))
-    doc = files.manifest_documents(p)
-    return doc.select("split", F.get_json_object("document", "$.pair_count").cast("bigint").alias("pair_count"))
+    """The pairs of the documents that the lines make, read again."""
+    p = fx.read(s, d, "documents").select(F.col("source").alias("split"), F.col("doc_id").cast("string").alias("stem"), F.lit("i").alias("image"), F.concat(F.lit("m/"), "doc_id").alias("mask"))
+    lines = F.array_sort(F.collect_list(F.struct("part", "place", "line")))
+    # the documents of this check are put together in one row each; written manifests are not
+    doc = files.manifest_lines(p, rows=100).groupBy("split").agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("doc"))
+    read = doc.select(F.from_json("doc", "split string, seed int, pair_count bigint, pairs array<struct<stem:string,image:string,mask:string>>").alias("d"))
+    return read.select("d.split", "d.pair_count", F.inline("d.pairs")).drop("image")
+
+
+PATTERNS = [("line", 0, [(0, 0), (100, 0)]), ("square", 0, [(0, 0), (100, 0), (100, 100), (0, 100), (0, 0)])]
+PATTERNS += [("pen_gaps", i, [(35 * i, 30), (35 * i + 20, 30)]) for i in range(5)] + [("ruler", i, [(0, 120 + 20 * i), (n, 120 + 20 * i)]) for i, n in enumerate((50, 100, 150))]
+STEPS = [(name, k, j, *row) for name, k, points in PATTERNS for j, row in enumerate([("PEN_UP", None, None, None), ("MOVE", *points[0], 60), ("PEN_DOWN", None, None, None), *(("MOVE", *p, 35) for p in points[1:]), ("PEN_UP", None, None, None)])]
+STEPS_SQL = ", ".join("(" + ", ".join("NULL" if v is None else repr(v) for v in row) + ")" for row in STEPS)
 
 
-@query("calibration_patterns", "SELECT s_suppkey AS device, p AS pattern, n FROM supplier CROSS JOIN (SELECT unnest(['line', 'square', 'pen_gaps', 'ruler']) AS p, unnest([5, 8, 25, 15]) AS n) z")
+@query("calibration_patterns", f"SELECT s_suppkey AS device, pattern, CAST(row_number() OVER (PARTITION BY s_suppkey, pattern ORDER BY k, j) - 1 AS INT) AS seq, cmd, CAST(s_suppkey + x AS DOUBLE) AS x, CAST(20 + y AS DOUBLE) AS y, CAST(speed AS DOUBLE) AS speed FROM supplier CROSS JOIN (VALUES {STEPS_SQL}) z(pattern, k, j, cmd, x, y, speed)")
 def calibration_patterns(s, d):
-    dev = fx.read(s, d, "supplier").select(F.col("s_suppkey").alias("device"), F.lit(20.0).alias("x"), F.lit(20.0).alias("y"), F.lit(100.0).alias("size"))
-    return ge.calibration_patterns(dev).groupBy("device", "pattern").agg(F.count("*").cast("int").alias("n"))
+    dev = fx.read(s, d, "supplier").select(F.col("s_suppkey").alias("device"), F.col("s_suppkey").cast("double").alias("x"), F.lit(20.0).alias("y"), F.lit(100.0).alias("size"))
+    return ge.calibration_patterns(dev)
+
+
+@query(
+    "square_actions",
+    "SELECT s_suppkey AS device, CAST(k AS INT) AS seq, CASE k WHEN 0 THEN 'PU' WHEN 1 THEN 'PD' WHEN 9 THEN 'PU' ELSE CASE k % 2 WHEN 0 THEN 'ST' ELSE 'TR' END END AS op, CASE WHEN k IN (0, 1, 9) THEN NULL WHEN k % 2 = 0 THEN (s_suppkey % 7 + 5)::DOUBLE ELSE 90 END AS value FROM supplier CROSS JOIN (SELECT unnest(range(10)) AS k) z",
+)
+def square_actions(s, d):
+    dev = fx.read(s, d, "supplier").select(F.col("s_suppkey").alias("device"), ((F.col("s_suppkey") % 7 + 5) * 10).cast("double").alias("size"))
+    return ge.square_actions(dev)
+
+
+@query("square_from_pose", "SELECT s_suppkey AS device, CAST(k AS INT) AS corner, round(s_suppkey + 10 * CASE k WHEN 1 THEN cos(a) WHEN 2 THEN cos(a) - sin(a) WHEN 3 THEN -sin(a) ELSE 0 END, 4) + 0 AS x, round(50 - 10 * CASE k WHEN 1 THEN sin(a) WHEN 2 THEN sin(a) + cos(a) WHEN 3 THEN cos(a) ELSE 0 END, 4) + 0 AS y FROM (SELECT *, radians(s_suppkey % 360) AS a FROM supplier) s CROSS JOIN (SELECT unnest(range(5)) AS k) z")
+def square_from_pose(s, d):
+    k = F.col("s_suppkey")
+    dev = fx.read(s, d, "supplier").select(k.alias("device"), k.cast("double").alias("x"), F.lit(50.0).alias("y"), (k % 360).cast("double").alias("heading"), F.lit(10.0).alias("size"))
+    p = ge.square_from_pose(dev)
+    return p.select("device", "corner", (F.round("x", 4) + 0.0).alias("x"), (F.round("y", 4) + 0.0).alias("y"))
+
+
+@query("star_polygon", "SELECT p_partkey, i, CAST(round_even(100 + CASE i % 2 WHEN 0 THEN 50 ELSE 20 END * cos(i * pi() / n), 0) AS INT) AS x, CAST(round_even(100 + CASE i % 2 WHEN 0 THEN 50 ELSE 20 END * sin(i * pi() / n), 0) AS INT) AS y FROM (SELECT p_partkey, p_size % 5 + 3 AS n, unnest(range(2 * (p_size % 5 + 3))) AS i FROM part) z")
+def star_polygon(s, d):
+    p = fx.read(s, d, "part").select("p_partkey", (F.col("p_size") % 5 + 3).cast("int").alias("n"))
+    star = ge.star_polygon(F.lit(100.0), F.lit(100.0), F.lit(50.0), F.lit(20.0), F.col("n"), F.lit(0.0))
+    return p.select("p_partkey", F.posexplode(star).alias("i", "v")).select("p_partkey", F.col("i").cast("bigint").alias("i"), "v.x", "v.y")
 
 
 @query("regular_polygon", "SELECT p_partkey, i, CAST(round_even(100 + 50 * cos(i * 2 * pi() / n), 0) AS INT) AS x, CAST(round_even(100 + 50 * sin(i * 2 * pi() / n), 0) AS INT) AS y FROM (SELECT p_partkey, p_size % 5 + 3 AS n, unnest(range(p_size % 5 + 3)) AS i FROM part) z")
@@ -906,12 +1049,13 @@ def regular_polygon(s, d):
     return p.select("p_partkey", F.posexplode(poly).alias("i", "v")).select("p_partkey", F.col("i").cast("bigint").alias("i"), "v.x", "v.y")
 
 
-@query("sample_plan", "SELECT count(*) AS n, count(DISTINCT k) AS kinds FROM (SELECT doc_id AS k FROM documents WHERE doc_id % 3 = 0) z")
+@query("sample_plan", "SELECT doc_id AS id, printf('s_%05d', doc_id) AS stem, true AS in_range FROM documents WHERE lang <> 'en' AND doc_id < (SELECT count(*) FROM documents)")
 def sample_plan(s, d):
     docs = fx.read(s, d, "documents")
     n = docs.count()
-    have = docs.filter("doc_id % 3 <> 0").select(F.format_string("s_%05d", "doc_id").alias("stem"))
-    return ge.sample_plan(s, n, "s", have).agg(F.count("*").alias("n"), F.countDistinct("stem").alias("kinds"))
+    have = docs.filter("lang = 'en'").select(F.format_string("s_%05d", "doc_id").alias("stem"))
+    p = ge.sample_plan(s, n, "s", have)
+    return p.select("id", "stem", (F.col("size").between(180, 320) & F.col("sides").between(3, 8) & F.col("rotation").between(0, 359)).alias("in_range"))
 
 
 def queries() -> dict:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schemas import COMMAND_JSON, EXPERIMENT, PAIR
@@ -13,14 +16,17 @@ HEADS = ("PEN_UP", "PEN_DOWN", "START", "END", "PING")
 
 def scan_images(spark: SparkSession, folder: str, recursive: bool = False) -> DataFrame:
     """(path, length, stem) of the image files; contents aren't read; a missing folder is empty, and Spark passes over files of no bytes."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(path):
+    try:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
         return spark.createDataFrame([], "path string, length bigint, stem string")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     if not recursive:
-        one_slash = lambda c: F.regexp_replace(c, r"^(\w+):/+", "$1:/")
-        files = files.filter(one_slash(F.regexp_extract("path", r"^(.*)/[^/]*$", 1)) == one_slash(F.lit(fs.makeQualified(path).toString())))
+        # the file's folder ends like the given one, and nothing more lies between
+        tail = re.sub(r"^\w+:/+", "/", folder).rstrip("/")
+        below = F.regexp_replace("path", r"^\w+:/+", "/")
+        files = files.filter(F.regexp_extract(below, r"^(.*)/[^/]*$", 1).endswith(tail))
     kept = files.filter(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(*SUFFIXES))
     return kept.select("path", "length", F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1).alias("stem"))
 
@@ -32,14 +38,34 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return listed.union(doc.filter("pairs IS NULL AND image IS NOT NULL").select("split", "stem", "image", "mask"))
 
 
-def manifest_documents(pairs: DataFrame, seed: int = 42) -> DataFrame:
-    """(split, document): one JSON document for each split; of large splits write the rows by ``partitionBy`` instead."""
-    rows = pairs.groupBy("split").agg(F.count("*").alias("pair_count"), F.array_sort(F.collect_list(F.struct("stem", "image", "mask"))).alias("pairs"))
-    return rows.select("split", F.to_json(F.struct("split", F.lit(seed).alias("seed"), "pair_count", "pairs")).alias("document"))
+def manifest_lines(pairs: DataFrame, seed: int = 42, rows: int = 10_000) -> DataFrame:
+    """(split, part, place, line): the text of one JSON document for each split, line by line.
+
+    A document is a head, one line for each pair in the order of stem, and a tail, so no
+    split is gathered in one row. Ranks come from counts by part of the stem order:
+    ranges of about ``rows`` pairs, within which they are counted by a window.
+    """
+    own = pairs.select("split", "stem", "image", "mask")
+    n = own.count()
+    parts = max(1, -(-n // rows))
+    ranged = own.repartitionByRange(parts, "split", "stem").withColumn("part", F.spark_partition_id())
+    spread = ranged.groupBy("split", "part").agg(F.count("*").alias("c"))
+    # one row for each split and part
+    last = spread.groupBy("split").agg(F.max("part").alias("last"), F.sum("c").alias("pair_count"))
+    w = Window.partitionBy("split", "part").orderBy("stem", "image", "mask")
+    numbered = ranged.withColumn("place", F.row_number().over(w)).join(spread, ["split", "part"]).join(last, "split")
+    comma = F.when((F.col("part") == F.col("last")) & (F.col("place") == F.col("c")), "").otherwise(",")
+    body = numbered.select("split", "part", F.col("place").cast("bigint").alias("place"), F.concat(F.to_json(F.struct("stem", "image", "mask")), comma).alias("line"))
+    begin = F.concat(F.lit('{"split":'), F.to_json(F.struct(F.col("split").alias("s"))).substr(F.lit(6), F.length(F.to_json(F.struct(F.col("split").alias("s")))) - 6), F.lit(f',"seed":{seed},"pair_count":'), F.col("pair_count").cast("string"), F.lit(',"pairs":['))
+    head = last.select("split", F.lit(-1).alias("part"), F.lit(0).cast("bigint").alias("place"), begin.alias("line"))
+    tail = last.select("split", (F.col("last") + 1).alias("part"), F.lit(0).cast("bigint").alias("place"), F.lit("]}").alias("line"))
+    return body.unionByName(head).unionByName(tail)
 
 
 def write_manifest(pairs: DataFrame, folder: str, seed: int = 42) -> None:
-    manifest_documents(pairs, seed).write.partitionBy("split").mode("overwrite").text(folder)
+    """A folder for each split; its files, in the order of their names, are the lines of one document."""
+    lines = manifest_lines(pairs, seed)
+    lines.repartitionByRange("split", "part", "place").sortWithinPartitions("split", "part", "place").select("split", "line").write.partitionBy("split").mode("overwrite").text(folder)
 
 
 def parse_command_lines(lines: DataFrame) -> DataFrame:
@@ -57,10 +83,19 @@ def parse_command_lines(lines: DataFrame) -> DataFrame:
     return out
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, seq, value): lines with their place in the file, however files are cut into splits.
+
+    Spark keeps the order of lines inside a block and names the place where it starts, so
+    a line is placed by (start of its block, place in the block). The place in a block
+    grows with ``monotonically_increasing_id``, which counts rows of one task in order.
+    """
+    return spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")).alias("seq"))
+
+
 def read_commands_text(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(good rows, quarantined rows) of files of command lines; seq is the place in the file."""
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("seq"))
-    parsed = parse_command_lines(lines).drop("block")
+    """(good rows, quarantined rows) of files of command lines; seq (start of block, row) orders the lines of a file."""
+    parsed = parse_command_lines(numbered_lines(spark, path))
     return parsed.filter("error IS NULL").drop("error", "value"), parsed.filter("error IS NOT NULL").select("file", "seq", "value", "error")
 
 
@@ -86,10 +121,19 @@ def write_commands_jsonl(commands: DataFrame, folder: str) -> None:
 
 
 def read_experiments(spark: SparkSession, path: str) -> DataFrame:
+    """The result rows of experiment documents."""
     fields = ", ".join(f"{n}:{t}" for n, t in (f.strip().split(" ") for f in EXPERIMENT.split(",")))
     return spark.read.schema(f"results array<struct<{fields}>>").json(path, multiLine=True).select(F.inline("results"))
 
 
+def read_experiment_summaries(spark: SparkSession, path: str) -> DataFrame:
+    """(file, run_count, image_count, section, row): the rows of each section of the documents' summaries, as JSON text."""
+    doc = spark.read.schema("summary string").json(path, multiLine=True).withColumn("file", F.input_file_name())
+    sections = F.map_filter(F.from_json("summary", "map<string,string>"), lambda _, v: F.trim(v).startswith("["))
+    each = doc.select("file", *(F.get_json_object("summary", f"$.{c}").cast("bigint").alias(c) for c in ("run_count", "image_count")), F.explode(sections).alias("section", "rows"))
+    return each.select("file", "run_count", "image_count", "section", F.explode(F.transform(F.from_json("rows", "array<variant>"), lambda v: F.to_json(v))).alias("row"))
+
+
 def write_report_csv(rows: DataFrame, folder: str, columns: list[str]) -> None:
     rows.select(*columns).write.mode("overwrite").option("header", True).csv(folder)
 
@@ -102,8 +146,6 @@ def scorecard(runs: DataFrame) -> DataFrame:
 
 def run_summary_json(paths: DataFrame, metrics: DataFrame) -> DataFrame:
     """(drawing_id, summary): metrics with two decimals and the first five points of the first three paths."""
-    from pyspark.sql import Window
-
     first = paths.withColumn("_r", F.row_number().over(Window.partitionBy("drawing_id").orderBy("path_id"))).filter("_r <= 3")
     preview = first.groupBy("drawing_id").agg(F.array_sort(F.collect_list(F.struct("path_id", F.slice("points", 1, 5).alias("points")))).alias("preview"))
     two = [F.round(c, 2).alias(c) for c in ("pen_up_mm", "draw_mm", "total_mm")]
@@ -112,11 +154,9 @@ def run_summary_json(paths: DataFrame, metrics: DataFrame) -> DataFrame:
 
 def read_split_files(spark: SparkSession, path: str) -> DataFrame:
     """(file, file_ord, line_ord, value) of text split lists, for ``parse_split_assignments``."""
-    rows = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line_ord"))
-    return rows.withColumn("file_ord", F.col("file"))
+    return numbered_lines(spark, path).select("file", F.col("file").alias("file_ord"), F.col("seq").alias("line_ord"), "value")
 
 
 def read_split_json(spark: SparkSession, path: str) -> DataFrame:
-    """(id, split) of JSON lists of records with split and id."""
-    doc = spark.read.schema("split string, id string, image string, stem string, name string, file string").json(path, multiLine=True)
-    return doc.select(F.coalesce("id", "image", "stem", "name", "file").alias("id"), "split").filter("id IS NOT NULL")
+    """(file_ord, value): whole JSON split lists, for ``split_json_rows``; such lists are small files."""
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file_ord"), "value")
