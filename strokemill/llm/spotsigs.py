@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import join_checked, materialize, read
 
 #: Anchors, common words of the languages of the corpus.
 ANCHORS = ("the", "and", "to", "is", "that", "was", "le", "la", "et", "des", "une", "que", "der", "die", "und", "das", "mit", "el", "los", "en", "una", "por")
@@ -71,27 +71,48 @@ def near_pairs(sets: DataFrame, threshold: float = 0.8) -> DataFrame:
     return once.select(F.col("doc_id").alias("a"), "b", likeness(F.col("sigs"), F.col("sigs_b")).alias("likeness")).filter(F.col("likeness") >= threshold)
 
 
-def with_next(docs: DataFrame, carried: list[str], rows_per_bucket: int = 2000, most: int = 4000) -> DataFrame:
+def ranges(docs: DataFrame, rows: int) -> tuple[DataFrame, Column, int]:
+    """Cells of doc_id in ranges of about ``rows`` rows: a table (cell, bucket, top, up), the cell of a row (null without a doc_id), the table's rows.
+
+    ``top`` is the largest id of the cell's range, ``up`` the range above (of the highest:
+    the lowest). Cells are equally wide and 8 for each range, so their number grows with
+    the rows; ranks come from counts by cell. Rows without a doc_id make the cell -1,
+    which is the lowest range.
+    """
+    n, low, high = docs.agg(F.count("*"), F.min("doc_id"), F.max("doc_id")).first()
+    cells = max(1, 8 * n // rows)
+    low = low or 0
+    width = max(1, -(-((high or 0) - low + 1) // cells))
+    # wider than a bigint: ids may lie anywhere
+    place = F.floor((F.col("doc_id").cast("decimal(20,0)") - F.lit(str(low)).cast("decimal(20,0)")) / F.lit(str(width)).cast("decimal(20,0)")).cast("bigint")
+    own = docs.select("doc_id", F.coalesce(place, F.lit(-1).cast("bigint")).alias("cell"))
+    counts = own.groupBy("cell").agg(F.count("*").alias("c"), F.max("doc_id").alias("most"))
+    # windows over one small row for each cell, then for each range
+    before = F.sum("c").over(Window.partitionBy(F.lit(0)).orderBy("cell")) - F.col("c")
+    placed = counts.withColumn("bucket", F.when(F.col("cell") >= 0, F.floor(before / rows)).otherwise(-1).cast("bigint"))
+    tops = placed.groupBy("bucket").agg(F.max("most").alias("top"))
+    one = Window.partitionBy(F.lit(0))
+    up = F.coalesce(F.lead("bucket").over(one.orderBy("bucket")), F.min("bucket").over(one))
+    table = materialize(placed.select("cell", "bucket").join(tops.withColumn("up", up), "bucket").select("cell", "bucket", "top", "up"), "ranges")
+    return table, place, table.count()
+
+
+def with_next(docs: DataFrame, carried: list[str], rows: int = 20_000) -> DataFrame:
     """Add next_*: the carried columns of the next row by descending doc_id (after the last: the first).
 
-    Rows are dealt to ranges of ids whose upper ends are ids of rows (percentiles). The
-    row at such an end is also a guest in the range above, where it follows the last
-    row, so neighbours meet without one global sort; the largest id is a guest of the
-    lowest range.
+    Rows are dealt to ranges of ids (see ``ranges``). The top row of a range is also a
+    guest in the range above, where it follows the last row, so neighbours meet without
+    one global sort; the largest id is a guest of the lowest range.
     """
-    n, top = docs.agg(F.count("*"), F.max("doc_id")).first()
-    buckets = max(1, min(most, n // rows_per_bucket))
-    cuts = [top]
-    if buckets > 1:
-        cuts = sorted({*docs.agg(F.percentile_approx("doc_id", [i / buckets for i in range(1, buckets)], 100_000)).first()[0], top})
-    ends = F.array(*(F.lit(c).cast("bigint") for c in cuts))
-    last = len(cuts) - 1
-    bucket = F.size(F.filter(ends, lambda c: c < F.col("doc_id")))
-    seat = lambda b, guest: F.struct(b.cast("int").alias("bucket"), F.lit(guest).alias("guest"))
-    seats = F.array_compact(F.array(seat(F.col("_b"), 0), F.when(F.array_contains(ends, F.col("doc_id")) & (F.col("_b") < last), seat(F.col("_b") + 1, 1)), F.when(F.col("doc_id") == F.lit(top), seat(F.lit(0), 2))))
-    dealt = docs.withColumn("_b", bucket).withColumn("_seat", F.explode(seats))
-    order = Window.partitionBy("_seat.bucket").orderBy("_seat.guest", F.desc("doc_id"), "text")
-    return dealt.withColumn("_next", F.lead(F.struct(*carried)).over(order)).filter("_seat.guest = 0").select(*docs.columns, *(F.col(f"_next.{c}").alias(f"next_{c}") for c in carried))
+    table, place, n = ranges(docs, rows)
+    own = docs.withColumn("_cell", F.coalesce(place, F.lit(-1).cast("bigint")))
+    known = table.select(F.col("cell").alias("_cell"), F.col("bucket").alias("_bucket"), F.col("top").alias("_top"), F.col("up").alias("_up"))
+    dealt = join_checked(own, known, "_cell", "inner", 48, n)
+    seat = lambda b, guest: F.struct(F.col(b).alias("bucket"), F.lit(guest).alias("guest"))
+    seats = F.array_compact(F.array(seat("_bucket", 0), F.when(F.col("doc_id").eqNullSafe(F.col("_top")), seat("_up", 1))))
+    order = Window.partitionBy("_seat.bucket").orderBy("_seat.guest", F.desc_nulls_last("doc_id"), "text")
+    both = dealt.withColumn("_seat", F.explode(seats)).withColumn("_next", F.lead(F.struct(*carried)).over(order)).filter("_seat.guest = 0")
+    return both.select(*docs.columns, *(F.col(f"_next.{c}").alias(f"next_{c}") for c in carried))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

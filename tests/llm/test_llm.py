@@ -297,6 +297,66 @@ def test_next_is_by_descending_id(spark):
     assert {r.doc_id: r.next_text for r in got} == {i * 3: str(i - 1 if i else 499) for i in range(500)}
 
 
+def likeness_of(a, b):
+    return 1.0 if not a and not b else len(a & b) / len(a | b)
+
+
+@pytest.mark.parametrize("rows", [7, 20_000])
+def test_every_column_of_spotsigs_is_brute_force(spark, tmp_path, rows, monkeypatch):
+    """Ids from end to end of bigint, repeated and null ones, null, empty, long and equal texts."""
+    rng = random.Random(8)
+    words = ["the", "and", "is", "cat", "dog", "sat", "mat", "river", "été", "😀"]
+    ids = [-(1 << 63), (1 << 63) - 1, None, None, 5, 5, 5] + rng.sample(range(-1000, 1000), 60)
+    given = [(i, None if k % 11 == 0 else " ".join(rng.choices(words, k=rng.choice((0, 1, 3, 30, 200))))) for k, i in enumerate(ids)]
+    given.append((77_777, "the cat " * 2_000))
+    spark.createDataFrame([(*g, "x", 1) for g in given], "doc_id bigint, text string, sigs string, bucket int").repartition(5).write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(spotsigs.with_next, "__defaults__", (rows,))
+    got = spotsigs.query(spark, str(tmp_path)).collect()
+
+    def sigs(text):
+        w = [x for x in re.split(r"[^\w]|_", text.lower()) if x]
+        chains = {(x, *[y for y in w[i:] if y not in spotsigs.ANCHORS][:3]) for i, x in enumerate(w) if x in spotsigs.ANCHORS}
+        chains = {c for c in chains if len(c) > 1}
+        return chains or ({("whole", *w)} if w else set())
+
+    order = sorted(((i, t or "") for i, t in given), key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+    want = []
+    for k, (i, t) in enumerate(order):
+        after = order[(k + 1) % len(order)][1]
+        half = len(t) // 2
+        edited = t[: len(t) - half] + after[:half]
+        want.append((i, len(t), hashlib.sha256(edited.encode()).hexdigest(), round(likeness_of(sigs(t), sigs(edited)), 9), round(likeness_of(sigs(t), sigs(after)), 9)))
+    key = lambda r: (r[0] is None, r[0] or 0, *r[1:])
+    have = [(r.doc_id, r.n_chars, r.edited_sha256, round(r.near_edited, 9), round(r.near_next, 9)) for r in got]
+    assert sorted(have, key=key) == sorted(want, key=key)
+    prints = {}
+    for r in got:
+        prints.setdefault((r.doc_id, r.n_chars), set()).add(r.fingerprint)
+    by_text = {}
+    for i, t in given:
+        by_text.setdefault(t or "", set()).update(prints[i, len(t or "")] if len(prints[i, len(t or "")]) == 1 else set())
+    assert all(len(p) <= 1 for p in by_text.values())
+
+
+def test_spotsigs_of_an_empty_table(spark, tmp_path):
+    spark.createDataFrame([], "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert spotsigs.query(spark, str(tmp_path)).count() == 0
+
+
+def test_near_pairs_are_brute_force(spark):
+    rng = random.Random(3)
+    base = [rng.sample(range(400), rng.choice((1, 4, 10, 40))) for _ in range(25)]
+    sets = [sorted({x if rng.random() > 0.06 else rng.randrange(400) for x in rng.choice(base)}) for _ in range(200)] + [[]]
+    df = spark.createDataFrame(list(enumerate(sets)), "doc_id bigint, sigs array<bigint>")
+    first = {}
+    for i, s in enumerate(sets):
+        first.setdefault(tuple(s), i)
+    names = [(i, set(s)) for s, i in first.items() if s]
+    want = {(i, j) if (len(a), i) < (len(b), j) else (j, i): likeness_of(a, b) for i, a in names for j, b in names if i < j and likeness_of(a, b) >= 0.8}
+    got = {(r.a, r.b): r.likeness for r in spotsigs.near_pairs(df).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
 # -- 5: mixing
 
 
