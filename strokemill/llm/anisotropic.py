@@ -6,7 +6,7 @@ the residual that is parallel to the vector costs ``ETA`` times as much as the r
 because only that part changes the large inner products. For a query, a table of the
 inner products with all codewords is made (two codes together make one table of 256),
 and the codes of a block are scanned through it; the ``RERANK`` best of each block are
-scored exactly, in double precision, on the original vectors.
+scored exactly, in double precision, on the original vectors (floats or doubles).
 
 The codebook is learned from a bounded sample (``SAMPLE`` vectors); every vector is
 indexed. Equal vectors are one class, of which only the smallest ``k + 1`` ids can be
@@ -107,9 +107,9 @@ def indexer(shared):
             for at in range(0, batch.num_rows, INDEX_BLOCK):
                 piece = batch.slice(at, INDEX_BLOCK)
                 ids = piece.column("class").to_numpy()
-                x = piece.column("embedding").flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+                x = piece.column("embedding").flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)  # floats or doubles, as given
                 codes = packed(assign(x.astype(np.float64), book))
-                yield pa.RecordBatch.from_arrays([pa.array([v.tobytes()], pa.binary()) for v in (ids.astype("<i8"), x.astype("<f4"), codes)], names=["ids", "vectors", "codes"])
+                yield pa.RecordBatch.from_arrays([pa.array([v.tobytes()], pa.binary()) for v in (ids.astype("<i8"), x, codes)], names=["ids", "vectors", "codes"])
 
     return work
 
@@ -120,10 +120,10 @@ def query_packer(batches):
             piece = batch.slice(at, QUERY_BLOCK)
             ids = piece.column("class").to_numpy()
             x = piece.column("embedding").flatten().to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([pa.array([v.tobytes()], pa.binary()) for v in (ids.astype("<i8"), x.astype("<f4"))], names=["query_ids", "query_vectors"])
+            yield pa.RecordBatch.from_arrays([pa.array([v.tobytes()], pa.binary()) for v in (ids.astype("<i8"), x)], names=["query_ids", "query_vectors"])
 
 
-def scanner(shared, k: int):
+def scanner(shared, k: int, kind: str):
     book = shared.value
 
     def work(batches):
@@ -132,8 +132,8 @@ def scanner(shared, k: int):
             for row in batch.to_pylist():
                 qid = np.frombuffer(row["query_ids"], "<i8")
                 ids = np.frombuffer(row["ids"], "<i8")
-                q = np.frombuffer(row["query_vectors"], "<f4").reshape(len(qid), -1).astype(np.float64)
-                x = np.frombuffer(row["vectors"], "<f4").reshape(len(ids), -1).astype(np.float64)
+                q = np.frombuffer(row["query_vectors"], kind).reshape(len(qid), -1).astype(np.float64)
+                x = np.frombuffer(row["vectors"], kind).reshape(len(ids), -1).astype(np.float64)
                 codes = np.frombuffer(row["codes"], np.uint8).reshape(len(ids), -1)
                 at = codes.astype(np.intp) + 256 * np.arange(codes.shape[1])
                 tables = np.einsum("qmd,mcd->qmc", parts(q), book).astype(np.float32)
@@ -154,10 +154,15 @@ def scanner(shared, k: int):
     return work
 
 
+def element(vectors: DataFrame) -> str:
+    """float for vectors of floats, double for all others."""
+    return "float" if vectors.schema["embedding"].dataType.elementType.simpleString() == "float" else "double"
+
+
 def usable(vectors: DataFrame) -> DataFrame:
     """(vec_id, embedding) of the vectors that take part, once each."""
     e = F.col("embedding")
-    good = vectors.select("vec_id", e.cast("array<float>").alias("embedding")).filter(F.col("vec_id").isNotNull() & e.isNotNull())
+    good = vectors.select("vec_id", e.cast(f"array<{element(vectors)}>").alias("embedding")).filter(F.col("vec_id").isNotNull() & e.isNotNull())
     good = good.filter(F.forall("embedding", lambda x: x.isNotNull() & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0))
     size = good.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
     return good.filter(F.size("embedding") == (size.d if size else 0)).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
@@ -183,7 +188,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 20) -> DataFrame:
     copies = index.withColumn("group", F.pmod(F.xxhash64("ids"), F.lit(groups))).crossJoin(blocks.select("block"))
     asking = blocks.withColumn("group", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(groups - 1).cast("bigint"))))
     met = copies.repartition("block", "group").join(asking, ["block", "group"]).select("query_ids", "query_vectors", "ids", "vectors", "codes")
-    found = materialize(met.mapInArrow(scanner(book, k), "query_class bigint, class bigint, score double"), "found")
+    found = materialize(met.mapInArrow(scanner(book, k, "<f4" if element(vectors) == "float" else "<f8"), "query_class bigint, class bigint, score double"), "found")
     # a block of queries may have been met by more than one task
     top = found.withColumn("_r", F.row_number().over(Window.partitionBy("query_class").orderBy(F.desc("score"), "class"))).filter(F.col("_r") <= k + 1).drop("_r")
     named = top.join(classes.select("class", "ids"), "class").select("query_class", "score", F.explode("ids").alias("candidate"))

@@ -30,9 +30,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the session; one of our own only where none is set (tests)."""
+    """The shared folder of the session. Where none is set, a local session (tests) gets one of its own; a cluster has to name one."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("strokemill.scratch", None)
     if not base:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="strokemill-")
         spark.conf.set("strokemill.scratch", base)
     return base.rstrip("/")
