@@ -10,7 +10,8 @@ Zones all of whose cues lie in base spans are left out: each candidate there wou
 overlap a base span and be dropped.
 
 The weights maximise the exact conditional likelihood (forward and backward over the
-same segments) on a bounded sample of texts (``SAMPLE`` rows): their base spans, and the
+same segments) on a bounded sample of texts (``SAMPLE`` rows, of each the first
+``SAMPLE_ZONES`` zones): their base spans, and the
 same spans rewritten in ways that the patterns don't know (no plus sign, dots or
 dashes between the groups, "at" and "dot" spelled out) are the labels.
 
@@ -37,8 +38,8 @@ from pyspark.sql import functions as F
 from .common import per_text, pick_sample, read
 
 KINDS = ("email", "ip", "card", "phone")
-#: Texts with a digit or @ that the model is learned from, at most.
-SAMPLE = 500
+#: Texts with a digit or @ that the model is learned from, and zones of each of them, at most.
+SAMPLE, SAMPLE_ZONES = 500, 50
 EPOCHS = 4
 #: Tokens of an entity, at most.
 MAX_TOKENS = 14
@@ -139,6 +140,8 @@ def span_features(text: str, a: int, b: int) -> list[str] | None:
     if at:
         out.append("at")
         out.append(f"ats={min(2, len(AT.findall(s)))}")
+        sides = s[: at.start()].strip(), s[at.end() :].strip()
+        out += [f"{name}={'spaced' if any(c.isspace() for c in x) else 'empty' if not x else 'whole'}" for name, x in zip(("local", "domain"), sides, strict=True)]
         out.append(f"dotted={bool(re.search(r'(?:[.]| dot )[A-Za-z]{2,}$', s))}")
     else:
         out.append("groups=" + "-".join(str(min(len(g), 9)) for g in groups[:6]))
@@ -263,7 +266,7 @@ def train(docs: DataFrame, sample: int = SAMPLE):
         spans = base_spans(r.text)
         for text, gold in ((r.text, spans), rewritten(r.text, spans, rng)):
             gold_at = {(a, b): k for a, b, k in gold}
-            for a, b in zones(text, [])[:50]:
+            for a, b in zones(text, [])[:SAMPLE_ZONES]:
                 lattice = Lattice(text, a, b)
                 if lattice.segments:
                     cuts = lattice.cuts
@@ -302,16 +305,16 @@ def find(text: str | None, model) -> tuple[list[tuple[int, int, int]], list[tupl
         if value >= MARGIN:
             added += spans
     if added:
-        taken = sorted(base)
-        begins, reach = [s[0] for s in taken], list(itertools.accumulate((s[1] for s in taken), max))
+        own = sorted(base)
+        begins, reach = [x[0] for x in own], list(itertools.accumulate((x[1] for x in own), max))
+        kept, over = list(base), 0
         for a, b, kind in sorted(set(added)):
             k = bisect.bisect_left(begins, b)
-            if k and reach[k - 1] > a:
+            if a < over or (k and reach[k - 1] > a):
                 continue
-            taken.append((a, b, kind))
-            taken.sort()
-            begins, reach = [s[0] for s in taken], list(itertools.accumulate((s[1] for s in taken), max))
-        return base, sorted(taken, key=lambda s: (s[0], s[2], s[1]))
+            kept.append((a, b, kind))
+            over = b
+        return base, sorted(kept, key=lambda x: (x[0], x[2], x[1]))
     return base, base
 
 

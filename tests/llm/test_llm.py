@@ -123,6 +123,19 @@ def test_toxicity_learns_a_word(spark):
     assert np.mean([(r.toxicity >= 0.5) == bool(r.toxic) for r in got]) > 0.97
 
 
+def test_toxicity_held_out(spark):
+    """AUC and F1 of the query on the labelled rows that it doesn't learn from."""
+    sf = "/root/testdata/sf0.1"
+    y = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").filter("toxic IS NOT NULL").collect()}
+    got = {r.doc_id: r for r in toxicity.query(spark, sf).filter("held_out").collect() if r.doc_id in y}
+    pos = [r.score for i, r in got.items() if y[i] == 1]
+    neg = [r.score for i, r in got.items() if y[i] == 0]
+    auc = np.mean([(p > n) + 0.5 * (p == n) for p in pos for n in neg])
+    tp = sum(r.predicted for i, r in got.items() if y[i] == 1)
+    f1 = 2 * tp / (len(pos) + sum(r.predicted for r in got.values()))
+    assert len(pos) > 20 and auc > 0.95 and f1 > 0.8, (len(pos), auc, f1)
+
+
 # -- 7: personal data
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -159,6 +172,30 @@ def test_pii_on_documents(spark, documents, awkward):
     assert all(not plain_base(r.text) for r in masked.collect())
 
 
+def test_pii_adds_what_the_patterns_miss(spark):
+    """Held-out texts with their spans rewritten in ways the model is trained on: recall by kind, and what is added elsewhere."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    learn, held = docs.filter("crc32(string(doc_id)) % 2 = 0"), docs.filter("crc32(string(doc_id)) % 2 = 1").collect()
+    model = pii.train(learn)
+    rng = random.Random(11)
+    hit, of, extra, texts = {k: 0 for k in range(4)}, {k: 0 for k in range(4)}, 0, 0
+    for r in held:
+        base = pii.base_spans(r.text or "")
+        text, gold = pii.rewritten(r.text or "", base, rng)
+        plain = set(pii.base_spans(text))
+        found = set(pii.find(text, model)[1])
+        for span in gold:
+            if span not in plain:
+                of[span[2]] += 1
+                hit[span[2]] += span in found
+        extra += len(found - plain - set(gold))
+        texts += 1
+    rate = {pii.KINDS[k]: (hit[k], of[k]) for k in of}
+    assert of[0] >= 5 and hit[0] >= 0.8 * of[0] and of[3] > 5 and hit[3] >= 0.8 * of[3], rate
+    assert {pii.find(t, model)[1][-1][:2] == (t.index(x), t.index(x) + len(x)) for t, x in (("write to jane [at] example.com today", "jane [at] example.com"), ("call (415) 555-2671 now", "(415) 555-2671"))} == {True}
+    assert extra <= 0.01 * texts, (extra, texts)
+
+
 # -- 8: Jaccard join
 
 
@@ -273,6 +310,36 @@ def test_search_recall_and_ties(spark):
     assert set(by) == set(range(0, 600, 20)) and np.mean(recall) >= 0.9
 
 
+def test_search_scores_doubles_and_repeated_rows(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(80, 6)) + 1e-9 * rng.normal(size=(80, 6))
+    rows = [(i, v.tolist(), "x") for i, v in enumerate(x)] + [(3, x[3].tolist(), "y"), (None, x[0].tolist(), "z")]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, class string")
+    got = anisotropic.nearest(df, F.col("vec_id") % 20 == 0, 5).collect()
+    assert len(got) == 20 and len({(r.query_id, r.vec_id) for r in got}) == 20
+    assert all(abs(r.score - float((x[r.query_id] * x[r.vec_id]).sum())) < 1e-13 for r in got)
+    for q in range(0, 80, 20):
+        s = x @ x[q]
+        want = [int(i) for i in np.lexsort((np.arange(80), -s)) if i != q][:5]
+        assert [r.vec_id for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q] == want
+    assert anisotropic.nearest(df.filter("false"), F.lit(True), 5).count() == 0
+    assert anisotropic.nearest(df.filter("vec_id = 3"), F.lit(True), 5).count() == 0
+
+
+def test_search_recall_on_the_given_vectors(spark):
+    e = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    rows = e.select("vec_id", "embedding").collect()
+    ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], float)
+    by = {}
+    for r in anisotropic.query(spark, "/root/testdata/sf0.01").collect():
+        by.setdefault(r.query_id, set()).add(r.vec_id)
+    hit = []
+    for k in np.flatnonzero(ids % 20 == 0):
+        s = x @ x[k]
+        hit.append(len(by[ids[k]] & {ids[i] for i in [j for j in np.lexsort((ids, -s)) if j != k][:20]}) / 20)
+    assert np.mean(hit) >= 0.95
+
+
 # -- 4: spot signatures
 
 
@@ -371,6 +438,56 @@ def test_mix_meets_budget_and_limit(spark, documents):
     assert max(b / a for a, b in by.values()) <= 2.0
 
 
+def flattest(tokens, budget, max_repeats):
+    """Brute force: the smallest exponent for which no source is taken more than max_repeats times."""
+    p = np.array([t for t in tokens if t], float) / sum(tokens)
+
+    def passes(a):
+        w = p**a / (p**a).sum()
+        return (w / p).max() / (w / p).min() if budget is None else (budget * w / (p * sum(tokens))).max()
+
+    low, high = 0.0, 1.0
+    if passes(low) <= max_repeats:
+        return low
+    for _ in range(60):
+        mid = (low + high) / 2
+        low, high = (low, mid) if passes(mid) <= max_repeats else (mid, high)
+    return high
+
+
+@pytest.mark.parametrize(("part", "repeats", "entropy"), [(1.0, 2.0, None), (None, 1.25, None), (0.4, 1.5, None), (1.0, None, 0.9), (2.5, None, 0.97)])
+def test_mix_is_brute_force(spark, documents, part, repeats, entropy):
+    """Exponent, weights, budgets and, by document, how often it is taken."""
+    skewed = documents.withColumn("source", F.expr("CASE WHEN doc_id % 3 = 0 THEN 'hot' ELSE source END"))
+    rows = skewed.select("doc_id", "text", "source").collect()
+    tokens = {}
+    for r in rows:
+        tokens[r.source] = tokens.get(r.source, 0) + len(re.findall(r"\S+", r.text or "", re.A))
+    total = sum(tokens.values())
+    budget = None if part is None else part * total
+    got = mixing.mix(skewed, budget, max_repeats=repeats, min_entropy=entropy).collect()
+    p = {s: t / total for s, t in tokens.items()}
+    w = {r.source: r.weight for r in got}
+    assert abs(sum(w.values()) - 1) < 1e-9
+    big, small = max(p, key=p.get), min(p, key=p.get)
+    alpha = np.log(w[big] / w[small]) / np.log(p[big] / p[small])
+    assert all(abs(w[s] - p[s] ** alpha / sum(x**alpha for x in p.values())) < 1e-9 for s in p)
+    if repeats:
+        assert abs(alpha - flattest(list(tokens.values()), budget, repeats)) < 1e-6
+    else:
+        entropy_of = lambda a: -sum(x * np.log(x) for x in (np.array(list(p.values())) ** a / (np.array(list(p.values())) ** a).sum()))
+        assert entropy_of(alpha) >= entropy * np.log(len(p)) - 1e-9
+        assert alpha > 1 - 1e-6 or entropy_of(alpha + 1e-5) < entropy * np.log(len(p))
+    spend = budget if budget is not None else max(tokens[s] / w[s] for s in w)
+    for s, t in tokens.items():
+        own = [r for r in got if r.source == s]
+        share = int(np.floor(w[s] * spend + 1e-6))
+        taken = sum(r.n_tokens * r.repeats for r in own)
+        # whole passes, and of the last one no more than the budget and all but one document of it
+        assert {r.repeats for r in own} <= {share // t, share // t + 1}
+        assert taken <= share and share - taken <= max(r.n_tokens for r in own)
+
+
 def test_mix_awkward(spark, awkward):
     assert mixing.mix(awkward, 100.0, max_repeats=3.0).count() == len(AWKWARD)
     assert mixing.mix(awkward, 100.0, min_entropy=0.9).count() == len(AWKWARD)
