@@ -97,7 +97,7 @@ def ranges(docs: DataFrame, rows: int) -> tuple[DataFrame, Column, int]:
     return table, place, table.count()
 
 
-def with_next(docs: DataFrame, carried: list[str], rows: int = 20_000) -> DataFrame:
+def with_next(docs: DataFrame, carried: list[str], rows: int = 2000) -> DataFrame:
     """Add next_*: the carried columns of the next row by descending doc_id (after the last: the first).
 
     Rows are dealt to ranges of ids (see ``ranges``). The top row of a range is also a
