@@ -10,9 +10,13 @@ scored exactly, in double precision, on the original vectors (floats or doubles)
 
 The codebook is learned from a bounded sample (``SAMPLE`` vectors); every vector is
 indexed. Equal vectors are one class, of which only the smallest ``k + 1`` ids can be
-among the k nearest, so hot vectors stay small. Queries and index go through the search
-in blocks: a task holds one block of queries and streams a group of index blocks (about
-``GROUP`` vectors), and keeps k + 1 results for each query; the best of all groups stay.
+among the k nearest, so hot vectors stay small. A hash of the id deals the index
+into blocks of about ``INDEX_BLOCK`` vectors and the queries into blocks of about
+``QUERY_BLOCK``, so the result does not depend on how the table is cut into partitions.
+A tile is one block of queries and up to ``TILE`` blocks of the index: one task meets it
+whole, keeps k + 1 results for each query, and the best of all tiles stay. Index blocks
+are shuffled once for each ``QUERY_BLOCK`` queries, queries once for each ``TILE`` blocks;
+the tables score every query against every vector.
 
 Defined cases: vectors that are null, zero, hold null or non-finite components, or are of
 another length than most vectors (ties: the longer) take no part; the query's own id is
@@ -37,9 +41,8 @@ ETA = 2.6
 SWEEPS = 6
 #: Vectors of a block that are scored exactly for each query.
 RERANK = 100
-QUERY_BLOCK, INDEX_BLOCK = 512, 8192
-#: Vectors of the index that one task scans for one block of queries, about.
-GROUP = 16 * INDEX_BLOCK
+#: Vectors of a block, about; blocks of the index in a tile, at most; queries whose tables are made at a time.
+QUERY_BLOCK, INDEX_BLOCK, TILE, CHUNK = 8192, 8192, 8, 512
 
 
 def parts(x: np.ndarray) -> np.ndarray:
@@ -99,57 +102,68 @@ def packed(codes: np.ndarray) -> np.ndarray:
     return (codes[:, ::2] << 4 | codes[:, 1::2]).astype(np.uint8)
 
 
+def block_of(of: int, salt: int):
+    """Number of the block, below ``of``, that a class falls into."""
+    return F.pmod(F.xxhash64("class", F.lit(salt)), F.lit(of))
+
+
+def columns_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and vectors (floats or doubles, as given) of one block, by id."""
+    table = table.select(["class", "embedding"]).combine_chunks()
+    ids = table.column("class").to_numpy().astype("<i8")
+    x = table.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+    order = np.argsort(ids)
+    return ids[order], x[order]
+
+
 def indexer(shared):
     book = shared.value
 
-    def work(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, INDEX_BLOCK):
-                piece = batch.slice(at, INDEX_BLOCK)
-                ids = piece.column("class").to_numpy()
-                x = piece.column("embedding").flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)  # floats or doubles, as given
-                codes = packed(assign(x.astype(np.float64), book))
-                yield pa.RecordBatch.from_arrays([pa.array([v.tobytes()], pa.binary()) for v in (ids.astype("<i8"), x, codes)], names=["ids", "vectors", "codes"])
+    def work(key: tuple, table: pa.Table) -> pa.Table:
+        ids, x = columns_of(table)
+        codes = packed(assign(x.astype(np.float64), book))
+        return pa.table([pa.array([key[0].as_py()], pa.int64()), *(pa.array([v.tobytes()], pa.binary()) for v in (ids, x, codes))], names=["part", "ids", "vectors", "codes"])
 
     return work
 
 
-def query_packer(batches):
-    for batch in batches:
-        for at in range(0, batch.num_rows, QUERY_BLOCK):
-            piece = batch.slice(at, QUERY_BLOCK)
-            ids = piece.column("class").to_numpy()
-            x = piece.column("embedding").flatten().to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([pa.array([v.tobytes()], pa.binary()) for v in (ids.astype("<i8"), x)], names=["query_ids", "query_vectors"])
+def query_packer(key: tuple, table: pa.Table) -> pa.Table:
+    ids, x = columns_of(table)
+    return pa.table([pa.array([key[0].as_py()], pa.int64()), *(pa.array([v.tobytes()], pa.binary()) for v in (ids, x))], names=["block", "query_ids", "query_vectors"])
 
 
 def scanner(shared, k: int, kind: str):
     book = shared.value
 
-    def work(batches):
-        best: dict[bytes, list] = {}
-        for batch in batches:
-            for row in batch.to_pylist():
-                qid = np.frombuffer(row["query_ids"], "<i8")
+    def work(index: pa.Table, queries: pa.Table) -> pa.Table:
+        whom, who, scores = [], [], []
+        for asked in queries.to_pylist():
+            qid = np.frombuffer(asked["query_ids"], "<i8")
+            q_all = np.frombuffer(asked["query_vectors"], kind).reshape(len(qid), -1).astype(np.float64)
+            blocks = []
+            for row in index.select(["ids", "vectors", "codes"]).to_pylist():
                 ids = np.frombuffer(row["ids"], "<i8")
-                q = np.frombuffer(row["query_vectors"], kind).reshape(len(qid), -1).astype(np.float64)
-                x = np.frombuffer(row["vectors"], kind).reshape(len(ids), -1).astype(np.float64)
                 codes = np.frombuffer(row["codes"], np.uint8).reshape(len(ids), -1)
-                at = codes.astype(np.intp) + 256 * np.arange(codes.shape[1])
+                blocks.append((ids, np.frombuffer(row["vectors"], kind).reshape(len(ids), -1), codes.astype(np.intp) + 256 * np.arange(codes.shape[1])))
+            for begin in range(0, len(qid), CHUNK):
+                q = q_all[begin : begin + CHUNK]
                 tables = np.einsum("qmd,mcd->qmc", parts(q), book).astype(np.float32)
                 pairs = (tables[:, ::2, :, None] + tables[:, 1::2, None, :]).reshape(len(q), -1)
-                kept = best.setdefault(row["query_ids"], [(np.zeros(0), np.zeros(0, np.int64))] * len(qid))
-                for i in range(len(qid)):
-                    some = np.arange(len(ids))
-                    if len(ids) > RERANK:
-                        some = np.argpartition(pairs[i].take(at).sum(1), -RERANK)[-RERANK:]
-                    score = np.concatenate((kept[i][0], (x[some] * q[i]).sum(1)))
-                    who = np.concatenate((kept[i][1], ids[some]))
-                    first = np.lexsort((who, -score))[: k + 1]
-                    kept[i] = score[first], who[first]
-        for key, kept in best.items():
-            sizes = [len(s) for s, _ in kept]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.frombuffer(key, "<i8"), sizes)), pa.array(np.concatenate([w for _, w in kept])), pa.array(np.concatenate([s for s, _ in kept]))], names=["query_class", "class", "score"])
+                for i in range(len(q)):
+                    near, score = [], []
+                    for ids, x, at in blocks:
+                        some = np.arange(len(ids))
+                        if len(ids) > RERANK:
+                            some = np.argpartition(pairs[i].take(at).sum(1), -RERANK)[-RERANK:]
+                        near.append(ids[some])
+                        score.append((x[some].astype(np.float64) * q[i]).sum(1))
+                    near, score = np.concatenate(near), np.concatenate(score)
+                    first = np.lexsort((near, -score))[: k + 1]
+                    whom.append(np.full(len(first), qid[begin + i]))
+                    who.append(near[first])
+                    scores.append(score[first])
+        flat = [np.concatenate(v) if v else np.zeros(0) for v in (whom, who, scores)]
+        return pa.table([pa.array(flat[0], pa.int64()), pa.array(flat[1], pa.int64()), pa.array(flat[2], pa.float64())], names=["query_class", "class", "score"])
 
     return work
 
@@ -181,15 +195,17 @@ def nearest(vectors: DataFrame, is_query, k: int = 20) -> DataFrame:
     book = spark.sparkContext.broadcast(learn(np.array([r.embedding for r in sample], np.float64)))  # bounded by the dimension
     queries = materialize(own.filter(is_query).join(classes.select("class", "embedding"), "embedding").select("vec_id", "class", "embedding"), "queries")
     asked = queries.select("class", "embedding").dropDuplicates(["class"])
-    blocks = materialize(asked.coalesce(1 + asked.count() // 20_000).mapInArrow(query_packer, "query_ids binary, query_vectors binary").withColumn("block", F.xxhash64("query_ids")), "query-blocks")
-    index = materialize(classes.select("class", "embedding").mapInArrow(indexer(book), "ids binary, vectors binary, codes binary"), "index")
-    # every block of the index goes to every block of queries; a task streams one group of index blocks past one block of queries
-    groups = 1 + classes.count() // GROUP
-    copies = index.withColumn("group", F.pmod(F.xxhash64("ids"), F.lit(groups))).crossJoin(blocks.select("block"))
-    asking = blocks.withColumn("group", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(groups - 1).cast("bigint"))))
-    met = copies.repartition("block", "group").join(asking, ["block", "group"]).select("query_ids", "query_vectors", "ids", "vectors", "codes")
-    found = materialize(met.mapInArrow(scanner(book, k, "<f4" if element(vectors) == "float" else "<f8"), "query_class bigint, class bigint, score double"), "found")
-    # a block of queries may have been met by more than one task
+    n, asking = classes.count(), asked.count()
+    parts_, blocks_ = 1 + n // INDEX_BLOCK, 1 + asking // QUERY_BLOCK
+    blocks = materialize(asked.withColumn("block", block_of(blocks_, 1)).groupBy("block").applyInArrow(query_packer, "block bigint, query_ids binary, query_vectors binary"), "query-blocks")
+    index = materialize(classes.select("class", "embedding").withColumn("part", block_of(parts_, 2)).groupBy("part").applyInArrow(indexer(book), "part bigint, ids binary, vectors binary, codes binary"), "index")
+    # every block of the index goes to every block of queries; tiles are smaller than TILE while there are fewer of them than tasks that can run
+    tile = max(1, min(TILE, parts_ * blocks_ // (2 * spark.sparkContext.defaultParallelism)))
+    upto = lambda most: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(most).cast("bigint")))
+    left = index.withColumn("tile", F.floor(F.col("part") / tile)).drop("part").withColumn("block", upto(blocks_ - 1))
+    right = blocks.withColumn("tile", upto((parts_ - 1) // tile))
+    tiles = left.groupBy("block", "tile").cogroup(right.groupBy("block", "tile"))
+    found = materialize(tiles.applyInArrow(scanner(book, k, "<f4" if element(vectors) == "float" else "<f8"), "query_class bigint, class bigint, score double"), "found")
     top = found.withColumn("_r", F.row_number().over(Window.partitionBy("query_class").orderBy(F.desc("score"), "class"))).filter(F.col("_r") <= k + 1).drop("_r")
     named = top.join(classes.select("class", "ids"), "class").select("query_class", "score", F.explode("ids").alias("candidate"))
     order = Window.partitionBy("query_class").orderBy(F.desc("score"), "candidate")
