@@ -37,6 +37,8 @@ from .common import fold, per_text, pick_sample, read
 ORDER = 4
 #: Labelled rows that each language is learned from, at most.
 SAMPLE_PER_LANG = 400
+#: Bytes that are coded at a time.
+CHUNK = 1 << 18
 LETTER = re.compile(r"[^\W\d_]")
 #: ASCII bytes that are no letters count as one space; all other bytes stay.
 PLAIN = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
@@ -174,10 +176,18 @@ class Model:
         """Code length of each text in each language, and the number of bytes coded."""
         data, starts = symbols(texts)
         ends = np.concatenate((starts[1:] - ORDER, [len(data)]))
-        own = self.lengths(grams(data, ORDER + 1), ORDER + 1)
+        keys, whose = grams(data, ORDER + 1), np.repeat(np.arange(len(starts)), np.diff(np.append(starts - ORDER, len(data))))
+        pads = np.zeros(len(data), bool)
         for k in range(1, ORDER + 1):
-            own[starts - k] = 0
-        return np.add.reduceat(own, starts - ORDER, axis=0, dtype=np.float64), ends - starts
+            pads[starts - k] = True
+        total = np.zeros((len(starts), len(self.langs)))
+        for at in range(0, len(data), CHUNK):  # a long text needs no table of all its bytes by all languages
+            own = self.lengths(keys[at : at + CHUNK], ORDER + 1)
+            own[pads[at : at + CHUNK]] = 0
+            first, last = whose[at], whose[min(at + CHUNK, len(data)) - 1] + 1
+            for i in range(len(self.langs)):
+                total[first:last, i] += np.bincount(whose[at : at + CHUNK] - first, own[:, i], last - first)
+        return total, ends - starts
 
 
 def classifier(shared):

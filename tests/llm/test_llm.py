@@ -326,12 +326,16 @@ def test_search_scores_doubles_and_repeated_rows(spark):
     assert anisotropic.nearest(df.filter("vec_id = 3"), F.lit(True), 5).count() == 0
 
 
-def test_search_recall_on_the_given_vectors(spark):
-    e = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+@pytest.mark.parametrize(("sf", "blocks"), [("sf0.01", None), ("sf0.1", (30, 180, 3))])
+def test_search_recall_on_the_given_vectors(spark, monkeypatch, sf, blocks):
+    """The second case has 12 blocks of the index in tiles of up to 3, and 4 blocks of queries."""
+    for name, size in zip(("QUERY_BLOCK", "INDEX_BLOCK", "TILE"), blocks or (), strict=False):
+        monkeypatch.setattr(anisotropic, name, size)
+    e = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet")
     rows = e.select("vec_id", "embedding").collect()
     ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], float)
     by = {}
-    for r in anisotropic.query(spark, "/root/testdata/sf0.01").collect():
+    for r in anisotropic.query(spark, f"/root/testdata/{sf}").collect():
         by.setdefault(r.query_id, set()).add(r.vec_id)
     hit = []
     for k in np.flatnonzero(ids % 20 == 0):
