@@ -55,6 +55,8 @@ ORDERS = 8
 COUNTED = 8
 #: 64-bit words of the bitmap that bounds how far two sets differ.
 WORDS = 16
+#: Words of the map of shared keys: at 40 bytes a row it stays below ``BROADCAST_BYTES``.
+MARKS = 1 << 19
 #: Turns in which suspects are paired with leaders before all open pairs are counted.
 ROUNDS = 3
 A, B, C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -196,20 +198,32 @@ def linked(pairs: DataFrame, parts: DataFrame, num: int, den: int) -> DataFrame:
     return sums.filter(den * F.col("common") >= num * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b")
 
 
+def marked(keys: DataFrame, shared: DataFrame) -> DataFrame:
+    """``keys`` without most of those that are not in ``shared``, so fewer go through the exact join that follows.
+
+    A key sets one bit of a map of ``MARKS`` words of 64 bits. The map is broadcast; its
+    size does not grow with the data. The fuller it gets, the fewer keys it saves (beyond
+    about 100 million shared keys none); it never drops one of ``shared``.
+    """
+    word, bit = F.pmod(F.shiftrightunsigned("key", 6), F.lit(MARKS)).alias("word"), F.expr("shiftleft(1L, cast(key & 63 as int))").alias("bit")
+    marks = materialize(shared.select(word, bit).groupBy("word").agg(F.bit_or("bit").alias("marks")), "marks")
+    return keys.select("key", "class", word, bit).join(F.broadcast(marks), "word").filter(F.col("marks").bitwiseAND(F.col("bit")) != 0).select("key", "class")
+
+
 def join_groups(docs: DataFrame, n: int = N, num: int = NUM, den: int = DEN) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row of ``docs`` (doc_id, text)."""
     own = docs.select("doc_id", "text")
     sketch = materialize(per_text(own, "doc_id bigint, n_shingles bigint, class bigint, keys array<bigint>", sketcher, n, num, den), "sketches")
     full = sketch.filter("class IS NOT NULL")
     # keys that more than one class has
-    keys = full.select(F.explode("keys").alias("key"), "class", "n_shingles")
+    keys = full.select(F.explode("keys").alias("key"), "class")
     shared = materialize(keys.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low <> high").select("key"), "shared-keys")
-    held = materialize(join_checked(keys, shared, "key", "left_semi", 40).distinct(), "held-keys")
+    held = materialize(join_checked(marked(keys, shared), shared, "key", "left_semi", 40).distinct(), "held-keys")
     # one document of each class that holds such a key, with all its n-grams
     suspects = held.select("class").distinct()
     one = materialize(full.select("doc_id", "class").join(suspects, "class", "left_semi").groupBy("class").agg(F.min("doc_id").alias("doc_id")).filter("doc_id IS NOT NULL"), "suspects")
-    text_of_class = join_checked(own, one, "doc_id", "inner", 48).select("class", "text")
-    sets = materialize(per_text(text_of_class, "class bigint, shingles array<bigint>, bits array<bigint>", unfolder, n).dropDuplicates(["class"]), "suspect-sets")
+    text_of_class = join_checked(own, one, "doc_id", "inner", 48).select("class", "text").dropDuplicates(["class"])  # texts are smaller than sets
+    sets = materialize(per_text(text_of_class, "class bigint, shingles array<bigint>, bits array<bigint>", unfolder, n), "suspect-sets")
     alone = sets.select("class", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("c"), F.min("class").alias("class")).filter("c = 1").groupBy("class").agg(F.count("*").alias("alone"))
     size = F.size("shingles").cast("long")
     bound = materialize(
