@@ -218,7 +218,8 @@ def join_groups(docs: DataFrame, n: int = N, num: int = NUM, den: int = DEN) ->
     # keys that more than one class has
     keys = full.select(F.explode("keys").alias("key"), "class")
     shared = materialize(keys.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low <> high").select("key"), "shared-keys")
-    held = materialize(join_checked(marked(keys, shared), shared, "key", "left_semi", 40).distinct(), "held-keys")
+    # keys of ``shared`` are unique; the optimizer would move a semi-join below the bit map
+    held = materialize(join_checked(marked(keys, shared), shared, "key", "inner", 40).distinct(), "held-keys")
     # one document of each class that holds such a key, with all its n-grams
     suspects = held.select("class").distinct()
     one = materialize(full.select("doc_id", "class").join(suspects, "class", "left_semi").groupBy("class").agg(F.min("doc_id").alias("doc_id")).filter("doc_id IS NOT NULL"), "suspects")
