@@ -135,3 +135,21 @@ def per_text(df: DataFrame, schema: str, make: Callable, *args, chars: int = 1_0
         give_back()
 
     return df.mapInArrow(run, schema)
+
+
+def per_task(df: DataFrame, schema: str, make: Callable, *args, chars: int = 1_000_000) -> DataFrame:
+    """Like ``per_text``, but ``make(*args)`` gives two functions: one takes piece after piece,
+    the other gives what the task has gathered. Both return a list of batches."""
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+    def run(batches):
+        pa.set_memory_pool(pa.system_memory_pool())
+        take, finish = make(*args)
+        for piece in pieces(batches, chars):
+            yield from take(piece)
+        yield from finish()
+        give_back()
+
+    return df.mapInArrow(run, schema)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import anisotropic, bpe, htmlmain, jaccardjoin, langid, licenses, mixing, pii, spotsigs, toxicity
+from . import anisotropic, bpe, dedupindex, divergence, htmlmain, jaccardjoin, langid, licenses, mixing, pii, resampling, spotsigs, toxicity
 
 QUERIES = {
     "op1_html_main_text": htmlmain.query,
@@ -15,6 +15,13 @@ QUERIES = {
     "op8_ngram_jaccard_join": jaccardjoin.query,
     "op9_bpe_replay": bpe.query,
     "op10_toxicity_ftrl": toxicity.query,
+    "op11_digest_index": dedupindex.query,
+    "op12_importance_resampling": resampling.query,
+    "op13_source_divergence": divergence.query,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op11_digest_index": dedupindex.SQL,
+    "op12_importance_resampling": resampling.SQL,
+    "op13_source_divergence": divergence.SQL,
+}
