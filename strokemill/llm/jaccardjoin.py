@@ -135,6 +135,11 @@ def keys_of(s: np.ndarray, lows: np.ndarray, bound: np.ndarray, slacks: np.ndarr
     return np.concatenate(out)
 
 
+def digest(s: np.ndarray) -> int | None:
+    """The class of a set: equal sets have equal digests; an empty set is in no class."""
+    return int(np.add.reduce(mixed(s ^ A)).view(np.int64)) if len(s) else None
+
+
 def sketcher(n: int, num: int, den: int):
     lows, bound, slacks = classes(num, den)
 
@@ -143,7 +148,7 @@ def sketcher(n: int, num: int, den: int):
         for t in batch.column("text").to_pylist():
             s = shingles(t, n)
             sizes.append(len(s))
-            digests.append(int(np.add.reduce(mixed(s ^ A)).view(np.int64)) if len(s) else None)
+            digests.append(digest(s))
             keys.append(keys_of(s, lows, bound, slacks, num, den) if len(s) else np.zeros(0, np.uint64))
         offsets = np.concatenate(([0], np.cumsum([len(k) for k in keys]))).astype(np.int32)
         flat = pa.array(np.concatenate([*keys, np.zeros(0, np.uint64)]).view(np.int64))
@@ -159,8 +164,12 @@ def bitmap(s: np.ndarray) -> np.ndarray:
 
 
 def unfolder(n: int):
+    """N-grams and bitmaps of the rows whose text is of their class; texts that only share the class's doc_id go."""
+
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [shingles(t, n) for t in batch.column("text").to_pylist()]
+        own = [i for i, (s, c) in enumerate(zip(sets, batch.column("class").to_pylist(), strict=True)) if digest(s) == c]
+        batch, sets = batch.take(pa.array(own, pa.int64())), [sets[i] for i in own]
         bits = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * WORDS), pa.array(np.concatenate([*map(bitmap, sets), np.zeros(0, np.int64)])))
         sets = [s.view(np.int64) for s in sets]
         offsets = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
@@ -223,8 +232,10 @@ def join_groups(docs: DataFrame, n: int = N, num: int = NUM, den: int = DEN) ->
     # one document of each class that holds such a key, with all its n-grams
     suspects = held.select("class").distinct()
     one = materialize(full.select("doc_id", "class").join(suspects, "class", "left_semi").groupBy("class").agg(F.min("doc_id").alias("doc_id")).filter("doc_id IS NOT NULL"), "suspects")
-    text_of_class = join_checked(own, one, "doc_id", "inner", 48).select("class", "text").dropDuplicates(["class"])  # texts are smaller than sets
-    sets = materialize(per_text(text_of_class, "class bigint, shingles array<bigint>, bits array<bigint>", unfolder, n), "suspect-sets")
+    # all texts of the doc_id, for rows may repeat it; the unfolder keeps those of the class
+    texts = join_checked(own, one, "doc_id", "inner", 48).select("class", "text", F.xxhash64("text").alias("_t")).dropDuplicates(["class", "_t"])
+    unfolded = per_text(texts.select("class", "text"), "class bigint, shingles array<bigint>, bits array<bigint>", unfolder, n)
+    sets = materialize(unfolded.dropDuplicates(["class"]), "suspect-sets")
     alone = sets.select("class", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("c"), F.min("class").alias("class")).filter("c = 1").groupBy("class").agg(F.count("*").alias("alone"))
     size = F.size("shingles").cast("long")
     bound = materialize(
@@ -273,8 +284,12 @@ def join_groups(docs: DataFrame, n: int = N, num: int = NUM, den: int = DEN) ->
     rest = open_.join(other, "key").filter((F.col("x.class") < F.col("y.class")) & (F.col("x.component") != F.col("y.component")) & possible("x", "y") & near).select(F.col("x.class").alias("a"), F.col("y.class").alias("b")).distinct()
     rest = materialize(rest.join(tried, ["a", "b"], "left_anti"), "other-pairs")
     new = materialize(linked(rest, parts, num, den), "other-links")
-    if groups is None or new.limit(1).count():
-        groups = components(links.union(new))
+    # rows that repeat a doc_id are one document: their classes are linked
+    spread = materialize(full.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("class").alias("a"), F.max("class").alias("b")).filter("a <> b").select("doc_id", "a"), "spread")
+    same = join_checked(full.select("doc_id", F.col("class").alias("b")), spread, "doc_id", "inner", 48).filter("a <> b").select("a", "b").distinct()
+    same = materialize(same, "links-of-ids")
+    if groups is None or new.limit(1).count() or same.limit(1).count():
+        groups = components(links.union(new).union(same))
     # classes to documents
     named = full.select("doc_id", "class").join(groups.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     smallest = materialize(named.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("c")).filter("c > 1").select("component", "component_id"), "components")

@@ -284,6 +284,16 @@ def test_linked_sets_share_a_key_that_is_not_of_empty_parts():
         assert pairs > 300 and not any(strange)
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_rows_that_repeat_an_id_are_one_document(spark, seed):
+    """Two texts of one id that have nothing in common: near copies of either are linked with both, in any order of the rows."""
+    a, b = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    rows = [(5, a), (5, b), (7, a + " more"), (8, b + " more"), (9, "other words here"), (9, "other words here")]
+    random.Random(seed).shuffle(rows)
+    got = jaccardjoin.join_groups(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3))
+    assert sorted((r.doc_id, r.component_id) for r in got.collect()) == [(5, 5), (5, 5), (7, 5), (8, 5), (9, 9), (9, 9)]
+
+
 def test_join_awkward(spark, awkward):
     got = jaccardjoin.join_groups(awkward).collect()
     assert len(got) == len(AWKWARD) and {r.component_id for r in got if r.doc_id == 4} == {4}
