@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import json
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 #: Names that stand for a split.
 SPLITS = {"train": "train", "training": "train", "tr": "train", "val": "val", "valid": "val", "validation": "val", "dev": "val", "test": "test", "testing": "test", "te": "test"}
@@ -71,17 +76,51 @@ def parse_observation(s: Column) -> tuple[Column, Column]:
 ID_KEYS = ("id", "image", "image_id", "stem", "name", "file", "filename")
 
 
-def flatten_ids(value: Column, depth: int = 4) -> Column:
+def flatten_ids(value: Column, depth: int = 8) -> Column:
     """Id strings in JSON text, in order: of objects the first of ``ID_KEYS`` or all values, lists and objects nested to ``depth``.
 
-    Nothing is taken from what lies deeper, and nothing from null; text that isn't JSON counts as itself.
+    Nothing is taken from null, nor from what begins like a list or an object and isn't
+    JSON; other text that isn't JSON counts as itself. Values of an inner object without
+    such a key come in the order of their keys. A value that is nested deeper fails the
+    query and is never cut: ``with_ids`` walks to any depth.
     """
     raw = F.filter(F.array(F.trim(value)), lambda x: x.isNotNull() & (x != "null") & (x != ""))
     for _ in range(depth):
         raw = F.flatten(F.transform(raw, _inside))
-    scalar = lambda x: ~F.substring(x, 1, 1).isin("[", "{")
+    deeper = lambda x: F.raise_error(F.concat(F.lit(f"ids nested deeper than {depth} levels: "), x))
     unquoted = lambda x: F.when(x.startswith('"'), F.get_json_object(F.concat(F.lit("["), x, F.lit("]")), "$[0]")).otherwise(x)
-    return F.transform(F.filter(raw, scalar), unquoted)
+    return F.transform(raw, lambda x: F.when(F.substring(x, 1, 1).isin("[", "{"), deeper(x)).otherwise(unquoted(x)))
+
+
+def ids_within(text: str | None) -> list[str]:
+    """The ids of one text, by a stack, so at any depth; numbers stay as they are written."""
+    text = (text or "").strip()
+    try:
+        todo = [json.loads(text, parse_int=str, parse_float=str)]
+    except ValueError:
+        return [text] if text and text[0] not in "[{" else []
+    out: list[str] = []
+    while todo:
+        value = todo.pop()
+        if isinstance(value, dict):
+            known = [value[k] for k in ID_KEYS if k in value][:1]
+            todo += reversed(known or list(value.values()))
+        elif isinstance(value, list):
+            todo += reversed(value)
+        elif value is not None:
+            out.append(str(value).lower() if isinstance(value, bool) else value)
+    return out
+
+
+def with_ids(df: DataFrame, column: str, name: str = "ids") -> DataFrame:
+    """``df`` with the ids in the JSON text of ``column``: no expression walks to an unknown depth, so rows go through Arrow batches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = pa.array([ids_within(t) for t in batch.column(column).to_pylist()], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, ids], names=[*batch.schema.names, name])
+
+    return df.mapInArrow(run, StructType([*df.schema.fields, StructField(name, ArrayType(StringType()))]))
 
 
 def _inside(x: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import SPLITS, dest_stem, flatten_ids, infer_split_from_filename, normalize_split_name, relative_stem, tokenize_ids, trimmed_suffix_stem
+from ..functions.text import SPLITS, dest_stem, infer_split_from_filename, normalize_split_name, relative_stem, tokenize_ids, trimmed_suffix_stem, with_ids
 
 
 def last_by_path(files: DataFrame) -> DataFrame:
@@ -95,7 +95,8 @@ def split_json_rows(documents: DataFrame) -> DataFrame:
     entry = lambda e: F.struct(e["key"].alias("s"), F.to_json(e["value"]).alias("v"))
     both = F.when(F.trim("value").startswith("["), F.transform(items, record)).otherwise(F.transform(F.map_entries(fields), entry))
     each = documents.select("file_ord", F.posexplode(both).alias("line_ord", "r"))
-    return each.select("file_ord", "line_ord", F.explode(flatten_ids(F.col("r.v"))).alias("id"), normalize_split_name(F.col("r.s")).alias("split"))
+    ids = with_ids(each.select("file_ord", "line_ord", "r.s", "r.v"), "v")
+    return ids.select("file_ord", "line_ord", F.explode("ids").alias("id"), normalize_split_name(F.col("s")).alias("split"))
 
 
 def split_line_errors(lines: DataFrame) -> DataFrame:

@@ -21,9 +21,46 @@ def attach_truth(images: DataFrame, masks: DataFrame, suffixes: tuple[str, ...]
     return images.join(best, "stem", "left")
 
 
+def mean(c: str, places: int) -> Column:
+    """The mean of ``c``, rounded. Values are summed as whole millionths, so a mean that lies
+    on a half doesn't hang on the order of the rows."""
+    total = F.sum(F.col(c).cast("decimal(28,6)")).cast("double")
+    return F.round(total / F.count(c), places)
+
+
 def variant_aggregates(runs: DataFrame) -> DataFrame:
-    mean = lambda c, n: F.round(F.avg(c), n)
-    return runs.groupBy("vision_mode", "path_ordering").agg(F.count("*").alias("runs"), mean("num_paths", 2).alias("avg_paths"), mean("num_commands", 2).alias("avg_commands"), mean("pen_up_distance_mm", 2).alias("avg_pen_up_mm"), mean("draw_distance_mm", 2).alias("avg_draw_mm"), mean("mask_dice", 4).alias("avg_dice"), mean("mask_iou", 4).alias("avg_iou"))
+    """(vision_mode, path_ordering): how many runs, and the means of their figures."""
+    return runs.groupBy("vision_mode", "path_ordering").agg(
+        F.count("*").alias("runs"),
+        mean("num_paths", 2).alias("avg_paths"),
+        mean("num_commands", 2).alias("avg_commands"),
+        mean("pen_up_distance_mm", 2).alias("avg_pen_up_mm"),
+        mean("draw_distance_mm", 2).alias("avg_draw_mm"),
+        mean("mask_dice", 4).alias("avg_dice"),
+        mean("mask_iou", 4).alias("avg_iou"),
+    )
+
+
+def run_metrics(runs: DataFrame, plans: DataFrame, cleanup: DataFrame, commands: DataFrame, overlap: DataFrame | None = None) -> DataFrame:
+    """One row for each of ``runs`` (run_id, drawing_id, ...): its columns, and what was measured, rounded.
+
+    ``plans`` (run_id, num_paths, pen_up_mm, draw_mm, total_mm) and ``commands`` (run_id, ...)
+    belong to the run, ``cleanup`` (drawing_id, input_points, output_points) and ``overlap``
+    (drawing_id, precision, recall, dice, iou) to its drawing. A run without a plan has 0
+    paths and no ways; without a reference mask the four scores are null.
+    """
+    many = commands.groupBy("run_id").agg(F.count("*").alias("num_commands"))
+    out = runs.join(plans, "run_id", "left").join(many, "run_id", "left").join(cleanup, "drawing_id", "left")
+    scores = ["precision", "recall", "dice", "iou"]
+    out = out.join(overlap.select("drawing_id", *scores), "drawing_id", "left") if overlap is not None else out.select("*", *(F.lit(None).cast("double").alias(c) for c in scores))
+    return out.select(
+        *runs.columns,
+        *(F.round(c, 4).alias(f"mask_{c}") for c in scores),
+        *(F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("num_paths", "num_commands")),
+        F.coalesce("input_points", F.lit(0)).cast("bigint").alias("cleanup_input_points"),
+        F.coalesce("output_points", F.lit(0)).cast("bigint").alias("cleanup_output_points"),
+        *(F.round(c, 2).alias(name) for c, name in (("draw_mm", "draw_distance_mm"), ("pen_up_mm", "pen_up_distance_mm"), ("total_mm", "total_distance_mm"))),
+    )
 
 
 def percent(saved: Column, base: Column) -> Column:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-AROUND = ((-1, -1), (-1, 0), (-1, 1), (0, -1), (0, 1), (1, -1), (1, 0), (1, 1))
+from .tiles import AROUND, connected_components, skeletonize, trace_graph_paths
+
+__all__ = ["connected_components", "skeletonize", "trace_graph_paths"]
 
 
 def binarize(pixels: DataFrame, threshold: int = 245, mode: str = "auto") -> DataFrame:
@@ -32,31 +32,6 @@ def mask_overlap(pred: DataFrame, truth: DataFrame) -> DataFrame:
     return n.select("image_id", "tp", "fp", "fn", *overlap_scores(F.col("tp"), F.col("fp"), F.col("fn")))
 
 
-def connected_components(set_pixels: DataFrame) -> DataFrame:
-    """(image_id, y, x, label): 8-connected; labels go by the first pixel in (y, x) order. One image is one task's work."""
-
-    def run(df: pd.DataFrame) -> pd.DataFrame:
-        df = df.sort_values(["y", "x"]).reset_index(drop=True)
-        at = {p: i for i, p in enumerate(zip(df["y"], df["x"], strict=True))}
-        parent = list(range(len(df)))
-
-        def root(i: int) -> int:
-            while parent[i] != i:
-                parent[i] = i = parent[parent[i]]
-            return i
-
-        for (y, x), i in at.items():
-            for dy, dx in AROUND[:4]:
-                if (j := at.get((y + dy, x + dx))) is not None:
-                    a, b = root(i), root(j)
-                    parent[max(a, b)] = min(a, b)
-        number: dict[int, int] = {}
-        df["label"] = [number.setdefault(root(i), len(number) + 1) for i in range(len(df))]
-        return df[["image_id", "y", "x", "label"]]
-
-    return set_pixels.select("image_id", F.col("y").cast("bigint"), F.col("x").cast("bigint")).groupBy("image_id").applyInPandas(run, "image_id bigint, y bigint, x bigint, label bigint")
-
-
 def component_stats(labelled: DataFrame) -> DataFrame:
     return labelled.groupBy("image_id", "label").agg(F.min("x").alias("min_x"), F.min("y").alias("min_y"), (F.max("x") - F.min("x") + 1).alias("width"), (F.max("y") - F.min("y") + 1).alias("height"), F.count("*").alias("area"))
 
@@ -182,61 +157,6 @@ def pixel_graph(set_pixels: DataFrame) -> DataFrame:
     return out.withColumn("is_node", ~F.col("degree").isin(0, 2))
 
 
-def trace_graph_paths(set_pixels: DataFrame) -> DataFrame:
-    """(image_id, path_id, seq, y, x): walks from nodes in (y, x) order, then the loops that are left, closed."""
-
-    def run(df: pd.DataFrame) -> pd.DataFrame:
-        pts = sorted(zip(df["y"], df["x"], strict=True))
-        have = set(pts)
-        near = {p: [q for dy, dx in AROUND if (q := (p[0] + dy, p[1] + dx)) in have] for p in pts}
-        nodes = {p for p in pts if len(near[p]) not in (0, 2)}
-        used, out = set(), []
-
-        def walk(a, b):
-            path = [a, b]
-            used.add(frozenset((a, b)))
-            while path[-1] not in nodes:
-                step = next((q for q in near[path[-1]] if frozenset((path[-1], q)) not in used), None)
-                if step is None:
-                    break
-                used.add(frozenset((path[-1], step)))
-                path.append(step)
-            return path
-
-        for group in ([p for p in pts if p in nodes], pts):
-            for p in group:
-                for q in near[p]:
-                    if frozenset((p, q)) not in used:
-                        out.append(walk(p, q))
-        rows = [(df["image_id"].iloc[0], i, k, y, x) for i, path in enumerate(out) for k, (y, x) in enumerate(path)]
-        return pd.DataFrame(rows, columns=["image_id", "path_id", "seq", "y", "x"])
-
-    return set_pixels.select("image_id", F.col("y").cast("bigint"), F.col("x").cast("bigint")).groupBy("image_id").applyInPandas(run, "image_id bigint, path_id bigint, seq bigint, y bigint, x bigint")
-
-
-def skeletonize(set_pixels: DataFrame) -> DataFrame:
-    """(image_id, y, x): what opening with a cross leaves over, while the shape is eroded away."""
-
-    def run(df: pd.DataFrame) -> pd.DataFrame:
-        y0, x0 = df["y"].min(), df["x"].min()
-        a = np.zeros((df["y"].max() - y0 + 3, df["x"].max() - x0 + 3), bool)
-        a[df["y"] - y0 + 1, df["x"] - x0 + 1] = True
-
-        def shifted(m, f):
-            p = np.pad(m, 1)
-            return f.reduce([m, p[:-2, 1:-1], p[2:, 1:-1], p[1:-1, :-2], p[1:-1, 2:]])
-
-        out = np.zeros_like(a)
-        while a.any():
-            small = shifted(a, np.logical_and)
-            out |= a & ~shifted(small, np.logical_or)
-            a = small
-        y, x = np.nonzero(out)
-        return pd.DataFrame({"image_id": df["image_id"].iloc[0], "y": y + y0 - 1, "x": x + x0 - 1})
-
-    return set_pixels.select("image_id", F.col("y").cast("bigint"), F.col("x").cast("bigint")).groupBy("image_id").applyInPandas(run, "image_id bigint, y bigint, x bigint")
-
-
 def active_crop(set_pixels: DataFrame, width: int, height: int) -> DataFrame:
     """Bounding box of each image's set pixels, padded by max(8, 4 % of its shorter side), inside the image."""
     b = set_pixels.groupBy("image_id").agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1"))

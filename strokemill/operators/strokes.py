@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geom import dist, dist_points, heading_deg, normalize_angle, page_fit
+from .kernels import Paths, far, last_kept
 
 MIN_LENGTH, MIN_SEGMENT, TOLERANCE = 2.0, 0.75, 0.5
 
@@ -24,51 +25,38 @@ def path_length(paths: DataFrame) -> DataFrame:
     return paths.withColumn("length_mm", length_of(F.col("points")))
 
 
-def collapsed(points: Column, least: float = MIN_SEGMENT) -> Column:
-    """Points at least so far from the last kept one; the first is kept."""
-    if least <= 0:
-        return points
-    keep = F.aggregate(F.slice(points, 2, F.greatest(F.size(points) - 1, F.lit(0))), F.slice(points, 1, 1), lambda kept, p: F.when(dist_points(F.element_at(kept, -1), p) >= least, F.concat(kept, F.array(p))).otherwise(kept))
-    return F.when(F.size(points) <= 1, points).otherwise(keep)
+def on_paths(paths: DataFrame, work: Callable[[Paths], None]) -> DataFrame:
+    """Run ``work`` on the points of batches of paths: rows are mapped in Arrow batches, nothing is shuffled."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = Paths(batch.column("points"))
+            work(own)
+            columns = [own.column() if c == "points" else batch.column(c) for c in batch.schema.names]
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
-def collapse_short_segments(paths: DataFrame, least: float = MIN_SEGMENT) -> DataFrame:
-    return paths.withColumn("points", collapsed(F.col("points"), least))
+    return paths.mapInArrow(run, paths.schema)
 
 
-def simplified(points: list, tolerance: float) -> list:
-    """Passes that drop points near the line from the last kept to the next, until none is dropped."""
-    while len(points) > 2:
-        kept = [points[0]]
-        for i in range(1, len(points) - 1):
-            (ax, ay), (px, py), (bx, by) = kept[-1], points[i], points[i + 1]
-            dx, dy = bx - ax, by - ay
-            square = dx * dx + dy * dy
-            t = max(0.0, min(1.0, ((px - ax) * dx + (py - ay) * dy) / square)) if square else 0.0
-            if np.hypot(px - ax - t * dx, py - ay - t * dy) > tolerance:
-                kept.append(points[i])
-        kept.append(points[-1])
-        if len(kept) == len(points):
-            break
-        points = kept
-    return points
+def collapse_short_segments(paths: DataFrame, least: float = MIN_SEGMENT) -> DataFrame:
+    """Points at least so far from the last kept one; the first is kept. Linear in the points."""
+    return on_paths(paths, lambda own: own.collapse(least))
 
 
 def simplify_collinear(paths: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
-    """A fixpoint for each path: rows are mapped in Arrow batches, nothing is shuffled."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for df in batches:
-            df["points"] = [None if p is None else [{"x": x, "y": y} for x, y in simplified([(q["x"], q["y"]) for q in p], tolerance)] for p in df["points"]]
-            yield df
-
-    return paths.mapInPandas(run, paths.schema)
+    """Passes that drop points near the line from the last kept to the next, until none is dropped."""
+    return on_paths(paths, lambda own: own.simplify(tolerance))
 
 
 def clean_paths(paths: DataFrame, min_length: float = MIN_LENGTH, min_segment: float = MIN_SEGMENT, tolerance: float = TOLERANCE) -> DataFrame:
     """Collapse, simplify, collapse; then drop paths that are too short. ``n_in``: points before."""
-    own = paths.withColumn("n_in", F.size("points"))
-    out = collapse_short_segments(simplify_collinear(collapse_short_segments(own, min_segment), tolerance), min_segment)
+
+    def work(own: Paths) -> None:
+        own.collapse(min_segment)
+        own.simplify(tolerance)
+        own.collapse(min_segment)
+
+    out = on_paths(paths.withColumn("n_in", F.size("points")), work)
     return out.filter((F.size("points") >= 2) & (length_of(F.col("points")) >= min_length))
 
 
@@ -94,49 +82,92 @@ def plan_metrics(paths: DataFrame, start_x: float = 0.0, start_y: float = 0.0, o
 
 
 def stitch_paths(paths: DataFrame, tolerance: float = TOLERANCE, order: str = "path_id") -> DataFrame:
-    """(drawing_id, path_id, points): neighbours in order are joined where ends meet, reversed if need be."""
-    rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("points").alias("p"))))
-    grouped = paths.filter(F.size("points") >= 2).groupBy("drawing_id").agg(F.transform(rows, lambda r: r["p"]).alias("all"))
-
-    def joined(strokes, p):
-        last = F.element_at(strokes, -1)
-        end = F.element_at(last, -1)
-        head, tail = dist_points(end, F.element_at(p, 1)), dist_points(end, F.element_at(p, -1))
-        turned = F.when(head <= tolerance, p).otherwise(F.reverse(p))
-        gap = F.when(head <= tolerance, head).otherwise(tail)
-        rest = F.when(gap > 0, turned).otherwise(F.slice(turned, 2, F.size(turned) - 1))
-        more = F.concat(F.slice(strokes, 1, F.size(strokes) - 1), F.array(F.concat(last, rest)))
-        return F.when((head <= tolerance) | (tail <= tolerance), more).otherwise(F.concat(strokes, F.array(p)))
-
-    strokes = F.aggregate(F.slice("all", 2, F.size("all") - 1), F.slice("all", 1, 1), joined)
-    return grouped.select("drawing_id", F.posexplode(strokes).alias("path_id", "points")).select("drawing_id", F.col("path_id").cast("bigint").alias("path_id"), "points")
-
-
-def emit_commands(paths: DataFrame, travel: float = 60.0, draw: float = 35.0, min_move: float = 0.5, min_draw: float = 0.5, start_x: float = 0.0, start_y: float = 0.0, order: str = "path_id") -> DataFrame:
-    """(drawing_id, seq, cmd, x, y, speed) of each drawing's plan."""
-
-    def run(df: pd.DataFrame) -> pd.DataFrame:
-        out = [("PEN_UP", None, None, None)]
-        cx, cy = start_x, start_y
-        for points in df.sort_values(order)["points"]:
-            if len(points) < 2:
-                continue
-            ax, ay = points[0]["x"], points[0]["y"]
-            if np.hypot(ax - cx, ay - cy) >= min_move:
-                out.append(("MOVE", ax, ay, travel))
-                cx, cy = ax, ay
-            out.append(("PEN_DOWN", None, None, None))
-            for q in points[1:]:
-                if np.hypot(q["x"] - cx, q["y"] - cy) >= min_draw:
-                    out.append(("MOVE", q["x"], q["y"], draw))
-                    cx, cy = q["x"], q["y"]
-            out.append(("PEN_UP", None, None, None))
-        res = pd.DataFrame(out, columns=["cmd", "x", "y", "speed"])
-        res.insert(0, "drawing_id", df["drawing_id"].iloc[0])
-        res.insert(1, "seq", range(len(res)))
-        return res
-
-    return paths.select("drawing_id", order, "points").groupBy("drawing_id").applyInPandas(run, "drawing_id bigint, seq bigint, cmd string, x double, y double, speed double")
+    """(drawing_id, path_id, points): neighbours in order are joined where ends meet, reversed if need be.
+
+    Whether a path is reversed depends on which end of the path before is free, and that on
+    the one before it. So each path is a map from the turn of its predecessor (0 as given,
+    1 reversed) to its own: always 0, always 1, the same, or the other one. Such maps
+    compose: the turn is that of the last path with a fixed one, changed by the number of
+    changes since. That is two running aggregates over the ends of the paths; points are
+    gathered for each stroke only, never for a drawing.
+    """
+    own = paths.filter(F.size("points") >= 2).select("drawing_id", F.col(order).alias("_o"), "points")
+    w = Window.partitionBy("drawing_id").orderBy("_o")
+    to_here = w.rowsBetween(Window.unboundedPreceding, 0)
+    own = own.withColumn("_a", F.element_at("points", 1)).withColumn("_b", F.element_at("points", -1))
+    own = own.withColumn("_pa", F.lag("_a").over(w)).withColumn("_pb", F.lag("_b").over(w))
+
+    def meeting(end: str, at: str) -> Column:
+        return dist_points(F.col(end), F.col(at))
+
+    def turned(end: str) -> Column:
+        """The turn of the path if the free end before is ``end``: a reversed path meets with its tail only."""
+        return F.when(meeting(end, "_a") <= tolerance, 0).when(meeting(end, "_b") <= tolerance, 1).otherwise(0)
+
+    first = F.col("_pa").isNull()
+    own = own.withColumn("_t0", F.when(first, 0).otherwise(turned("_pb"))).withColumn("_t1", F.when(first, 0).otherwise(turned("_pa")))
+    own = own.withColumn("_changes", F.sum(((F.col("_t0") == 1) & (F.col("_t1") == 0)).cast("int")).over(to_here))
+    fixed = F.last(F.when(F.col("_t0") == F.col("_t1"), F.struct("_t0", "_changes")), True).over(to_here)
+    own = own.withColumn("_f", fixed).withColumn("_turn", (F.col("_f._t0") + F.col("_changes") - F.col("_f._changes")) % 2)
+    free = F.when(F.lag("_turn").over(w) == 1, F.col("_pa")).otherwise(F.col("_pb"))
+    gap = dist_points(free, F.when(F.col("_turn") == 1, F.col("_b")).otherwise(F.col("_a")))
+    own = own.withColumn("_gap", F.when(first, F.lit(None)).otherwise(gap))
+    begins = F.coalesce(~(F.col("_gap") <= tolerance), F.lit(True))
+    own = own.withColumn("_stroke", F.sum(begins.cast("bigint")).over(to_here) - 1)
+    points = F.when(F.col("_turn") == 1, F.reverse("points")).otherwise(F.col("points"))
+    # where the ends are one point, it is there once
+    rest = F.when(begins | (F.col("_gap") > 0), points).otherwise(F.slice(points, 2, F.size(points) - 1))
+    strokes = own.select("drawing_id", F.col("_stroke").alias("path_id"), F.struct(F.col("_o").alias("o"), rest.alias("p")).alias("r"))
+    ordered = F.array_sort(F.collect_list("r"))
+    return strokes.groupBy("drawing_id", "path_id").agg(F.flatten(F.transform(ordered, lambda r: r["p"])).alias("points"))
+
+
+def emit_commands(
+    paths: DataFrame,
+    travel: float = 60.0,
+    draw: float = 35.0,
+    min_move: float = 0.5,
+    min_draw: float = 0.5,
+    start_x: float = 0.0,
+    start_y: float = 0.0,
+    order: str = "path_id",
+) -> DataFrame:
+    """(drawing_id, seq, cmd, x, y, speed) of each drawing's plan.
+
+    The points of a drawing, from the start position on, are one sequence in which a point
+    is reached if it is far enough from the last one that was: one linear kernel.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by(order)
+        drawing = table.column("drawing_id")[0].as_py()
+        own = Paths(table.column("points"))
+        own.take(np.repeat(own.sizes >= 2, own.sizes))
+        sizes = own.sizes[own.sizes >= 2]
+        x, y = np.concatenate(([start_x], own.x)), np.concatenate(([start_y], own.y))
+        begins = np.cumsum(sizes) - sizes
+        first, last = np.zeros(len(own.x), int), np.zeros(len(own.x), int)
+        first[begins] = last[begins + sizes - 1] = 1
+        least = np.concatenate(([-np.inf], np.where(first, min_move, min_draw)))
+        moved = last_kept(len(x), far(x, y, least))[1:].astype(int)
+        # commands of a point: the move, PEN_DOWN after the first, PEN_UP after the last
+        at = 1 + np.cumsum(moved + first + last) - (moved + first + last)
+        n = 1 + int((moved + first + last).sum())
+        cmd = np.full(n, "MOVE", object)
+        cmd[0] = "PEN_UP"
+        cmd[(at + moved)[first == 1]] = "PEN_DOWN"
+        cmd[(at + moved + first)[last == 1]] = "PEN_UP"
+        moves = at[moved == 1]
+        values = [np.full(n, np.nan) for _ in range(3)]
+        for v, new in zip(values, (own.x, own.y, np.where(first, travel, draw)), strict=True):
+            v[moves] = new[moved == 1]
+        empty = np.ones(n, bool)
+        empty[moves] = False
+        columns = [pa.array(np.full(n, drawing), pa.int64()), pa.array(np.arange(n)), pa.array(cmd, pa.string()), *(pa.array(v, mask=empty) for v in values)]
+        return pa.table(columns, names=["drawing_id", "seq", "cmd", "x", "y", "speed"])
+
+    schema = "drawing_id bigint, seq bigint, cmd string, x double, y double, speed double"
+    return paths.select("drawing_id", order, "points").groupBy("drawing_id").applyInArrow(run, schema)
 
 
 def extract_strokes(commands: DataFrame, start_x: float = 0.0, start_y: float = 0.0) -> DataFrame:

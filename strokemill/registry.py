@@ -477,7 +477,7 @@ def split_json(s, d):
 def flatten_ids(s, d):
     docs = fx.read(s, d, "documents").select("doc_id", F.to_json(F.array(F.struct(F.col("doc_id").alias("stem"), F.lit("x").alias("other")).cast("struct<stem:string,other:string>"))).alias("a"), "source")
     nested = docs.select("doc_id", F.concat(F.lit('[{"p":'), "a", F.lit(',"q":'), F.col("doc_id").cast("string"), F.lit('},null,"'), "source", F.lit('"]')).alias("v"))
-    return nested.select("doc_id", F.posexplode(text.flatten_ids(F.col("v"))).alias("n", "id"))
+    return nested.withColumn("ids", text.flatten_ids(F.col("v"))).select("doc_id", F.posexplode("ids").alias("n", "id"))
 
 
 @query("assign_split", "SELECT CAST(doc_id AS VARCHAR) AS id, CASE WHEN lang = 'en' THEN 'val' WHEN lang = 'fr' THEN 'holdout' ELSE 'train' END AS split, CASE WHEN lang = 'fr' THEN 'unknown split: holdout' END AS reason FROM documents")
@@ -771,9 +771,31 @@ def pixel_graph(s, d):
     return ra.pixel_graph(on(s, d))
 
 
-@query("trace_graph_paths")
+AT = "{0}.image_id = {1}.image_id AND {0}.p = {1}.{2}"
+
+
+@query(
+    "trace_graph_paths",
+    f"""WITH RECURSIVE o AS (SELECT image_id, y * 8 + x AS p, y, x FROM {GRID} g WHERE is_on),
+ d AS (SELECT unnest(range(8)) AS k, unnest([-1, -1, -1, 0, 0, 1, 1, 1]) AS dy, unnest([-1, 0, 1, -1, 1, -1, 0, 1]) AS dx),
+ e AS (SELECT a.image_id, a.p, d.k, b.p AS q FROM o a CROSS JOIN d JOIN o b ON b.image_id = a.image_id AND b.y = a.y + d.dy AND b.x = a.x + d.dx),
+ n AS (SELECT image_id, p, count(*) <> 2 AS node FROM e GROUP BY image_id, p),
+ w AS (SELECT e.image_id, e.p AS sp, e.k AS sk, e.p AS prev, e.q AS cur, 1 AS seq FROM e JOIN n ON {AT.format("n", "e", "p")} WHERE node UNION ALL
+ SELECT w.image_id, sp, sk, w.cur, e.q, seq + 1 FROM w JOIN n ON {AT.format("n", "w", "cur")} AND NOT n.node JOIN e ON {AT.format("e", "w", "cur")} AND e.q <> w.prev),
+ kept AS (SELECT w.image_id, sp, sk FROM w JOIN n ON {AT.format("n", "w", "cur")} AND n.node JOIN e ON {AT.format("e", "w", "cur")} AND e.q = w.prev WHERE (sp, sk) <= (w.cur, e.k)),
+ rest AS (SELECT image_id, p FROM n WHERE NOT node EXCEPT SELECT image_id, cur FROM w),
+ reach AS (SELECT image_id, p, p AS q FROM rest UNION SELECT r.image_id, r.p, e.q FROM reach r JOIN e ON {AT.format("e", "r", "q")}),
+ f AS (SELECT DISTINCT image_id, min(q) AS p FROM reach GROUP BY image_id, reach.p),
+ l AS (SELECT e.image_id, e.p AS sp, min(e.k) AS sk FROM f JOIN e ON {AT.format("e", "f", "p")} GROUP BY e.image_id, e.p),
+ r AS (SELECT e.image_id, sp, sk, e.p AS prev, e.q AS cur, 1 AS seq FROM l JOIN e ON {AT.format("e", "l", "sp")} AND e.k = l.sk UNION ALL
+ SELECT r.image_id, sp, sk, r.cur, e.q, seq + 1 FROM r JOIN e ON {AT.format("e", "r", "cur")} AND e.q <> r.prev WHERE r.cur <> r.sp),
+ t AS (SELECT image_id, sp, sk, false AS loop FROM kept UNION ALL SELECT image_id, sp, sk, true FROM l),
+ i AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY loop, sp, sk) - 1 AS path_id FROM t),
+ c AS (SELECT image_id, sp, sk, seq, cur AS p FROM w UNION ALL SELECT image_id, sp, sk, seq, cur FROM r UNION ALL SELECT image_id, sp, sk, 0, sp FROM t)
+ SELECT c.image_id, path_id, CAST(seq AS BIGINT) AS seq, CAST(c.p // 8 AS BIGINT) AS y, CAST(c.p % 8 AS BIGINT) AS x FROM c JOIN i ON i.image_id = c.image_id AND i.sp = c.sp AND i.sk = c.sk""",
+)
 def trace_graph_paths(s, d):
-    return ra.trace_graph_paths(on(s, d)).groupBy("image_id").agg(F.countDistinct("path_id").alias("num_paths"), F.count("*").alias("points"))
+    return ra.trace_graph_paths(on(s, d))
 
 
 def skeleton_sql() -> str:
@@ -846,7 +868,14 @@ def run_metrics(s, d):
     return out
 
 
-@query("variant_aggregates", f"SELECT vision_mode, path_ordering, count(*) AS runs, round(avg(num_paths), 2) AS avg_paths, round(avg(num_commands), 2) AS avg_commands, round(avg(pen_up_distance_mm), 2) AS avg_pen_up_mm, round(avg(draw_distance_mm), 2) AS avg_draw_mm, round(avg(mask_dice), 4) AS avg_dice, round(avg(mask_iou), 4) AS avg_iou FROM {RUNS} r GROUP BY vision_mode, path_ordering")
+def mean_sql(c: str, places: int, name: str) -> str:
+    return f"round(CAST(sum(CAST({c} AS DECIMAL(28,6))) AS DOUBLE) / count({c}), {places}) AS {name}"
+
+
+MEANS = (("num_paths", 2, "avg_paths"), ("num_commands", 2, "avg_commands"), ("pen_up_distance_mm", 2, "avg_pen_up_mm"), ("draw_distance_mm", 2, "avg_draw_mm"), ("mask_dice", 4, "avg_dice"), ("mask_iou", 4, "avg_iou"))
+
+
+@query("variant_aggregates", f"SELECT vision_mode, path_ordering, count(*) AS runs, {', '.join(mean_sql(*m) for m in MEANS)} FROM {RUNS} r GROUP BY vision_mode, path_ordering")
 def variant_aggregates(s, d):
     return ex.variant_aggregates(runs(s, d))
 
@@ -947,7 +976,24 @@ def session_wrap(s, d):
     return sc.session_wrap(sessions(s, d)).select("session_id", "seq", "cmd")
 
 
-@query("pose_tracker")
+WRAPPED = f"""(SELECT session_id, CAST(seq AS BIGINT) AS seq, cmd, x, y FROM {SESS} z
+ UNION ALL SELECT session_id, unnest([-2, -1]), unnest(['PING', 'START']), NULL, NULL FROM (SELECT DISTINCT session_id FROM {SESS} z) a
+ UNION ALL SELECT session_id, max(seq) + 1, 'END', NULL, NULL FROM {SESS} z GROUP BY session_id)"""
+POSES = f"""WITH RECURSIVE o AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY seq) AS i FROM {WRAPPED} w),
+ k AS (SELECT DISTINCT session_id, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS VARCHAR) AS cmd, CAST(0 AS DOUBLE) AS px, CAST(0 AS DOUBLE) AS py,
+ CAST(0 AS DOUBLE) AS heading, false AS pen, false AS pen_before, false AS moved, CAST(0 AS DOUBLE) AS d, CAST(0 AS DOUBLE) AS delta FROM o UNION ALL
+ SELECT session_id, i, seq, cmd, CASE WHEN cmd = 'START' THEN 0 WHEN moved THEN x ELSE px END, CASE WHEN cmd = 'START' THEN 0 WHEN moved THEN y ELSE py END,
+ CASE WHEN cmd = 'START' THEN 0 WHEN moved THEN toward ELSE heading END, CASE WHEN cmd IN ('START', 'PEN_UP', 'END') THEN false WHEN cmd = 'PEN_DOWN' THEN true ELSE pen END,
+ pen, moved, d, 180 - (((180 - (toward - heading)) % 360) + 360) % 360 FROM (SELECT o.*, k.px, k.py, k.heading, k.pen, sqrt((o.x - k.px) * (o.x - k.px) + (o.y - k.py) * (o.y - k.py)) AS d,
+ degrees(atan2(-(o.y - k.py), o.x - k.px)) AS toward, coalesce(o.cmd = 'MOVE' AND sqrt((o.x - k.px) * (o.x - k.px) + (o.y - k.py) * (o.y - k.py)) >= 1, false) AS moved
+ FROM k JOIN o ON o.session_id = k.session_id AND o.i = k.i + 1) s)"""
+
+
+@query(
+    "pose_tracker",
+    f"""{POSES} SELECT session_id, seq, cmd, round(px, 3) AS px, round(py, 3) AS py, round(heading, 3) AS heading, pen AS pen_down, round(CASE WHEN moved AND abs(delta) >= 1 THEN delta ELSE 0 END, 3) AS turn,
+ CASE WHEN moved THEN pen_before AND abs(delta) >= 30 ELSE pen_before AND cmd IN ('START', 'PEN_UP', 'END') END AS lift, CASE WHEN moved THEN CAST(format('{{:.2f}}', d / 10) AS DOUBLE) ELSE 0 END AS straight FROM k WHERE i > 0""",
+)
 def pose_tracker(s, d):
     p = sc.pose_batch(sc.session_wrap(sessions(s, d)))
     return p.select("session_id", "seq", "cmd", r("px", 3), r("py", 3), r("heading", 3), "pen_down", r("turn", 3), "lift", r("straight", 2))

@@ -5,17 +5,25 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
+from ..operators.kernels import far, last_kept
 from ..schemas import COMMAND_JSON
 
 KNOWN = ("START", "END", "PING", "PEN_UP", "PEN_DOWN", "MOVE")
 MOST_CHARS = 8192
 POSE = "session_id bigint, seq bigint, cmd string, px double, py double, heading double, pen_down boolean, turn double, lift boolean, straight double"
-STATE = "x double, y double, heading double, pen boolean, seq bigint"
+STATE = "x double, y double, heading double, pen boolean, seq bigint, until bigint"
+WAITING = "seq bigint, cmd string, x double, y double, at bigint"
+#: Moves below this are no moves, turns below this are not made, and from this one on the pen is lifted.
+MIN_MOVE, LEAST_TURN, CORNER = 1.0, 1.0, 30.0
+ORIGIN = (0.0, 0.0, 0.0, False)
 
 
 def command_stream(spark: SparkSession, folder: str) -> DataFrame:
@@ -33,7 +41,7 @@ def quarantine(lines: DataFrame) -> DataFrame:
     return out.withColumn("error_kind", kind).withColumn("cmd", F.when(F.col("error_kind").isNull(), F.col("_c.cmd"))).withColumn("x", F.col("_c.x")).withColumn("y", F.col("_c.y")).withColumn("speed", F.coalesce("_c.speed", F.when(F.col("cmd") == "MOVE", F.lit(30.0)))).drop("_v", "_c")
 
 
-def step(pose: tuple, cmd: str, x, y, min_move: float = 1.0) -> tuple[tuple, tuple]:
+def step(pose: tuple, cmd: str, x, y, min_move: float = MIN_MOVE) -> tuple[tuple, tuple]:
     """The pose after a command, and (turn, lift, straight) that it asks for."""
     px, py, heading, pen = pose
     turn, lift, straight = 0.0, False, 0.0
@@ -45,55 +53,151 @@ def step(pose: tuple, cmd: str, x, y, min_move: float = 1.0) -> tuple[tuple, tup
         return (px, py, heading, True), (turn, lift, straight)
     if cmd == "MOVE" and x is not None and y is not None and x == x and y == y:
         dx, dy = x - px, y - py
-        d = math.hypot(dx, dy)
+        d = math.sqrt(dx * dx + dy * dy)
         if d >= min_move:
             to = math.degrees(math.atan2(-dy, dx))
             delta = 180.0 - (180.0 - (to - heading)) % 360.0
-            turn = delta if abs(delta) >= 1.0 else 0.0
-            return (x, y, to, pen), (turn, pen and abs(delta) >= 30.0, round(d / 10, 2))
+            turn = delta if abs(delta) >= LEAST_TURN else 0.0
+            return (x, y, to, pen), (turn, pen and abs(delta) >= CORNER, round(d / 10, 2))
     return pose, (turn, lift, straight)
 
 
-def fold(rows: pd.DataFrame, pose: tuple, last: int) -> tuple[list[tuple], tuple, int]:
-    """Poses after the commands in the order of seq; those not above ``last`` were seen before."""
-    out = []
-    for r in rows.sort_values("seq").itertuples():
-        if r.seq <= last:
-            continue
-        pose, asked = step(pose, r.cmd, r.x, r.y)
-        last = int(r.seq)
-        out.append((r.session_id, r.seq, r.cmd, *pose, *asked))
-    return out, pose, last
-
-
 COLUMNS = ["session_id", "seq", "cmd", "px", "py", "heading", "pen_down", "turn", "lift", "straight"]
 
 
-def pose_batch(commands: DataFrame) -> DataFrame:
-    """The pose after each command of each session."""
-
-    def run(df: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(fold(df, (0.0, 0.0, 0.0, False), -(1 << 62))[0], columns=COLUMNS)
-
-    return commands.select("session_id", "seq", "cmd", "x", "y").groupBy("session_id").applyInPandas(run, POSE)
-
+def poses_of(cmd: np.ndarray, x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+    """The pose after each command of a session, on whole arrays: accepted moves by the kernel
+    of last kept points, pen and heading by what was set last."""
+    n = len(cmd)
+    start = cmd == "START"
+    placed = start | ((cmd == "MOVE") & ~np.isnan(x) & ~np.isnan(y))
+    # the places that the pen may take: the origin at first and at each START, and targets of moves
+    at = np.concatenate(([0], np.flatnonzero(placed) + 1))
+    reset = np.concatenate(([True], start))[at]
+    px, py = (np.where(reset, 0.0, np.concatenate(([0.0], v))[at]) for v in (x, y))
+    kept = last_kept(len(at), far(px, py, np.where(reset, -np.inf, MIN_MOVE)))
+    at, px, py, reset = at[kept], px[kept], py[kept], reset[kept]
+    dx, dy = np.diff(px, prepend=0.0), np.diff(py, prepend=0.0)
+    heading = np.where(reset, 0.0, np.degrees(np.arctan2(-dy, dx)))
+    delta = 180.0 - (180.0 - np.diff(heading, prepend=0.0)) % 360.0
+    # the last of these places at or before each command
+    last = np.searchsorted(at, np.arange(1, n + 1), "right") - 1
+    moved = (at[last] == np.arange(1, n + 1)) & ~reset[last]
+    pens = np.flatnonzero(start | np.isin(cmd, ("PEN_UP", "PEN_DOWN", "END")))
+    held = np.searchsorted(pens, np.arange(n), "right") - 1
+    down = np.where(held >= 0, cmd[pens[np.maximum(held, 0)]] == "PEN_DOWN", False) if len(pens) else np.zeros(n, bool)
+    before = np.concatenate(([False], down[:-1]))
+    corner = np.abs(delta[last])
+    length = np.sqrt(dx * dx + dy * dy)[last] / 10
+    return {
+        "px": px[last],
+        "py": py[last],
+        "heading": heading[last],
+        "pen_down": down,
+        "turn": np.where(moved & (corner >= LEAST_TURN), delta[last], 0.0),
+        "lift": np.where(moved, before & (corner >= CORNER), before & (start | np.isin(cmd, ("PEN_UP", "END")))),
+        "straight": np.array([round(v, 2) if m else 0.0 for v, m in zip(length.tolist(), moved.tolist(), strict=True)], float),
+    }
 
-def pose_stream(commands: DataFrame, idle: str | None = None) -> DataFrame:
-    """The same on a stream: the pose is the state of a session; commands are taken once, by seq."""
 
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        x, y, heading, pen, last = state.get if state.exists else (0.0, 0.0, 0.0, False, -(1 << 62))
-        out, pose, last = fold(pd.concat(list(batches)), (x, y, heading, pen), last)
-        state.update((*pose, last))
-        if idle:
-            state.setTimeoutDuration(idle)
-        yield pd.DataFrame(out, columns=COLUMNS)
-
-    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout
-    return commands.select("session_id", "seq", "cmd", "x", "y").groupBy("session_id").applyInPandasWithState(run, POSE, STATE, "append", timeout)
+def pose_batch(commands: DataFrame) -> DataFrame:
+    """The pose after each command of each session; a seq that comes again is taken once."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("seq")
+        seq = table.column("seq").to_numpy()
+        table = table.filter(pa.array(np.diff(seq, prepend=seq[0] - 1) != 0))
+        cmd = np.array(table.column("cmd").to_pylist(), object)
+        x, y = (table.column(c).to_numpy().astype(float) for c in ("x", "y"))
+        out = {c: table.column(c) for c in ("session_id", "seq", "cmd")} | {k: pa.array(v) for k, v in poses_of(cmd, x, y).items()}
+        return pa.table([out[c] for c in COLUMNS], names=COLUMNS)
+
+    rows = commands.filter("seq IS NOT NULL").select("session_id", "seq", "cmd", "x", "y")
+    return rows.groupBy("session_id").applyInArrow(run, POSE)
+
+
+class PoseTracker(StatefulProcessor):
+    """The pose of a session as keyed state.
+
+    Commands wait in a list until the watermark has passed their time; a timer at that time
+    takes them in the order of seq, up to the first one that isn't due. So commands that
+    come late or out of order, but within the delay, count as if they had come in order;
+    those at or below the last seq taken are replays and give nothing. A session without a
+    command for longer than the idle time (by the times of the commands) is forgotten, its
+    last seq, too: a timer frees the state, and a command after such a gap finds the origin.
+    """
+
+    def __init__(self, idle_ms: int | None):
+        self.idle_ms = idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.pose = handle.getValueState("pose", STATE)
+        self.waiting = handle.getListState("waiting", WAITING)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        more = []
+        for df in rows:
+            number = lambda v: None if v is None or v != v else float(v)
+            more += [(int(q), c, number(a), number(b), int(t)) for q, c, a, b, t in zip(df["seq"], df["cmd"], df["x"], df["y"], df["at_ms"], strict=True)]
+        if more:
+            self.waiting.appendList(more)
+            for at in {min(m[4] for m in more), max(m[4] for m in more)}:
+                self.handle.registerTimer(at)
+        return iter(())
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs()
+        new = (ORIGIN, -(1 << 62), None)
+        held = self.pose.get() if self.pose.exists() else None
+        pose, last, until = (tuple(held[:4]), held[4], held[5]) if held else new
+        out, left, blocked = [], [], False
+        for row in sorted(self.waiting.get()) if self.waiting.exists() else []:
+            seq, cmd, ax, ay, at = row
+            blocked = blocked or at > now
+            if blocked:
+                left.append(row)
+                continue
+            if self.idle_ms is not None and until is not None and at > until + self.idle_ms:
+                pose, last, until = new
+            if seq > last:
+                pose, asked = step(pose, cmd, ax, ay)
+                last, until = seq, at if until is None else max(until, at)
+                out.append((key[0], seq, cmd, *pose, *asked))
+        if left:
+            self.waiting.put(left)
+            # the one that the others wait for
+            self.handle.registerTimer(max(left[0][4], now + 1))
+        else:
+            self.waiting.clear()
+        if until is None or self.idle_ms is not None and now > until + self.idle_ms:
+            self.pose.clear()
+        else:
+            self.pose.update((*pose, last, until))
+            if self.idle_ms is not None:
+                self.handle.registerTimer(max(until + self.idle_ms + 1, now + 1))
+        if out:
+            yield pd.DataFrame(out, columns=COLUMNS)
+
+    def close(self) -> None:
+        pass
+
+
+def pose_stream(commands: DataFrame, time: str = "ts", delay: str = "10 seconds", idle_seconds: float | None = None) -> DataFrame:
+    """The same on a stream of (session_id, seq, cmd, x, y, ``time``): a pose comes out once the watermark has passed its command.
+
+    ``delay`` is how late a command may be; later ones than that are dropped by the
+    watermark. Without ``idle_seconds`` sessions are kept for good. Needs the RocksDB state
+    store (``use_rocksdb``).
+    """
+    rows = commands.withWatermark(time, delay).select("session_id", "seq", "cmd", "x", "y", time)
+    rows = rows.withColumn("at_ms", F.unix_millis(F.col(time).cast("timestamp"))).filter("seq IS NOT NULL")
+    tracker = PoseTracker(None if idle_seconds is None else int(idle_seconds * 1000))
+    return rows.groupBy("session_id").transformWithStateInPandas(tracker, POSE, "append", "eventTime")
+
+
+def use_rocksdb(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
 def session_wrap(commands: DataFrame, ping: bool = True) -> DataFrame:

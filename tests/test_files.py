@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from strokemill.functions import text
@@ -60,9 +61,25 @@ def test_split_line_errors(spark):
 
 
 def test_flatten_ids(spark):
-    given = {'["a","b",3]': ["a", "b", "3"], '{"name":"y","id":"x"}': ["x"], '{"n":{"stem":"s"},"p":["p","q"]}': ["s", "p", "q"], '"solo"': ["solo"], "7": ["7"], "null": [], '[[1,[2,{"file":"f\\"g"}]],null,true]': ["1", "2", 'f"g', "true"], "[]": [], "{}": [], "[[[[[1]]]]]": []}
+    given = {'["a","b",3]': ["a", "b", "3"], '{"name":"y","id":"x"}': ["x"], '{"n":{"stem":"s"},"p":["p","q"]}': ["s", "p", "q"], '"solo"': ["solo"], "7": ["7"], "null": [], '[[1,[2,{"file":"f\\"g"}]],null,true]': ["1", "2", 'f"g', "true"], "[]": [], "{}": [], "[[[[[1]]]]]": ["1"], "{": [], "plain text": ["plain text"]}
     df = spark.createDataFrame([(k,) for k in given], "v string")
     assert {r.v: r.ids for r in df.select("v", text.flatten_ids(F.col("v")).alias("ids")).collect()} == given
+    assert {r.v: r.ids for r in text.with_ids(df, "v").collect()} == given
+    deep = "[" * 300 + '{"x": {"b": 1.50, "a": [2]}}' + "]" * 300
+    assert text.with_ids(spark.createDataFrame([(deep,), (None,)], "v string"), "v").collect()[0].ids == ["1.50", "2"]
+
+
+def test_split_lists_of_any_depth(spark):
+    deep = '{"train": ' + "[" * 30 + '{"stem": "x"}' + "]" * 30 + ', "val": ["y"]}'
+    rows = cu.split_json_rows(spark.createDataFrame([(1, deep)], "file_ord int, value string"))
+    assert sorted((r.id, r.split) for r in rows.collect()) == [("x", "train"), ("y", "val")]
+
+
+def test_ids_that_are_nested_too_deep_fail(spark):
+    df = spark.createDataFrame([("[" * 9 + "1" + "]" * 9,)], "v string")
+    assert df.select(text.flatten_ids(F.col("v"), 9).alias("ids")).first().ids == ["1"]
+    with pytest.raises(Exception, match="deeper than 8 levels"):
+        df.select(text.flatten_ids(F.col("v"), 8)).collect()
 
 
 def test_json_lines_experiments_and_report(spark, tmp_path):
