@@ -110,21 +110,39 @@ def assign_split(items: DataFrame, assignments: DataFrame, default: str = "train
     return out.withColumn("reason", F.when(~F.col("split").isin(*sorted(set(SPLITS.values()))), F.concat(F.lit("unknown split: "), "split")))
 
 
-def exact_ratio_split(rows: DataFrame, key: str, val: float, test: float, seed: int = 42) -> DataFrame:
+#: Rows of a bucket of digests, about, when ranks are counted.
+BUCKET_ROWS = 200_000
+
+
+def exact_ratio_split(rows: DataFrame, key: str, val: float, test: float, seed: int = 42, digits: int | None = None) -> DataFrame:
     """Rows with split: exactly int(n * test) and int(n * val) keys, the rest train, in the order of md5(seed:key).
 
-    The global rank comes from counts by the first two digits of the digest (one small
-    table) and ranks inside them, so no task sees all rows.
+    A row's global rank is its rank among the rows whose digests begin with the same
+    ``digits`` digits, after the counts of the beginnings before. There are as many
+    beginnings as keep each to about ``BUCKET_ROWS`` rows, so parallelism grows with the
+    table. Their counts are summed in two levels, by the first half of the digits and then
+    inside each: no task sees all of them, and none is broadcast.
     """
     if val < 0 or test < 0 or val + test >= 1:
         raise ValueError("ratios must not be negative and must leave rows for train")
+    if digits is None:
+        digits = 2
+        many = rows.count()
+        while digits < 16 and many >> (4 * digits) > BUCKET_ROWS:
+            digits += 2
     h = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary"))
-    own = rows.withColumn("_h", h).withColumn("_b", F.substring("_h", 1, 2))
-    sizes = own.groupBy("_b").agg(F.count("*").alias("c"))
-    n = F.sum("c").over(Window.partitionBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    starts = sizes.select("_b", (F.sum("c").over(Window.partitionBy(F.lit(1)).orderBy("_b")) - F.col("c")).alias("_start"), n.alias("_n"))  # 256 rows at most
+    own = rows.withColumn("_h", h).withColumn("_b", F.substring("_h", 1, digits))
+    sizes = own.groupBy("_b").agg(F.count("*").alias("c")).withColumn("_first", F.substring("_b", 1, digits // 2))
+    inner = F.sum("c").over(Window.partitionBy("_first").orderBy("_b")) - F.col("c")
+    # one row for each first half: the square root of the number of beginnings
+    outer = sizes.groupBy("_first").agg(F.sum("c").alias("_all"))
+    everything = Window.partitionBy(F.lit(1))
+    before = F.sum("_all").over(everything.orderBy("_first")) - F.col("_all")
+    n = F.sum("_all").over(everything.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    outer = outer.select("_first", before.alias("_before"), n.alias("_n"))
+    starts = sizes.withColumn("_inner", inner).join(outer, "_first").select("_b", (F.col("_before") + F.col("_inner")).alias("_start"), "_n")
     rank = F.row_number().over(Window.partitionBy("_b").orderBy("_h", key)) - 1 + F.col("_start")
-    put = own.join(F.broadcast(starts), "_b").withColumn("_rank", rank)
+    put = own.join(starts, "_b").withColumn("_rank", rank)
     tests, vals = F.floor(F.col("_n") * test), F.floor(F.col("_n") * val)
     split = F.when(F.col("_rank") >= F.col("_n") - tests, "test").when(F.col("_rank") >= F.col("_n") - tests - vals, "val").otherwise("train")
     return put.withColumn("split", split).drop("_h", "_b", "_start", "_n", "_rank")

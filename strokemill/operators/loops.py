@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geom import dist, dist_points
+from .greedy import dropped_by_earlier, greedy_matching
 
 AREA_RATIO, CENTER, SIDE = 0.72, 0.08, 0.22
+#: Loops of a cell that one task takes.
+CELL_LOOPS = 500
 
 
 def shape_of(paths: DataFrame) -> DataFrame:
@@ -75,27 +76,39 @@ def average_closed(a: Column, b: Column) -> Column:
 def near_duplicate_loops(shapes: DataFrame) -> DataFrame:
     """(drawing_id, a, b, score): loops of like area, place and size, a being the larger (ties: smaller id).
 
-    Candidates meet in buckets of log-area and of a centre grid as wide as the loop may
-    lie apart, neighbouring buckets included; the rule itself is checked afterwards.
+    Candidates meet in cells of log-span, log-area and a grid of centres that is wider than
+    two such loops may lie apart. The smaller loop lies in one cell; the larger one asks in
+    all cells where its partners can lie (three spans, two areas, nine places), so each
+    pair meets once. The smaller loops of a cell with more than ``CELL_LOOPS`` of them are
+    dealt into several, all of which are asked, so one place that many loops share is no
+    single task. The rule itself is checked afterwards.
     """
-    loops = shapes.filter("closed AND area > 0").select("drawing_id", "path_id", "area", "cx", "cy", "w", "h").withColumn("span", F.greatest("w", "h", F.lit(1.0)))
-    # areas within the ratio lie in the same or the next bucket; so do spans, which bound the distance
+    loops = shapes.filter("closed AND area > 0").select("drawing_id", "path_id", "area", "cx", "cy", "w", "h")
+    loops = loops.withColumn("span", F.greatest("w", "h", F.lit(1.0)))
+    # areas within the ratio differ by one log step at most, and so do spans; the larger span is at most 1 / (1 - SIDE) of the smaller
     width = F.log(F.lit(1 / AREA_RATIO))
-    cell = F.lit(CENTER) * F.pow(F.lit(2.0), F.col("sl") + 1)
     own = loops.withColumn("al", F.floor(F.log("area") / width)).withColumn("sl", F.floor(F.log2("span")))
-    own = own.withColumn("gx", F.floor(F.col("cx") / cell)).withColumn("gy", F.floor(F.col("cy") / cell))
-    # a offers itself at its own and coarser span level, and at the neighbouring places
-    near = lambda c: F.explode(F.array(F.col(c) - 1, F.col(c), F.col(c) + 1))
-    up = own.select("*", F.explode(F.array("sl", F.col("sl") + 1)).alias("level"))
-    grid = F.lit(CENTER) * F.pow(F.lit(2.0), F.col("level") + 1)
-    keyed = up.withColumn("gx", F.floor(F.col("cx") / grid)).withColumn("gy", F.floor(F.col("cy") / grid))
-    probe = keyed.select("*", near("al").alias("al2")).drop("al").withColumnRenamed("al2", "al").select("*", near("gx").alias("gx2")).drop("gx").withColumnRenamed("gx2", "gx").select("*", near("gy").alias("gy2")).drop("gy").withColumnRenamed("gy2", "gy")
-    b = keyed.select("drawing_id", "level", "al", "gx", "gy", *(F.col(c).alias(f"b_{c}") for c in ("path_id", "area", "cx", "cy", "w", "h", "span")))
-    met = probe.join(b, ["drawing_id", "level", "al", "gx", "gy"]).filter((F.col("area") > F.col("b_area")) | ((F.col("area") == F.col("b_area")) & (F.col("path_id") < F.col("b_path_id"))))
+
+    def at(c: str) -> Column:
+        return F.floor(F.col(c) / (CENTER / (1 - SIDE) * F.pow(F.lit(2.0), F.col("sl") + 1)))
+
+    cell = ["drawing_id", "sl", "al", "gx", "gy"]
+    small = own.select("*", at("cx").alias("gx"), at("cy").alias("gy"))
+    small = small.select(*cell, *(F.col(c).alias(f"b_{c}") for c in ("path_id", "area", "cx", "cy", "w", "h", "span")))
+    full = small.groupBy(*cell).agg(F.count("*").alias("_n")).filter(F.col("_n") > CELL_LOOPS)
+    full = full.select(*cell, F.ceil(F.col("_n") / CELL_LOOPS).cast("int").alias("_parts"))
+    parts = F.coalesce("_parts", F.lit(1))
+    small = small.join(full, cell, "left").withColumn("part", F.pmod(F.hash("b_path_id"), parts)).drop("_parts")
+    beside = lambda c, *steps: F.explode(F.array(*(F.col(c) + k for k in steps)))
+    asks = own.withColumn("sl", beside("sl", -1, 0, 1)).withColumn("al", beside("al", -1, 0))
+    asks = asks.withColumn("gx", at("cx")).withColumn("gy", at("cy")).withColumn("gx", beside("gx", -1, 0, 1)).withColumn("gy", beside("gy", -1, 0, 1))
+    asks = asks.join(full, cell, "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    larger = (F.col("area") > F.col("b_area")) | ((F.col("area") == F.col("b_area")) & (F.col("path_id") < F.col("b_path_id")))
+    met = asks.join(small, [*cell, "part"]).filter(larger)
     ratio, d, span = F.col("b_area") / F.col("area"), dist(F.col("cx"), F.col("cy"), F.col("b_cx"), F.col("b_cy")), F.greatest("span", "b_span")
     gap = lambda c: F.abs(F.col(c) - F.col(f"b_{c}")) / F.greatest(F.col(c), F.col(f"b_{c}"), F.lit(1.0))
     good = met.filter((ratio >= AREA_RATIO) & (d <= CENTER * span) & (gap("w") <= SIDE) & (gap("h") <= SIDE))
-    return good.select("drawing_id", F.col("path_id").alias("a"), F.col("b_path_id").alias("b"), (ratio - d / span).alias("score")).distinct()
+    return good.select("drawing_id", F.col("path_id").alias("a"), F.col("b_path_id").alias("b"), (ratio - d / span).alias("score"))
 
 
 def merge_duplicate_loops(paths: DataFrame, n: int = 32, keep_open: bool = True) -> DataFrame:
@@ -104,19 +117,9 @@ def merge_duplicate_loops(paths: DataFrame, n: int = 32, keep_open: bool = True)
     edges = near_duplicate_loops(shapes)
     sizes = shapes.select("drawing_id", F.col("path_id").alias("a"), "area")
 
-    def greedy(df: pd.DataFrame) -> pd.DataFrame:
-        used, out = set(), []
-        for a, group in df.sort_values(["area", "a"], ascending=[False, True]).groupby("a", sort=False):
-            if a in used:
-                continue
-            for b in group.sort_values(["score", "b"], ascending=[False, True])["b"]:
-                if b not in used:
-                    used |= {a, b}
-                    out.append((df["drawing_id"].iloc[0], a, b))
-                    break
-        return pd.DataFrame(out, columns=["drawing_id", "a", "b"])
-
-    pairs = edges.join(sizes, ["drawing_id", "a"]).groupBy("drawing_id").applyInPandas(greedy, "drawing_id bigint, a bigint, b bigint")
+    order = F.struct((-F.col("area")).alias("area"), "a", (-F.col("score")).alias("score"), "b")
+    ranked = edges.join(sizes, ["drawing_id", "a"]).select("drawing_id", "a", "b", order.alias("rank"))
+    pairs = greedy_matching(ranked)
     rings = resample_closed(paths, n).groupBy("drawing_id", "path_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "x", "y"))), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))).alias("ring"))
     ra, rb = rings.select("drawing_id", F.col("path_id").alias("a"), F.col("ring").alias("ref")), rings.select("drawing_id", F.col("path_id").alias("b"), F.col("ring").alias("cand"))
     both = align_closed(pairs.join(ra, ["drawing_id", "a"]).join(rb, ["drawing_id", "b"]))
@@ -129,7 +132,7 @@ def merge_duplicate_loops(paths: DataFrame, n: int = 32, keep_open: bool = True)
 def dedupe_open_paths(paths: DataFrame, tolerance: float = 4.0) -> DataFrame:
     """Paths without those both of whose ends lie near the ends of an earlier kept path (either direction).
 
-    Candidate pairs meet on a grid of first ends; which ones stay is settled in order for each drawing.
+    Candidate pairs meet on a grid of first ends; which ones stay is settled in rounds.
     """
     ends = paths.filter(F.size("points") > 0).select("drawing_id", "path_id", F.element_at("points", 1).alias("a"), F.element_at("points", -1).alias("b"))
     cell = lambda p, c: F.floor(F.col(f"{p}.{c}") / tolerance)
@@ -138,12 +141,5 @@ def dedupe_open_paths(paths: DataFrame, tolerance: float = 4.0) -> DataFrame:
     held = ends.select("drawing_id", F.col("path_id").alias("earlier"), both.alias("o")).withColumn("g", F.struct(F.floor(F.col("o.s.x") / tolerance).alias("gx"), F.floor(F.col("o.s.y") / tolerance).alias("gy")))
     near = probe.join(held, ["drawing_id", "g"]).filter((F.col("earlier") < F.col("path_id")) & (dist_points(F.col("a"), F.col("o.s")) <= tolerance) & (dist_points(F.col("b"), F.col("o.e")) <= tolerance)).select("drawing_id", "path_id", "earlier").distinct()
 
-    def settle(df: pd.DataFrame) -> pd.DataFrame:
-        gone = set()
-        for p, group in df.sort_values("path_id").groupby("path_id"):
-            if any(e not in gone for e in group["earlier"]):
-                gone.add(p)
-        return pd.DataFrame({"drawing_id": df["drawing_id"].iloc[0], "path_id": np.array(sorted(gone), np.int64)})
-
-    gone = near.groupBy("drawing_id").applyInPandas(settle, "drawing_id bigint, path_id bigint")
+    gone = dropped_by_earlier(near.withColumnRenamed("path_id", "later")).withColumnRenamed("node", "path_id")
     return paths.join(gone, ["drawing_id", "path_id"], "left_anti")

@@ -1,37 +1,49 @@
 """Order of a drawing's paths: greedy nearest neighbour, and two-opt on top of it.
 
-A drawing is one task's work, however many paths it has (``ordered`` is always true). Large
-drawings find their next path over a grid; a pass of two-opt looks at all pairs of paths.
+A drawing is one task's work, however many paths it has. Large drawings find their next
+path over a grid, and two-opt looks at the pairs of paths that can gain, which are found
+over grids, too.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-SCHEMA = "drawing_id bigint, path_id bigint, pos bigint, flipped boolean, ordered boolean, points array<struct<x:double,y:double>>"
+SCHEMA = "drawing_id bigint, path_id bigint, pos bigint, flipped boolean, points array<struct<x:double,y:double>>"
 
 
 #: From so many paths on the next one is found over a grid; the result is the same.
 GRID = 500
 #: Rings of cells that are looked at before all paths that are left.
 RINGS = 6
+#: Up to so many paths two-opt looks at all pairs at once; pairs that it looks at in one piece beyond.
+ALL_PAIRS, PAIRS = 300, 2_000_000
+
+
+def apart(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    d = p - q
+    return np.sqrt(d[..., 0] * d[..., 0] + d[..., 1] * d[..., 1])
 
 
 def nearest(heads: np.ndarray, tails: np.ndarray, start: np.ndarray, grid: int = GRID) -> tuple[list[int], list[bool]]:
     """Nearer end of the unused paths; the earliest path and the forward direction win ties."""
     if len(heads) >= grid and np.isfinite(heads).all() and np.isfinite(tails).all() and np.isfinite(start).all():
         return nearest_by_grid(heads, tails, start)
-    here, left, order, flips = start, np.ones(len(heads), bool), [], []
+    ends = np.stack([heads, tails], 1).reshape(-1, 2)
+    # ways from the start and from each end to each end; a path's two ends are 2i and 2i + 1
+    ways = apart(np.vstack([ends, start])[:, None], ends[None])
+    here, order, flips = len(ends), [], []
     for _ in range(len(heads)):
-        both = np.stack([np.hypot(*(heads - here).T), np.hypot(*(tails - here).T)], 1)
-        both[~left] = np.inf
-        i, flip = divmod(int(both.ravel().argmin()), 2)
+        i, flip = divmod(int(ways[here].argmin()), 2)
         order.append(i)
         flips.append(bool(flip))
-        left[i] = False
-        here = heads[i] if flip else tails[i]
+        ways[:, 2 * i : 2 * i + 2] = np.inf
+        here = 2 * i + 1 - flip
     return order, flips
 
 
@@ -67,7 +79,7 @@ def nearest_by_grid(heads: np.ndarray, tails: np.ndarray, start: np.ndarray) ->
                         near.extend(own)
                 near = np.array(sorted(near), int)
             if len(near):
-                d = np.hypot(*(ends[near] - here).T)
+                d = apart(ends[near], here)
                 k = int(d.argmin())
                 if (d[k], near[k]) < (best, found):
                     best, found = float(d[k]), int(near[k])
@@ -82,6 +94,74 @@ def nearest_by_grid(heads: np.ndarray, tails: np.ndarray, start: np.ndarray) ->
     return order, flips
 
 
+def within(places: np.ndarray, points: np.ndarray, radius: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (place, point) that lie within the place's radius, and some more.
+
+    Places of like radius look into nine cells of a grid as wide as the radius; pairs come
+    in pieces of about ``PAIRS``.
+    """
+    asking = np.isfinite(radius) & (radius > 0)
+    level = np.ceil(np.log2(np.maximum(np.where(asking, radius, 1.0), 1e-9))).astype(int)
+    for lv in np.unique(level[asking]) if len(points) else ():
+        asks = np.flatnonzero((level == lv) & asking)
+        side = 2.0 ** float(lv)
+        low = np.minimum(points.min(0), places[asks].min(0)) - 2 * side
+        at, own = (np.floor((p - low) / side).astype(np.int64) for p in (points, places[asks]))
+        width = int(max(at[:, 1].max(), own[:, 1].max())) + 3
+        keys = at[:, 0] * width + at[:, 1]
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        for dx in (-1, 0, 1):
+            row = (own[:, 0] + dx) * width + own[:, 1]
+            first, last = np.searchsorted(keys, row - 1, "left"), np.searchsorted(keys, row + 1, "right")
+            sums = np.cumsum(last - first)
+            begin = 0
+            while begin < len(asks):
+                done = int(sums[begin - 1]) if begin else 0
+                end = max(begin + 1, int(np.searchsorted(sums, done + PAIRS, "right")))
+                many = (last - first)[begin:end]
+                ask = np.repeat(np.arange(begin, end), many)
+                hit = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(first[begin:end], many)
+                yield asks[ask], order[hit]
+                begin = end
+
+
+def gaining(a: np.ndarray, b: np.ndarray, ends: np.ndarray, gain: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, less) of all reversals of i..j that save more than ``gain``, in order.
+
+    Reversing replaces the ways before i and after j by two others. It can only save if
+    the new way to j's end is shorter than the one before i was, or the new way after i's
+    head is shorter than the one after j was; so only pairs are looked at in which one of
+    these lies within the length of the old way.
+    """
+    n = len(a)
+    before, after = apart(ends, a), np.append(apart(b[:-1], a[1:]), 0.0)
+    slack = 1 + 1e-9
+    found = []
+
+    def look(i: np.ndarray, j: np.ndarray) -> None:
+        good = j > i
+        i, j = i[good], j[good]
+        rest = np.minimum(j + 1, n - 1)
+        less = before[i] + after[j] - (apart(ends[i], b[j]) + np.where(j + 1 < n, apart(a[i], a[rest]), 0.0))
+        good = less > gain
+        found.append((i[good], j[good], less[good]))
+
+    if n <= ALL_PAIRS:
+        look(*np.triu_indices(n, 1))
+    else:
+        # what lies nowhere saves nothing
+        at_a, at_b, at_e = (np.flatnonzero(np.isfinite(p).all(1)) for p in (a, b, ends))
+        for i, j in within(ends[at_e], b[at_b], before[at_e] * slack):
+            look(at_e[i], at_b[j])
+        at_j = at_a[at_a > 0] - 1
+        for j, i in within(a[at_j + 1], a[at_a], after[at_j] * slack):
+            look(at_a[i], at_j[j])
+    i, j, less = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, int),) * 3
+    _, first = np.unique(i * n + j, return_index=True)
+    return i[first], j[first], less[first]
+
+
 def two_opt(a: np.ndarray, b: np.ndarray, start: np.ndarray, passes: int, gain: float) -> tuple[np.ndarray, np.ndarray]:
     """Order and flips that lower the pen-up way by reversing stretches; the end stays open.
 
@@ -90,44 +170,49 @@ def two_opt(a: np.ndarray, b: np.ndarray, start: np.ndarray, passes: int, gain:
     n = len(a)
     order, flip = np.arange(n), np.zeros(n, bool)
     for _ in range(passes):
-        best, at = 0.0, None
-        ends = np.vstack([start, b[:-1]])
-        for i in range(n - 1):
-            j = np.arange(i + 1, n)
-            old = np.hypot(*(a[i] - ends[i])) + np.r_[np.hypot(*(a[j[:-1] + 1] - b[j[:-1]]).T), 0.0]
-            new = np.hypot(*(b[j] - ends[i]).T) + np.r_[np.hypot(*(a[j[:-1] + 1] - a[i]).T), 0.0]
-            less = old - new
-            more = np.flatnonzero(less > best + gain)
-            while len(more):
-                best, at = less[more[0]], (i, int(j[more[0]]))
-                more = more[1:][less[more[1:]] > best + gain]
-        if at is None:
+        i, j, less = gaining(a, b, np.vstack([start, b[:-1]]), gain)
+        if not len(i):
             break
-        s = slice(at[0], at[1] + 1)
+        best, more = 0.0, np.arange(len(i))
+        while len(more):
+            at, best = more[0], less[more[0]]
+            more = more[1:][less[more[1:]] > best + gain]
+        s = slice(int(i[at]), int(j[at]) + 1)
         a[s], b[s] = b[s][::-1].copy(), a[s][::-1].copy()
         order[s], flip[s] = order[s][::-1].copy(), ~flip[s][::-1]
     return order, flip
 
 
+def turned(points: pa.ListArray, flips: np.ndarray) -> pa.ListArray:
+    """The lists, those of ``flips`` the other way round."""
+    sizes = np.asarray(points.value_lengths())
+    begins = np.cumsum(sizes) - sizes
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    place = np.arange(sizes.sum())
+    place = np.where(flips[owner], 2 * begins[owner] + sizes[owner] - 1 - place, place)
+    return pa.ListArray.from_arrays(pa.array(np.append(begins, sizes.sum()), pa.int32()), points.flatten().take(pa.array(place)))
+
+
 def order_paths(paths: DataFrame, method: str = "nearest_neighbor", start: tuple[float, float] = (0.0, 0.0), passes: int = 8, gain: float = 0.01) -> DataFrame:
-    """(drawing_id, path_id, pos, flipped, ordered, points) by ``nearest_neighbor`` or ``two_opt``; empty paths go."""
+    """(drawing_id, path_id, pos, flipped, points) by ``nearest_neighbor`` or ``two_opt``; empty paths go."""
     if method not in ("nearest_neighbor", "two_opt"):
         raise ValueError(f"unknown ordering: {method}")
 
-    def run(df: pd.DataFrame) -> pd.DataFrame:
-        df = df[[p is not None and len(p) > 0 for p in df["points"]]].sort_values("path_id").reset_index(drop=True)
-        order, flips = list(range(len(df))), [False] * len(df)
-        if len(df):
-            heads = np.array([(p[0]["x"], p[0]["y"]) for p in df["points"]])
-            tails = np.array([(p[-1]["x"], p[-1]["y"]) for p in df["points"]])
-            order, flips = nearest(heads, tails, np.array(start))
-            if method == "two_opt" and len(df) >= 3:
-                f = np.array(flips)[:, None]
-                more, turn = two_opt(np.where(f, tails[order], heads[order]), np.where(f, heads[order], tails[order]), np.array(start), passes, gain)
-                order, flips = [order[i] for i in more], [bool(flips[i] ^ t) for i, t in zip(more, turn, strict=True)]
-        out = df.iloc[order].copy()
-        out["pos"], out["flipped"], out["ordered"] = range(len(out)), flips, True
-        out["points"] = [list(p)[::-1] if f else list(p) for p, f in zip(out["points"], flips, strict=True)]
-        return out[["drawing_id", "path_id", "pos", "flipped", "ordered", "points"]]
-
-    return paths.select("drawing_id", "path_id", "points").groupBy("drawing_id").applyInPandas(run, SCHEMA)
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("path_id")
+        points = table.column("points").combine_chunks()
+        sizes = np.asarray(points.value_lengths())
+        begins = np.cumsum(sizes) - sizes
+        x, y = (points.flatten().field(c).to_numpy(zero_copy_only=False) for c in ("x", "y"))
+        heads, tails = (np.stack([x[at], y[at]], 1).astype(float) for at in (begins, begins + sizes - 1))
+        order, flips = (np.array(v) for v in nearest(heads, tails, np.array(start)))
+        if method == "two_opt" and len(order) >= 3:
+            f = flips[:, None]
+            more, turn = two_opt(np.where(f, tails[order], heads[order]), np.where(f, heads[order], tails[order]), np.array(start), passes, gain)
+            order, flips = order[more], flips[more] ^ turn
+        rows = table.take(pa.array(order))
+        out = [rows.column("drawing_id"), rows.column("path_id"), pa.array(np.arange(len(order))), pa.array(flips), turned(points.take(pa.array(order)), flips)]
+        return pa.table(out, names=["drawing_id", "path_id", "pos", "flipped", "points"])
+
+    full = paths.filter(F.size("points") > 0).select("drawing_id", "path_id", "points")
+    return full.groupBy("drawing_id").applyInArrow(run, SCHEMA)

@@ -91,13 +91,51 @@ def collapse_short_segments(s, d):
     return p.select("drawing_id", "path_id", F.size("points").cast("bigint").alias("n_points"), add("x").alias("sum_x"), add("y").alias("sum_y"))
 
 
-@query("simplify_collinear")
+# points as lists {x, y}; a fold keeps a list of the points that stayed
+LISTED = f"(SELECT drawing_id, path_id, list({{'x': x, 'y': y}} ORDER BY seq) AS pts FROM {POLY} z GROUP BY drawing_id, path_id)"
+
+
+def collapsed_sql(pts: str, least: float) -> str:
+    gap = "sqrt((e[1].x - k[-1].x) * (e[1].x - k[-1].x) + (e[1].y - k[-1].y) * (e[1].y - k[-1].y))"
+    return f"list_reduce(list_transform({pts}, lambda p: [p]), lambda k, e: CASE WHEN {gap} >= {least} THEN list_concat(k, e) ELSE k END)"
+
+
+def simplified_sql(source: str, tolerance: float) -> str:
+    """Recursive CTE s (drawing_id, path_id, pts, open) of the passes over ``source``; where open is false, the last is done."""
+    dx, dy = "(e[1].nx - k[-1].x)", "(e[1].ny - k[-1].y)"
+    square = f"({dx} * {dx} + {dy} * {dy})"
+    t = f"CASE WHEN {square} = 0 THEN 0 ELSE greatest(0, least(1, ((e[1].x - k[-1].x) * {dx} + (e[1].y - k[-1].y) * {dy}) / {square})) END"
+    ox, oy = f"(e[1].x - k[-1].x - ({t}) * {dx})", f"(e[1].y - k[-1].y - ({t}) * {dy})"
+    inner = "list_transform(range(2, len(pts)), lambda i: [{'x': pts[i].x, 'y': pts[i].y, 'nx': pts[i + 1].x, 'ny': pts[i + 1].y}])"
+    begun = "list_prepend([{'x': pts[1].x, 'y': pts[1].y, 'nx': CAST(0 AS DOUBLE), 'ny': CAST(0 AS DOUBLE)}], " + inner + ")"
+    kept = f"list_reduce({begun}, lambda k, e: CASE WHEN sqrt({ox} * {ox} + {oy} * {oy}) > {tolerance} THEN list_concat(k, e) ELSE k END)"
+    new = f"list_append(list_transform({kept}, lambda p: {{'x': p.x, 'y': p.y}}), pts[-1])"
+    return f"""s AS (SELECT drawing_id, path_id, pts, len(pts) > 2 AS open FROM {source} c UNION ALL
+ SELECT drawing_id, path_id, new, len(new) < len(pts) AND len(new) > 2 FROM (SELECT drawing_id, path_id, pts, {new} AS new FROM s WHERE open) n)"""
+
+
+def list_length_sql(pts: str) -> str:
+    steps = f"list_transform(range(2, len({pts}) + 1), lambda i: sqrt(({pts}[i].x - {pts}[i - 1].x) ** 2 + ({pts}[i].y - {pts}[i - 1].y) ** 2))"
+    return f"coalesce(list_sum({steps}), 0)"
+
+
+@query(
+    "simplify_collinear",
+    f"WITH RECURSIVE {simplified_sql(LISTED, 2.0)} SELECT drawing_id, path_id, CAST(len(pts) AS BIGINT) AS n_points, round({list_length_sql('pts')}, 4) AS length_mm FROM s WHERE NOT open",
+)
 def simplify_collinear(s, d):
     p = st.simplify_collinear(paths(s, d), 2.0)
     return p.select("drawing_id", "path_id", F.size("points").cast("bigint").alias("n_points"), F.round(st.length_of(F.col("points")), 4).alias("length_mm"))
 
 
-@query("clean_paths")
+@query(
+    "clean_paths",
+    f"""WITH RECURSIVE c AS (SELECT drawing_id, path_id, {collapsed_sql('pts', 0.75)} AS pts FROM {LISTED} l), {simplified_sql('c', 0.5)},
+ d AS (SELECT drawing_id, {collapsed_sql('pts', 0.75)} AS pts FROM s WHERE NOT open),
+ o AS (SELECT drawing_id, sum(len(pts)) AS n FROM d WHERE len(pts) >= 2 AND {list_length_sql('pts')} >= 2.0 GROUP BY drawing_id)
+ SELECT drawing_id, CAST(i.n AS BIGINT) AS input_points, CAST(coalesce(o.n, 0) AS BIGINT) AS output_points, CAST(i.n - coalesce(o.n, 0) AS BIGINT) AS dropped_points
+ FROM (SELECT drawing_id, count(*) AS n FROM {POLY} z GROUP BY drawing_id) i LEFT JOIN o USING (drawing_id)""",
+)
 def clean_paths(s, d):
     before = paths(s, d)
     return st.cleanup_stats(before, st.clean_paths(before))
@@ -120,16 +158,23 @@ def stitch_paths(s, d):
     return st.stitch_paths(paths(s, d), 5.0).select("drawing_id", "path_id", F.size("points").cast("bigint").alias("n_points"), end["x"].alias("end_x"), end["y"].alias("end_y"))
 
 
-@query("order_nearest")
+@query(
+    "order_nearest",
+    f"""WITH RECURSIVE c AS (SELECT drawing_id, path_id AS p, false AS f, ax AS sx, ay AS sy, bx AS ex, b_y AS ey FROM {ENDS} e UNION ALL SELECT drawing_id, path_id, true, bx, b_y, ax, ay FROM {ENDS} e),
+ k AS (SELECT drawing_id, CAST(-1 AS BIGINT) AS pos, CAST(-1 AS BIGINT) AS p, false AS f, CAST(0 AS DOUBLE) AS x, CAST(0 AS DOUBLE) AS y, [CAST(-1 AS BIGINT)] AS seen FROM (SELECT DISTINCT drawing_id FROM c) d UNION ALL
+ SELECT drawing_id, pos + 1, m.p, m.f, m.x, m.y, list_append(seen, m.p) FROM (SELECT k.drawing_id, pos, seen, min({{'d': sqrt((c.sx - k.x) * (c.sx - k.x) + (c.sy - k.y) * (c.sy - k.y)), 'p': c.p, 'f': c.f, 'x': c.ex, 'y': c.ey}}) AS m
+ FROM k JOIN c ON c.drawing_id = k.drawing_id AND NOT list_contains(seen, c.p) GROUP BY k.drawing_id, pos, seen) z)
+ SELECT drawing_id, p AS path_id, pos, f AS flipped FROM k WHERE pos >= 0""",
+)
 def order_nearest(s, d):
     p = od.order_paths(paths(s, d), "nearest_neighbor")
-    return p.select("drawing_id", "path_id", "pos", "flipped", "ordered")
+    return p.select("drawing_id", "path_id", "pos", "flipped")
 
 
 @query("order_two_opt")
 def order_two_opt(s, d):
     p = od.order_paths(paths(s, d), "two_opt")
-    return p.select("drawing_id", "path_id", "pos", "flipped", "ordered")
+    return p.select("drawing_id", "path_id", "pos", "flipped")
 
 
 FAR = "sqrt((p.x - k.cx) * (p.x - k.cx) + (p.y - k.cy) * (p.y - k.cy)) >= 0.5"
@@ -282,7 +327,17 @@ def average_closed(s, d):
     return a.select("path_id", F.posexplode(avg).alias("k", "p")).filter("k < 32").select("path_id", "k", (F.col("p.x") + 0.0).alias("x"), (F.col("p.y") + 0.0).alias("y"))
 
 
-@query("dedupe_open_paths")
+NEAR_ENDS = "sqrt((q.ax - o.{0}) ** 2 + (q.ay - o.{1}) ** 2) <= 4 AND sqrt((q.bx - o.{2}) ** 2 + (q.b_y - o.{3}) ** 2) <= 4"
+
+
+@query(
+    "dedupe_open_paths",
+    f"""WITH RECURSIVE o AS (SELECT *, row_number() OVER (PARTITION BY drawing_id ORDER BY path_id) AS i FROM {ENDS} e),
+ k AS (SELECT drawing_id, i, path_id, true AS stays, [{{'ax': ax, 'ay': ay, 'bx': bx, 'b_y': b_y}}] AS kept FROM o WHERE i = 1 UNION ALL
+ SELECT drawing_id, i, path_id, NOT near, CASE WHEN near THEN kept ELSE list_append(kept, {{'ax': ax, 'ay': ay, 'bx': bx, 'b_y': b_y}}) END FROM (SELECT o.*, k.kept,
+ len(list_filter(k.kept, lambda q: {NEAR_ENDS.format("ax", "ay", "bx", "b_y")} OR {NEAR_ENDS.format("bx", "b_y", "ax", "ay")})) > 0 AS near FROM k JOIN o ON o.drawing_id = k.drawing_id AND o.i = k.i + 1) z)
+ SELECT drawing_id, path_id FROM k WHERE stays""",
+)
 def dedupe_open_paths(s, d):
     return lo.dedupe_open_paths(paths(s, d), 4.0).select("drawing_id", "path_id")
 
@@ -858,14 +913,17 @@ def attach_truth(s, d):
 
 @query("run_metrics")
 def run_metrics(s, d):
-    """A row for each drawing and ordering: commands, paths, ways, from one cleaned set of paths."""
-    clean = st.clean_paths(paths(s, d))
-    out = None
+    """A run for each drawing and ordering, from one cleaned set of paths; its mask is the one with the drawing's number."""
+    before = paths(s, d)
+    clean = st.clean_paths(before)
+    runs_, plans, commands = None, None, None
     for method in ("nearest_neighbor", "two_opt"):
-        o = od.order_paths(clean, method).select("drawing_id", F.col("pos").alias("path_id"), "points")
-        m = st.plan_metrics(o).select("drawing_id", F.lit(method).alias("path_ordering"), "num_paths", r("pen_up_mm", 2), r("draw_mm", 2))
-        out = m if out is None else out.union(m)
-    return out
+        run = F.concat_ws("__", "drawing_id", F.lit(method)).alias("run_id")
+        p = od.order_paths(clean, method).select("drawing_id", F.col("pos").alias("path_id"), "points")
+        own = before.select(run, "drawing_id", F.lit(method).alias("path_ordering")).distinct(), st.plan_metrics(p).withColumn("run_id", run).drop("drawing_id"), st.emit_commands(p).select(run)
+        runs_, plans, commands = own if runs_ is None else (x.union(y) for x, y in zip((runs_, plans, commands), own, strict=True))
+    overlap = ra.mask_overlap(on(s, d), truth(s, d)).withColumnRenamed("image_id", "drawing_id")
+    return ex.run_metrics(runs_, plans, st.cleanup_stats(before, clean), commands, overlap)
 
 
 def mean_sql(c: str, places: int, name: str) -> str:

@@ -24,6 +24,7 @@ WAITING = "seq bigint, cmd string, x double, y double, at bigint"
 #: Moves below this are no moves, turns below this are not made, and from this one on the pen is lifted.
 MIN_MOVE, LEAST_TURN, CORNER = 1.0, 1.0, 30.0
 ORIGIN = (0.0, 0.0, 0.0, False)
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def command_stream(spark: SparkSession, folder: str) -> DataFrame:
@@ -125,10 +126,13 @@ class PoseTracker(StatefulProcessor):
     those at or below the last seq taken are replays and give nothing. A session without a
     command for longer than the idle time (by the times of the commands) is forgotten, its
     last seq, too: a timer frees the state, and a command after such a gap finds the origin.
+
+    Without event time nothing waits: what a batch brings is taken in the order of seq, and
+    the idle time is measured by the clock.
     """
 
-    def __init__(self, idle_ms: int | None):
-        self.idle_ms = idle_ms
+    def __init__(self, idle_ms: int | None, by_event: bool = True):
+        self.idle_ms, self.by_event = idle_ms, by_event
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -140,19 +144,25 @@ class PoseTracker(StatefulProcessor):
         for df in rows:
             number = lambda v: None if v is None or v != v else float(v)
             more += [(int(q), c, number(a), number(b), int(t)) for q, c, a, b, t in zip(df["seq"], df["cmd"], df["x"], df["y"], df["at_ms"], strict=True)]
-        if more:
+        if more and not self.by_event:
+            now = 0 if self.idle_ms is None else timerValues.getCurrentProcessingTimeInMs()
+            held = self.pose.get() if self.pose.exists() else None
+            yield from self.taken(key, [(*m[:4], now) for m in more], held, now)[0]
+            if self.idle_ms is not None:
+                for t in list(self.handle.listTimers()):
+                    self.handle.deleteTimer(t)
+                self.handle.registerTimer(now + self.idle_ms)
+        elif more:
             self.waiting.appendList(more)
             for at in {min(m[4] for m in more), max(m[4] for m in more)}:
                 self.handle.registerTimer(at)
-        return iter(())
 
-    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = timerValues.getCurrentWatermarkInMs()
+    def taken(self, key: tuple, rows: list, held: tuple | None, now: int) -> tuple[list[pd.DataFrame], list, int | None]:
+        """Poses of the rows that are due, the rows that are left, and when the session was last heard; the state is updated."""
         new = (ORIGIN, -(1 << 62), None)
-        held = self.pose.get() if self.pose.exists() else None
         pose, last, until = (tuple(held[:4]), held[4], held[5]) if held else new
         out, left, blocked = [], [], False
-        for row in sorted(self.waiting.get()) if self.waiting.exists() else []:
+        for row in sorted(rows, key=lambda r: r[0]):
             seq, cmd, ax, ay, at = row
             blocked = blocked or at > now
             if blocked:
@@ -164,40 +174,52 @@ class PoseTracker(StatefulProcessor):
                 pose, asked = step(pose, cmd, ax, ay)
                 last, until = seq, at if until is None else max(until, at)
                 out.append((key[0], seq, cmd, *pose, *asked))
+        if until is not None:
+            self.pose.update((*pose, last, until))
+        return [pd.DataFrame(out, columns=COLUMNS)] if out else [], left, until
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if not self.by_event:
+            self.pose.clear()
+            return
+        now = timerValues.getCurrentWatermarkInMs()
+        held = self.pose.get() if self.pose.exists() else None
+        out, left, until = self.taken(key, list(self.waiting.get()) if self.waiting.exists() else [], held, now)
+        yield from out
         if left:
             self.waiting.put(left)
             # the one that the others wait for
             self.handle.registerTimer(max(left[0][4], now + 1))
         else:
             self.waiting.clear()
-        if until is None or self.idle_ms is not None and now > until + self.idle_ms:
-            self.pose.clear()
-        else:
-            self.pose.update((*pose, last, until))
-            if self.idle_ms is not None:
+        if until is not None and self.idle_ms is not None:
+            if now > until + self.idle_ms:
+                self.pose.clear()
+            else:
                 self.handle.registerTimer(max(until + self.idle_ms + 1, now + 1))
-        if out:
-            yield pd.DataFrame(out, columns=COLUMNS)
 
     def close(self) -> None:
         pass
 
 
-def pose_stream(commands: DataFrame, time: str = "ts", delay: str = "10 seconds", idle_seconds: float | None = None) -> DataFrame:
-    """The same on a stream of (session_id, seq, cmd, x, y, ``time``): a pose comes out once the watermark has passed its command.
+def pose_stream(commands: DataFrame, time: str | None = None, delay: str = "10 seconds", idle_seconds: float | None = None) -> DataFrame:
+    """The same on a stream of (session_id, seq, cmd, x, y).
 
-    ``delay`` is how late a command may be; later ones than that are dropped by the
-    watermark. Without ``idle_seconds`` sessions are kept for good. Needs the RocksDB state
-    store (``use_rocksdb``).
+    With the column ``time`` a pose comes out once the watermark has passed its command;
+    ``delay`` is how late a command may be, and later ones are dropped by the watermark.
+    Without it commands are taken as they arrive. Without ``idle_seconds`` sessions are
+    kept for good. Such state needs the RocksDB state store, which is set for the session.
+    Idle time by the clock (no ``time``) needs a query that keeps running: with
+    ``availableNow`` Spark would wait for the timers without end.
     """
-    rows = commands.withWatermark(time, delay).select("session_id", "seq", "cmd", "x", "y", time)
-    rows = rows.withColumn("at_ms", F.unix_millis(F.col(time).cast("timestamp"))).filter("seq IS NOT NULL")
-    tracker = PoseTracker(None if idle_seconds is None else int(idle_seconds * 1000))
-    return rows.groupBy("session_id").transformWithStateInPandas(tracker, POSE, "append", "eventTime")
-
-
-def use_rocksdb(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    spark, columns = commands.sparkSession, ["session_id", "seq", "cmd", "x", "y"]
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    rows = commands if time is None else commands.withWatermark(time, delay)
+    at = F.lit(0).cast("bigint") if time is None else F.unix_millis(F.col(time).cast("timestamp"))
+    rows = rows.filter("seq IS NOT NULL").select(*columns, *([time] if time else []), at.alias("at_ms"))
+    tracker = PoseTracker(None if idle_seconds is None else int(idle_seconds * 1000), time is not None)
+    mode = "eventTime" if time else "none" if idle_seconds is None else "processingTime"
+    return rows.groupBy("session_id").transformWithStateInPandas(tracker, POSE, "append", mode)
 
 
 def session_wrap(commands: DataFrame, ping: bool = True) -> DataFrame:

