@@ -91,6 +91,7 @@ def planning_comparison(runs: DataFrame, base: str = "nearest_neighbor", improve
     both = runs.groupBy("image", "vision_mode").agg(
         side(base, "pen_up_distance_mm").alias("base_mm"),
         side(improved, "pen_up_distance_mm").alias("improved_mm"),
+        *(side(v, c).alias(f"{name}_{short}") for v, name in ((base, "base"), (improved, "improved")) for c, short in (("num_commands", "commands"), ("num_paths", "paths"))),
         side(base, "effective_vision_mode").alias("base_mode"),
         side(improved, "effective_vision_mode").alias("improved_mode"),
         F.array_join(F.sort_array(F.collect_set(F.when(compared, F.col("fallback_reason")))), ", ").alias("reasons"),
@@ -100,7 +101,8 @@ def planning_comparison(runs: DataFrame, base: str = "nearest_neighbor", improve
     mode = F.when(F.col("base_mode") == F.col("improved_mode"), F.col("base_mode")).otherwise("mixed")
     fell = (F.col("vision_mode") == "ml") & ((F.col("base_mode") != "ml") | (F.col("improved_mode") != "ml"))
     note = F.when(fell, F.concat(F.lit("ran as "), "base_mode", F.lit(" and "), "improved_mode", F.when(F.col("reasons") != "", F.concat(F.lit(": "), "reasons")).otherwise("")))
-    return both.select("image", "vision_mode", "base_mm", "improved_mm", F.round(saved, 2).alias("saved_mm"), percent(saved, F.col("base_mm")).alias("saved_pct"), mode.alias("effective_mode"), note.alias("note"))
+    sides = [f"{name}_{c}" for c in ("commands", "paths", "mode") for name in ("base", "improved")]
+    return both.select("image", "vision_mode", "base_mm", "improved_mm", *sides, F.round(saved, 2).alias("saved_mm"), percent(saved, F.col("base_mm")).alias("saved_pct"), mode.alias("effective_mode"), note.alias("note"))
 
 
 def vision_comparison(runs: DataFrame, base: str = "classical", other: str = "ml", order: str | None = None) -> DataFrame:
@@ -159,6 +161,17 @@ def calibration(observations: DataFrame, mm_per_unit: float = 10.0, turn_scale:
     return good.groupBy("device").agg(F.count("*").alias("n"), (mm_per_unit * F.sum("measured") / F.sum("commanded")).alias("mm_per_unit"), (turn_scale * F.sum("commanded") / F.sum("measured")).alias("turn_scale"))
 
 
+def epoch_losses(steps: DataFrame) -> DataFrame:
+    """(run_id, epoch, train_loss, val_loss): means over the steps of each phase.
+
+    ``steps`` has run_id, epoch, phase (train or val) and loss. An epoch without steps of a
+    phase has the train loss 0 and no val loss.
+    """
+    of = lambda phase: F.when(F.col("phase") == phase, F.col("loss")).cast("decimal(28,6)")
+    part = lambda phase: F.sum(of(phase)).cast("double") / F.nullif(F.count(of(phase)), F.lit(0))
+    return steps.groupBy("run_id", "epoch").agg(F.coalesce(part("train"), F.lit(0.0)).alias("train_loss"), part("val").alias("val_loss"))
+
+
 def training_history(histories: DataFrame) -> DataFrame:
     """Epochs with is_best: val loss (or train loss) below that of every earlier epoch."""
     val = F.coalesce("val_loss", "train_loss")

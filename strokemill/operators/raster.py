@@ -172,8 +172,10 @@ def segmentation_loss(pixels: DataFrame, eps: float = 1e-6) -> DataFrame:
     return per.agg(F.avg("dice").alias("dice_loss"), (F.sum("bce") / F.sum("n")).alias("bce_loss")).withColumn("combined_loss", 0.5 * F.col("dice_loss") + 0.5 * F.col("bce_loss"))
 
 
-def mask_report(pred: DataFrame, truth: DataFrame, flags: DataFrame) -> DataFrame:
-    """Per image: pixels, overlap with the reference (4 places), fallback reason and the mode in effect."""
+def mask_report(pred: DataFrame, truth: DataFrame, flags: DataFrame, raw: DataFrame | None = None) -> DataFrame:
+    """Per image: pixels of the prediction as it came (``raw``, else ``pred``) and cleaned, overlap with the reference (4 places), fallback reason and the mode in effect."""
+    came = (pred if raw is None else raw).groupBy("image_id").agg(F.count("*").alias("raw_pixels"))
     o = mask_overlap(pred, truth).withColumn("clean_pixels", F.col("tp") + F.col("fp"))
     out = fallback_reason(o.join(flags.select("image_id", "artwork", "large_bbox", "num_paths", "pixel_ratio"), "image_id"))
-    return out.select("image_id", "clean_pixels", *(F.round(c, 4).alias(c) for c in ("precision", "recall", "dice", "iou")), "fallback_reason", F.when(F.col("fallback_reason").isNull(), "ml").otherwise("classical").alias("effective_mode"))
+    out = out.join(came, "image_id", "left").withColumn("raw_pixels", F.coalesce("raw_pixels", F.lit(0)).cast("bigint"))
+    return out.select("image_id", "raw_pixels", "clean_pixels", *(F.round(c, 4).alias(c) for c in ("precision", "recall", "dice", "iou")), "fallback_reason", F.when(F.col("fallback_reason").isNull(), "ml").otherwise("classical").alias("effective_mode"))

@@ -61,11 +61,23 @@ def clean_paths(paths: DataFrame, min_length: float = MIN_LENGTH, min_segment: f
 
 
 def cleanup_stats(before: DataFrame, after: DataFrame) -> DataFrame:
-    """(drawing_id, input_points, output_points, dropped_points); dropped paths' points count as dropped."""
-    a = before.groupBy("drawing_id").agg(F.sum(F.size("points")).alias("input_points"))
-    b = after.groupBy("drawing_id").agg(F.sum(F.size("points")).alias("output_points"))
-    out = a.join(b, "drawing_id", "left").withColumn("output_points", F.coalesce("output_points", F.lit(0)).cast("bigint"))
-    return out.withColumn("dropped_points", F.col("input_points") - F.col("output_points"))
+    """(drawing_id, paths and points before, after and dropped); a dropped path's points count as dropped."""
+
+    def counted(paths: DataFrame, side: str) -> DataFrame:
+        return paths.groupBy("drawing_id").agg(F.count("*").alias(f"{side}_paths"), F.sum(F.size("points")).alias(f"{side}_points"))
+
+    out = counted(before, "input").join(counted(after, "output"), "drawing_id", "left")
+    for what in ("paths", "points"):
+        out = out.withColumn(f"output_{what}", F.coalesce(f"output_{what}", F.lit(0)).cast("bigint"))
+        out = out.withColumn(f"dropped_{what}", F.col(f"input_{what}") - F.col(f"output_{what}"))
+    return out
+
+
+def stitch_stats(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(drawing_id, input_paths, output_paths, merged_paths) of ``stitch_paths``; paths of fewer than two points don't take part."""
+    count = lambda df, name: df.groupBy("drawing_id").agg(F.count("*").alias(name))
+    out = count(before.filter(F.size("points") >= 2), "input_paths").join(count(after, "output_paths"), "drawing_id")
+    return out.withColumn("merged_paths", F.col("input_paths") - F.col("output_paths"))
 
 
 def fit_to_page(paths: DataFrame, width: float, height: float, paper_w: float = 210.0, paper_h: float = 297.0, margin: float = 10.0) -> DataFrame:
@@ -222,6 +234,22 @@ def action_table(segments: DataFrame, min_turn: float = 1.0, mm_per_unit: float
     return segments.withColumn("first", first).select("session_id", "stroke_id", "seq", F.posexplode(rows).alias("k", "a")).select("session_id", "stroke_id", "seq", "k", "a.op", "a.value")
 
 
+def action_counts(actions: DataFrame) -> DataFrame:
+    """(session_id, n_actions, strokes, lifts, lowers, turns, straights, turned, units): what a session's action table holds."""
+    many = lambda op: F.count_if(F.col("op") == op)
+    total = lambda op, v: F.coalesce(F.sum(F.when(F.col("op") == op, v)), F.lit(0.0))
+    return actions.groupBy("session_id").agg(
+        F.count("*").alias("n_actions"),
+        F.countDistinct("stroke_id").alias("strokes"),
+        many("PU").alias("lifts"),
+        many("PD").alias("lowers"),
+        many("TR").alias("turns"),
+        many("ST").alias("straights"),
+        total("TR", F.abs("value")).alias("turned"),
+        total("ST", F.col("value")).alias("units"),
+    )
+
+
 def view_bounds(paths: DataFrame, width: float = 210.0, height: float = 297.0) -> DataFrame:
     """Bounding box of each drawing, padded by max(8, 4 % of its shorter side), inside the page."""
     p = paths.select("drawing_id", F.explode("points").alias("p"))

@@ -132,9 +132,9 @@ def simplify_collinear(s, d):
     "clean_paths",
     f"""WITH RECURSIVE c AS (SELECT drawing_id, path_id, {collapsed_sql('pts', 0.75)} AS pts FROM {LISTED} l), {simplified_sql('c', 0.5)},
  d AS (SELECT drawing_id, {collapsed_sql('pts', 0.75)} AS pts FROM s WHERE NOT open),
- o AS (SELECT drawing_id, sum(len(pts)) AS n FROM d WHERE len(pts) >= 2 AND {list_length_sql('pts')} >= 2.0 GROUP BY drawing_id)
- SELECT drawing_id, CAST(i.n AS BIGINT) AS input_points, CAST(coalesce(o.n, 0) AS BIGINT) AS output_points, CAST(i.n - coalesce(o.n, 0) AS BIGINT) AS dropped_points
- FROM (SELECT drawing_id, count(*) AS n FROM {POLY} z GROUP BY drawing_id) i LEFT JOIN o USING (drawing_id)""",
+ o AS (SELECT drawing_id, count(*) AS paths, sum(len(pts)) AS n FROM d WHERE len(pts) >= 2 AND {list_length_sql('pts')} >= 2.0 GROUP BY drawing_id)
+ SELECT drawing_id, i.paths AS input_paths, coalesce(o.paths, 0) AS output_paths, i.paths - coalesce(o.paths, 0) AS dropped_paths, CAST(i.n AS BIGINT) AS input_points, CAST(coalesce(o.n, 0) AS BIGINT) AS output_points, CAST(i.n - coalesce(o.n, 0) AS BIGINT) AS dropped_points
+ FROM (SELECT drawing_id, count(*) AS n, count(DISTINCT path_id) AS paths FROM {POLY} z GROUP BY drawing_id) i LEFT JOIN o USING (drawing_id)""",
 )
 def clean_paths(s, d):
     before = paths(s, d)
@@ -235,6 +235,19 @@ def action_table(s, d):
     return a.select("session_id", F.col("stroke_id").cast("bigint"), F.col("seq").cast("bigint"), "op", hundredths.alias("hundredths"))
 
 
+@query(
+    "action_counts",
+    f"""{KINEMATICS}, f AS (SELECT *, {LIFT} AS lift, row_number() OVER (PARTITION BY session_id, stroke_id ORDER BY seq) = 1 AS first FROM n),
+ u AS (SELECT session_id, stroke_id, unnest([o FOR o IN [CASE WHEN lift THEN 'PU' END, CASE WHEN abs(turn) >= 1 THEN 'TR' END, CASE WHEN first OR lift THEN 'PD' END, 'ST'] IF o IS NOT NULL]) AS op, abs(turn) AS turn, length / 10 AS units FROM f)
+ SELECT session_id, count(*) AS n_actions, count(DISTINCT stroke_id) AS strokes, count_if(op = 'PU') AS lifts, count_if(op = 'PD') AS lowers, count_if(op = 'TR') AS turns, count_if(op = 'ST') AS straights,
+ round(coalesce(sum(turn) FILTER (op = 'TR'), 0), 3) AS turned, round(coalesce(sum(units) FILTER (op = 'ST'), 0), 3) AS units FROM u GROUP BY session_id""",
+)
+def action_counts(s, d):
+    """Counts and totals of unrounded values."""
+    counts = st.action_counts(st.action_table(st.segment_kinematics(st.extract_strokes(sessions(s, d))), places=None))
+    return counts.select("session_id", "n_actions", "strokes", "lifts", "lowers", "turns", "straights", r("turned", 3), r("units", 3))
+
+
 @query("drawing_pipeline")
 def drawing_pipeline(s, d):
     metrics, _ = drawing.run_drawing_pipeline(paths(s, d), 60.0, 120.0, "two_opt")
@@ -891,7 +904,7 @@ def probability_mask(s, d):
 @query(
     "mask_report",
     f"""{COMPONENTS}, {FLAGS}, w AS (SELECT p.image_id, count_if(p.is_on AND q.is_on) AS tp, count_if(p.is_on AND NOT q.is_on) AS fp, count_if(NOT p.is_on AND q.is_on) AS fn FROM {GRID} p JOIN {TRUTH} u ON p.label = u.label JOIN {GRID} q ON q.image_id = u.t AND q.y = p.y AND q.x = p.x GROUP BY p.image_id)
- SELECT w.image_id, tp + fp AS clean_pixels, round(CASE WHEN tp + fp = 0 THEN 0 ELSE tp / (tp + fp) END, 4) AS precision, round(CASE WHEN tp + fn = 0 THEN 0 ELSE tp / (tp + fn) END, 4) AS recall, round(CASE WHEN tp + fp + fn = 0 THEN 0 ELSE 2 * tp / (2 * tp + fp + fn) END, 4) AS dice, round(CASE WHEN tp + fp + fn = 0 THEN 0 ELSE tp / (tp + fp + fn) END, 4) AS iou,
+ SELECT w.image_id, tp + fp AS raw_pixels, tp + fp AS clean_pixels, round(CASE WHEN tp + fp = 0 THEN 0 ELSE tp / (tp + fp) END, 4) AS precision, round(CASE WHEN tp + fn = 0 THEN 0 ELSE tp / (tp + fn) END, 4) AS recall, round(CASE WHEN tp + fp + fn = 0 THEN 0 ELSE 2 * tp / (2 * tp + fp + fn) END, 4) AS dice, round(CASE WHEN tp + fp + fn = 0 THEN 0 ELSE tp / (tp + fp + fn) END, 4) AS iou,
  {REASON} AS fallback_reason, CASE WHEN {REASON} IS NULL THEN 'ml' ELSE 'classical' END AS effective_mode FROM w JOIN f ON w.image_id = f.image_id""",
 )
 def mask_report(s, d):
@@ -945,7 +958,10 @@ SAVED = "round(base_mm - improved_mm, 2) AS saved_mm, CASE WHEN base_mm = 0 THEN
 MODES = f"(SELECT image, vision_mode, max(CASE WHEN path_ordering = 'nearest_neighbor' THEN effective_vision_mode END) AS bm, max(CASE WHEN path_ordering = 'two_opt' THEN effective_vision_mode END) AS im, string_agg(DISTINCT trim(fallback_reason), ', ' ORDER BY trim(fallback_reason)) FILTER (WHERE trim(fallback_reason) <> '') AS why FROM {RUNS} r GROUP BY image, vision_mode)"
 
 
-@query("planning_comparison", f"SELECT p.image, p.vision_mode, base_mm, improved_mm, {SAVED}, CASE WHEN bm = im THEN bm ELSE 'mixed' END AS effective_mode, CASE WHEN p.vision_mode = 'ml' AND (bm <> 'ml' OR im <> 'ml') THEN concat('ran as ', bm, ' and ', im, CASE WHEN why IS NULL THEN '' ELSE concat(': ', why) END) END AS note FROM {PLANNING} p JOIN {MODES} m ON p.image = m.image AND p.vision_mode = m.vision_mode")
+SIDES = f"(SELECT image, vision_mode, max(num_commands) FILTER (path_ordering = 'nearest_neighbor') AS base_commands, max(num_commands) FILTER (path_ordering = 'two_opt') AS improved_commands, max(num_paths) FILTER (path_ordering = 'nearest_neighbor') AS base_paths, max(num_paths) FILTER (path_ordering = 'two_opt') AS improved_paths FROM {RUNS} r GROUP BY image, vision_mode)"
+
+
+@query("planning_comparison", f"SELECT p.image, p.vision_mode, base_mm, improved_mm, base_commands, improved_commands, base_paths, improved_paths, bm AS base_mode, im AS improved_mode, {SAVED}, CASE WHEN bm = im THEN bm ELSE 'mixed' END AS effective_mode, CASE WHEN p.vision_mode = 'ml' AND (bm <> 'ml' OR im <> 'ml') THEN concat('ran as ', bm, ' and ', im, CASE WHEN why IS NULL THEN '' ELSE concat(': ', why) END) END AS note FROM {PLANNING} p JOIN {MODES} m ON p.image = m.image AND p.vision_mode = m.vision_mode JOIN {SIDES} s ON s.image = p.image AND s.vision_mode = p.vision_mode")
 def planning_comparison(s, d):
     return ex.planning_comparison(runs(s, d))
 
@@ -996,6 +1012,21 @@ def calibration(s, d):
 HISTORY = f"(SELECT *, coalesce(val_loss < min(val_loss) OVER (PARTITION BY run_id ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS is_best FROM {HIST} h)"
 
 
+STEP_VIEW = "SELECT user_id AS run_id, event_id % 7 AS epoch, CASE WHEN event_type = 'error' THEN 'val' ELSE 'train' END AS phase, CAST(value AS DOUBLE) AS loss FROM {events}"
+step_rows, STEP_ROWS = (lambda s, d: fx.spark_view(s, d, STEP_VIEW)), fx.duck(STEP_VIEW)
+
+
+@query(
+    "epoch_losses",
+    f"""SELECT run_id, epoch, floor(coalesce(CAST(sum(CAST(loss AS DECIMAL(28,6))) FILTER (phase = 'train') AS DOUBLE) / nullif(count(*) FILTER (phase = 'train'), 0), 0) * 1e4 + 0.25) AS train_loss,
+ floor(CAST(sum(CAST(loss AS DECIMAL(28,6))) FILTER (phase = 'val') AS DOUBLE) / nullif(count(*) FILTER (phase = 'val'), 0) * 1e4 + 0.25) AS val_loss FROM {STEP_ROWS} e GROUP BY run_id, epoch""",
+)
+def epoch_losses(s, d):
+    """Ten thousandths, cut at a quarter: a half would be decided by the last bit."""
+    cut = lambda c: F.floor(F.col(c) * 1e4 + 0.25).cast("double").alias(c)
+    return ex.epoch_losses(step_rows(s, d)).select("run_id", "epoch", cut("train_loss"), cut("val_loss"))
+
+
 @query("training_history", f"SELECT run_id, epoch, round(val_loss, 6) AS val_loss, is_best FROM {HISTORY} h")
 def training_history(s, d):
     return ex.training_history(histories(s, d)).select("run_id", "epoch", r("val_loss", 6), "is_best")

@@ -144,12 +144,34 @@ def scorecard(runs: DataFrame) -> DataFrame:
     return runs.select(*kept, *(F.lit("").alias(c) for c in ("line_quality", "shape_match", "travel", "notes")))
 
 
-def run_summary_json(paths: DataFrame, metrics: DataFrame) -> DataFrame:
-    """(drawing_id, summary): metrics with two decimals and the first five points of the first three paths."""
+def run_summary_json(
+    paths: DataFrame,
+    metrics: DataFrame,
+    settings: DataFrame | None = None,
+    cleanup: DataFrame | None = None,
+    stitching: DataFrame | None = None,
+    commands: DataFrame | None = None,
+) -> DataFrame:
+    """(drawing_id, summary): metrics with two decimals and the first five points of the first three paths.
+
+    Where they are given, the document also holds the row of ``settings`` (any columns),
+    ``cleanup`` (``strokes.cleanup_stats``) and ``stitching`` (``strokes.stitch_stats``) of
+    its drawing, each as an object, and the number of its ``commands``.
+    """
     first = paths.withColumn("_r", F.row_number().over(Window.partitionBy("drawing_id").orderBy("path_id"))).filter("_r <= 3")
     preview = first.groupBy("drawing_id").agg(F.array_sort(F.collect_list(F.struct("path_id", F.slice("points", 1, 5).alias("points")))).alias("preview"))
     two = [F.round(c, 2).alias(c) for c in ("pen_up_mm", "draw_mm", "total_mm")]
-    return metrics.select("drawing_id", "num_paths", *two).join(preview, "drawing_id", "left").select("drawing_id", F.to_json(F.struct("num_paths", "pen_up_mm", "draw_mm", "total_mm", "preview")).alias("summary"))
+    out, held = metrics.select("drawing_id", "num_paths", *two).join(preview, "drawing_id", "left"), ["num_paths", "pen_up_mm", "draw_mm", "total_mm"]
+    for name, rows in (("settings", settings), ("cleanup", cleanup), ("stitching", stitching)):
+        if rows is not None:
+            own = [c for c in rows.columns if c != "drawing_id"]
+            out = out.join(rows.select("drawing_id", F.struct(*own).alias(name)), "drawing_id", "left")
+            held.append(name)
+    if commands is not None:
+        many = commands.groupBy("drawing_id").agg(F.count("*").alias("num_commands"))
+        out = out.join(many, "drawing_id", "left")
+        held.append("num_commands")
+    return out.select("drawing_id", F.to_json(F.struct(*held, "preview")).alias("summary"))
 
 
 def read_split_files(spark: SparkSession, path: str) -> DataFrame:

@@ -1,12 +1,14 @@
 """Operators that SQL can't express, against small independent versions."""
 
+import json
 import math
 import random
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from strokemill.operators import loops, ordering, raster, strokes
+from strokemill.operators import experiments, loops, ordering, raster, strokes
+from strokemill.plans import drawing
 from strokemill.sources import files
 from strokemill.streaming import commands as sc
 
@@ -151,3 +153,41 @@ def test_files_round_trip(spark, tmp_path):
         (tmp_path / n).write_text("some bytes")
     assert sorted(r.stem for r in files.scan_images(spark, str(tmp_path)).collect()) == ["x", "y"]
     assert files.scan_images(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_run_summary_holds_settings_and_statistics(spark):
+    p = made(spark, [(1, 0, [(0, 0), (0.1, 0), (5, 0)]), (1, 1, [(5, 0), (9, 0)]), (1, 2, [(1, 1)]), (2, 0, [(0, 0), (9, 9)])])
+    clean = strokes.clean_paths(p).drop("n_in")
+    done = strokes.stitch_paths(clean)
+    settings = spark.createDataFrame([(1, "default", 0.5), (2, "manual", 2.0)], "drawing_id bigint, profile string, tolerance double")
+    rows = files.run_summary_json(done, strokes.plan_metrics(done), settings, strokes.cleanup_stats(p, clean), strokes.stitch_stats(clean, done), strokes.emit_commands(done)).collect()
+    one = json.loads(next(r.summary for r in rows if r.drawing_id == 1))
+    assert one["settings"] == {"profile": "default", "tolerance": 0.5}
+    assert one["cleanup"] == {"input_paths": 3, "input_points": 6, "output_paths": 2, "output_points": 4, "dropped_paths": 1, "dropped_points": 2}
+    assert one["stitching"] == {"input_paths": 2, "output_paths": 1, "merged_paths": 1}
+    assert one["num_commands"] == 5 and one["draw_mm"] == 9.0 and len(one["preview"][0]["points"]) == 3
+
+
+def test_run_metrics_of_runs_with_and_without_a_plan(spark):
+    runs = spark.createDataFrame([("a", 1, "i.png"), ("b", 2, "j.png")], "run_id string, drawing_id bigint, image string")
+    plans = spark.createDataFrame([("a", 3, 1.236, 2.344, 3.58)], "run_id string, num_paths bigint, pen_up_mm double, draw_mm double, total_mm double")
+    cleanup = spark.createDataFrame([(1, 10, 7)], "drawing_id bigint, input_points bigint, output_points bigint")
+    overlap = spark.createDataFrame([(1, 0.123456, 0.5, 0.25, 0.2)], "drawing_id bigint, precision double, recall double, dice double, iou double")
+    commands = spark.createDataFrame([("a",), ("a",)], "run_id string")
+    got = {r.run_id: r.asDict() for r in experiments.run_metrics(runs, plans, cleanup, commands, overlap).collect()}
+    one = {"image": "i.png", "mask_precision": 0.1235, "mask_iou": 0.2, "num_paths": 3, "num_commands": 2, "cleanup_input_points": 10, "cleanup_output_points": 7, "draw_distance_mm": 2.34, "pen_up_distance_mm": 1.24, "total_distance_mm": 3.58}
+    assert {k: got["a"][k] for k in one} == one
+    assert got["b"]["num_paths"] == got["b"]["num_commands"] == 0 and got["b"]["mask_dice"] is None and got["b"]["total_distance_mm"] is None
+
+
+def test_the_drawing_pipeline_is_its_steps(spark):
+    """Fitted, cleaned, ordered and stitched by hand for one drawing of two lines that meet."""
+    p = made(spark, [(1, 0, [(30, 0), (60, 0)]), (1, 1, [(0, 0), (30, 0)])])
+    metrics, commands = drawing.run_drawing_pipeline(p, 60.0, 90.0)
+    s = min(190 / 60, 277 / 90)
+    x0, y0 = 10 + (190 - 60 * s) / 2, 10 + (277 - 90 * s) / 2
+    m = metrics.first()
+    assert m.num_paths == 1 and math.isclose(m.draw_mm, 60 * s) and math.isclose(m.pen_up_mm, math.hypot(x0, y0))
+    got = [(r.cmd, r.x, r.y) for r in commands.orderBy("seq").collect()]
+    assert [c for c, _, _ in got] == ["PEN_UP", "MOVE", "PEN_DOWN", "MOVE", "MOVE", "PEN_UP"]
+    assert [(round(x, 6), round(y, 6)) for _, x, y in got if x is not None] == [(round(x0 + k * s, 6), round(y0, 6)) for k in (0, 30, 60)]
