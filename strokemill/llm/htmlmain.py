@@ -26,8 +26,10 @@ Hosts with fewer than ``MIN_VOTES`` different pages, and pages without a content
 their host or (where no article is marked) without text in it, are settled by the page alone with the rule of step 3.
 
 Regions that their tags mark as no content (menus, asides, footers, forms, scripts) are cut
-inside a content slot, too. Class, id and role names (whole tokens) only decide where no
-article is marked. If the only marked articles lie in regions that would be cut, these
+inside a content slot, too, and so is what isn't shown. Class, id and role names (whole
+tokens) decide where no article is marked; inside a marked one they cut what readers wrote
+(an ``article`` there marks nothing), and adverts, notices and the like that are the
+smaller part of it. If the only marked articles lie in regions that would be cut, these
 regions stay, with any text outside of them.
 
 Defined cases: null or empty html gives the empty text; pages without a host share the
@@ -67,7 +69,8 @@ FLOW = 64
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)(?:([^>"']*(?:(?:"[^"]*"|'[^']*')[^>"']*)*)>|([^>]*)>)|<[!?][^>]*>""", re.S)
 #: Attributes that say what a node is.
-TELLING = re.compile(r"class|id\s*=|role|itemprop|hidden", re.I)
+TELLING = re.compile(r"class|id\s*=|role|itemprop|hidden|style\s*=", re.I)
+UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 ATTR = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe xmp".split())
@@ -78,6 +81,10 @@ CLOSES |= {t: {"p"} for t in BLOCK - set(CLOSES) - {"br"}}
 STOPS = frozenset("table ul ol dl article section div body html select main nav aside footer header form".split())
 NO_CONTENT = frozenset("script style noscript template iframe textarea title head header nav footer aside form button select svg canvas object dialog menu".split())
 NO_CONTENT_WORDS = frozenset("ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments contentinfo cookie cookies consent copyright disclaimer disqus footer header menu modal nav navbar navigation newsletter notice notices pagination popup promo promotion related search share sharing sidebar skip social sponsor sponsored subscribe toolbar widget".split())
+#: Names that say that readers wrote what a node holds; it is no content wherever it stands, nor is an article in it.
+READERS = frozenset("comment comments comment-list comment-body commentlist comments-area comments-section replies respond disqus disqus_thread".split())
+#: Names that may stand at the title or around the article itself; they cut nothing inside a marked one.
+FRAMES = frozenset("banner header".split())
 MAIN = frozenset(("article", "main"))
 ROOTS = frozenset(("html", "body"))
 #: Elements that may be layout: content is looked for inside of them, and they may be trimmed.
@@ -86,25 +93,29 @@ HEADINGS = frozenset("h1 h2 h3".split())
 
 
 @lru_cache(10_000)
-def nature(tag: str, attrs: str) -> tuple[str, bool, bool, bool]:
-    """Kind (tag and class), whether it marks the article, whether it is no content, whether only its names say so."""
+def nature(tag: str, attrs: str) -> tuple[str, bool, bool, bool, int]:
+    """Kind (tag and class), whether it marks the article, whether it is no content, whether only its names say so,
+    and what these mean inside a marked article (2: readers' words, 1: no content if it is the smaller part, 0: nothing)."""
     given = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTR.finditer(attrs)}
     names = {*given.get("class", "").lower().split(), given.get("id", "").strip().lower(), *given.get("role", "").lower().split()}
-    main = tag in MAIN or given.get("role", "").lower() in MAIN or given.get("itemprop", "").lower() == "articlebody"
-    sure = not main and tag not in ROOTS and (tag in NO_CONTENT or bool(re.search(r"(?i)(?:^|\s)hidden(?:\s|=|$)", attrs)) or given.get("aria-hidden") == "true")
-    named = not main and tag not in ROOTS and not sure and bool(names & NO_CONTENT_WORDS)
+    readers = tag not in ROOTS and bool(names & READERS)
+    main = not readers and (tag in MAIN or given.get("role", "").lower() in MAIN or given.get("itemprop", "").lower() == "articlebody")
+    unseen = bool(re.search(r"(?i)(?:^|\s)hidden(?:\s|=|$)", ATTR.sub("", attrs))) or "hidden" in given or given.get("aria-hidden") == "true" or bool(UNSEEN.search(given.get("style", "")))
+    sure = not main and tag not in ROOTS and (tag in NO_CONTENT or unseen)
+    named = not main and tag not in ROOTS and not sure and bool(names & (NO_CONTENT_WORDS | READERS))
+    inner = 0 if not named else 2 if readers else int(bool(names & (NO_CONTENT_WORDS - FRAMES)))
     # numbers in class names tell pages apart, not kinds
     kind = ".".join([tag, *sorted(re.sub(r"\d+", "0", given["class"]).split())]) if given.get("class") else tag
-    return kind, main, sure or named, named
+    return kind, main, sure or named, named, inner
 
 
 class Node:
-    __slots__ = ("children", "kind", "main", "named", "out", "tag")
+    __slots__ = ("children", "inner", "kind", "main", "named", "out", "tag")
 
     def __init__(self, tag: str, attrs: str = ""):
         self.tag = tag
         self.children: list[Node | str | None] = []  # None: a break between blocks
-        self.kind, self.main, self.out, self.named = nature(tag, attrs if attrs and TELLING.search(attrs) else "")
+        self.kind, self.main, self.out, self.named, self.inner = nature(tag, attrs if attrs and TELLING.search(attrs) else "")
 
 
 def parse(page: str) -> Node:
@@ -189,7 +200,7 @@ class Page:
         held = holders(root)
         self.held = bool(held)
         self.kind, self.tag, self.kids = [root.kind], [root.tag], [[]]
-        self.main, self.sure, self.named, self.region = [False], [False], [False], [False]
+        self.main, self.sure, self.named, self.region, self.inner = [False], [False], [False], [False], [0]
         blocks: list = []  # (node, parts, characters in links)
         now: list | None = None
         # (node, its block node, in a link, in a region that stays for its article)
@@ -219,6 +230,7 @@ class Page:
                 self.main.append(x.main)
                 self.sure.append(x.out and not x.named and id(x) not in held)
                 self.named.append(x.named and id(x) not in held)
+                self.inner.append(0 if id(x) in held else x.inner)
                 self.region.append(region)
             link = link or x.tag == "a"
             stack.extend((c, at, link, region) for c in reversed(x.children))
@@ -412,14 +424,22 @@ def choose(tag: list, kids: list, cut: list, chars: list, links: list, marked: s
 
 
 def outcast(p: Page, named: bool) -> list[bool]:
-    """Nodes that are no content by their tags, and if ``named`` by their names; a form that holds most of the text stays."""
+    """Nodes that are no content by their tags, and if ``named`` by their names; a form that holds most of the text stays.
+
+    If not ``named``, for an article is marked, names still cut what readers wrote, and
+    adverts, notices and the like that hold less than half of the largest marked article.
+    """
     out = [s or (named and x) for s, x in zip(p.sure, p.named, strict=True)]
-    if "form" in p.tag:
+    inner = [] if named else [i for i, x in enumerate(p.inner) if x]
+    if inner or "form" in p.tag:
         size = [0] * len(p.tag)
         for at, text, _ in p.blocks:
             size[at] += len(text)
         for i in range(len(size) - 1, -1, -1):
             size[i] += sum(size[c] for c in p.kids[i])
+        most = max((size[i] for i, x in enumerate(p.main) if x), default=size[0])
+        for i in inner:
+            out[i] = out[i] or p.inner[i] == 2 or 2 * size[i] < most
         for i, t in enumerate(p.tag):
             if t == "form" and 2 * size[i] > size[0]:
                 out[i] = False
