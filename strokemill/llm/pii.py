@@ -13,7 +13,8 @@ The weights maximise the exact conditional likelihood (forward and backward over
 same segments) on a bounded sample of texts (``SAMPLE`` rows, of each the first
 ``SAMPLE_ZONES`` zones): their base spans, and the
 same spans rewritten in ways that the patterns don't know (no plus sign, dots or
-dashes between the groups, "at" and "dot" spelled out) are the labels.
+dashes between the groups, "at" and "dot" spelled out) are the labels. Sentences of
+ordinary numbers (orders, books, moments, versions) without any span are learned from, too.
 
 Defined cases: null counts as the empty text; without spans ``base_sha256`` is the
 digest of the empty string and ``spans`` is empty; repeated rows are searched one by one;
@@ -29,6 +30,8 @@ import itertools
 import math
 import random
 import re
+from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +46,8 @@ SAMPLE, SAMPLE_ZONES = 500, 50
 EPOCHS = 4
 #: Tokens of an entity, at most.
 MAX_TOKENS = 14
+#: Characters of a zone that are learned from, at most: a longer zone is learned from its beginning, and searched whole.
+LEARN_CHARS = 600
 #: How much likelier (in nats) the added spans of a zone must be than none.
 MARGIN = 2.0
 
@@ -54,6 +59,14 @@ PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 CUE = re.compile(r"[0-9@]|[\[(] ?at ?[\])]")
 TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|\s+|.", re.S)
 AT = re.compile(r"@|[\[(] ?at ?[\])]")
+#: What a number that isn't base may look like: digits in groups, set apart by few kinds of marks.
+NUMBER = re.compile(r"[+(]?[0-9](?:[ ().-]{0,3}[0-9])*")
+#: Dates, alone or inside of a run of numbers.
+DATE = re.compile(r"(?<![0-9])(?:(?:19|20)[0-9]{2}([-./])[0-9]{1,2}\1[0-9]{1,2}|[0-9]{1,2}([-./])[0-9]{1,2}\2(?:19|20)[0-9]{2})(?![0-9])")
+#: Characters of a segment whose features are kept for its next time.
+LOCAL_CHARS = 120
+#: Digits of cards and phones, as the base patterns have them.
+LEAST_DIGITS, MOST_DIGITS = 10, 19
 
 
 def luhn(digits: str) -> bool:
@@ -127,14 +140,28 @@ def side(c: str) -> str:
     return "end" if not c else "alpha" if c.isalpha() else "digit" if c.isdigit() else "space" if c.isspace() else c
 
 
+def number_like(text: str, a: int, b: int, digits: str, groups: list[str]) -> bool:
+    """Whether a segment without @ can be a card, a phone or an address: dates, times, versions, prices and parts of longer numbers can't."""
+    s = text[a:b]
+    if text[a - 1 : a].isalnum() or text[b : b + 1].isalnum() or text[a - 1 : a] in tuple(":/.,$-_#") or text[b : b + 1] in tuple(":/%_"):
+        return False
+    if text[b : b + 1] in tuple(".,-") and text[b + 1 : b + 2].isdigit():
+        return False
+    if len(groups) == 4 and all(len(g) <= 3 and int(g) <= 255 for g in groups) and re.fullmatch(r"[0-9]+(?: ?[.] ?[0-9]+){3}", s):
+        return True
+    return LEAST_DIGITS <= len(digits) <= MOST_DIGITS and bool(NUMBER.fullmatch(s)) and not DATE.search(s)
+
+
 def span_features(text: str, a: int, b: int) -> list[str] | None:
     """Features of a whole segment; None if it can be no entity."""
     s = text[a:b]
     digits = re.sub(r"[^0-9]", "", s)
     at = AT.search(s)
-    if not at and len(digits) < 4 or s[0].isspace() or s[-1].isspace() or "\n" in s:
+    if s[0].isspace() or s[-1].isspace() or "\n" in s:
         return None
     groups = re.findall(r"[0-9]+", s)
+    if not at and not number_like(text, a, b, digits, groups):
+        return None
     shape = re.sub(r"[^\W\d_]+", "a", re.sub(r"[0-9]+", "9", s))
     out = ["bias", f"digits={min(len(digits), 21)}", f"shape={shape if len(shape) <= 16 else 'long'}", f"before={side(text[a - 1 : a])}", f"after={side(text[b : b + 1])}", f"first={side(s[0])}", f"last={side(s[-1])}"]
     if at:
@@ -152,29 +179,56 @@ def span_features(text: str, a: int, b: int) -> list[str] | None:
     return out
 
 
-def tokens(text: str, a: int, b: int) -> tuple[list[int], list[int]]:
-    """Where the tokens of a zone begin and end, and for each token the next one (or itself) that is a cue."""
+@lru_cache(20_000)
+def features_in(window: str, a: int, b: int) -> tuple[str, ...] | None:
+    """The same for a segment with the characters beside it, which are all that its features see; logs repeat themselves."""
+    found = span_features(window, a, b)
+    return None if found is None else tuple(found)
+
+
+def tokens(text: str, a: int, b: int) -> tuple[list[int], list[int], list[int]]:
+    """Where the tokens of a zone begin and end, digits before each, and for each token the next one (or itself) that spells out an @."""
     cuts = [a, *(a + m.end() for m in TOKEN.finditer(text[a:b]))]
     n = len(cuts) - 1
-    ahead = [n] * (n + 1)
+    digits, at = [0] * (n + 1), [n] * (n + 1)
     for i in range(n - 1, -1, -1):
         token = text[cuts[i] : cuts[i + 1]]
-        ahead[i] = i if token == "at" or CUE.search(token) else ahead[i + 1]
-    return cuts, ahead
+        at[i] = i if token == "@" or token == "at" else at[i + 1]
+    for i in range(n):
+        token = text[cuts[i] : cuts[i + 1]]
+        digits[i + 1] = digits[i] + (len(token) if token[0].isdigit() else 0)
+    return cuts, digits, at
+
+
+def candidates(text: str, cuts: list[int], digits: list[int], at: list[int], i: int) -> Iterator[tuple[int, list[str]]]:
+    """(end, features) of the segments from token ``i`` on. Most are left out by counts alone: what has no @ needs the digits of an entity."""
+    n = len(cuts) - 1
+    first = text[cuts[i]]
+    if first.isspace():
+        return
+    number = first in "+(" or first.isdigit()
+    # an entity has one @ at most
+    last = n if at[i] >= n else at[at[i] + 1]
+    for j in range(i + 1, min(n, i + MAX_TOKENS, last) + 1):
+        many = digits[j] - digits[i]
+        if at[i] >= j and (not number or many > MOST_DIGITS or many < (LEAST_DIGITS if j - i < 7 else 4)):
+            if number and many > MOST_DIGITS and at[i] >= i + MAX_TOKENS:
+                return
+            continue
+        begin = max(0, cuts[i] - 1)
+        look = features_in if cuts[j] - begin <= LOCAL_CHARS else features_in.__wrapped__
+        f = look(text[begin : cuts[j] + 2], cuts[i] - begin, cuts[j] - begin)
+        if f is not None:
+            yield j, f
 
 
 class Lattice:
     """Candidate segments of a zone: (first token, last token + 1, features)."""
 
     def __init__(self, text: str, a: int, b: int):
-        self.cuts, ahead = tokens(text, a, b)
+        self.cuts, digits, at = tokens(text, a, b)
         self.n = len(self.cuts) - 1
-        self.segments = []
-        for i in range(self.n):
-            for j in range(ahead[i] + 1, min(self.n, i + MAX_TOKENS) + 1):
-                f = span_features(text, self.cuts[i], self.cuts[j])
-                if f is not None:
-                    self.segments.append((i, j, f))
+        self.segments = [(i, j, f) for i in range(self.n) for j, f in candidates(text, self.cuts, digits, at, i)]
 
     def weigh(self, index: dict[str, int], w: np.ndarray) -> np.ndarray:
         """Score of each segment for each kind; w has a row for each feature."""
@@ -208,20 +262,19 @@ def decode(text: str, a: int, b: int, index: dict[str, int], w: np.ndarray) -> t
     Segments are scored as the programme comes to their first token and are then
     forgotten, so memory grows with the tokens of a zone, not with its segments.
     """
-    cuts, ahead = tokens(text, a, b)
+    cuts, digits, at = tokens(text, a, b)
     n = len(cuts) - 1
-    value, back = [-math.inf] * (n + 1), [None] * (n + 1)
+    value, back, scored = [-math.inf] * (n + 1), [None] * (n + 1), {}
     value[0] = 0.0
     for i in range(n + 1):
         if i and value[i - 1] >= value[i]:
             value[i], back[i] = value[i - 1], None
-        for j in range(ahead[i] + 1, min(n, i + MAX_TOKENS) + 1):
-            f = span_features(text, cuts[i], cuts[j])
-            if f is None:
-                continue
-            scores = w[[index[x] for x in f if x in index]].sum(axis=0)
-            kind = int(scores.argmax())
-            if (v := value[i] + scores[kind]) > value[j]:
+        for j, f in candidates(text, cuts, digits, at, i) if i < n else ():
+            if (known := scored.get(f)) is None:
+                scores = w[[index[x] for x in f if x in index]].sum(axis=0)
+                known = scored[f] = (float(scores.max()), int(scores.argmax()))
+            score, kind = known
+            if (v := value[i] + score) > value[j]:
                 value[j], back[j] = v, (i, kind)
     found, j = [], n
     while j > 0:
@@ -257,6 +310,27 @@ def rewritten(text: str, spans: list[tuple[int, int, int]], rng: random.Random)
     return "".join([*out, text[at:]]), found
 
 
+def ordinary(rng: random.Random) -> str:
+    """A sentence of numbers that are nobody's: orders, books, moments, versions, measures."""
+    d = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    return " ".join(
+        rng.sample(
+            [
+                f"order {d(10)} was shipped",
+                f"ISBN 978-{d(1)}-{d(2)}-{d(6)}-{d(1)} in stock",
+                f"ticket #{d(11)} is closed",
+                f"at {rng.randint(2001, 2029)}-{rng.randint(10, 12)}-{rng.randint(10, 28)} {rng.randint(10, 23)}:{rng.randint(10, 59)}:{rng.randint(10, 59)} sharp",
+                f"build 10.0.{d(5)}.{d(4)} fails",
+                f"it costs {d(3)},{d(3)}.{d(2)} euros",
+                f"since {d(10)} seconds and {d(13)} milliseconds",
+                f"rows {d(5)} {d(5)} {d(5)} of the table",
+                f"from {d(4)} to {d(4)} and {d(4)} more",
+            ],
+            4,
+        )
+    )
+
+
 def train(docs: DataFrame, sample: int = SAMPLE):
     """(feature index, weights) learned from at most ``sample`` texts that hold a digit or @."""
     some = docs.select("doc_id", "text").filter(F.col("text").rlike("[0-9]{3}|@")).withColumn("k", F.lit(1))
@@ -264,10 +338,10 @@ def train(docs: DataFrame, sample: int = SAMPLE):
     zones_: list[tuple[Lattice, dict]] = []
     for r in pick_sample(some, "k", sample):
         spans = base_spans(r.text)
-        for text, gold in ((r.text, spans), rewritten(r.text, spans, rng)):
+        for text, gold in ((r.text, spans), rewritten(r.text, spans, rng), (ordinary(rng), [])):
             gold_at = {(a, b): k for a, b, k in gold}
             for a, b in zones(text, [])[:SAMPLE_ZONES]:
-                lattice = Lattice(text, a, b)
+                lattice = Lattice(text, a, min(b, a + LEARN_CHARS))
                 if lattice.segments:
                     cuts = lattice.cuts
                     zones_.append((lattice, {k: gold_at[cuts[i], cuts[j]] for k, (i, j, _) in enumerate(lattice.segments) if (cuts[i], cuts[j]) in gold_at}))
