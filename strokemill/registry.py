@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import fixtures as fx
@@ -15,8 +17,9 @@ from .operators import ordering as od
 from .operators import raster as ra
 from .operators import strokes as st
 from .plans import drawing
-from .sources import files
+from .sources import files, live, manifest
 from .streaming import commands as sc
+from .tables import shared_folder
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -1193,6 +1196,72 @@ def sample_plan(s, d):
     return p.select("id", "stem", (F.col("size").between(180, 320) & F.col("sides").between(3, 8) & F.col("rotation").between(0, 359)).alias("in_range"))
 
 
+# ------------------------------------------------------------------ files: written, read again, compared
+
+
+def new_folder(s: SparkSession, name: str) -> str:
+    return f"{shared_folder(s)}/{name}-{uuid.uuid4().hex}"
+
+
+@query(
+    "commands_text_files",
+    f"SELECT session_id, CAST(seq AS BIGINT) AS seq, cmd, CASE WHEN cmd = 'MOVE' THEN floor(x) END AS x, CAST(CASE WHEN cmd = 'MOVE' THEN format('{{:.2f}}', y) END AS DOUBLE) AS y, speed FROM {SESS} z",
+)
+def commands_text_files(s, d):
+    """A file for each session; a line's number in it is its seq."""
+    folder = new_folder(s, "commands-text")
+    files.write_commands_text(sessions(s, d).withColumn("x", F.floor("x").cast("double")), folder)
+    good, _ = files.read_commands_text(s, folder)
+    w = Window.partitionBy("file").orderBy("seq")
+    session = F.regexp_extract("file", "session_id=([0-9]+)", 1).cast("bigint")
+    return good.select(session.alias("session_id"), F.row_number().over(w).cast("bigint").alias("seq"), "cmd", "x", "y", "speed")
+
+
+@query("commands_jsonl_files", f"SELECT cmd, x, y, speed FROM {SESS} z")
+def commands_jsonl_files(s, d):
+    folder = new_folder(s, "commands-jsonl")
+    files.write_commands_jsonl(sessions(s, d), folder)
+    return files.read_commands_jsonl(s, folder)
+
+
+@query("report_csv_files", f"SELECT image, vision_mode, path_ordering, num_commands, pen_up_distance_mm, mask_dice FROM {RUNS} r")
+def report_csv_files(s, d):
+    folder, columns = new_folder(s, "report"), ["image", "vision_mode", "path_ordering", "num_commands", "pen_up_distance_mm", "mask_dice"]
+    files.write_report_csv(runs(s, d), folder, columns)
+    return s.read.schema("image string, vision_mode string, path_ordering string, num_commands bigint, pen_up_distance_mm double, mask_dice double").option("header", True).csv(folder)
+
+
+@query("split_list_files", "SELECT CAST(doc_id AS VARCHAR) AS id, CASE doc_id % 3 WHEN 0 THEN 'train' WHEN 1 THEN 'val' ELSE 'test' END AS split FROM documents")
+def split_list_files(s, d):
+    """Lines of split and id, in as many files as tasks."""
+    folder, k = new_folder(s, "split-lists"), F.col("doc_id") % 3
+    name = F.when(k == 0, "training").when(k == 1, "Valid").otherwise("te")
+    fx.read(s, d, "documents").select(F.concat(name, F.lit(": "), F.col("doc_id").cast("string")).alias("value")).write.text(folder)
+    return cu.parse_split_assignments(files.read_split_files(s, folder))
+
+
+@query("manifest_files", "SELECT source AS split, CAST(doc_id AS VARCHAR) AS stem, concat('i/', doc_id) AS image, concat('m/', doc_id) AS mask FROM documents")
+def manifest_files(s, d):
+    """One published file for each source."""
+    folder, i = new_folder(s, "manifests"), F.col("doc_id").cast("string")
+    pairs = fx.read(s, d, "documents").select(F.col("source").alias("split"), i.alias("stem"), F.concat(F.lit("i/"), i).alias("image"), F.concat(F.lit("m/"), i).alias("mask"))
+    manifest.publish_manifest(pairs, folder)
+    return files.read_manifest(s, folder)
+
+
+@query("command_log_stream", f"SELECT cmd, x, y, speed FROM {SESS} z")
+def command_log_stream(s, d):
+    """Commands as JSON lines of log files, taken up by the streaming source in two runs of one query."""
+    logs, out, seen = (new_folder(s, name) for name in ("logs", "log-lines", "log-checkpoint"))
+    lines = sessions(s, d).select(F.to_json(F.struct("cmd", "x", "y", "speed")).alias("value"), (F.col("session_id") % 2).alias("half"))
+    for half in (0, 1):
+        lines.filter(F.col("half") == half).select("value").write.mode("append").text(logs)
+        stream = live.log_stream(s, logs, ".txt").writeStream.format("parquet").option("path", out).option("checkpointLocation", seen)
+        stream.trigger(availableNow=True).start().awaitTermination()
+    taken = s.read.schema("log string, at bigint, value string").parquet(out)
+    return sc.quarantine(taken).filter("error_kind IS NULL").select("cmd", "x", "y", "speed")
+
+
 def queries() -> dict:
     return dict(QUERIES)
 
@@ -1203,3 +1272,5 @@ def oracle_sql() -> dict[str, str]:
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["drawing_pipeline"](spark, sf_dir)
+
+
