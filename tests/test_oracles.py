@@ -9,7 +9,7 @@ from strokemill import registry
 
 TABLES = "/root/testdata"
 #: Every query on the smallest tables; those that compare floats or walk through groups on larger ones, too.
-LARGER = "action_table view_bounds path_length plan_metrics segment_kinematics stitch_paths emit_commands fit_to_page resample_closed average_closed elongated_centerlines variant_aggregates planning_comparison vision_comparison calibration training_history image_flags match_tiered".split()
+LARGER = "pose_tracker order_nearest clean_paths dedupe_open_paths epoch_losses action_counts action_table view_bounds path_length plan_metrics segment_kinematics stitch_paths emit_commands fit_to_page resample_closed average_closed elongated_centerlines variant_aggregates planning_comparison vision_comparison calibration training_history image_flags match_tiered".split()
 DATA = f"{TABLES}/sf0.001"
 
 
