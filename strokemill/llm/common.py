@@ -48,6 +48,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def let_go(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of steps that are written: it does so once the driver has
+    collected their plans, which would else wait until its heap is full. Nothing that is still used goes."""
+    gc.collect()
+    spark.sparkContext._jvm.java.lang.System.gc()
+
+
 def join_checked(big: DataFrame, small: DataFrame, on, how: str, row_bytes: int, rows: int | None = None) -> DataFrame:
     """Join that broadcasts ``small`` only after its rows have been counted.
 

@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import join_checked, materialize, per_text, read
+from .common import join_checked, let_go, materialize, per_text, read
 
 N, NUM, DEN = 3, 90, 100
 #: The pipeline's rule for near copies: words in an n-gram, and likeness.
@@ -57,6 +57,8 @@ COUNTED = 8
 WORDS = 16
 #: Words of the map of shared keys: at 40 bytes a row it stays below ``BROADCAST_BYTES``.
 MARKS = 1 << 19
+#: Slices of the space of keys that are looked through one after the other.
+SLICES = 4
 #: Turns in which suspects are paired with leaders before all open pairs are counted.
 ROUNDS = 3
 A, B, C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -173,7 +175,8 @@ def unfolder(n: int):
         bits = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * WORDS), pa.array(np.concatenate([*map(bitmap, sets), np.zeros(0, np.int64)])))
         sets = [s.view(np.int64) for s in sets]
         offsets = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
-        return pa.RecordBatch.from_arrays([batch.column("class"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*sets, np.zeros(0, np.int64)]))), bits], names=["class", "shingles", "bits"])
+        flat = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*sets, np.zeros(0, np.int64)])))
+        return pa.RecordBatch.from_arrays([batch.column("class"), batch.column("_t"), flat, bits], names=["class", "_t", "shingles", "bits"])
 
     return work
 
@@ -219,23 +222,49 @@ def marked(keys: DataFrame, shared: DataFrame) -> DataFrame:
     return keys.select("key", "class", word, bit).join(F.broadcast(marks), "word").filter(F.col("marks").bitwiseAND(F.col("bit")) != 0).select("key", "class")
 
 
+def shared_keys(full: DataFrame) -> DataFrame:
+    """(key, class) of the keys that more than one class has, from ``full`` (class, keys), written.
+
+    The space of keys is cut into ``SLICES``, one after the other, so the shuffles of all
+    keys never lie on disk together. Each slice takes its part of all rows.
+    """
+
+    def slice_of(k: int):
+        # a lambda with a second argument would get the place in the array
+        return F.filter("keys", lambda x: F.pmod(x, F.lit(SLICES)) == k)
+
+    out = None
+    for k in range(SLICES):
+        own = slice_of(k)
+        keys = full.select(F.explode(own).alias("key"), "class")
+        ends = keys.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high"))
+        shared = materialize(ends.filter("low <> high").select("key"), "shared-keys")
+        let_go(full.sparkSession)
+        # keys of ``shared`` are unique; the optimizer would move a semi-join below the bit map
+        held = materialize(join_checked(marked(keys, shared), shared, "key", "inner", 40).distinct(), "held-keys")
+        let_go(full.sparkSession)
+        out = held if out is None else out.union(held)
+    return out
+
+
 def join_groups(docs: DataFrame, n: int = N, num: int = NUM, den: int = DEN) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row of ``docs`` (doc_id, text)."""
     own = docs.select("doc_id", "text")
     sketch = materialize(per_text(own, "doc_id bigint, n_shingles bigint, class bigint, keys array<bigint>", sketcher, n, num, den), "sketches")
     full = sketch.filter("class IS NOT NULL")
-    # keys that more than one class has
-    keys = full.select(F.explode("keys").alias("key"), "class")
-    shared = materialize(keys.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low <> high").select("key"), "shared-keys")
-    # keys of ``shared`` are unique; the optimizer would move a semi-join below the bit map
-    held = materialize(join_checked(marked(keys, shared), shared, "key", "inner", 40).distinct(), "held-keys")
+    held = shared_keys(full)
     # one document of each class that holds such a key, with all its n-grams
     suspects = held.select("class").distinct()
     one = materialize(full.select("doc_id", "class").join(suspects, "class", "left_semi").groupBy("class").agg(F.min("doc_id").alias("doc_id")).filter("doc_id IS NOT NULL"), "suspects")
     # all texts of the doc_id, for rows may repeat it; the unfolder keeps those of the class
     texts = join_checked(own, one, "doc_id", "inner", 48).select("class", "text", F.xxhash64("text").alias("_t")).dropDuplicates(["class", "_t"])
-    unfolded = per_text(texts.select("class", "text"), "class bigint, shingles array<bigint>, bits array<bigint>", unfolder, n)
-    sets = materialize(unfolded.dropDuplicates(["class"]), "suspect-sets")
+    sets = materialize(per_text(texts.select("class", "_t", "text"), "class bigint, _t bigint, shingles array<bigint>, bits array<bigint>", unfolder, n), "suspect-sets")
+    # texts of one doc_id that differ and still have one set: the one with the smallest hash stays; sets are not shuffled for that
+    twice = materialize(sets.groupBy("class").agg(F.count("*").alias("c"), F.min("_t").alias("_m")).filter("c > 1").select("class", "_m"), "sets-met-twice")
+    if twice.limit(1).count():
+        sets = join_checked(sets, twice, "class", "left", 48).filter("_m IS NULL OR _t = _m").drop("_m")
+    sets = sets.drop("_t")
+    let_go(docs.sparkSession)
     alone = sets.select("class", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("c"), F.min("class").alias("class")).filter("c = 1").groupBy("class").agg(F.count("*").alias("alone"))
     size = F.size("shingles").cast("long")
     bound = materialize(
@@ -250,6 +279,7 @@ def join_groups(docs: DataFrame, n: int = N, num: int = NUM, den: int = DEN) ->
 
     cut = [fragment(p) for p in range(COUNTED)]
     parts = materialize(left.select("class", size.alias("n"), F.posexplode(F.array(*cut)).alias("part", "own")), "parts")
+    let_go(docs.sparkSession)
 
     def possible(a: str, b: str):
         """The overlap that is still possible reaches the threshold."""
@@ -268,6 +298,7 @@ def join_groups(docs: DataFrame, n: int = N, num: int = NUM, den: int = DEN) ->
         pairs = best.select(F.least("c", "d").alias("a"), F.greatest("c", "d").alias("b")).distinct()
         pairs = materialize(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "leader-pairs")
         new = materialize(linked(pairs, parts, num, den), "leader-links")
+        let_go(docs.sparkSession)
         links, tried = (new, pairs) if links is None else (links.union(new), tried.union(pairs))
         if not new.limit(1).count():
             break

@@ -288,10 +288,12 @@ def test_linked_sets_share_a_key_that_is_not_of_empty_parts():
 def test_rows_that_repeat_an_id_are_one_document(spark, seed):
     """Two texts of one id that have nothing in common: near copies of either are linked with both, in any order of the rows."""
     a, b = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
-    rows = [(5, a), (5, b), (7, a + " more"), (8, b + " more"), (9, "other words here"), (9, "other words here")]
+    # 4 has two texts with one set, near copies of 6
+    c = " ".join(f"c{i}" for i in range(60))
+    rows = [(5, a), (5, b), (7, a + " more"), (8, b + " more"), (9, "other words here"), (9, "other words here"), (4, c), (4, c.upper()), (4, c + "  "), (6, c + " x")]
     random.Random(seed).shuffle(rows)
     got = jaccardjoin.join_groups(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3))
-    assert sorted((r.doc_id, r.component_id) for r in got.collect()) == [(5, 5), (5, 5), (7, 5), (8, 5), (9, 9), (9, 9)]
+    assert sorted((r.doc_id, r.component_id) for r in got.collect()) == [(4, 4), (4, 4), (4, 4), (5, 5), (5, 5), (6, 4), (7, 5), (8, 5), (9, 9), (9, 9)]
 
 
 def test_join_awkward(spark, awkward):
