@@ -45,7 +45,7 @@ LEAST_DOCS, PRIOR, SCALE, TOP = 30, 5, 1_000_000_000, 50
 #: Bytes of terms: letters and all of UTF-8 beyond ASCII.
 TERM = re.compile(rb"[a-z\x80-\xff]+")
 #: Entries (group, term) that a task gathers before it hands them on.
-GATHERED = 200_000
+GATHERED = 400_000
 #: Kept terms of a range, and groups of a block, about.
 RANGE_TERMS, BLOCK_GROUPS = 2048, 64
 #: Whole numbers below this stay within 64 bits when multiplied by ``SCALE``.
@@ -56,17 +56,19 @@ def counter():
     held: dict = {}
 
     def finish() -> list:
-        cols = [[], [], [], [], []]
-        for (lang, source), (counts, docs) in held.items():
-            # the entry without a term says that the group occurs
-            rows = [(None, 0, 0), *((t, n, docs[t]) for t, n in counts.items())]
-            for col, values in zip(cols, ([lang] * len(rows), [source] * len(rows), *zip(*rows, strict=True)), strict=True):
-                col.extend(values)
+        groups, terms, ns, docs_ = list(held), [], [], []
+        for counts, docs in held.values():
+            terms.append(pa.array(counts, pa.binary()).cast(pa.string()))
+            ns.append(np.fromiter(counts.values(), np.int64, len(counts)))
+            docs_.append(np.fromiter(map(docs.__getitem__, counts), np.int64, len(counts)))
         held.clear()
-        types = [pa.string(), pa.string(), pa.binary(), pa.int64(), pa.int64()]
-        arrays = [pa.array(c, t) for c, t in zip(cols, types, strict=True)]
-        arrays[2] = arrays[2].cast(pa.string())
-        return [pa.RecordBatch.from_arrays(arrays, names=["lang", "source", "term", "n", "docs"])]
+        if not groups:
+            return []
+        offsets = pa.array(np.concatenate(([0], np.cumsum([len(n) for n in ns]))), pa.int32())
+        lists = [pa.concat_arrays(terms), pa.array(np.concatenate(ns)), pa.array(np.concatenate(docs_))]
+        names = [pa.array([g[i] for g in groups], pa.string()) for i in (0, 1)]
+        cols = [*names, *(pa.ListArray.from_arrays(offsets, v) for v in lists)]
+        return [pa.RecordBatch.from_arrays(cols, names=["lang", "source", "terms", "n", "docs"])]
 
     def take(batch: pa.RecordBatch) -> list:
         texts = batch.column("text").cast(pa.binary()).to_pylist()
@@ -83,8 +85,13 @@ def counter():
 def term_counts(docs: DataFrame) -> DataFrame:
     """(lang, source, term, n, docs): occurrences and documents; a row with a null term for each group."""
     own = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")))
-    counted = per_task(own, "lang string, source string, term string, n bigint, docs bigint", counter)
-    return counted.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    counted = per_task(own, "lang string, source string, terms array<string>, n array<bigint>, docs array<bigint>", counter)
+    # the entry without a term says that the group occurs
+    none = F.array(F.struct(F.lit(None).cast("string").alias("terms"), F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("docs")))
+    each = counted.select("lang", "source", F.inline(F.concat(none, F.arrays_zip("terms", "n", "docs"))))
+    # counted in the tasks already: each row goes to its place, and there is no second count on the way
+    dealt = each.withColumnRenamed("terms", "term").repartition("lang", "source", "term")
+    return dealt.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def share(n: Column, whole: Column) -> Column:
