@@ -9,10 +9,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schemas import COMMAND_JSON, EXPERIMENT, PAIR
+from ..tables import written
 
 SUFFIXES = ("jpg", "jpeg", "png", "bmp", "tif", "tiff", "webp")
 HEADS = ("PEN_UP", "PEN_DOWN", "START", "END", "PING")
 
+#: Ranges of a manifest's pairs, at most: each is a task, and Spark samples 100 rows of each on the driver.
+MOST_PARTS = 1000
+
 
 def scan_images(spark: SparkSession, folder: str, recursive: bool = False) -> DataFrame:
     """(path, length, stem) of the image files; contents aren't read; a missing folder is empty, and Spark passes over files of no bytes."""
@@ -43,12 +47,14 @@ def manifest_lines(pairs: DataFrame, seed: int = 42, rows: int = 10_000) -> Data
 
     A document is a head, one line for each pair in the order of stem, and a tail, so no
     split is gathered in one row. Ranks come from counts by part of the stem order:
-    ranges of about ``rows`` pairs, within which they are counted by a window.
+    ranges of about ``rows`` pairs, ``MOST_PARTS`` of them at most, within which they are
+    counted by a window. The ranges are written: their bounds come from a sample that
+    Spark draws anew for each plan, so parts that were cut twice wouldn't agree.
     """
     own = pairs.select("split", "stem", "image", "mask")
     n = own.count()
-    parts = max(1, -(-n // rows))
-    ranged = own.repartitionByRange(parts, "split", "stem").withColumn("part", F.spark_partition_id())
+    parts = max(1, min(-(-n // rows), MOST_PARTS))
+    ranged = written(own.repartitionByRange(parts, "split", "stem").withColumn("part", F.spark_partition_id()), "manifest-parts")
     spread = ranged.groupBy("split", "part").agg(F.count("*").alias("c"))
     # one row for each split and part
     last = spread.groupBy("split").agg(F.max("part").alias("last"), F.sum("c").alias("pair_count"))
