@@ -16,6 +16,9 @@ SESSIONS = """SELECT user_id AS session_id, seq, cmd, CASE WHEN cmd = 'MOVE' THE
  SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS seq, CAST(value AS DOUBLE) AS value, CAST({k} AS DOUBLE) AS k,
  CASE event_type WHEN 'purchase' THEN 'PEN_DOWN' WHEN 'signup' THEN 'PEN_UP' WHEN 'error' THEN 'PING' ELSE 'MOVE' END AS cmd FROM {events}) s"""
 
+#: Sessions in which events of one time come in the order of their ids.
+TRACKED = SESSIONS.replace("ORDER BY ts)", "ORDER BY ts, event_id)")
+
 GRID = """SELECT vec_id AS image_id, label, CAST(i // 8 AS INT) AS y, CAST(i % 8 AS INT) AS x, v AS value, v > 0 AS is_on, CAST(floor((v + 0.6) * 210) AS INT) AS gray FROM {exploded} e"""
 
 RUNS = """SELECT CAST(l_suppkey AS VARCHAR(20)) AS image, CASE l_returnflag WHEN 'A' THEN 'classical' ELSE 'ml' END AS vision_mode, CASE l_linestatus WHEN 'F' THEN 'nearest_neighbor' ELSE 'two_opt' END AS path_ordering,

@@ -43,6 +43,7 @@ def view(name: str):
 
 polylines, POLY = view("POLYLINES")
 sessions, SESS = view("SESSIONS")
+tracked, TRACKED = view("TRACKED")
 grid, GRID = view("GRID")
 runs, RUNS = view("RUNS")
 observations, OBS = view("OBSERVATIONS")
@@ -1068,9 +1069,9 @@ def session_wrap(s, d):
     return sc.session_wrap(sessions(s, d)).select("session_id", "seq", "cmd")
 
 
-WRAPPED = f"""(SELECT session_id, CAST(seq AS BIGINT) AS seq, cmd, x, y FROM {SESS} z
- UNION ALL SELECT session_id, unnest([-2, -1]), unnest(['PING', 'START']), NULL, NULL FROM (SELECT DISTINCT session_id FROM {SESS} z) a
- UNION ALL SELECT session_id, max(seq) + 1, 'END', NULL, NULL FROM {SESS} z GROUP BY session_id)"""
+WRAPPED = f"""(SELECT session_id, CAST(seq AS BIGINT) AS seq, cmd, x, y FROM {TRACKED} z
+ UNION ALL SELECT session_id, unnest([-2, -1]), unnest(['PING', 'START']), NULL, NULL FROM (SELECT DISTINCT session_id FROM {TRACKED} z) a
+ UNION ALL SELECT session_id, max(seq) + 1, 'END', NULL, NULL FROM {TRACKED} z GROUP BY session_id)"""
 POSES = f"""WITH RECURSIVE o AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY seq) AS i FROM {WRAPPED} w),
  k AS (SELECT DISTINCT session_id, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS VARCHAR) AS cmd, CAST(0 AS DOUBLE) AS px, CAST(0 AS DOUBLE) AS py,
  CAST(0 AS DOUBLE) AS heading, false AS pen, false AS pen_before, false AS moved, CAST(0 AS DOUBLE) AS d, CAST(0 AS DOUBLE) AS delta FROM o UNION ALL
@@ -1087,7 +1088,7 @@ POSES = f"""WITH RECURSIVE o AS (SELECT *, row_number() OVER (PARTITION BY sessi
  CASE WHEN moved THEN pen_before AND abs(delta) >= 30 ELSE pen_before AND cmd IN ('START', 'PEN_UP', 'END') END AS lift, CASE WHEN moved THEN CAST(format('{{:.2f}}', d / 10) AS DOUBLE) ELSE 0 END AS straight FROM k WHERE i > 0""",
 )
 def pose_tracker(s, d):
-    p = sc.pose_batch(sc.session_wrap(sessions(s, d)))
+    p = sc.pose_batch(sc.session_wrap(tracked(s, d)))
     return p.select("session_id", "seq", "cmd", r("px", 3), r("py", 3), r("heading", 3), "pen_down", r("turn", 3), "lift", r("straight", 2))
 
 

@@ -57,7 +57,8 @@ def step(pose: tuple, cmd: str, x, y, min_move: float = MIN_MOVE) -> tuple[tuple
         d = math.sqrt(dx * dx + dy * dy)
         if d >= min_move:
             to = math.degrees(math.atan2(-dy, dx))
-            delta = 180.0 - (180.0 - (to - heading)) % 360.0
+            # a turn back is one of 180, also where the last bit of the headings would make it -180
+            delta = 180.0 - (180.0 - (to - heading)) % 360.0 % 360.0
             turn = delta if abs(delta) >= LEAST_TURN else 0.0
             return (x, y, to, pen), (turn, pen and abs(delta) >= CORNER, round(d / 10, 2))
     return pose, (turn, lift, straight)
@@ -80,7 +81,8 @@ def poses_of(cmd: np.ndarray, x: np.ndarray, y: np.ndarray) -> dict[str, np.ndar
     at, px, py, reset = at[kept], px[kept], py[kept], reset[kept]
     dx, dy = np.diff(px, prepend=0.0), np.diff(py, prepend=0.0)
     heading = np.where(reset, 0.0, np.degrees(np.arctan2(-dy, dx)))
-    delta = 180.0 - (180.0 - np.diff(heading, prepend=0.0)) % 360.0
+    # the remainder of a little less than nothing rounds to 360: a turn back is one of 180, not of -180
+    delta = 180.0 - (180.0 - np.diff(heading, prepend=0.0)) % 360.0 % 360.0
     # the last of these places at or before each command
     last = np.searchsorted(at, np.arange(1, n + 1), "right") - 1
     moved = (at[last] == np.arange(1, n + 1)) & ~reset[last]
