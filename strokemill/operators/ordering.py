@@ -1,6 +1,7 @@
 """Order of a drawing's paths: greedy nearest neighbour, and two-opt on top of it.
 
-A drawing is one task's work, however many paths it has. Large drawings find their next
+A drawing is one task's work, however many paths it has. Drawings of equally many paths, up
+to ``SMALL``, are ordered together, a step of all at a time. Large drawings find their next
 path over a grid, and two-opt looks at the pairs of paths that can gain, which are found
 over grids, too.
 """
@@ -14,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .grouped import changes, on_drawings
+
 SCHEMA = "drawing_id bigint, path_id bigint, pos bigint, flipped boolean, points array<struct<x:double,y:double>>"
 
 
@@ -23,6 +26,8 @@ GRID = 500
 RINGS = 6
 #: Up to so many paths two-opt looks at all pairs at once; pairs that it looks at in one piece beyond.
 ALL_PAIRS, PAIRS = 300, 2_000_000
+#: Drawings of so many paths at most are ordered together.
+SMALL = 40
 
 
 def apart(p: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -183,6 +188,66 @@ def two_opt(a: np.ndarray, b: np.ndarray, start: np.ndarray, passes: int, gain:
     return order, flip
 
 
+def ordered(heads: np.ndarray, tails: np.ndarray, start: np.ndarray, method: str, passes: int, gain: float) -> tuple[np.ndarray, np.ndarray]:
+    """Order and flips of one drawing's paths."""
+    order, flips = (np.array(v) for v in nearest(heads, tails, start))
+    if method == "two_opt" and len(order) >= 3:
+        f = flips[:, None]
+        more, turn = two_opt(np.where(f, tails[order], heads[order]), np.where(f, heads[order], tails[order]), start, passes, gain)
+        order, flips = order[more], flips[more] ^ turn
+    return order, flips
+
+
+def ordered_many(heads: np.ndarray, tails: np.ndarray, start: np.ndarray, method: str, passes: int, gain: float) -> tuple[np.ndarray, np.ndarray]:
+    """``ordered`` for drawings of n paths each, all at once: (drawings, n, 2) in, (drawings, n) out."""
+    many, n = heads.shape[:2]
+    rows = np.arange(many)
+    ends = np.stack([heads, tails], 2).reshape(many, 2 * n, 2)
+    ways = apart(np.concatenate([ends, np.broadcast_to(start, (many, 1, 2))], 1)[:, :, None], ends[:, None])
+    here, used = np.full(many, 2 * n), np.zeros((many, 2 * n), bool)
+    order, flips = np.zeros((many, n), int), np.zeros((many, n), bool)
+    for k in range(n):
+        i, flip = np.divmod(np.where(used, np.inf, ways[rows, here]).argmin(1), 2)
+        order[:, k], flips[:, k] = i, flip
+        used[rows, 2 * i] = used[rows, 2 * i + 1] = True
+        here = 2 * i + 1 - flip
+    if method == "two_opt" and n >= 3:
+        f = flips[..., None]
+        head, tail = (np.take_along_axis(p, order[..., None], 1) for p in (heads, tails))
+        more, turn = two_opt_many(np.where(f, tail, head), np.where(f, head, tail), start, passes, gain)
+        order, flips = np.take_along_axis(order, more, 1), np.take_along_axis(flips, more, 1) ^ turn
+    return order, flips
+
+
+def two_opt_many(a: np.ndarray, b: np.ndarray, start: np.ndarray, passes: int, gain: float) -> tuple[np.ndarray, np.ndarray]:
+    """``two_opt`` for drawings of n paths each, all at once."""
+    many, n = a.shape[:2]
+    order, flip = np.tile(np.arange(n), (many, 1)), np.zeros((many, n), bool)
+    i, j = np.triu_indices(n, 1)
+    rest, open_, place = np.minimum(j + 1, n - 1), np.arange(many), np.arange(n)
+    for _ in range(passes):
+        p, q = a[open_], b[open_]
+        ends = np.concatenate([np.broadcast_to(start, (len(p), 1, 2)), q[:, :-1]], 1)
+        before, after = apart(ends, p), np.concatenate([apart(q[:, :-1], p[:, 1:]), np.zeros((len(p), 1))], 1)
+        less = before[:, i] + after[:, j] - (apart(ends[:, i], q[:, j]) + np.where(j + 1 < n, apart(p[:, i], p[:, rest]), 0.0))
+        best, at = np.zeros(len(p)), np.full(len(p), -1)
+        for k in range(len(i)):
+            more = less[:, k] > best + gain
+            best[more], at[more] = less[more, k], k
+        found = at >= 0
+        open_, at, p, q = open_[found], at[found], p[found], q[found]
+        if not len(open_):
+            break
+        low, high = i[at][:, None], j[at][:, None]
+        inside = (place >= low) & (place <= high)
+        turn = np.where(inside, low + high - place, place)
+        p, q = (np.take_along_axis(v, turn[..., None], 1) for v in (p, q))
+        a[open_], b[open_] = np.where(inside[..., None], q, p), np.where(inside[..., None], p, q)
+        order[open_] = np.take_along_axis(order[open_], turn, 1)
+        flip[open_] = np.take_along_axis(flip[open_], turn, 1) ^ inside
+    return order, flip
+
+
 def turned(points: pa.ListArray, flips: np.ndarray) -> pa.ListArray:
     """The lists, those of ``flips`` the other way round."""
     sizes = np.asarray(points.value_lengths())
@@ -199,20 +264,29 @@ def order_paths(paths: DataFrame, method: str = "nearest_neighbor", start: tuple
         raise ValueError(f"unknown ordering: {method}")
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("path_id")
         points = table.column("points").combine_chunks()
         sizes = np.asarray(points.value_lengths())
         begins = np.cumsum(sizes) - sizes
         x, y = (points.flatten().field(c).to_numpy(zero_copy_only=False) for c in ("x", "y"))
         heads, tails = (np.stack([x[at], y[at]], 1).astype(float) for at in (begins, begins + sizes - 1))
-        order, flips = (np.array(v) for v in nearest(heads, tails, np.array(start)))
-        if method == "two_opt" and len(order) >= 3:
-            f = flips[:, None]
-            more, turn = two_opt(np.where(f, tails[order], heads[order]), np.where(f, heads[order], tails[order]), np.array(start), passes, gain)
-            order, flips = order[more], flips[more] ^ turn
-        rows = table.take(pa.array(order))
-        out = [rows.column("drawing_id"), rows.column("path_id"), pa.array(np.arange(len(order))), pa.array(flips), turned(points.take(pa.array(order)), flips)]
+        first = np.flatnonzero(changes(table.column("drawing_id"))[0])
+        many = np.diff(np.append(first, len(sizes)))
+        order, flips = np.zeros(len(sizes), int), np.zeros(len(sizes), bool)
+        for n in np.unique(many):
+            if n > SMALL:
+                for at in first[many == n]:
+                    own = slice(at, at + n)
+                    order[own], flips[own] = ordered(heads[own], tails[own], np.array(start), method, passes, gain)
+                    order[own] += at
+                continue
+            least = max(1, PAIRS // int(2 * n * (2 * n + 1)))
+            for k in range(0, int((many == n).sum()), least):
+                own = first[many == n][k : k + least, None] + np.arange(n)
+                some, turn = ordered_many(heads[own], tails[own], np.array(start, float), method, passes, gain)
+                order[own], flips[own] = some + own[:, :1], turn
+        rows, pos = table.take(pa.array(order)), np.arange(len(order)) - np.repeat(first, many)
+        out = [rows.column("drawing_id"), rows.column("path_id"), pa.array(pos), pa.array(flips), turned(points.take(pa.array(order)), flips)]
         return pa.table(out, names=["drawing_id", "path_id", "pos", "flipped", "points"])
 
     full = paths.filter(F.size("points") > 0).select("drawing_id", "path_id", "points")
-    return full.groupBy("drawing_id").applyInArrow(run, SCHEMA)
+    return on_drawings(full, "path_id", run, SCHEMA)
