@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geom import dist, dist_points, heading_deg, normalize_angle, page_fit
+from .grouped import changes, on_drawings
 from .kernels import Paths, far, last_kept
 
 MIN_LENGTH, MIN_SEGMENT, TOLERANCE = 2.0, 0.75, 0.5
@@ -151,35 +152,48 @@ def emit_commands(
     """
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by(order)
-        drawing = table.column("drawing_id")[0].as_py()
+        new = changes(table.column("drawing_id"))[0]
         own = Paths(table.column("points"))
         own.take(np.repeat(own.sizes >= 2, own.sizes))
-        sizes = own.sizes[own.sizes >= 2]
-        x, y = np.concatenate(([start_x], own.x)), np.concatenate(([start_y], own.y))
+        drawn = own.sizes >= 2
+        owner, sizes = (np.cumsum(new) - 1)[drawn], own.sizes[drawn]
+        # the start of each drawing, then its points
+        many = int(new.sum())
+        of = np.repeat(owner, sizes)
+        here = np.arange(len(of)) + of + 1
+        total = len(of) + many
+        starts = np.setdiff1d(np.arange(total), here)
+        x, y = np.full(total, float(start_x)), np.full(total, float(start_y))
+        x[here], y[here] = own.x, own.y
         begins = np.cumsum(sizes) - sizes
-        first, last = np.zeros(len(own.x), int), np.zeros(len(own.x), int)
+        first, last = np.zeros(len(of), int), np.zeros(len(of), int)
         first[begins] = last[begins + sizes - 1] = 1
-        least = np.concatenate(([-np.inf], np.where(first, min_move, min_draw)))
-        moved = last_kept(len(x), far(x, y, least))[1:].astype(int)
-        # commands of a point: the move, PEN_DOWN after the first, PEN_UP after the last
-        at = 1 + np.cumsum(moved + first + last) - (moved + first + last)
-        n = 1 + int((moved + first + last).sum())
+        least = np.full(total, -np.inf)
+        least[here] = np.where(first, min_move, min_draw)
+        moved = last_kept(total, far(x, y, least))[here].astype(int)
+        # commands of a start: PEN_UP; of a point: the move, PEN_DOWN after the first, PEN_UP after the last
+        count = np.ones(total, int)
+        count[here] = moved + first + last
+        ends = np.cumsum(count)
+        n, at = int(ends[-1]), (ends - count)[here]
         cmd = np.full(n, "MOVE", object)
-        cmd[0] = "PEN_UP"
+        zero = (ends - count)[starts]
+        cmd[zero] = "PEN_UP"
         cmd[(at + moved)[first == 1]] = "PEN_DOWN"
         cmd[(at + moved + first)[last == 1]] = "PEN_UP"
         moves = at[moved == 1]
         values = [np.full(n, np.nan) for _ in range(3)]
-        for v, new in zip(values, (own.x, own.y, np.where(first, travel, draw)), strict=True):
-            v[moves] = new[moved == 1]
+        for v, put in zip(values, (own.x, own.y, np.where(first, travel, draw)), strict=True):
+            v[moves] = put[moved == 1]
         empty = np.ones(n, bool)
         empty[moves] = False
-        columns = [pa.array(np.full(n, drawing), pa.int64()), pa.array(np.arange(n)), pa.array(cmd, pa.string()), *(pa.array(v, mask=empty) for v in values)]
+        each = np.diff(np.append(zero, n))
+        drawing = table.column("drawing_id").take(pa.array(np.repeat(np.flatnonzero(new), each)))
+        columns = [drawing, pa.array(np.arange(n) - np.repeat(zero, each)), pa.array(cmd, pa.string()), *(pa.array(v, mask=empty) for v in values)]
         return pa.table(columns, names=["drawing_id", "seq", "cmd", "x", "y", "speed"])
 
     schema = "drawing_id bigint, seq bigint, cmd string, x double, y double, speed double"
-    return paths.select("drawing_id", order, "points").groupBy("drawing_id").applyInArrow(run, schema)
+    return on_drawings(paths.select("drawing_id", order, "points"), order, run, schema)
 
 
 def extract_strokes(commands: DataFrame, start_x: float = 0.0, start_y: float = 0.0) -> DataFrame:
