@@ -19,7 +19,7 @@ from .operators import strokes as st
 from .plans import drawing
 from .sources import files, live, manifest
 from .streaming import commands as sc
-from .tables import shared_folder
+from .tables import shared_folder, written
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -931,12 +931,12 @@ def attach_truth(s, d):
 @query("run_metrics")
 def run_metrics(s, d):
     """A run for each drawing and ordering, from one cleaned set of paths; its mask is the one with the drawing's number."""
-    before = paths(s, d)
-    clean = st.clean_paths(before)
+    before = written(paths(s, d), "run-paths")
+    clean = written(st.clean_paths(before), "run-clean")
     runs_, plans, commands = None, None, None
     for method in ("nearest_neighbor", "two_opt"):
         run = F.concat_ws("__", "drawing_id", F.lit(method)).alias("run_id")
-        p = od.order_paths(clean, method).select("drawing_id", F.col("pos").alias("path_id"), "points")
+        p = written(od.order_paths(clean, method).select("drawing_id", F.col("pos").alias("path_id"), "points"), "run-order")
         own = before.select(run, "drawing_id", F.lit(method).alias("path_ordering")).distinct(), st.plan_metrics(p).withColumn("run_id", run).drop("drawing_id"), st.emit_commands(p).select(run)
         runs_, plans, commands = own if runs_ is None else (x.union(y) for x, y in zip((runs_, plans, commands), own, strict=True))
     overlap = ra.mask_overlap(on(s, d), truth(s, d)).withColumnRenamed("image_id", "drawing_id")
