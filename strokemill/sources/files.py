@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import re
+import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schemas import COMMAND_JSON, EXPERIMENT, PAIR
 from ..tables import written
+from .live import opened
 
 SUFFIXES = ("jpg", "jpeg", "png", "bmp", "tif", "tiff", "webp")
 HEADS = ("PEN_UP", "PEN_DOWN", "START", "END", "PING")
@@ -111,10 +116,48 @@ def command_lines(commands: DataFrame) -> DataFrame:
     return commands.withColumn("line", F.when(F.col("cmd") == "MOVE", move).otherwise(F.col("cmd")))
 
 
+def folder_name(column: str, value) -> str:
+    """The name that Spark gives the folder of a value."""
+    if value is None or value == "":
+        return f"{column}=__HIVE_DEFAULT_PARTITION__"
+    return f"{column}=" + re.sub(r"[\x00-\x1f\"#%'*/:=?\\\x7f{\[\]^]", lambda c: f"%{ord(c[0]):02X}", str(value))
+
+
 def write_commands_text(commands: DataFrame, folder: str, session: str = "session_id") -> None:
-    """One folder for each session, lines in the order of seq."""
-    lines = command_lines(commands).repartition(session).sortWithinPartitions(session, "seq")
-    lines.select(session, "line").write.partitionBy(session).mode("overwrite").text(folder)
+    """One folder for each session, lines in the order of seq, in one file; what the folder held before goes.
+
+    Tasks write the files themselves. A file is written under a name that readers pass
+    over and then renamed, so a task that runs again puts the same file in its place, and
+    the driver has nothing to move for each session.
+    """
+    files, root = opened(folder)
+    if files.get_file_info(root).type == fs.FileType.Directory:
+        files.delete_dir_contents(root)
+    files.create_dir(root)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, root = opened(folder)
+        sink, here, unnamed, many = None, None, None, 0
+
+        def close() -> None:
+            if sink:
+                sink.close()
+                files.move(unnamed, f"{root}/{here}/lines.txt")
+
+        for batch in batches:
+            for value, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                name = folder_name(session, value)
+                if name != here:
+                    close()
+                    here, unnamed, many = name, f"{root}/{name}/_{uuid.uuid4().hex}", many + 1
+                    files.create_dir(f"{root}/{name}")
+                    sink = files.open_output_stream(unnamed)
+                sink.write(f"{line}\n".encode())
+        close()
+        yield pa.RecordBatch.from_arrays([pa.array([many], pa.int64())], ["sessions"])
+
+    lines = command_lines(commands).repartition(session).sortWithinPartitions(session, "seq").select(F.col(session).cast("string"), "line")
+    lines.mapInArrow(run, "sessions bigint").agg(F.sum("sessions")).collect()
 
 
 def read_commands_jsonl(spark: SparkSession, path: str) -> DataFrame:
