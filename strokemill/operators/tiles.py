@@ -186,8 +186,9 @@ def walk_tile(tile: int):
         code, first = np.unique(table.column("y").to_numpy() * SHIFT + table.column("x").to_numpy() + HALF, return_index=True)
         y, x = code >> 32, (code & (SHIFT - 1)) - HALF
         forward = table.column("forward").to_numpy()[first]
-        y0, x0 = ty * tile - 3, tx * tile - 3
-        at = np.full((tile + 6, tile + 6), -1)
+        # no larger than what is set: images are often much smaller than a tile
+        y0, x0 = y.min() - 1, x.min() - 1
+        at = np.full((y.max() - y0 + 2, x.max() - x0 + 2), -1)
         at[y - y0, x - x0] = np.arange(len(y))
         near = np.stack([at[y - y0 + dy, x - x0 + dx] for dy, dx in AROUND])
         degree = (near >= 0).sum(0)
