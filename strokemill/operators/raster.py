@@ -9,6 +9,9 @@ from .tiles import AROUND, connected_components, skeletonize, trace_graph_paths
 
 __all__ = ["connected_components", "skeletonize", "trace_graph_paths"]
 
+#: Pixels of two masks that a task compares.
+OVERLAP_ROWS = 4_000_000
+
 
 def binarize(pixels: DataFrame, threshold: int = 245, mode: str = "auto") -> DataFrame:
     """Add is_line: darker than the threshold on light paper, lighter on dark; auto goes by the mean."""
@@ -26,9 +29,17 @@ def overlap_scores(tp: Column, fp: Column, fn: Column) -> list[Column]:
 
 
 def mask_overlap(pred: DataFrame, truth: DataFrame) -> DataFrame:
-    """Scores of the set pixels (image_id, y, x) of each image that has any."""
-    a, b = pred.select("image_id", "y", "x").withColumn("p", F.lit(1)), truth.select("image_id", "y", "x").withColumn("t", F.lit(1))
-    n = a.join(b, ["image_id", "y", "x"], "full").groupBy("image_id").agg(F.count_if(F.col("p").isNotNull() & F.col("t").isNotNull()).alias("tp"), F.count_if(F.col("t").isNull()).alias("fp"), F.count_if(F.col("p").isNull()).alias("fn"))
+    """Scores of the set pixels (image_id, y, x) of each image that has any.
+
+    Both sides are sorted by pixel, so there are as many tasks as keep one to ``OVERLAP_ROWS``.
+    """
+    at = ["image_id", "y", "x"]
+    a, b = pred.select(*at), truth.select(*at)
+    parts = -(-(a.count() + b.count()) // OVERLAP_ROWS)
+    if parts > int(pred.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        a, b = a.repartition(parts, *at), b.repartition(parts, *at)
+    a, b = a.withColumn("p", F.lit(1)), b.withColumn("t", F.lit(1))
+    n = a.join(b, at, "full").groupBy("image_id").agg(F.count_if(F.col("p").isNotNull() & F.col("t").isNotNull()).alias("tp"), F.count_if(F.col("t").isNull()).alias("fp"), F.count_if(F.col("p").isNull()).alias("fn"))
     return n.select("image_id", "tp", "fp", "fn", *overlap_scores(F.col("tp"), F.col("fp"), F.col("fn")))
 
 
