@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -55,6 +56,17 @@ def let_go(spark: SparkSession) -> None:
     spark.sparkContext._jvm.java.lang.System.gc()
 
 
+def drop_written(*tables: DataFrame) -> None:
+    """Delete tables of ``materialize`` that nothing will read any more: neither the result nor a step that is still to be written."""
+    for df in tables:
+        jvm = df.sparkSession.sparkContext._jvm
+        for file in df.inputFiles()[:1]:
+            folder = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI.create(file)).getParent()
+            if not re.fullmatch(r".+-[0-9a-f]{32}", folder.getName()):
+                raise ValueError(f"{folder} was not written between steps")
+            folder.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+
+
 def join_checked(big: DataFrame, small: DataFrame, on, how: str, row_bytes: int, rows: int | None = None) -> DataFrame:
     """Join that broadcasts ``small`` only after its rows have been counted.
 

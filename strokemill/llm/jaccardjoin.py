@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import join_checked, let_go, materialize, per_text, read
+from .common import drop_written, join_checked, let_go, materialize, per_text, read
 
 N, NUM, DEN = 3, 90, 100
 #: The pipeline's rule for near copies: words in an n-gram, and likeness.
@@ -51,13 +51,14 @@ STEP = 1.5
 SLACK = 2
 #: Orders that are tried until a set has few empty parts.
 ORDERS = 8
-#: Parts into which the order is cut to count overlaps.
+#: Parts into which the order is cut to count overlaps, a power of two, and their columns.
 COUNTED = 8
+PARTS = [f"p{p}" for p in range(COUNTED)]
 #: 64-bit words of the bitmap that bounds how far two sets differ.
 WORDS = 16
 #: Words of the map of shared keys: at 40 bytes a row it stays below ``BROADCAST_BYTES``.
 MARKS = 1 << 19
-#: Slices of the space of keys that are looked through one after the other.
+#: Slices of the space of keys, and of n-grams, that are looked through one after the other.
 SLICES = 4
 #: Turns in which suspects are paired with leaders before all open pairs are counted.
 ROUNDS = 3
@@ -166,17 +167,23 @@ def bitmap(s: np.ndarray) -> np.ndarray:
 
 
 def unfolder(n: int):
-    """N-grams and bitmaps of the rows whose text is of their class; texts that only share the class's doc_id go."""
+    """N-grams and bitmaps of the rows whose text is of their class; texts that only share the class's doc_id go.
+
+    The part of an n-gram is given by the top bits of its hash; a column for each, so a step reads the parts it needs.
+    """
+    ends = np.arange(1, COUNTED, dtype=np.uint64) << np.uint64(65 - COUNTED.bit_length())
+
+    def lists(rows: list) -> pa.ListArray:
+        offsets = np.concatenate(([0], np.cumsum([len(x) for x in rows]))).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*rows, np.zeros(0, np.int64)])))
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [shingles(t, n) for t in batch.column("text").to_pylist()]
         own = [i for i, (s, c) in enumerate(zip(sets, batch.column("class").to_pylist(), strict=True)) if digest(s) == c]
         batch, sets = batch.take(pa.array(own, pa.int64())), [sets[i] for i in own]
-        bits = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * WORDS), pa.array(np.concatenate([*map(bitmap, sets), np.zeros(0, np.int64)])))
-        sets = [s.view(np.int64) for s in sets]
-        offsets = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
-        flat = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*sets, np.zeros(0, np.int64)])))
-        return pa.RecordBatch.from_arrays([batch.column("class"), batch.column("_t"), flat, bits], names=["class", "_t", "shingles", "bits"])
+        cut = [np.split(s.view(np.int64), np.searchsorted(s, ends)) for s in sets]
+        parts = [lists([x[p] for x in cut]) for p in range(COUNTED)]
+        return pa.RecordBatch.from_arrays([batch.column("class"), batch.column("_t"), *parts, lists([*map(bitmap, sets)])], names=["class", "_t", *PARTS, "bits"])
 
     return work
 
@@ -247,38 +254,57 @@ def shared_keys(full: DataFrame) -> DataFrame:
     return out
 
 
+def unshared(sets: DataFrame) -> DataFrame:
+    """(class, alone): how many n-grams of each class no other class of ``sets`` (class, ``PARTS``) has, if any.
+
+    Like keys, n-grams are looked through in ``SLICES``, so their shuffles never lie on disk together. Each slice reads its
+    own parts; the counts are summed.
+    """
+    out = None
+    for k in range(SLICES):
+        grams = sets.select("class", F.explode(F.concat(*PARTS[k::SLICES])).alias("s"))
+        once = grams.groupBy("s").agg(F.count("*").alias("c"), F.min("class").alias("class")).filter("c = 1")
+        counts = materialize(once.groupBy("class").agg(F.count("*").alias("alone")), "alone")
+        let_go(sets.sparkSession)
+        out = counts if out is None else out.union(counts)
+    return out.groupBy("class").agg(F.sum("alone").alias("alone"))
+
+
 def join_groups(docs: DataFrame, n: int = N, num: int = NUM, den: int = DEN) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row of ``docs`` (doc_id, text)."""
     own = docs.select("doc_id", "text")
     sketch = materialize(per_text(own, "doc_id bigint, n_shingles bigint, class bigint, keys array<bigint>", sketcher, n, num, den), "sketches")
+    held = shared_keys(sketch.filter("class IS NOT NULL"))
+    # from here on nothing reads the keys of all documents
+    keys, sketch = sketch, materialize(sketch.select("doc_id", "n_shingles", "class"), "classes")
+    drop_written(keys)
     full = sketch.filter("class IS NOT NULL")
-    held = shared_keys(full)
     # one document of each class that holds such a key, with all its n-grams
     suspects = held.select("class").distinct()
     one = materialize(full.select("doc_id", "class").join(suspects, "class", "left_semi").groupBy("class").agg(F.min("doc_id").alias("doc_id")).filter("doc_id IS NOT NULL"), "suspects")
     # all texts of the doc_id, for rows may repeat it; the unfolder keeps those of the class
     texts = join_checked(own, one, "doc_id", "inner", 48).select("class", "text", F.xxhash64("text").alias("_t")).dropDuplicates(["class", "_t"])
-    sets = materialize(per_text(texts.select("class", "_t", "text"), "class bigint, _t bigint, shingles array<bigint>, bits array<bigint>", unfolder, n), "suspect-sets")
+    unfolded = sets = materialize(per_text(texts.select("class", "_t", "text"), "class bigint, _t bigint, " + "".join(f"{p} array<bigint>, " for p in PARTS) + "bits array<bigint>", unfolder, n), "suspect-sets")
     # texts of one doc_id that differ and still have one set: the one with the smallest hash stays; sets are not shuffled for that
     twice = materialize(sets.groupBy("class").agg(F.count("*").alias("c"), F.min("_t").alias("_m")).filter("c > 1").select("class", "_m"), "sets-met-twice")
     if twice.limit(1).count():
         sets = join_checked(sets, twice, "class", "left", 48).filter("_m IS NULL OR _t = _m").drop("_m")
     sets = sets.drop("_t")
     let_go(docs.sparkSession)
-    alone = sets.select("class", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("c"), F.min("class").alias("class")).filter("c = 1").groupBy("class").agg(F.count("*").alias("alone"))
-    size = F.size("shingles").cast("long")
+    alone = unshared(sets)
+    size = sum((F.size(p) for p in PARTS), F.lit(0)).cast("long")
     bound = materialize(
         sets.select("class", size.alias("n")).join(alone, "class", "left").select("class", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("most")).filter(den * F.col("most") >= num * F.col("n")),
         "bounded-suspects",
     )
+    let_go(docs.sparkSession)
     members = materialize(held.select("key", "class").join(bound, "class"), "members")
     left = sets.join(bound.select("class"), "class", "left_semi")
-    # the part of an n-gram: the top bits of its hash
-    def fragment(p: int):
-        return F.filter("shingles", lambda x: F.shiftrightunsigned(x, 61) == p)
-
-    cut = [fragment(p) for p in range(COUNTED)]
-    parts = materialize(left.select("class", size.alias("n"), F.posexplode(F.array(*cut)).alias("part", "own")), "parts")
+    parts = materialize(left.select("class", size.alias("n"), F.posexplode(F.array(*PARTS)).alias("part", "own")), "parts")
+    words = [F.get("bits", F.lit(i)).alias(f"w{i}") for i in range(WORDS)]
+    bits = materialize(left.select("class", F.struct(*words).alias("bits")), "bits")
+    # from here on nothing reads whole sets
+    drop_written(unfolded)
     let_go(docs.sparkSession)
 
     def possible(a: str, b: str):
@@ -306,8 +332,6 @@ def join_groups(docs: DataFrame, n: int = N, num: int = NUM, den: int = DEN) ->
         placed = materialize(members.join(groups.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class")), "placed")
     # pairs that share a key and lie in different components
     still = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
-    words = [F.get("bits", F.lit(i)).alias(f"w{i}") for i in range(WORDS)]
-    bits = sets.select("class", F.struct(*words).alias("bits"))
     open_ = materialize(placed.join(still, "key", "left_semi").join(bits, "class").select("key", F.struct("class", "n", "most", "component", "bits").alias("x")), "open")
     other = open_.select("key", F.col("x").alias("y"))
     apart = sum(F.bit_count(F.col(f"x.bits.w{i}").bitwiseXOR(F.col(f"y.bits.w{i}"))) for i in range(WORDS))
